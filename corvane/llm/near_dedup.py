@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     family = S.materialise(family.join(reps.select(F.col("rep").alias("node"), "n_shingles"), "node"), "members")
     blocks = family.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / p.block_texts), F.ceil(F.sum("n_shingles") / p.block_shingles)).cast("int").alias("n_blocks"))
     dealt = family.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    texts = dealt.join(docs, F.col("node") == F.col("doc_id")).select("root", "node", "block", "n_blocks", "text")
+    # texts move by id at every size: members grow with the input, so they are never the broadcast side
+    texts = dealt.hint("merge").join(docs, F.col("node") == F.col("doc_id")).select("root", "node", "block", "n_blocks", "text")
     pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "text")
     links = pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_confirm(p), "u long, v long")
     linked = S.components(links, "linked")
