@@ -1,0 +1,222 @@
+"""Secrets by rules and by inferred grammars.
+
+Three patterns give the base spans and, with them, labelled credentials. From the credentials of each kind a
+prefix tree over character classes is built, and states whose futures are statistically compatible are merged
+(Hoeffding bound), which leaves a small probabilistic automaton of that kind's format. Every other long token of a
+text is then scored by the likelihood that an automaton gives it, against that of ordinary words.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corvane.llm import _shared as S
+
+#: The patterns of the base spans, with the least length of what counts.
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{32,}")
+LEAST = {"assign": 8, "access": 16, "hex": 32}
+KINDS = ["assign", "access", "hex", "format"]
+
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_KEYWORDS = ("passw", "secret", "token", "api")
+_SYMBOLS = str.maketrans({c: k for k, cs in {"h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ", "d": "0123456789"}.items() for c in cs})
+_ALPHABET = "hlHUd+/_.=-"
+
+
+def base_spans(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, value) of the base patterns, per kind leftmost and without overlaps; short matches are dropped."""
+    out, low = [], text.lower()
+    if any(k in low for k in _KEYWORDS):
+        out += [(m.start(), m.end(), "assign", m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
+    if "AKIA" in text:
+        out += [(m.start(), m.end(), "access", m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
+    out += [(m.start(), m.end(), "hex", m[0]) for m in HEX.finditer(text)]
+    return out
+
+
+class Automaton:
+    """A probabilistic automaton inferred from counted words by merging compatible states of their prefix tree."""
+
+    def __init__(self, words: dict[str, int], alpha: float = 0.01):
+        self.next: list[dict[str, int]] = [{}]
+        self.passed, self.ended, self.taken = [0], [0], [Counter()]
+        for word, n in words.items():
+            at = 0
+            for c in word:
+                self.passed[at] += n
+                self.taken[at][c] += n
+                if c not in self.next[at]:
+                    self.next[at][c] = len(self.next)
+                    self.next.append({})
+                    self.passed.append(0)
+                    self.ended.append(0)
+                    self.taken.append(Counter())
+                at = self.next[at][c]
+            self.passed[at] += n
+            self.ended[at] += n
+        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
+        red, blue = [0], sorted(self.next[0].values())
+        parent = {t: (s, c) for s, x in enumerate(self.next) for c, t in x.items()}
+        while blue:
+            at = max(blue, key=lambda s: self.passed[s])
+            for r in red:
+                if self._compatible(r, at):
+                    s, c = parent[at]
+                    self.next[s][c] = r
+                    self._fold(r, at, parent)
+                    break
+            else:
+                red.append(at)
+            known = set(red)
+            blue = list({t for r in red for t in self.next[r].values()} - known)
+        self.red = red
+
+    def _apart(self, f: int, n: int, g: int, m: int) -> bool:
+        return bool(n and m) and abs(f / n - g / m) > self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+
+    def _compatible(self, r: int, b: int) -> bool:
+        todo = [(r, b)]
+        while todo:
+            x, y = todo.pop()
+            n, m = self.passed[x], self.passed[y]
+            if self._apart(self.ended[x], n, self.ended[y], m):
+                return False
+            for c in self.taken[x].keys() | self.taken[y].keys():
+                if self._apart(self.taken[x][c], n, self.taken[y][c], m):
+                    return False
+            todo += [(self.next[x][c], t) for c, t in self.next[y].items() if c in self.next[x]]
+        return True
+
+    def _fold(self, r: int, b: int, parent: dict) -> None:
+        """Adds the tree under b, which is no red state, to r."""
+        todo = [(r, b)]
+        while todo:
+            x, y = todo.pop()
+            self.passed[x] += self.passed[y]
+            self.ended[x] += self.ended[y]
+            self.taken[x] += self.taken[y]
+            for c, t in self.next[y].items():
+                if c in self.next[x]:
+                    todo.append((self.next[x][c], t))
+                else:
+                    self.next[x][c] = t
+                    parent[t] = (x, c)
+
+    def table(self) -> list[dict[str, tuple[int, float]]]:
+        """Of each state, symbol -> (state, log probability); '' is the end. Unseen symbols have a small share."""
+        index = {s: i for i, s in enumerate(self.red)}
+        rows = []
+        for s in self.red:
+            total = self.passed[s] + 0.5 * (len(_ALPHABET) + 1)
+            row = {c: (index[t], math.log((self.taken[s][c] + 0.5) / total)) for c, t in self.next[s].items()}
+            row[""] = (index[s], math.log((self.ended[s] + 0.5) / total))
+            row["?"] = (index[s], math.log(0.5 / total))
+            rows.append(row)
+        return rows
+
+
+def likelihood(table: list[dict], symbols: str) -> float:
+    """Log likelihood of a word of symbols."""
+    at, total = 0, 0.0
+    for c in symbols:
+        at, p = table[at].get(c) or table[at]["?"]
+        total += p
+    return total + table[at][""][1]
+
+
+class Grammars:
+    """Automata by kind, ordinary words' symbol frequencies, and each kind's floor: what nine in ten of its own credentials reach."""
+
+    def __init__(self, credentials: dict[str, list[str]], ordinary: list[str]):
+        seen = Counter(c for w in ordinary for c in w.translate(_SYMBOLS))
+        total = sum(seen.values()) + len(_ALPHABET)
+        self.plain = {c: math.log((seen[c] + 1) / total) for c in _ALPHABET}
+        self.kinds = {}
+        for kind, values in credentials.items():
+            words = Counter(v.translate(_SYMBOLS) for v in values)
+            if sum(words.values()) >= 5:
+                table = Automaton(words).table()
+                gains = sorted(self._gain(table, w) for w in words.elements())
+                self.kinds[kind] = (table, max(0.25, gains[len(gains) // 10]))
+
+    def _gain(self, table: list[dict], symbols: str) -> float:
+        return (likelihood(table, symbols) - sum(self.plain.get(c, 0.0) for c in symbols)) / len(symbols)
+
+    def best(self, value: str) -> tuple[float, str | None]:
+        """The best gain over ordinary words per symbol among kinds whose floor it reaches, and that kind."""
+        symbols = value.translate(_SYMBOLS)
+        return max(((g, k) for k, (t, floor) in self.kinds.items() if (g := self._gain(t, symbols)) >= floor), default=(0.0, None))
+
+
+_LABELS = pa.schema([("kind", pa.string()), ("value", pa.string())])
+
+
+def _labelled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Credentials that the base patterns find, and of ordinary tokens those that hold no digit."""
+    for b in batches:
+        out = set()
+        for text in b.column(0).to_pylist():
+            text = text or ""
+            spans = base_spans(text)
+            out.update((k, v) for _, _, k, v in spans)
+            for m in TOKEN.finditer(text):
+                if m[0].isalpha() and all(m.end() <= s or m.start() >= e for s, e, _, _ in spans):
+                    out.add(("ordinary", m[0]))
+        rows = sorted(out)
+        yield S.batch(_LABELS.names, [[k for k, _ in rows], [v for _, v in rows]], _LABELS)
+
+
+_FOUND = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))])
+
+
+def _scan(sent):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammars, rank = sent.value, {k: i for i, k in enumerate(KINDS)}
+        for b in batches:
+            out = []
+            for text in b.column(1).to_pylist():
+                text = text or ""
+                base = base_spans(text)
+                spans = [(s, e, k, None) for s, e, k, _ in base]
+                if grammars.kinds:
+                    for m in TOKEN.finditer(text):
+                        value = m[0]
+                        if not value.isalpha() and any(c.isdigit() for c in value) and all(m.end() <= s or m.start() >= e for s, e, _, _ in base):
+                            gain, kind = grammars.best(value)
+                            if kind:
+                                spans.append((m.start(), m.end(), "format", gain))
+                out.append([{"kind": k, "start": s, "end": e, "score": g} for s, e, k, g in sorted(spans, key=lambda x: (x[0], rank[x[2]]))])
+            yield S.batch(_FOUND.names, [b.column(0), out], _FOUND)
+
+    return run
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 1000, longest: int = 128) -> DataFrame:
+    """A row per row of docs: doc_id, spans (kind, start, end, score; ends exclusive, in code points, by start, then kind).
+
+    Kinds assign, access and hex are the base patterns' and have no score; format is an inferred grammar's, with its
+    gain per symbol over ordinary words. Grammars are fitted to at most `sample` distinct credentials of each kind of
+    at most `longest` characters, those with the smallest hashes among all that the whole table holds, so they are the same however the table is
+    dealt. Texts are scanned whole. A null text is empty and has no spans; without credentials there are base spans
+    only. Repeated rows give repeated rows; other columns of docs are not read.
+    """
+    spark = docs.sparkSession
+    S.prepare(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    labelled = rows.select("text").mapInArrow(_labelled, "kind string, value string").filter(F.length("value") <= longest)
+    kinds = {}
+    labelled = S.materialise(labelled.distinct(), "credentials")
+    for kind in ("assign", "access", "hex", "ordinary"):
+        kinds[kind] = [r["value"] for r in labelled.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
+    grammars = Grammars({k: kinds[k] for k in ("assign", "access", "hex")}, kinds["ordinary"])
+    found = rows.mapInArrow(_scan(spark.sparkContext.broadcast(grammars)), "doc_id long, spans array<struct<kind:string,start:long,end:long,score:double>>")
+    return found
