@@ -1,20 +1,54 @@
-"""The corpus pipeline: each stage applies one operator to what the stage before it kept."""
+"""The corpus pipeline: each stage applies one operator to all that the stage before it kept.
+
+Every stage but the last returns the columns of documents; run() writes what a stage returns and reads it again for
+the next. SQL can't express the fitted classifier, so run() has no oracle; tests hold it against plain versions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvane.llm import near_dedup
+from corvane.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
 from corvane.llm._shared import materialise
+from corvane.llm.queries import tokenizer_path
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text scores 0.7 or more go."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that over one in twenty documents of a source share go; n_chars follows the text. Documents stay, even empty ones."""
+    return line_dedup.drop_boilerplate(docs, "source", "text").withColumn("n_chars", F.length("text").cast("long"))
 
 
-def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id."""
     kept = near_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of the benchmark go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian 32-bit integers) and decoded_sha256, of the text that the ids give back."""
+    e = bpe.encode_and_decode(docs, tokenizer_path("byte_bpe_50k.json"))
+    return e.select("doc_id", "n_tokens", "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
 
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line dedup", line_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("BPE encoding and decoding", bpe_stage),
+]
 
-STAGES = [("minhash near-dedup", minhash_stage)]
 ORACLE_SQL = None
 
 

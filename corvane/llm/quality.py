@@ -2,9 +2,9 @@
 
 Each rule looks at one measure of a text and votes good (+1), bad (-1) or abstains (0). All texts with the same
 votes are alike to the model, so the votes of the whole corpus are one small table of patterns with counts (at most
-three to the power of the number of rules). Expectation-maximisation over that table estimates, for each rule, how
-often it votes bad on bad texts and good on good ones; a pattern's posterior probability of being good replaces the
-filter that wants every rule passed.
+three to the power of the number of rules). Expectation-maximisation over that table estimates how
+often each rule votes bad on good texts and on bad ones of each kind; a pattern's posterior probability of being good
+replaces the filter that wants every rule passed.
 """
 
 from __future__ import annotations
@@ -84,6 +84,7 @@ def rules() -> list[Rule]:
     words, share = F.greatest(c("n_words"), F.lit(1)), lambda x, y: c(x) / F.greatest(c(y), F.lit(1))
     long = c("n_words") >= 30
     mean = c("word_chars") / words
+    ends = share("n_ends", "n_words")
     return [
         Rule("length", c("n_words") < 10, c("n_words") >= 40),
         Rule("repeats", share("n_repeat_words", "n_words") > 0.2, share("n_repeat_words", "n_words") < 0.05),
@@ -91,39 +92,51 @@ def rules() -> list[Rule]:
         Rule("shouting", (c("n_letters") >= 20) & (share("n_upper", "n_letters") > 0.5), (c("n_letters") >= 20) & (share("n_upper", "n_letters") < 0.2)),
         Rule("marks", share("n_marks", "n_words") > 0.2, share("n_marks", "n_words") < 0.05),
         Rule("duplicate_lines", share("n_dup_lines", "n_lines") > 0.3, share("n_dup_lines", "n_lines") < 0.05),
-        Rule("word_length", (mean < 2.5) | (mean > 12), mean.between(3.5, 9)),
-        Rule("variety", long & (share("n_distinct", "n_words") < 0.15), (c("n_words") < 400) & (share("n_distinct", "n_words") > 0.4)),
-        Rule("sentences", long & (share("n_ends", "n_words") < 0.005), share("n_ends", "n_words").between(0.02, 0.5)),
+        Rule("word_length", (mean < 2) | (mean > 30), mean.between(3.5, 9)),
+        Rule("variety", long & (share("n_distinct", "n_words") < 0.05), (c("n_words") < 400) & (share("n_distinct", "n_words") > 0.4)),
+        Rule("sentences", (c("n_words") >= 100) & (ends < 0.002), ends.between(0.02, 0.5)),
     ]
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) -> dict:
-    """EM over vote patterns (rows) with their counts.
+def fit(patterns: np.ndarray, counts: np.ndarray, steps: int = 300, slip: float = 0.005) -> dict:
+    """EM over vote patterns (rows) with their counts, for one class of good texts and one of bad ones for each rule.
 
-    Of the votes that a rule casts, `found` is how often it says bad of bad texts and `spared` how often it says good
-    of good ones; abstaining says nothing. A weak prior keeps rules that hardly vote near where they start.
+    Junk is of many kinds that have little in common, so a single bad class would let eight rules that see nothing
+    outvote the one that does. accuracy[k, j]: of the votes that rule j casts on texts of class k (0 is good, k + 1 the
+    kind that rule k was written for), how often it says bad; abstaining says nothing. Rules are written to err on few
+    good texts: EM may find a rule's slips on good texts rarer than `slip`, not more frequent.
     """
-    bad, good = (patterns < 0).astype(float), (patterns > 0).astype(float)
-    found, spared, prior = np.full(patterns.shape[1], 0.4), np.full(patterns.shape[1], 0.98), 0.85
-    p = np.zeros(len(patterns))
+    bad, cast = (patterns < 0).astype(float), (patterns != 0).astype(float)
+    m = patterns.shape[1]
+    accuracy = np.vstack([np.full(m, slip), np.full((m, m), 0.1) + 0.8 * np.eye(m)])
+    share = np.array([0.85] + [0.15 / m] * m)
+    was = np.zeros((len(patterns), m + 1))
     for _ in range(steps):
-        p_was = p
-        p = posterior(patterns, {"found": found, "spared": spared, "prior": prior})
-        g, b = counts * p, counts * (1 - p)
-        found = np.clip((b @ bad + 2) / (b @ (bad + good) + 5), 0.02, 0.98)
-        spared = np.clip((g @ good + 98) / (g @ (bad + good) + 100), 0.9, 0.9995)
-        prior = float(np.clip((g.sum() + 1) / (counts.sum() + 2), 0.05, 0.95))
-        if np.abs(p - p_was).max(initial=0) < 1e-9:
+        p = _classes(patterns, {"accuracy": accuracy, "share": share})
+        n = (p * counts[:, None]).T
+        # pseudo-votes: a rule that hardly votes stays where it starts
+        accuracy = (n @ bad + np.vstack([np.full(m, 100 * slip), np.full((m, m), 0.2) + 1.6 * np.eye(m)])) / (n @ cast + np.vstack([np.full(m, 100.0), np.full((m, m), 2.0)]))
+        accuracy[0] = np.clip(accuracy[0], 1e-4, slip)
+        accuracy[1:] = np.clip(accuracy[1:], 1e-3, 0.999)
+        accuracy[np.arange(m) + 1, np.arange(m)] = np.clip(accuracy[np.arange(m) + 1, np.arange(m)], 0.7, 0.999)
+        share = (n.sum(axis=1) + np.array([1] + [1 / m] * m)) / (counts.sum() + 2)
+        if np.abs(p - was).max(initial=0) < 1e-9:
             break
-    return {"found": found, "spared": spared, "prior": prior}
+        was = p
+    return {"accuracy": accuracy, "share": share}
+
+
+def _classes(patterns: np.ndarray, model: dict) -> np.ndarray:
+    bad, good = (patterns < 0).astype(float), (patterns > 0).astype(float)
+    a = model["accuracy"]
+    z = np.log(model["share"]) + bad @ np.log(a).T + good @ np.log(1 - a).T
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
 
 
 def posterior(patterns: np.ndarray, model: dict) -> np.ndarray:
     """The probability of good, given a pattern of votes."""
-    bad, good = (patterns < 0).astype(float), (patterns > 0).astype(float)
-    f, s = model["found"], model["spared"]
-    z = np.log(model["prior"] / (1 - model["prior"])) + good @ np.log(s / (1 - f)) + bad @ np.log((1 - s) / f)
-    return 1 / (1 + np.exp(-z))
+    return _classes(patterns, model)[:, 0]
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.5) -> DataFrame:

@@ -13,7 +13,8 @@ from corvane.llm.decontaminate import contamination
 from corvane.llm.line_dedup import host_of, html_lines, mark_lines
 from corvane.llm.near_dedup import near_duplicates
 from corvane.llm.quality import quality
-from corvane.llm.secrets import find_secrets
+from corvane.llm.repeats import remove_repeats
+from corvane.llm.credentials import find_secrets
 from corvane.llm.token_counts import token_counts
 from corvane.llm.toxicity import toxicity
 from corvane.llm.warc import read_warc, resolve_revisits, write_warc
@@ -46,6 +47,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = remove_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return r.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = S.scratch_path(spark, "warc")
     write_warc(resolve_revisits(_table(spark, sf_dir, "pages")), path)
@@ -81,7 +88,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op2_minhash, op3_toxicity, op5_warc, op6_quality, op7_bpe, op8_token_counts, op9_decontaminate, op10_line_dedup)
+    f.__name__: f for f in (op1_secrets, op2_minhash, op3_toxicity, op4_repeats, op5_warc, op6_quality, op7_bpe, op8_token_counts, op9_decontaminate, op10_line_dedup)
 }
 
 _HTML_LINES = r"""

@@ -1,12 +1,13 @@
 """Repeated passages by merging Burrows-Wheeler transforms.
 
 A byte goes when a string of `length` bytes over it starts anywhere else too. Only a small part of a corpus can
-hold such strings, so first a fixed rule picks anchors: in every `length` bytes the k-gram with the least hash. Equal
-strings have equal anchors at equal places, hence a string whose anchor is unique is unique. What lies round
-a repeated anchor is a segment; equal segments are settled by their hashes. The rest - mostly the ends of
-passages, whose surroundings differ - goes by the bytes it has in common to shards. Of each shard a Burrows-Wheeler
-transform is built, transforms are merged by refining their interleaving one symbol a step, and the intervals of
-the merged order that still agree after `length` steps are the repeated strings. No suffix is sorted again.
+hold such strings, so first a fixed rule picks anchors: in every `length` bytes the gram with the least hash. Equal
+strings have equal anchors at equal places, hence a string whose anchor is unique is unique. The strings with one
+anchor cover a segment; equal segments are settled by their hashes. What is left - the ends of passages, whose
+surroundings differ - is gathered by anchor into shards. Its symbols are blocks of bytes, so that strings of
+`length` bytes are a few symbols long. Of each shard a Burrows-Wheeler transform is built; two are merged by refining
+their interleaving, one symbol a step, without sorting suffixes again. Intervals of the merged order whose common
+prefix reaches `length` bytes are the repeated strings.
 """
 
 from __future__ import annotations
@@ -26,18 +27,19 @@ from corvane.llm import _shared as S
 @dataclass(frozen=True)
 class Repeats:
     length: int = 200
-    #: Bytes of an anchor; a segment of length - gram + 1 strings can share one.
-    gram: int = 100
-    #: Strings of a segment that are compared together; they share length - part bytes or more.
-    part: int = 25
-    #: Bytes of a shard, and texts are hashed in runs of so many bytes.
-    shard: int = 250_000
-    run: int = 1 << 20
-    #: Parts of one group that are merged together; larger groups are dealt out and their strings settled by hash.
+    #: Bytes of an anchor; up to length - gram + 1 strings can share one.
+    gram: int = 64
+    #: Bytes of a symbol of the transforms; divides length.
+    block: int = 25
+    #: Rows of the transforms that are merged at a time; a single anchor's segments may be more.
+    rows: int = 60_000
+    #: String starts of a run; a text is taken in runs.
+    run: int = 1 << 19
+    #: Anchors with more different segments than this are dealt out string by string.
     group: int = 2048
 
 
-_TABLE = np.random.default_rng(977).integers(0, 2**64, 256, dtype=np.uint64)
+_TABLE = S.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -89,3 +91,237 @@ def anchors(data: np.ndarray, p: Repeats) -> tuple[np.ndarray, np.ndarray, np.nd
     last = np.concatenate([first[1:] - 1, [n - 1]])
     place = (least[first] & low).astype(np.int64)
     return place, first, last, h[place], span_hash(sums, first, last + p.length) ^ np.uint64(1)
+
+
+def text_anchors(data: np.ndarray, p: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, hash, seg) of all anchors of a text, in order."""
+    found = []
+    for at in range(0, len(data) - p.length + 1, p.run):
+        _, first, last, h, seg = anchors(data[at : at + p.run + p.length - 1], p)
+        found.append((first + at, last + at, h, seg))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+@dataclass
+class Transform:
+    """A Burrows-Wheeler transform of block sequences: the symbol before each row, and each row's place, in sorted order."""
+
+    before: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def of(cls, names: np.ndarray, after: np.ndarray, prior: np.ndarray, rows: np.ndarray, depth: int) -> Transform:
+        """Sorts rows by their first depth symbols: from the last symbol to the first, each a stable sort."""
+        keys, at = [], rows
+        for _ in range(depth):
+            keys.append(names[at])
+            at = after[at]
+        order = np.arange(len(rows))
+        for k in reversed(keys):
+            order = order[np.argsort(k[order], kind="stable")]
+        place = rows[order]
+        return cls(names[prior[place]], place)
+
+    def merge(self, other: Transform, depth: int) -> tuple[Transform, np.ndarray]:
+        """The transform of both collections, and for each of its rows the number of its interval: rows of one share depth symbols.
+
+        `second` says which side each row comes from. If it is right for orders by h symbols, a stable sort by the
+        symbols before the rows makes it right for h + 1; an interval splits where the new symbol or the old interval does.
+        """
+        n = len(self.place) + len(other.place)
+        second = np.zeros(n, bool)
+        second[len(self.place) :] = True
+        interval = np.zeros(n, np.int32)
+        symbols = np.empty(n, self.before.dtype)
+        for _ in range(depth):
+            symbols[~second], symbols[second] = self.before, other.before
+            order = np.argsort(symbols, kind="stable")
+            symbols, second, interval = symbols[order], second[order], interval[order]
+            split = np.zeros(n, np.int32)
+            split[1:] = (symbols[1:] != symbols[:-1]) | (interval[1:] != interval[:-1])
+            interval = np.cumsum(split, dtype=np.int32)
+        place = np.empty(n, self.place.dtype)
+        place[~second], place[second] = self.place, other.place
+        before = np.empty(n, self.before.dtype)
+        before[~second], before[second] = self.before, other.before
+        return Transform(before, place), interval
+
+
+def repeated(segments: list[bytes], p: Repeats) -> list[np.ndarray]:
+    """For each segment, whether each of its strings of p.length bytes starts anywhere else in the segments too."""
+    depth, sizes = p.length // p.block, np.array([len(x) for x in segments])
+    data = np.frombuffer(b"".join(segments), np.uint8)
+    grams = sizes - p.block + 1
+    rows = grams + p.block  # each of the interleaved block sequences of a segment ends with a row of its own
+    base, origin = np.cumsum(rows) - rows, np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(segments)), rows)
+    local = np.arange(len(owner)) - base[owner]
+    text = local < grams[owner]
+    names = np.zeros(len(owner), np.int64)
+    starts = (origin[owner] + local)[text]
+    _, inverse = np.unique(span_hash(prefix_sums(data), starts, starts + p.block), return_inverse=True)
+    names[text] = inverse + 1
+    names = names.astype(np.uint16 if names.max() < 65536 else np.int32)
+    at = np.arange(len(owner))
+    after = np.where(text, at + p.block, base[owner] + local % p.block)
+    prior = np.where(local >= p.block, at - p.block, 0)
+    ends = np.flatnonzero(~text)
+    prior[after[ends]] = ends
+    cut = base[(len(segments) + 1) // 2] if len(segments) > 1 else len(owner)
+    shards = [Transform.of(names, after, prior, x, depth) for x in (at[:cut], at[cut:])]
+    merged, interval = shards[0].merge(shards[1], depth)
+    twice = np.bincount(interval)[interval] > 1
+    found = np.zeros(len(owner), bool)
+    found[merged.place] = twice
+    return [found[b : b + n - p.length + 1] for b, n in zip(base.tolist(), sizes.tolist(), strict=True)]
+
+
+_ANCHOR = pa.schema([("row", pa.int64()), ("k", pa.int32()), ("hash", pa.int64()), ("seg", pa.int64())])
+_PIECE = pa.schema([("hash", pa.int64()), ("more", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("data", pa.binary())])
+_RUN = pa.schema([("row", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+_KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
+
+
+def _bytes(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+
+
+def _anchor_rows(p: Repeats):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, ks, hashes, segs = [], [], [], []
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                _, _, h, seg = text_anchors(_bytes(text), p)
+                rows.append(np.full(len(h), row, np.int64))
+                ks.append(np.arange(len(h), dtype=np.int32))
+                hashes.append(h)
+                segs.append(seg)
+            if rows:
+                yield S.batch(_ANCHOR.names, [np.concatenate(rows), np.concatenate(ks), np.concatenate(hashes).view(np.int64), np.concatenate(segs).view(np.int64)], _ANCHOR)
+
+    return run
+
+
+def _cut(p: Repeats):
+    """(text, [(k, large)], row) -> segments of anchors, or for large groups a row for each of their strings."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for text, chosen, row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                data = _bytes(text)
+                raw, (first, last, h, _) = data.tobytes(), text_anchors(data, p)
+                sums = None
+                for c in chosen:
+                    i, j = int(first[c["k"]]), int(last[c["k"]])
+                    if c["large"]:
+                        sums = prefix_sums(data) if sums is None else sums
+                        at = np.arange(i, j + 1)
+                        one = span_hash(sums, at, at + p.length)
+                        more = span_hash(sums, at, at + p.length // 2)
+                        out += [(x, y, row, s, None) for x, y, s in zip(one.view(np.int64).tolist(), more.view(np.int64).tolist(), at.tolist(), strict=True)]
+                    else:
+                        out.append((int(h[c["k"]].view(np.int64)), 0, row, i, raw[i : j + p.length]))
+                if len(out) > 20_000:
+                    yield S.batch(_PIECE.names, list(zip(*out, strict=True)), _PIECE)
+                    out = []
+            if out:
+                yield S.batch(_PIECE.names, list(zip(*out, strict=True)), _PIECE)
+
+    return run
+
+
+def _merge(p: Repeats):
+    """(hash, row, at, data) sorted by hash -> runs of repeated strings."""
+
+    def settle(rows, at, data):
+        out = []
+        for r, a, hit in zip(rows, at, repeated(data, p), strict=True):
+            edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+            out += [(r, a + i, a + j - 1) for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
+        return S.batch(_RUN.names, list(zip(*out, strict=True)) if out else [[], [], []], _RUN)
+
+    def run(batches):
+        rows, at, data, size = [], [], [], 0
+        for _, (r, a, d) in S.groups(batches, 1):
+            if len(r) < 2:
+                continue
+            more = sum(map(len, d))
+            if data and size + more > p.rows:
+                yield settle(rows, at, data)
+                rows, at, data, size = [], [], [], 0
+            rows, at, data, size = rows + r, at + a, data + d, size + more
+        if data:
+            yield settle(rows, at, data)
+
+    return run
+
+
+def _finish(p: Repeats):
+    """(doc_id, text, whole anchors, runs) -> what is removed and what stays."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for doc, text, whole, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                data = _bytes(text)
+                step = np.zeros(len(data) + 1, np.int64)
+                if whole:
+                    first, last, _, _ = text_anchors(data, p)
+                    np.add.at(step, first[whole], 1)
+                    np.add.at(step, last[whole] + p.length, -1)
+                for r in runs or []:
+                    step[r["first"]] += 1
+                    step[r["last"] + p.length] -= 1
+                gone = np.cumsum(step)[:-1] > 0
+                edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+                spans = [{"start": i, "end": j} for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
+                out.append((doc, len(data), spans, data[~gone].tobytes() if spans else data.tobytes()))
+            if out:
+                yield S.batch(_KEPT.names, list(zip(*out, strict=True)), _KEPT)
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Repeats = Repeats()) -> DataFrame:
+    """A row per row of docs: doc_id, n_bytes, spans (removed bytes, ends exclusive), kept (the remaining bytes).
+
+    Bytes are UTF-8 of the whole text; strings are judged on the input and never cross texts. A null or short text
+    holds no string. Rows with equal or null ids are texts of their own, so repeated rows remove each other. A segment
+    that many texts share moves as one row for each place; only different segments of an anchor meet in one task, and of
+    an anchor with over params.group of them the single strings are counted by hash instead.
+    """
+    p, spark = params, docs.sparkSession
+    S.prepare(spark, 200)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        rows = rows.select(F.col("doc_id").alias("row"), "doc_id", "text")
+    else:
+        rows = S.materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+
+    found = rows.select("row", "text").mapInArrow(_anchor_rows(p), "row long, k int, hash long, seg long")
+    each = found.groupBy("hash", "seg").agg(F.count("*").alias("n"))
+    some = each.groupBy("hash").agg(F.count("*").alias("segments"), F.sum("n").alias("total")).filter("total > 1").drop("total")
+    kinds = each.join(some, "hash").select("hash", "seg", (F.col("n") > 1).alias("whole"), "segments")
+    again = S.materialise(found.join(kinds, ["hash", "seg"]), "again")
+    S.release(spark)
+
+    open_ = again.filter("segments > 1").withColumn("large", F.col("segments") > p.group)
+    one = open_.filter("whole").groupBy("hash", "seg").agg(F.min(F.struct("row", "k", "large")).alias("x")).select("x.*")
+    chosen = open_.filter("not whole").select("row", "k", "large").unionByName(one).groupBy("row").agg(F.collect_list(F.struct("k", "large")).alias("chosen"))
+    pieces = S.materialise(rows.join(chosen.hint("merge"), "row").select("text", "chosen", "row").mapInArrow(_cut(p), "hash long, more long, row long, at long, data binary"), "pieces")
+    S.release(spark)
+    small = pieces.filter("data is not null").select("hash", "row", "at", "data")
+    runs = small.repartition("hash").sortWithinPartitions("hash").mapInArrow(_merge(p), "row long, first long, last long")
+    strings = pieces.filter("data is null")
+    twice = strings.groupBy("hash", "more").agg(F.count("*").alias("n")).filter("n > 1").select("hash", "more")
+    runs = runs.unionByName(strings.join(twice, ["hash", "more"]).select("row", F.col("at").alias("first"), F.col("at").alias("last")))
+
+    runs = runs.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    whole = again.filter("whole").groupBy("row").agg(F.collect_list("k").alias("whole"))
+    gone = S.materialise(whole.join(runs, "row", "full"), "gone")
+    S.release(spark)
+    out = rows.join(gone.hint("merge"), "row", "left").select("doc_id", "text", "whole", "runs")
+    return out.mapInArrow(_finish(p), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +27,21 @@ _CACHE = 500_000
 
 
 def parts(word: str) -> set[str]:
-    """What a lexicon entry may be: the word, its first and last four and five letters."""
+    """What a lexicon entry may be: the word, its first four to seven letters, its last four or five."""
     out = {f"={word}"}
-    for n in (4, 5):
-        if len(word) > n:
-            out |= {f"^{word[:n]}", f"{word[-n:]}$"}
+    out.update(f"^{word[:n]}" for n in range(4, min(8, len(word))))
+    out.update(f"{word[-n:]}$" for n in (4, 5) if len(word) > n)
     return out
 
 
+def implied(part: str, chosen: set[str]) -> bool:
+    """Whether a text with this part always has a chosen one too."""
+    word = part.strip("=^$")
+    if part[0] in "=^" and any(f"^{word[:n]}" in chosen for n in range(4, min(8, len(word) + 1))):
+        return True
+    return (part[0] == "=" or part[-1] == "$") and any(f"{word[-n:]}$" in chosen for n in (4, 5) if len(word) >= n)
+
+
 def word_set(text: str) -> set[str]:
     return {w.strip(_EDGES) for w in set(text.lower().split())} - {""}
 
@@ -58,16 +66,36 @@ def _part_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield S.batch(schema.names, list(zip(*rows[i : i + 50_000], strict=True)), schema)
 
 
+EXTRA = 2
+
+
+def inputs(entries: list[int], counts: list[int], patterns: list[float], words: int, strength: np.ndarray) -> np.ndarray:
+    """What the classifier sees: how often each entry occurs, the patterns, and the entries' evidence in all and by word."""
+    x = np.zeros(len(strength) + len(PATTERNS) + EXTRA)
+    n = np.array(counts, float)
+    x[entries] = np.log1p(n)
+    x[len(strength) : -EXTRA] = patterns
+    evidence = float(n @ strength[entries]) if len(entries) else 0.0
+    x[-2:] = np.log1p(evidence), min(3.0, 30 * evidence / max(1, words))
+    return x
+
+
 @dataclass
 class Model:
     lexicon: dict[str, int] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(PATTERNS)))
+    strength: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(PATTERNS) + EXTRA))
     bias: float = -3.0
     voters: list[dict] = field(default_factory=list)
 
     def reader(self) -> _Reader:
         return _Reader(self.lexicon)
 
+    def score(self, text: str, reader: _Reader) -> float:
+        found, patterns, words = reader.features(text)
+        z = self.bias + float(self.weights @ inputs(list(found), list(found.values()), patterns, words, self.strength))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
 
 class _Reader(dict):
     """raw word -> the lexicon entries in it, remembered."""
@@ -82,27 +110,27 @@ class _Reader(dict):
             self[raw] = found
         return found
 
-    def features(self, text: str) -> tuple[list[int], list[float]]:
-        """Entries that the text holds, and the values of the pattern voters (1 fires, 0 abstains)."""
+    def features(self, text: str) -> tuple[dict[int, int], list[float], int]:
+        """Entries that the text holds with their counts, the pattern voters (1 fires, 0 abstains), and the number of words."""
         if len(self) > _CACHE:
             self.clear()
         words = text.lower().split()
         hits = [f for f in map(self.__getitem__, words) if f]
-        entries = sorted({e for f in hits for e in f})
+        entries = Counter(e for f in hits for e in f)
         kinds = len({f for f in hits})
         capitals = sum(map(str.isupper, text[:1] and text.split()))
         swear = sum(text.count(x) for x in ("#$", "$%", "%&", "&!", "@#", "!@"))
-        return entries, [float(bool(hits)), float(kinds >= 2), float(len(hits) > 0.002 * len(words)), float(not hits), float(capitals > 0.5 * len(words)), float(swear >= 3)]
+        return entries, [float(bool(hits)), float(kinds >= 2), float(len(hits) > 0.002 * len(words)), float(not hits), float(capitals > 0.5 * len(words)), float(swear >= 3)], len(words)
 
 
 def _features(sent):
-    schema = pa.schema([("toxic", pa.int32()), ("entries", pa.list_(pa.int32())), ("patterns", pa.list_(pa.float64()))])
+    schema = pa.schema([("toxic", pa.int32()), ("entries", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("patterns", pa.list_(pa.float64())), ("words", pa.int64())])
 
     def run(batches):
         reader = _Reader(sent.value)
         for b in batches:
             rows = [reader.features(t or "") for t in b.column(0).to_pylist()]
-            yield S.batch(schema.names, [b.column(1), [e for e, _ in rows], [p for _, p in rows]], schema)
+            yield S.batch(schema.names, [b.column(1), [list(e) for e, _, _ in rows], [list(e.values()) for e, _, _ in rows], [p for _, p, _ in rows], [n for _, _, n in rows]], schema)
 
     return run
 
@@ -152,7 +180,7 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 60) ->
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = 2000, clean_rows: int = 4000, entries: int = 256) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = 3000, clean_rows: int = 6000, entries: int = 256) -> Model:
     """Fits a model to at most toxic_rows + clean_rows labelled rows that aren't held out, those with the smallest id hashes.
 
     That sample is bounded by these parameters and so is all that reaches the driver: a table of word parts counted on
@@ -174,22 +202,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counted = texts.mapInArrow(_part_counts, "part string, toxic long, clean long").groupBy("part").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     t, c = F.col("t") / sizes[1], F.col("c") / sizes[0]
     least = max(3, sizes[1] // 250)
-    top = counted.filter((F.col("t") >= least) & (t >= 9 * c)).orderBy(F.desc(F.col("t") * F.log((t + 0.001) / (c + 0.001))), "part").limit(20 * entries).collect()
+    top = counted.filter((F.col("t") >= least) & (t >= 4 * c)).orderBy(F.desc(F.col("t") * F.log((t + 0.001) / (c + 0.001))), "part").limit(20 * entries).collect()
     lexicon: dict[str, int] = {}
+    strength = []
     for r in top:
-        word = r["part"].strip("=^$")
-        if len(lexicon) < entries and not any(word in p or p in word for p in (x.strip("=^$") for x in lexicon if x[0] == r["part"][0] and x[-1] == r["part"][-1])):
+        if len(lexicon) < entries and not implied(r["part"], lexicon.keys()):
             lexicon[r["part"]] = len(lexicon)
-    rows = texts.mapInArrow(_features(spark.sparkContext.broadcast(lexicon)), "toxic int, entries array<int>, patterns array<double>").collect()  # as many as the sample's rows
-    x = np.zeros((len(rows), len(lexicon) + len(PATTERNS)))
+            strength.append(np.log((r["t"] + 0.1) / sizes[1]) - np.log((r["c"] + 0.1) / sizes[0]))
+    strength = np.array(strength)
+    rows = texts.mapInArrow(_features(spark.sparkContext.broadcast(lexicon)), "toxic int, entries array<int>, counts array<int>, patterns array<double>, words long").collect()  # as many as the sample's rows
+    votes, x = np.zeros((len(rows), len(lexicon) + len(PATTERNS))), []
     for i, r in enumerate(rows):
-        x[i, r["entries"]] = 1
-        x[i, len(lexicon) :] = r["patterns"]
-    y = np.array([r["toxic"] for r in rows])
-    soft, voters = label_model(x, y)
-    weights, bias = logistic(x, soft)
-    names = [*lexicon, *PATTERNS]
-    return Model(lexicon, weights, bias, [v | {"voter": n} for n, v in zip(names, voters, strict=True)])
+        votes[i, r["entries"]] = 1
+        votes[i, len(lexicon) :] = r["patterns"]
+        x.append(inputs(r["entries"], r["counts"], r["patterns"], r["words"], strength))
+    soft, voters = label_model(votes, np.array([r["toxic"] for r in rows]))
+    weights, bias = logistic(np.array(x), soft, l2=0.3)
+    return Model(lexicon, strength, weights, bias, [v | {"voter": n} for n, v in zip([*lexicon, *PATTERNS], voters, strict=True)])
 
 
 def _score(sent):
@@ -197,18 +226,28 @@ def _score(sent):
 
     def run(batches):
         model = sent.value
-        reader, weights, n = model.reader(), model.weights, len(model.lexicon)
+        reader = model.reader()
         for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                found, patterns = reader.features(text or "")
-                z = model.bias + weights[found].sum() + float(np.dot(weights[n:], patterns)) if text else model.bias
-                out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            out = [model.score(text or "", reader) for text in b.column(1).to_pylist()]
             yield S.batch(schema.names, [b.column(0), out], schema)
 
     return run
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **settings) -> DataFrame:
+    """docs without the rows that score threshold or more; their columns stay as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, **settings))
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        reader = None
+        for t in texts:
+            reader = reader or sent.value.reader()
+            yield pd.Series([sent.value.score(x or "", reader) for x in t], dtype=float)
+
+    return docs.filter(score(F.col(text_col).cast("string")) < threshold)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **settings) -> DataFrame:
     """A row per row of docs: doc_id, held_out, score (0 to 1, of the whole text alone), predicted (1 if score >= threshold).
 
