@@ -27,8 +27,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 #: Pre-tokens over this many characters are encoded each time anew, so a cache entry stays small.
 LONG = 64
-CACHE = 600_000
-PAIRS = 1_000_000
+#: Entries after which a worker's cache of pre-tokens becomes its old one, and of pairs starts anew: some 100 MB.
+CACHE = 200_000
+PAIRS = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -62,7 +63,7 @@ class Encoder(dict):
                         break
                     until, at = made[at][0], made[at][side]
                 spine[t] = edge
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.find, self.whole = ahocorasick.Automaton(), {}
         sound = {t for t in self.bytes_of if t not in made}
@@ -95,11 +96,11 @@ class Encoder(dict):
         return False
 
     def compatible(self, a: int, b: int) -> bool:
-        ok = self.pairs.get((a, b))
+        ok = self.pairs.get(a << 32 | b)
         if ok is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[a, b] = not self._crossed(a, b, len(self.joined))
+            ok = self.pairs[a << 32 | b] = not self._crossed(a, b, len(self.joined))
         return ok
 
     def pieces(self, data: bytes) -> list[int]:
