@@ -94,7 +94,8 @@ def frequent_words(docs: DataFrame, text_col: str, k: int, tracked: int) -> list
     if words.isEmpty():
         return []
     part = words.groupBy((F.col("p") % 64).alias("b")).agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("s"))
-    top = part.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s")).selectExpr(f"approx_top_k_estimate(s, {k}) AS top").first()
+    # at most 64 sketches; combining doesn't stand partitions without any
+    top = part.repartition(1).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s")).selectExpr(f"approx_top_k_estimate(s, {k}) AS top").first()
     return [x["item"] for x in (top["top"] or [])] if top and top["top"] is not None else []
 
 
