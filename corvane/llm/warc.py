@@ -8,6 +8,7 @@ archives. Reading parses records by Content-Length and checks every stored paylo
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -58,7 +59,7 @@ def _record_id(page_id: Column, url: Column) -> Column:
 
 
 def write_warc(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", per_file: int = 1000) -> None:
-    """Writes what resolve_revisits gives as archives of at most per_file records, one or more from each task."""
+    """Writes what resolve_revisits gives as gzipped archives of at most per_file records, one or more from each task."""
     line = lambda name, value: F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")))
     clean = lambda c: F.regexp_replace(c, r"[\x00-\x20\x7F]", "%20")
     text = lambda c: F.col(c).cast("string")
@@ -74,7 +75,7 @@ def write_warc(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     )
     # a record ends with two line ends, which is what the writer puts after each row
     records = resolved.withColumn("block", block).select(F.concat(head, F.lit(_END), F.col("block")).alias("value"))
-    records.write.option("lineSep", _END).option("maxRecordsPerFile", per_file).text(path)
+    records.write.option("lineSep", _END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -102,7 +103,7 @@ def _parse(payloads: bool):
         for b in batches:
             for data in b.column(0):
                 rows = []
-                for h, block in parse_records(data.as_py()):
+                for h, block in parse_records(gzip.decompress(data.as_py())):
                     http, _, body = block.partition(_END.encode())
                     size = int(http.rpartition(b": ")[2])
                     digest = h["warc-payload-digest"].removeprefix("sha1:")

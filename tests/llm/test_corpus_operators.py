@@ -1,6 +1,7 @@
 """Operators on pairs, groups and archives against plain versions of their contracts."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -189,7 +190,7 @@ def test_archives_round_trip(spark):
             assert x.payload is None if x.record_type == "revisit" else bytes(x.payload) == data
     assert [(x.record_type, x.refers_to) for x in by[3] + by[9] + by[None]] == [("revisit", 1)] * 3
     assert [(x.record_type, x.refers_to) for x in by[1] + by[4]] == [("response", None)] * 3 and by[5][0].refers_to == 4
-    first = next(warc.parse_records(b"".join(bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).limit(1).collect())))
+    first = next(warc.parse_records(b"".join(gzip.decompress(bytes(r.content)) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).limit(1).collect())))
     assert first[0]["warc-record-id"].startswith("<urn:uuid:")
     assert warc.resolve_revisits(df, min_payload=5).filter("record_type = 'revisit'").count() == 0
     empty = S.scratch_path(spark, "warc-empty")
