@@ -1,10 +1,508 @@
-"""The named queries and the SQL that gives the same rows."""
+"""The named queries and the SQL that gives the same rows.
+
+The reference relations have stand-ins in the synthetic tables: documents are files (id for path, source for folder),
+conversations are commits and lines (their role tells the kind), labels are outcomes, events are requests, pages are
+HTML files, line items are references, orders are imports and parts are definitions with a span of order keys.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from corvane.functions import lookups as L
+from corvane.functions import scalars as S
+from corvane.operators import attribution, copies, jury, metrics, service, usage, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files of one repository."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.lit("corpus").alias("repo"), F.col("doc_id").alias("rel"), "source", F.col("lang"), "text")
+
+
+def _lines(f: DataFrame) -> DataFrame:
+    """Lines of prose as significant lines: whitespace squeezed, blank ones left out."""
+    each = f.select("repo", "rel", F.posexplode(F.split("text", "\n", -1)).alias("i", "t")).select("repo", "rel", (F.col("i") + 1).alias("ln"), F.trim(F.regexp_replace("t", r"\s+", " ")).alias("text")).filter("text <> ''")
+    return each.withColumn("pos", F.row_number().over(W.partitionBy("repo", "rel").orderBy("ln")) - 1)
+
+
+_LINES_SQL = r"""
+raw AS (SELECT doc_id AS rel, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS ln FROM documents),
+sq AS (SELECT rel, ln, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM raw),
+lines AS (SELECT rel, ln, text, row_number() OVER (PARTITION BY rel ORDER BY ln) - 1 AS pos FROM sq WHERE text <> '')"""
+
+_WINDOWS_SQL = """
+w AS (SELECT rel, pos, list(text) OVER (PARTITION BY rel ORDER BY pos ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS t FROM lines),
+win AS (SELECT rel, pos, array_to_string(t, chr(10)) AS key FROM w WHERE len(t) = 6 AND list_sum(list_transform(t, lambda x: length(x))) >= 120)"""
+
+
+@query(f"""
+WITH {_LINES_SQL}, {_WINDOWS_SQL},
+f AS (SELECT key, min({{'rel': rel, 'pos': pos}}) AS o FROM win GROUP BY key HAVING count(*) > 1),
+c AS (SELECT win.rel, win.pos, o.rel AS of_rel, o.pos AS of_pos FROM win JOIN f USING (key) WHERE NOT (win.rel = o.rel AND win.pos - o.pos < 6)),
+g AS (SELECT *, CASE WHEN pos > lag(pos) OVER (PARTITION BY rel ORDER BY pos) + 6 OR lag(pos) OVER (PARTITION BY rel ORDER BY pos) IS NULL THEN 1 ELSE 0 END AS fresh FROM c),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY rel ORDER BY pos) AS run FROM g),
+b AS (SELECT rel, run, min(pos) AS a, max(pos) + 5 AS e, arg_min({{'r': of_rel, 'p': of_pos}}, pos) AS o FROM r GROUP BY rel, run)
+SELECT b.rel AS file, s.ln::INT AS line, x.ln::INT AS end_line, (x.ln - s.ln + 1)::INT AS lines, b.o.r AS of_file, q.ln::INT AS of_line
+FROM b JOIN lines s ON s.rel = b.rel AND s.pos = b.a JOIN lines x ON x.rel = b.rel AND x.pos = b.e JOIN lines q ON q.rel = b.o.r AND q.pos = b.o.p""")
+def copied_blocks(spark, sf_dir):
+    b = copies.copied_blocks(_lines(files(spark, sf_dir)))
+    return b.select(F.col("rel").alias("file"), F.col("line").cast("int"), F.col("end_line").cast("int"), F.col("lines").cast("int"), F.col("of_rel").alias("of_file"), F.col("of_line").cast("int"))
+
+
+@query(f"WITH {_LINES_SQL} SELECT rel AS file, pos::INT AS pos, ln::INT AS line, text FROM lines")
+def significant_lines(spark, sf_dir):
+    return _lines(files(spark, sf_dir)).select(F.col("rel").alias("file"), F.col("pos").cast("int"), F.col("ln").alias("line"), "text")
+
+
+@query("""
+WITH d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k FROM documents)
+SELECT doc_id AS file, min(doc_id) OVER (PARTITION BY k) AS of_file FROM d QUALIFY doc_id <> min(doc_id) OVER (PARTITION BY k)""")
+def duplicate_bodies(spark, sf_dir):
+    k = F.sha2(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), 256)
+    defs = files(spark, sf_dir).select("repo", "rel", F.lit("body").alias("name"), F.lit("function").alias("kind"), F.lit(1).alias("start"), F.lit(1).alias("end"), k.alias("body_hash"), F.lit(L.BODY_NODES).alias("nodes"))
+    return copies.duplicate_bodies(defs).select(F.col("rel").alias("file"), F.col("of_rel").alias("of_file"))
+
+
+@query("""
+SELECT lang, count(*) AS files, sum(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR text LIKE '%' || chr(10) THEN 0 ELSE 1 END)::BIGINT AS lines
+FROM documents GROUP BY lang""")
+def language_census(spark, sf_dir):
+    f = files(spark, sf_dir).withColumn("lines", S.line_count(F.col("text")))
+    return metrics.census(f).select("lang", "files", "lines")
+
+
+@query(r"SELECT doc_id AS file, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*')) AS word FROM documents) GROUP BY ALL")
+def word_counts(spark, sf_dir):
+    return words.word_counts(files(spark, sf_dir)).select(F.col("rel").alias("file"), "word", "n")
+
+
+@query(r"""
+SELECT word, count(*) AS n_files, sum(n)::BIGINT AS total FROM
+(SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*')) AS word FROM documents) GROUP BY ALL) GROUP BY word""")
+def inverted_index(spark, sf_dir):
+    return words.document_frequency(words.word_counts(files(spark, sf_dir))).select("word", "n_files", "total")
+
+
+@query(r"SELECT page_id AS file, word, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '[A-Za-z_][A-Za-z0-9_]*')) AS word FROM pages) GROUP BY ALL")
+def identifier_tokens_html(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select(F.lit("site").alias("repo"), F.col("page_id").alias("rel"), F.col("html").alias("text"))
+    return words.word_counts(p, S.IDENT).select(F.col("rel").alias("file"), "word", "n")
+
+
+@query(r"""
+SELECT page_id AS file, word, count(*) AS n FROM
+(SELECT page_id, regexp_replace(t, '^-+', '') AS word FROM (SELECT page_id, unnest(regexp_extract_all(html, '-?[A-Za-z_][A-Za-z0-9_-]*')) AS t FROM pages)) WHERE contains(word, '-') GROUP BY ALL""")
+def css_tokens_html(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select(F.lit("site").alias("repo"), F.col("page_id").alias("rel"), F.col("html").alias("text"))
+    return words.css_word_counts(p).select(F.col("rel").alias("file"), "word", "n")
+
+
+_LINE_COUNT = "(length({0}) - length(replace({0}, chr(10), '')) + CASE WHEN {0} = '' OR {0} LIKE '%' || chr(10) THEN 0 ELSE 1 END)"
+
+
+@query(f"""
+WITH f AS (SELECT 'doc' AS kind, doc_id AS file, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages)
+SELECT kind, file, regexp_matches(left(text, 600), '(?i)(code generated|do not edit|@generated|auto-?generated|autogenerated)')
+  OR ({_LINE_COUNT.format("text")} > 0 AND octet_length(encode(text)) / greatest({_LINE_COUNT.format("text")}, 1) > 400) AS generated FROM f""")
+def generated_or_minified(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("file"), "text")
+    p = table(spark, sf_dir, "pages").select(F.lit("page"), "page_id", "html")
+    return d.union(p).select("kind", "file", S.is_generated(F.lit("x.txt"), F.col("text")).alias("generated"))
+
+
+@query("SELECT doc_id AS file, left(sha256(text), 16) AS sha FROM documents")
+def content_fingerprint(spark, sf_dir):
+    return files(spark, sf_dir).select(F.col("rel").alias("file"), S.fingerprint(F.col("text")).alias("sha"))
+
+
+@query("""
+WITH n AS (SELECT doc_id, left(sha256(text), 16) AS sha FROM documents), b AS (SELECT doc_id, left(sha256(CASE WHEN source IN ('src1', 'src2') THEN text || '!' ELSE text END), 16) AS sha FROM documents WHERE source <> 'src3')
+SELECT n.doc_id AS file, n.sha FROM n LEFT JOIN b USING (doc_id) WHERE b.sha IS NULL OR b.sha <> n.sha""")
+def changed_files(spark, sf_dir):
+    """The snapshot before had other texts in two sources and lacked a third."""
+    f = files(spark, sf_dir)
+    now = f.select("repo", "rel", S.fingerprint(F.col("text")).alias("sha"))
+    old = F.when(F.col("source").isin("src1", "src2"), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    before = f.filter("source <> 'src3'").select("repo", "rel", S.fingerprint(old).alias("sha"))
+    return usage.changed_files(now, before).select(F.col("rel").alias("file"), "sha")
+
+
+@query("SELECT o_orderkey AS bound FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def unused_orders(spark, sf_dir):
+    one = lambda name, key, as_: table(spark, sf_dir, name).select(F.lit("r").alias("repo"), F.lit("f").alias("rel"), F.col(key).alias(as_))
+    used = one("lineitem", "l_orderkey", "name")
+    return usage.unused_imports(one("orders", "o_orderkey", "bound"), used, used.limit(0)).select("bound")
+
+
+@query("""
+WITH d AS (SELECT p_partkey AS name, p_partkey * 7 AS s, p_partkey * 7 + 1500 AS e FROM part)
+SELECT name FROM d WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_quantity >= 49 AND l_returnflag = 'A' AND l_partkey = name AND NOT l_orderkey BETWEEN s AND e)""")
+def unused_defs_outside_span(spark, sf_dir):
+    d = table(spark, sf_dir, "part").select(F.lit("r").alias("repo"), F.lit("f").alias("rel"), F.col("p_partkey").alias("name"), (F.col("p_partkey") * 7).alias("start"), (F.col("p_partkey") * 7 + 1500).alias("end"))
+    r = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49 and l_returnflag = 'A'").select(F.lit("r").alias("repo"), F.lit("f").alias("rel"), F.col("l_partkey").alias("name"), F.col("l_orderkey").alias("line"))
+    return usage.unused_definitions(d, r).select("name")
+
+
+@query("""
+WITH top AS (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS i FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE NOT l_orderkey BETWEEN l_partkey * 7 AND l_partkey * 7 + 1500))
+SELECT l_partkey AS name, string_agg('f:' || l_orderkey, ',' ORDER BY l_orderkey) AS evidence FROM top WHERE i <= 5 GROUP BY l_partkey""")
+def top5_evidence(spark, sf_dir):
+    d = table(spark, sf_dir, "part").select(F.lit("r").alias("repo"), F.lit("f").alias("rel"), F.col("p_partkey").alias("name"), (F.col("p_partkey") * 7).alias("start"), (F.col("p_partkey") * 7 + 1500).alias("end"))
+    r = table(spark, sf_dir, "lineitem").select(F.lit("r").alias("repo"), F.lit("f").alias("rel"), F.col("l_partkey").alias("name"), F.col("l_orderkey").alias("line"))
+    return usage.evidence(d, r).select("name", F.array_join("evidence", ",").alias("evidence"))
+
+
+@query("""
+WITH d AS (SELECT n_name AS dist, n_nationkey AS line FROM nation UNION ALL SELECT s_name, s_suppkey FROM supplier),
+imported AS (SELECT DISTINCT lower(n_name) AS m FROM nation WHERE n_nationkey % 3 = 0), refs AS (SELECT s_name AS name FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT dist, line::BIGINT AS line FROM d WHERE lower(replace(replace(dist, '_', '-'), '-', '_')) NOT IN (SELECT m FROM imported) AND dist NOT IN (SELECT name FROM refs) AND lower(replace(dist, '-', '_')) NOT IN (SELECT name FROM refs)""")
+def dependency_never_imported(spark, sf_dir):
+    n, s, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier"), F.lit("r").alias("repo")
+    deps = n.select(r, F.col("n_name").alias("dist"), F.lit("requirements.txt").alias("rel"), F.col("n_nationkey").cast("long").alias("line")).union(s.select(r, "s_name", F.lit("requirements.txt"), "s_suppkey"))
+    imported = n.filter("n_nationkey % 3 = 0").select(r, F.col("n_name").alias("root"))
+    refs = s.filter("s_suppkey % 2 = 0").select(r, F.col("s_name").alias("name"), F.lit("app.py").alias("rel"), F.lit(1).alias("line"))
+    return usage.unused_dependencies(deps, imported, refs).select("dist", "line")
+
+
+@query("""
+WITH u AS (SELECT DISTINCT replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/', '.') AS path FROM pages),
+s AS (SELECT path, string_split(path, '.') AS p FROM u), h AS (SELECT path, p, unnest(range(1, len(p))) AS k FROM s),
+m AS (SELECT DISTINCT array_to_string(p[1:k], '.') AS module FROM h WHERE k % 2 = 0)
+SELECT path, arg_max(array_to_string(p[1:k], '.'), k) AS module, arg_max(p[k + 1], k) AS name FROM h WHERE array_to_string(p[1:k], '.') IN (SELECT module FROM m) GROUP BY path""")
+def longest_prefix_match(spark, sf_dir):
+    """Addresses as dotted paths; every other level of them is a module."""
+    path = F.replace(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", ""), F.lit("/"), F.lit("."))
+    paths = table(spark, sf_dir, "pages").select(F.lit("r").alias("repo"), path.alias("path")).distinct()
+    heads = paths.withColumn("p", F.split("path", r"\.")).filter("size(p) > 1").select("repo", "p", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k")).filter("k % 2 = 0")
+    modules = heads.select("repo", F.array_join(F.slice("p", F.lit(1), F.col("k")), ".").alias("module"))
+    return usage.longest_prefix(paths, modules).select("path", "module", "name")
+
+
+@query("""
+WITH n AS (SELECT DISTINCT replace(p_name, ' ', '_') || '_' || p_brand AS name FROM part), p AS (SELECT DISTINCT replace(p_name, ' ', '_') || '_' AS prefix FROM part WHERE p_partkey % 5 = 0)
+SELECT name, arg_max(prefix, length(prefix)) AS prefix FROM n JOIN p ON starts_with(name, prefix) AND name <> prefix GROUP BY name""")
+def prefix_lookup(spark, sf_dir):
+    p, r = table(spark, sf_dir, "part"), F.lit("r").alias("repo")
+    base = F.replace("p_name", F.lit(" "), F.lit("_"))
+    names = p.select(r, F.concat(base, F.lit("_"), "p_brand").alias("name")).distinct()
+    prefixes = p.filter("p_partkey % 5 = 0").select(r, F.concat(base, F.lit("_")).alias("prefix"))
+    return usage.built_names(names, prefixes).select("name", "prefix")
+
+
+@query("""
+WITH f AS (SELECT string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/') AS p, length(html) AS n FROM pages),
+u AS (SELECT p, n, unnest(range(0, len(p))) AS depth FROM f)
+SELECT array_to_string(p[1:depth], '/') AS dir, depth::INT AS depth, round(sum((sqrt(n) + 2) * pow(1.08, len(p) - 1 - depth)), 4) AS weight FROM u GROUP BY ALL""")
+def ancestor_rollup(spark, sf_dir):
+    f = table(spark, sf_dir, "pages").select(F.lit("r").alias("repo"), F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("rel"), F.length("html").alias("lines"))
+    return metrics.directory_weights(f).select("dir", F.col("depth").cast("int"), F.round("weight", 4).alias("weight"))
+
+
+def _kind() -> Column:
+    return F.when(F.col("role") == "assistant", "ai").when(F.col("role") == "user", "human").otherwise("uncommitted")
+
+
+@query("""
+WITH l AS (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'ai' WHEN 'user' THEN 'human' ELSE 'uncommitted' END AS kind FROM conversations),
+f AS (SELECT conv_id, s::BIGINT AS line, (s + 2)::BIGINT AS end_line FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT unnest([0, 1, 3]) AS s)),
+c AS (SELECT f.conv_id, f.line, l.kind, count(*) AS n, min(turn) AS first FROM f JOIN l ON l.conv_id = f.conv_id AND l.turn BETWEEN f.line AND f.end_line GROUP BY ALL),
+m AS (SELECT conv_id, line, kind FROM c QUALIFY row_number() OVER (PARTITION BY conv_id, line ORDER BY n DESC, first) = 1)
+SELECT f.conv_id AS file, f.line, coalesce(kind, 'unknown') AS authored_by FROM f LEFT JOIN m USING (conv_id, line)""")
+def findings_with_authorship(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    r = F.lit("r").alias("repo")
+    lines = c.select(r, F.col("conv_id").alias("rel"), F.col("turn").alias("line"), _kind().alias("kind"))
+    start = F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 1, 3)))).alias("line")
+    f = c.select(r, F.col("conv_id").alias("file")).distinct().select("repo", "file", start).withColumns({"end_line": F.col("line") + 2, "name": F.lit("x")})
+    return attribution.findings_with_author(f, lines).select("file", "line", "authored_by")
+
+
+def _assistant_sql(text: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '(?i){p}') THEN '{n}'" for n, p in L.ASSISTANTS) + " END"
+
+
+@query(f"""
+WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 7 = 0 THEN text || chr(10) || 'Co-authored-by: Copilot <x@y>' WHEN turn % 7 = 1 THEN text || chr(10) || 'Assisted-by: somebody' WHEN turn % 7 = 2 THEN 'Generated with Cursor' || chr(10) || text ELSE text END AS message,
+           CASE WHEN turn % 7 = 3 THEN 'devin-ai-integration[bot] <d@x>' ELSE role || ' <r@x>' END AS author FROM conversations),
+t AS (SELECT *, list_transform(range(1, len(regexp_extract_all(message, '{L.TRAILER_LINE}')) + 1), lambda i: CASE
+        WHEN {_assistant_sql(f"regexp_extract_all(message, '{L.TRAILER_LINE}', 2)[i]")} IS NOT NULL THEN {_assistant_sql(f"regexp_extract_all(message, '{L.TRAILER_LINE}', 2)[i]")}
+        WHEN lower(regexp_extract_all(message, '{L.TRAILER_LINE}', 1)[i]) IN ('assisted-by', 'generated-by', 'ai-assisted-by', 'ai-agent') THEN 'Other assistant' END) AS a,
+      list_transform(regexp_extract_all(message, '{L.GENERATED_WITH}', 1), lambda g: {_assistant_sql("g")}) AS b FROM m),
+k AS (SELECT conv_id, turn, coalesce(list_filter(a, lambda x: x IS NOT NULL)[1], list_filter(b, lambda x: x IS NOT NULL)[1],
+      CASE WHEN regexp_matches(author, '{L.AGENT_IDENTITY}') THEN coalesce({_assistant_sql("author")}, 'Other assistant') END,
+      CASE WHEN regexp_matches(message, '{L.NO_REPLY}') THEN 'Claude' WHEN regexp_matches(message, '{L.AIDER_LINE}') THEN 'Aider' WHEN regexp_matches(message, '{L.GENERATED_WORD}') THEN 'Other assistant' END) AS tool FROM t)
+SELECT conv_id, turn, CASE WHEN tool IS NULL THEN 'human' ELSE 'ai' END AS kind, tool FROM k""")
+def commit_classifier(spark, sf_dir):
+    t, n = F.col("text"), F.col("turn") % 7
+    message = F.when(n == 0, F.concat(t, F.lit("\nCo-authored-by: Copilot <x@y>"))).when(n == 1, F.concat(t, F.lit("\nAssisted-by: somebody"))).when(n == 2, F.concat(F.lit("Generated with Cursor\n"), t)).otherwise(t)
+    author = F.when(n == 3, "devin-ai-integration[bot] <d@x>").otherwise(F.concat("role", F.lit(" <r@x>")))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", message.alias("message"), author.alias("author"), F.lit("").alias("committer"))
+    return attribution.classify(c).select("conv_id", "turn", "kind", "tool")
+
+
+_FINDINGS_SQL = """
+f AS (SELECT d.doc_id, d.source AS repo, CASE doc_id % 5 WHEN 0 THEN 'import' WHEN 1 THEN 'function' WHEN 2 THEN 'class' WHEN 3 THEN 'dependency' ELSE 'duplicate' END AS kind,
+  CASE WHEN doc_id % 5 = 4 THEN 'SIMPLIFY' WHEN doc_id % 3 = 0 THEN 'REMOVE' ELSE 'AMBIGUOUS' END AS verdict,
+  CASE WHEN doc_id % 5 = 4 THEN 'SIMPLIFY' WHEN doc_id % 3 = 0 THEN 'REMOVE' ELSE 'KEEP' END AS final,
+  CASE WHEN l.quality = 1 THEN 'passed' WHEN l.quality = 0 THEN 'failed: tests' ELSE 'not run' END AS proof, l.doc_id IS NOT NULL AS judged,
+  (n_chars % 17 + 1)::BIGINT AS lines, CASE WHEN lang = 'en' THEN 'ai' ELSE 'human' END AS authored_by FROM documents d LEFT JOIN labels l USING (doc_id))"""
+
+
+def _findings(spark, sf_dir) -> DataFrame:
+    """A finding for each document, by rules on its id; labels stand for proofs."""
+    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(True).alias("judged"))
+    n = F.col("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, ("import", "function", "class", "dependency", "duplicate"))), (n % 5 + 1).cast("int"))
+    verdict = F.when(n % 5 == 4, "SIMPLIFY").when(n % 3 == 0, "REMOVE").otherwise("AMBIGUOUS")
+    proof = F.when(F.col("quality") == 1, "passed").when(F.col("quality") == 0, "failed: tests").otherwise("not run")
+    return d.join(lab, "doc_id", "left").select(
+        F.col("source").alias("repo"), "doc_id", kind.alias("kind"), verdict.alias("verdict"), jury.default_final(verdict).alias("final"), proof.alias("proof"), F.coalesce("judged", F.lit(False)).alias("judged"),
+        (F.col("n_chars") % 17 + 1).alias("lines"), F.when(F.col("lang") == "en", "ai").otherwise("human").alias("authored_by"), F.concat("source", F.lit("/"), n.cast("string"), F.lit(".py")).alias("file"), (n % 50).cast("int").alias("line"), F.concat(F.lit("n"), n.cast("string")).alias("name"),
+    )
+
+
+@query(f"""
+WITH {_FINDINGS_SQL}, t AS (SELECT source AS repo, sum(n_chars)::BIGINT AS total_lines FROM documents GROUP BY source),
+a AS (SELECT repo, count(*) FILTER (dead) AS dead_units, coalesce(sum(lines) FILTER (dead), 0)::BIGINT AS dead_lines, count(*) FILTER (dead AND proof = 'passed') AS proved,
+  coalesce(sum(lines) FILTER (final = 'SIMPLIFY'), 0)::BIGINT AS duplicate_lines, count(*) FILTER (verdict = 'AMBIGUOUS' AND NOT judged AND final = 'KEEP') AS pending
+  FROM (SELECT *, final = 'REMOVE' AND kind IN ('import', 'function', 'class') AS dead FROM f) GROUP BY repo)
+SELECT repo, total_lines, dead_units, dead_lines, proved, duplicate_lines, pending, round(100.0::DOUBLE * (total_lines - dead_lines) / total_lines, 2) AS jlr_percent, round(1000.0::DOUBLE * dead_lines / total_lines, 2) AS per_1000
+FROM t JOIN a USING (repo)""")
+def payoff_metrics(spark, sf_dir):
+    totals = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("repo")).agg(F.sum("n_chars").alias("total_lines"))
+    return metrics.payoff(_findings(spark, sf_dir), totals)
+
+
+@query(f"""
+WITH {_FINDINGS_SQL}, k AS (SELECT source AS repo, coalesce(sum(n_chars) FILTER (lang = 'en'), 0)::BIGINT AS ai_lines, coalesce(sum(n_chars) FILTER (lang <> 'en'), 0)::BIGINT AS human_lines FROM documents GROUP BY source),
+a AS (SELECT repo, coalesce(sum(lines) FILTER (dead AND authored_by = 'ai'), 0) AS ad, coalesce(sum(lines) FILTER (dead AND authored_by = 'human'), 0) AS hd,
+ coalesce(sum(lines) FILTER (final = 'SIMPLIFY' AND authored_by = 'ai'), 0) AS ap, coalesce(sum(lines) FILTER (final = 'SIMPLIFY' AND authored_by = 'human'), 0) AS hp
+ FROM (SELECT *, final = 'REMOVE' AND kind IN ('import', 'function', 'class') AS dead FROM f) GROUP BY repo),
+r AS (SELECT repo, ai_lines, human_lines, round(1000.0::DOUBLE * ad / nullif(ai_lines, 0), 2) AS a1, round(1000.0::DOUBLE * hd / nullif(human_lines, 0), 2) AS h1, round(1000.0::DOUBLE * ap / nullif(ai_lines, 0), 2) AS a2, round(1000.0::DOUBLE * hp / nullif(human_lines, 0), 2) AS h2 FROM k JOIN a USING (repo))
+SELECT repo, ai_lines, human_lines, a1 AS ai_dead_per_1000, h1 AS human_dead_per_1000, a2 AS ai_dup_per_1000, h2 AS human_dup_per_1000, CASE WHEN ai_lines >= 500 AND human_lines >= 500 AND h1 <> 0 THEN round(a1 / h1, 2) END AS ratio FROM r""")
+def rates_by_author(spark, sf_dir):
+    kind = F.when(F.col("lang") == "en", "ai").otherwise("human")
+    lines = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("repo"), kind.alias("kind")).agg(F.sum("n_chars").alias("lines"))
+    return metrics.rates(_findings(spark, sf_dir), lines)
+
+
+@query("""
+WITH s AS (SELECT l_suppkey AS repo, l_orderkey AS sha, count(*) AS n FROM lineitem GROUP BY ALL), a AS (SELECT repo, count(*) AS commits, sum(n)::BIGINT AS lines, max(n) AS largest FROM s GROUP BY repo)
+SELECT repo, commits, lines, largest, round(100.0::DOUBLE * largest / lines, 1) AS share, commits <= 2 OR largest / lines >= 0.8 AS thin FROM a""")
+def history_shape(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    lines = li.select(F.col("l_suppkey").alias("repo"), F.concat(F.lit("k"), F.col("l_orderkey").cast("string")).alias("sha"))
+    commits = lines.distinct().withColumn("on_head", F.lit(True))
+    return attribution.history_shape(lines, commits)
+
+
+@query("""
+WITH c AS (SELECT user_id AS repo, event_id AS sha, epoch(ts)::BIGINT AS ct, CASE event_type WHEN 'error' THEN 'ai' ELSE 'human' END AS kind, floor(coalesce(value, 0))::BIGINT AS added FROM events),
+s AS (SELECT repo, min(ct) AS since FROM c WHERE kind = 'ai' GROUP BY repo),
+a AS (SELECT repo, kind, sum(added)::BIGINT AS added, count(*) AS n FROM c JOIN s USING (repo) WHERE ct >= since GROUP BY repo, kind)
+SELECT repo, kind, added, least(n, added)::BIGINT AS surviving, CASE WHEN added <> 0 THEN round(100.0::DOUBLE * (added - least(n, added)) / added, 1) END AS rewritten_percent FROM a""")
+def rework_since_first(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "error", "ai").otherwise("human")
+    c = e.select(F.col("user_id").alias("repo"), F.col("event_id").alias("sha"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ct"), kind.alias("kind"), F.lit(True).alias("on_head"), F.floor(F.coalesce("value", F.lit(0.0))).alias("added"))
+    lines = c.select("repo", F.lit("f.py").alias("rel"), "sha", "kind", "ct")
+    numstat = c.select("repo", "sha", F.lit("f.py").alias("rel"), "added")
+    return attribution.rework(c.drop("added"), numstat, lines)
+
+
+@query("""
+WITH f AS (SELECT o_orderkey AS rel, o_orderstatus AS lang, floor(o_totalprice)::BIGINT AS lines FROM orders),
+d AS (SELECT l_orderkey AS rel, coalesce(sum(l_linenumber) FILTER (l_returnflag = 'R'), 0)::BIGINT AS dead, coalesce(sum(l_linenumber) FILTER (l_returnflag = 'A'), 0)::BIGINT AS dup, count(*) FILTER (l_linestatus = 'O') AS ai, count(*) FILTER (l_linestatus = 'F') AS human FROM lineitem GROUP BY 1)
+SELECT rel, lang, lines, coalesce(dead, 0) AS dead, coalesce(dup, 0) AS dup, ai, human FROM f LEFT JOIN d USING (rel) ORDER BY lines DESC, rel LIMIT 3000""")
+def files_detail_topn(spark, sf_dir):
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    r = F.lit("r").alias("repo")
+    f = o.select(r, F.col("o_orderkey").alias("rel"), F.col("o_orderstatus").alias("lang"), F.floor("o_totalprice").alias("lines"))
+    final = F.when(F.col("l_returnflag") == "R", "REMOVE").when(F.col("l_returnflag") == "A", "SIMPLIFY").otherwise("KEEP")
+    findings = li.select(r, F.col("l_orderkey").alias("file"), F.lit("import").alias("kind"), final.alias("final"), F.col("l_linenumber").alias("lines"))
+    kinds = li.select(r, F.col("l_orderkey").alias("rel"), F.when(F.col("l_linestatus") == "O", "ai").otherwise("human").alias("kind"))
+    return metrics.files_detail(f, findings, kinds).select("rel", "lang", "lines", "dead", "dup", "ai", "human")
+
+
+_VOTES_SQL = """
+v AS (SELECT doc_id AS finding, 'm' || j AS model, CASE doc_id % 5 WHEN 3 THEN 'dependency' ELSE 'function' END AS kind, CASE WHEN (doc_id * 7 + j * 3) % 4 = 0 THEN 'keep' ELSE 'remove' END AS verdict,
+  ((doc_id + j * 5) % 10) / 10.0::DOUBLE + 0.3 AS confidence, (doc_id + j) % 6 = 0 AS has_evidence, CASE WHEN (doc_id + j) % 11 = 0 THEN 'off-format' END AS error, n_chars % 3 = 0 AS refuted FROM documents, (SELECT unnest(range(0, 4)) AS j))"""
+
+
+def _votes(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
+    n, j = F.col("doc_id"), F.col("j")
+    return d.select(
+        n.alias("finding"), F.concat(F.lit("m"), j.cast("string")).alias("model"), F.when(n % 5 == 3, "dependency").otherwise("function").alias("kind"), F.when((n * 7 + j * 3) % 4 == 0, "keep").otherwise("remove").alias("verdict"),
+        (((n + j * 5) % 10) / 10.0 + 0.3).alias("confidence"), ((n + j) % 6 == 0).alias("has_evidence"), F.when((n + j) % 11 == 0, "off-format").alias("error"), (F.col("n_chars") % 3 == 0).alias("refuted"),
+    )
+
+
+@query(f"""
+WITH {_VOTES_SQL}, t AS (SELECT doc_id AS finding, CASE quality WHEN 1 THEN 'remove' ELSE 'keep' END AS truth FROM labels),
+s AS (SELECT model, truth, CASE WHEN verdict = 'remove' AND confidence >= 0.7 THEN 'remove' ELSE 'keep' END AS said FROM v JOIN t USING (finding) WHERE error IS NULL)
+SELECT model, count(*) FILTER (said = truth) AS right, count(*) FILTER (said <> truth) AS wrong FROM s GROUP BY model""".replace(" AS right", ' AS "right"'))
+def scoreboard(spark, sf_dir):
+    proofs = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("finding"), F.when(F.col("quality") == 1, "passed").otherwise("failed: tests").alias("proof"))
+    return jury.scoreboard(_votes(spark, sf_dir), proofs)
+
+
+@query(f"""
+WITH {_VOTES_SQL}, g AS (SELECT finding, max(kind) AS kind, count(*) FILTER (error IS NULL) AS answered, count(*) FILTER (error IS NULL AND verdict = 'remove' AND confidence >= 0.7) AS removes,
+  count(*) FILTER (error IS NULL AND verdict <> 'remove' AND has_evidence) AS vetoes, bool_or(refuted) AS refuted FROM v GROUP BY finding)
+SELECT finding, answered, removes, vetoes, greatest(2, answered - 1)::BIGINT AS need, CASE WHEN kind = 'dependency' OR answered < 2 OR vetoes > 0 OR removes < greatest(2, answered - 1) OR refuted THEN 'KEEP' ELSE 'REMOVE' END AS decision FROM g""")
+def jury_decision(spark, sf_dir):
+    return jury.jury_decision(_votes(spark, sf_dir))
+
+
+@query(f"""
+WITH {_FINDINGS_SQL}, b AS (SELECT DISTINCT repo, kind, doc_id FROM f WHERE verdict IN ('REMOVE', 'SIMPLIFY') AND doc_id % 7 <> 0), a AS (SELECT DISTINCT repo, kind, doc_id FROM f WHERE verdict IN ('REMOVE', 'SIMPLIFY') AND doc_id % 11 <> 0)
+SELECT repo, kind, 'n' || doc_id AS name, 'new' AS change FROM a WHERE (repo, kind, doc_id) NOT IN (SELECT (repo, kind, doc_id) FROM b) UNION ALL SELECT repo, kind, 'n' || doc_id, 'gone' FROM b WHERE (repo, kind, doc_id) NOT IN (SELECT (repo, kind, doc_id) FROM a)""")
+def run_diff(spark, sf_dir):
+    f = _findings(spark, sf_dir)
+    return usage.run_diff(f.filter("doc_id % 7 <> 0"), f.filter("doc_id % 11 <> 0")).select("repo", "kind", "name", "change")
+
+
+@query("""
+WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events)
+SELECT user_id, count(*) AS n, max(value) FILTER (i = 1) AS latest, max(value) FILTER (i = 2) AS previous, count(*) FILTER (i <= 20) AS shown FROM r GROUP BY user_id""")
+def latest_prev_series(spark, sf_dir):
+    return service.series(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value").select("user_id", "n", "latest", "previous", F.size("recent").cast("long").alias("shown"))
+
+
+@query("""
+SELECT event_id, user_id, value, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 2) AS value_change FROM events WHERE value IS NOT NULL""")
+def audit_deltas(spark, sf_dir):
+    return service.deltas(table(spark, sf_dir, "events").filter("value is not null"), ["user_id"], ["ts", "event_id"], ["value"]).select("event_id", "user_id", "value", "value_change")
+
+
+@query("""
+WITH d AS (SELECT (DATE '2024-02-05' - i::INT) AS day FROM range(0, 30) t(i))
+SELECT day::DATE AS day, count(event_id) AS audits FROM d LEFT JOIN events ON ts::DATE = day GROUP BY day""")
+def activity_30d(spark, sf_dir):
+    return service.activity(table(spark, sf_dir, "events"), "2024-02-05")
+
+
+@query("""
+SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id)::INT AS number, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) <= 3 AS allowed FROM events""")
+def daily_quota(spark, sf_dir):
+    return service.daily_quota(table(spark, sf_dir, "events"), limit=L.QUOTA["anonymous"]).select("event_id", "user_id", "number", "allowed")
+
+
+@query("""
+WITH m AS (SELECT event_id, user_id, ts AS t, 1 AS d FROM events UNION ALL SELECT event_id, user_id, ts + INTERVAL 6 HOUR, -1 FROM events),
+s AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY user_id ORDER BY t, d, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS running FROM m)
+SELECT event_id, user_id, running::BIGINT AS running, running < 3 AS allowed FROM s WHERE d = 1""")
+def concurrent_cap(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("until", F.col("ts") + F.expr("INTERVAL 6 HOURS"))
+    return service.concurrent(e, "user_id", "ts", "until", "event_id").select("event_id", "user_id", "running", "allowed")
+
+
+@query("""
+WITH s AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 200), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM s)
+SELECT event_id, user_id, event_type FROM r WHERE i = 1 ORDER BY ts DESC, event_id DESC LIMIT 12""")
+def recent_distinct(spark, sf_dir):
+    return service.recent_distinct(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("event_id", "user_id", "event_type")
+
+
+@query("SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS position FROM events WHERE event_type = 'view'")
+def queue_position(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("status", F.when(F.col("event_type") == "view", "queued").otherwise("done"))
+    return service.queue_position(e, "status", "ts", "event_id", ["user_id"]).select("event_id", "user_id", "position")
+
+
+@query("""
+WITH a AS (SELECT event_id, user_id AS repo, ts, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'done' END AS status, round(value, 2) AS jlr, (event_id % 900)::BIGINT AS lines, (event_id % 40)::BIGINT AS dead, (event_id % 30)::BIGINT AS dup, (event_id % 500)::BIGINT AS ai, (event_id % 700)::BIGINT AS human FROM events),
+l AS (SELECT * FROM a WHERE status = 'done' QUALIFY row_number() OVER (PARTITION BY repo ORDER BY ts DESC, event_id DESC) = 1)
+SELECT (SELECT count(*) FROM a) AS audits, (SELECT count(*) FROM a WHERE status = 'done') AS finished, count(*) AS repositories, sum(lines)::BIGINT AS lines, sum(dead)::BIGINT AS dead_lines, sum(dup)::BIGINT AS dup_lines, round(avg(jlr), 2) AS mean_jlr, round(100.0::DOUBLE * sum(ai) / (sum(ai) + sum(human)), 1) AS ai_share FROM l""")
+def user_stats(spark, sf_dir):
+    i = F.col("event_id")
+    a = table(spark, sf_dir, "events").select(
+        i.alias("id"), F.col("user_id").alias("repo"), F.col("ts").alias("at"), F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("status"), F.round("value", 2).alias("jlr"),
+        (i % 900).alias("lines"), (i % 40).alias("dead_lines"), (i % 30).alias("dup_lines"), (i % 500).alias("ai_lines"), (i % 700).alias("human_lines"),
+    )
+    return service.statistics(a)
+
+
+@query("SELECT event_id, user_id, c_name FROM events JOIN customer ON user_id = c_custkey ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 20")
+def history_page(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    return service.page(table(spark, sf_dir, "events").join(c, "user_id"), [F.desc("ts"), F.desc("event_id")], 50, 20).select("event_id", "user_id", "c_name")
+
+
+@query(f"""
+WITH {_FINDINGS_SQL} SELECT repo || '/' || doc_id || '.py' AS file, (doc_id % 50)::INT AS line, 'n' || doc_id AS name, verdict FROM f
+ORDER BY CASE verdict WHEN 'REMOVE' THEN 0 WHEN 'SIMPLIFY' THEN 1 WHEN 'AMBIGUOUS' THEN 2 ELSE 3 END, repo || '/' || doc_id || '.py', doc_id % 50, 'n' || doc_id LIMIT 60""")
+def verdict_order_topk(spark, sf_dir):
+    return metrics.ordered(_findings(spark, sf_dir)).select("file", "line", "name", "verdict")
+
+
+@query(f"""
+WITH {_FINDINGS_SQL}, a AS (SELECT repo, (doc_id % 40)::INT AS file, (doc_id % 50)::INT AS line, kind, 'n' || doc_id AS name, verdict FROM f WHERE verdict IN ('REMOVE', 'SIMPLIFY')),
+n AS (SELECT repo, file, count(*) AS n FROM a GROUP BY ALL), t AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY repo ORDER BY n DESC, file) <= 25),
+e AS (SELECT a.*, t.n, row_number() OVER (PARTITION BY a.repo, a.file ORDER BY line, name) AS i FROM a JOIN t USING (repo, file))
+SELECT repo, file, n, string_agg(line || ' ' || verdict || ' ' || kind || ' ' || name, ', ' ORDER BY i) AS changes FROM e WHERE i <= 12 GROUP BY repo, file, n""")
+def fix_plan(spark, sf_dir):
+    f = _findings(spark, sf_dir).withColumn("file", (F.col("doc_id") % 40).cast("int"))
+    return metrics.fix_plan(f).withColumn("changes", F.array_join("changes", ", "))
+
+
+@query("""
+WITH w AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS t FROM benchmark), g AS (SELECT DISTINCT array_to_string(t[i:i + 5], ' ') AS key FROM (SELECT t, unnest(range(1, len(t) - 4)) AS i FROM w)),
+d AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS t FROM documents), k AS (SELECT doc_id, array_to_string(t[i:i + 5], ' ') AS key FROM (SELECT doc_id, t, unnest(range(1, len(t) - 4)) AS i FROM d))
+SELECT doc_id, count(*) AS n FROM k JOIN g USING (key) GROUP BY doc_id""")
+def benchmark_contamination(spark, sf_dir):
+    """Copies across two corpora: windows of six words that the second corpus holds too."""
+
+    def keys(df, *own):
+        t = F.filter(F.split(F.regexp_replace(F.lower("text"), r"\s+", " "), " "), lambda x: x != "")
+        w = df.select(*own, t.alias("t")).filter("size(t) >= 6")
+        return w.select(*own, F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 5), lambda i: F.array_join(F.slice("t", i, F.lit(6)), " "))).alias("key"))
+
+    known = keys(table(spark, sf_dir, "benchmark")).distinct()
+    return keys(table(spark, sf_dir, "documents"), "doc_id").join(known, "key").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT outcome, count(*) AS n FROM (SELECT CASE quality WHEN 1 THEN 'passed' ELSE 'failed' END AS outcome FROM labels) GROUP BY outcome")
+def proof_outcomes(spark, sf_dir):
+    p = table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, "passed").otherwise("failed: tests").alias("proof"))
+    return jury.proof_outcomes(p)
+
+
+@query("""
+WITH s AS (SELECT l_suppkey AS rel, l_orderkey AS s, l_orderkey + l_quantity::BIGINT AS e FROM lineitem),
+o AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY rel ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM s),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY rel ORDER BY s, e DESC ROWS UNBOUNDED PRECEDING) AS run FROM o)
+SELECT rel, min(s) AS "start", max(e) AS "end" FROM r GROUP BY rel, run""")
+def merged_spans(spark, sf_dir):
+    s = table(spark, sf_dir, "lineitem").select(F.lit("r").alias("repo"), F.col("l_suppkey").alias("rel"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_quantity").cast("long")).alias("end"))
+    return jury.outermost_spans(s).select("rel", "start", "end")
+
+
+@query()
+def seal_roundtrip(spark, sf_dir):
+    key, nonce, owner = F.unhex(F.lit("00" * 32)), F.unhex(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 24)), F.col("doc_id").cast("string")
+    d = table(spark, sf_dir, "documents").withColumn("sealed", S.seal(F.col("text"), key, nonce, owner))
+    return d.select("doc_id", F.octet_length("sealed").cast("long").alias("n_bytes"), (S.unseal(F.col("sealed"), key, owner) == F.col("text")).alias("same"))
