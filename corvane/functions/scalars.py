@@ -11,7 +11,7 @@ from corvane.functions import lookups as L
 
 IDENT = r"[A-Za-z_][A-Za-z0-9_]*"
 IDENT_WEB = r"[A-Za-z_$][A-Za-z0-9_$]*"
-CSS_TOKEN = r"-?[A-Za-z_][A-Za-z0-9_-]*"
+CSS_TOKEN = r"-?-?[A-Za-z_][A-Za-z0-9_-]*"
 DOTTED = r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*:[A-Za-z_]\w*|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+"
 DOCTEST = r"(?m)^\s*(?:>>>|\.\.\.)\s?(.*)$"
 STRING_LITERAL = r"""(["'`])((?:\\.|(?!\1).)*)\1"""
@@ -28,9 +28,9 @@ def identifiers(text: Column) -> Column:
 
 
 def css_tokens(text: Column) -> Column:
-    """Names with a hyphen inside; a leading hyphen is no part of the name."""
-    names = F.transform(all_matches(text, CSS_TOKEN), lambda t: F.regexp_replace(t, "^-+", ""))
-    return F.filter(names, lambda t: F.contains(t, F.lit("-")))
+    """Names written with a hyphen anywhere; leading hyphens are no part of the name."""
+    names = F.filter(all_matches(text, CSS_TOKEN), lambda t: F.contains(t, F.lit("-")))
+    return F.transform(names, lambda t: F.regexp_replace(t, "^-+", ""))
 
 
 def squeeze(text: Column) -> Column:

@@ -21,7 +21,8 @@ def census(files: DataFrame, full: list[str] | None = None) -> DataFrame:
     return rows.withColumn("audit", level).orderBy("repo", F.desc("lines"), "lang")
 
 
-_dead = (F.col("final") == "REMOVE") & F.col("kind").isin(_CODE)
+def _dead():
+    return (F.col("final") == "REMOVE") & F.col("kind").isin(_CODE)
 
 
 def _sum(when):
@@ -34,7 +35,7 @@ def payoff(findings: DataFrame, totals: DataFrame) -> DataFrame:
     findings: repo, kind, verdict, final, proof, judged, lines; totals: repo, total_lines.
     """
     f = findings.groupBy("repo").agg(
-        F.count_if(_dead).alias("dead_units"), _sum(_dead).alias("dead_lines"), F.count_if(_dead & (F.col("proof") == "passed")).alias("proved"),
+        F.count_if(_dead()).alias("dead_units"), _sum(_dead()).alias("dead_lines"), F.count_if(_dead() & (F.col("proof") == "passed")).alias("proved"),
         _sum(F.col("final") == "SIMPLIFY").alias("duplicate_lines"), F.count_if((F.col("verdict") == "AMBIGUOUS") & ~F.col("judged") & (F.col("final") == "KEEP")).alias("pending"),
     )
     out = totals.join(f, "repo", "left").na.fill(0, ["dead_units", "dead_lines", "proved", "duplicate_lines", "pending"])
@@ -51,7 +52,7 @@ def rates(findings: DataFrame, lines: DataFrame, sample: int = L.SAMPLE_LINES) -
     kind = lines.groupBy("repo").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("lines"))), F.lit(0)).alias(f"{k}_lines") for k in ("ai", "human")))
     dup = (F.col("final") == "SIMPLIFY") & F.col("file").rlike(r"\.pyi?$")
     by = lambda k: F.col("authored_by") == k
-    f = findings.groupBy("repo").agg(*(_sum(what & by(k)).alias(f"{k}_{name}") for name, what in (("dead", _dead), ("dup", dup)) for k in ("ai", "human")))
+    f = findings.groupBy("repo").agg(*(_sum(what & by(k)).alias(f"{k}_{name}") for name, what in (("dead", _dead()), ("dup", dup)) for k in ("ai", "human")))
     out = kind.join(f, "repo", "left").na.fill(0)
     rate = {(k, n): S.per_1000(F.col(f"{k}_{n}"), F.col(f"{k}_lines")) for k in ("ai", "human") for n in ("dead", "dup")}
     enough = (F.col("ai_lines") >= sample) & (F.col("human_lines") >= sample)
@@ -61,7 +62,7 @@ def rates(findings: DataFrame, lines: DataFrame, sample: int = L.SAMPLE_LINES) -
 
 def files_detail(files: DataFrame, findings: DataFrame, line_kinds: DataFrame, limit: int = L.DETAIL_FILES) -> DataFrame:
     """repo, rel, lang, lines, dead, dup, ai, human: the largest files with what is dead, copied and by whom; null authors where nothing was blamed."""
-    f = findings.groupBy("repo", F.col("file").alias("rel")).agg(_sum(_dead).alias("dead"), _sum(F.col("final") == "SIMPLIFY").alias("dup"))
+    f = findings.groupBy("repo", F.col("file").alias("rel")).agg(_sum(_dead()).alias("dead"), _sum(F.col("final") == "SIMPLIFY").alias("dup"))
     k = line_kinds.groupBy("repo", "rel").agg(F.count_if(F.col("kind") == "ai").alias("ai"), F.count_if(F.col("kind") == "human").alias("human"))
     out = files.join(f, ["repo", "rel"], "left").join(k, ["repo", "rel"], "left").na.fill(0, ["dead", "dup"])
     return out.select("repo", "rel", "lang", "lines", "dead", "dup", "ai", "human").orderBy(F.desc("lines"), "repo", "rel").limit(limit)

@@ -113,7 +113,7 @@ def identifier_tokens_html(spark, sf_dir):
 
 @query(r"""
 SELECT page_id AS file, word, count(*) AS n FROM
-(SELECT page_id, regexp_replace(t, '^-+', '') AS word FROM (SELECT page_id, unnest(regexp_extract_all(html, '-?[A-Za-z_][A-Za-z0-9_-]*')) AS t FROM pages)) WHERE contains(word, '-') GROUP BY ALL""")
+(SELECT page_id, regexp_replace(t, '^-+', '') AS word FROM (SELECT page_id, unnest(regexp_extract_all(html, '-?-?[A-Za-z_][A-Za-z0-9_-]*')) AS t FROM pages) WHERE contains(t, '-')) GROUP BY ALL""")
 def css_tokens_html(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(F.lit("site").alias("repo"), F.col("page_id").alias("rel"), F.col("html").alias("text"))
     return words.css_word_counts(p).select(F.col("rel").alias("file"), "word", "n")
@@ -335,7 +335,7 @@ def rework_since_first(spark, sf_dir):
 @query("""
 WITH f AS (SELECT o_orderkey AS rel, o_orderstatus AS lang, floor(o_totalprice)::BIGINT AS lines FROM orders),
 d AS (SELECT l_orderkey AS rel, coalesce(sum(l_linenumber) FILTER (l_returnflag = 'R'), 0)::BIGINT AS dead, coalesce(sum(l_linenumber) FILTER (l_returnflag = 'A'), 0)::BIGINT AS dup, count(*) FILTER (l_linestatus = 'O') AS ai, count(*) FILTER (l_linestatus = 'F') AS human FROM lineitem GROUP BY 1)
-SELECT rel, lang, lines, coalesce(dead, 0) AS dead, coalesce(dup, 0) AS dup, ai, human FROM f LEFT JOIN d USING (rel) ORDER BY lines DESC, rel LIMIT 3000""")
+SELECT rel, lang, lines, coalesce(dead, 0) AS dead, coalesce(dup, 0) AS dup, coalesce(ai, -1) AS ai, coalesce(human, -1) AS human FROM f LEFT JOIN d USING (rel) ORDER BY lines DESC, rel LIMIT 3000""")
 def files_detail_topn(spark, sf_dir):
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     r = F.lit("r").alias("repo")
@@ -343,7 +343,7 @@ def files_detail_topn(spark, sf_dir):
     final = F.when(F.col("l_returnflag") == "R", "REMOVE").when(F.col("l_returnflag") == "A", "SIMPLIFY").otherwise("KEEP")
     findings = li.select(r, F.col("l_orderkey").alias("file"), F.lit("import").alias("kind"), final.alias("final"), F.col("l_linenumber").alias("lines"))
     kinds = li.select(r, F.col("l_orderkey").alias("rel"), F.when(F.col("l_linestatus") == "O", "ai").otherwise("human").alias("kind"))
-    return metrics.files_detail(f, findings, kinds).select("rel", "lang", "lines", "dead", "dup", "ai", "human")
+    return metrics.files_detail(f, findings, kinds).select("rel", "lang", "lines", "dead", "dup", "ai", "human").na.fill(-1, ["ai", "human"])
 
 
 _VOTES_SQL = """
@@ -506,3 +506,89 @@ def seal_roundtrip(spark, sf_dir):
     key, nonce, owner = F.unhex(F.lit("00" * 32)), F.unhex(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 24)), F.col("doc_id").cast("string")
     d = table(spark, sf_dir, "documents").withColumn("sealed", S.seal(F.col("text"), key, nonce, owner))
     return d.select("doc_id", F.octet_length("sealed").cast("long").alias("n_bytes"), (S.unseal(F.col("sealed"), key, owner) == F.col("text")).alias("same"))
+
+
+@query()
+def token_bucket(spark, sf_dir):
+    """Sequential state by user: SQL can't express the refill; tests hold it against a plain loop."""
+    from corvane.streaming.limits import token_bucket as bucket
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    return bucket(e, 2).select(F.col("key").cast("long").alias("user_id"), F.col("id").alias("event_id"), "allowed", "wait")
+
+
+@query("SELECT user_id, day, count(*) AS n FROM (SELECT user_id, ts::DATE AS day FROM events) GROUP BY user_id, day HAVING day >= (SELECT max(ts::DATE) - 10 FROM events)")
+def usage_by_day(spark, sf_dir):
+    return service.usage_by_day(table(spark, sf_dir, "events"), keep_days=10)
+
+
+@query(r"""
+SELECT page_id, url, lower(regexp_extract(url, '[^/.]\.([^./?#]+)$', 1)) AS suffix, regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(.*)/', 1) AS dir,
+  regexp_matches(url, '^http://') AS plain, list_last(string_split(regexp_replace(url, '[?#].*$', ''), '/')) AS base FROM pages""")
+def path_functions(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    bare = F.regexp_replace("url", "[?#].*$", "")
+    return p.select("page_id", "url", F.lower(F.regexp_extract("url", r"[^/.]\.([^./?#]+)$", 1)).alias("suffix"), S.folder(bare).alias("dir"), F.startswith("url", F.lit("http://")).alias("plain"), S.base_name(bare).alias("base"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 40 AS a, (o_custkey * 7 + 3) % 40 AS z FROM orders WHERE o_custkey % 3 = 0), c AS (SELECT a, z FROM e UNION SELECT c.a, e.z FROM c JOIN e ON c.z = e.a)
+SELECT a, z FROM c""")
+def include_closure(spark, sf_dir):
+    e = table(spark, sf_dir, "orders").filter("o_custkey % 3 = 0").select(F.lit("r").alias("repo"), (F.col("o_custkey") % 40).alias("a"), ((F.col("o_custkey") * 7 + 3) % 40).alias("z"))
+    return usage.closure(e).select("a", "z")
+
+
+@query("""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*')) AS word FROM documents)
+SELECT doc_id AS file FROM w WHERE word IN ('the', 'that', 'from') GROUP BY doc_id HAVING count(DISTINCT word) = 3""")
+def files_with_all_words(spark, sf_dir):
+    g = F.explode(F.array(*map(F.lit, ("the", "that", "from")))).alias("word")
+    w = spark.range(1).select(F.lit("g").alias("group"), g)
+    return words.files_with_all(words.word_counts(files(spark, sf_dir)), w).select(F.col("rel").alias("file"))
+
+
+@query("""
+WITH v AS (SELECT doc_id AS finding, 'm' || (doc_id % 3) AS model, (doc_id % 9 + 1)::INT AS at FROM documents), l AS (SELECT conv_id AS file, (turn + 1)::INT AS line, text FROM conversations)
+SELECT v.finding, v.model FROM v JOIN l ON l.file = v.finding % 50 AND l.line = v.at WHERE list_contains(regexp_split_to_array(l.text, '[^A-Za-z0-9_]+'), 'the') AND NOT v.at BETWEEN 1 AND 2""")
+def checked_evidence(spark, sf_dir):
+    n = F.col("doc_id")
+    d = table(spark, sf_dir, "documents")
+    cited = d.select(n.alias("finding"), F.concat(F.lit("m"), (n % 3).cast("string")).alias("model"), F.array(F.concat((n % 50).cast("string"), F.lit(":"), (n % 9 + 1).cast("string"))).alias("evidence"))
+    f = d.select(n.alias("finding"), F.lit("r").alias("repo"), F.lit("function").alias("kind"), (n % 50).cast("string").alias("file"), F.lit(1).alias("line"), F.lit(2).alias("end_line"), F.lit("the").alias("name"))
+    lines = table(spark, sf_dir, "conversations").select(F.lit("r").alias("repo"), F.col("conv_id").cast("string").alias("rel"), (F.col("turn") + 1).cast("int").alias("line"), "text")
+    return jury.checked_evidence(cited, f, lines).filter("size(checked) > 0").select("finding", "model")
+
+
+@query("""
+WITH v AS (SELECT doc_id AS call_id, 'm' || (doc_id % 4) AS model, n_chars AS tokens_in, (doc_id % 100)::BIGINT AS tokens_out FROM documents)
+SELECT model, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out FROM v GROUP BY model""")
+def usage_by_model(spark, sf_dir):
+    n = F.col("doc_id")
+    c = table(spark, sf_dir, "documents").select(n.alias("call_id"), F.concat(F.lit("m"), (n % 4).cast("string")).alias("model"), F.col("n_chars").alias("tokens_in"), (n % 100).alias("tokens_out"))
+    return jury.usage_by_model(c.union(c.filter("tokens_out < 50")))
+
+
+@query("""
+WITH l AS (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'ai' WHEN 'user' THEN 'human' ELSE 'uncommitted' END AS kind FROM conversations) SELECT kind, count(*) AS lines FROM l GROUP BY kind""")
+def lines_by_kind(spark, sf_dir):
+    return attribution.lines_by_kind(table(spark, sf_dir, "conversations").select(F.lit("r").alias("repo"), _kind().alias("kind"))).select("kind", "lines")
+
+
+@query("""
+WITH i AS (SELECT p_partkey AS k, p_partkey % 100 AS rel, p_size AS s, p_size + 30 AS e FROM part), p AS (SELECT o_orderkey % 100 AS rel, (o_custkey % 90)::INT AS line FROM orders)
+SELECT k, count(*) AS n FROM i JOIN p ON i.rel = p.rel AND p.line BETWEEN s AND e GROUP BY k""")
+def lines_in_span(spark, sf_dir):
+    i = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") % 100).alias("rel"), F.col("p_size").alias("start"), (F.col("p_size") + 30).alias("end"))
+    p = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 100).alias("rel"), (F.col("o_custkey") % 90).cast("int").alias("line"))
+    return usage.within_span(i, p, ["rel"], step=16).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query()
+def page_style_units(spark, sf_dir):
+    """Units of pages' style sheets that nothing mentions: needs a reader of style sheets."""
+    from corvane.packs.base import audit
+    from corvane.packs.web import PACKS
+
+    p = table(spark, sf_dir, "pages").select(F.lit("site").alias("repo"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("rel"), F.lit("HTML").alias("lang"), F.col("html").alias("text"))
+    return audit(p, PACKS).select("rel", "kind", "name", "verdict")
