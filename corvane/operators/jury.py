@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import lookups as L
 from corvane.functions import scalars as S
+from corvane.operators.edits import answer_json, line_names
 
 ANSWER = "verdict string, reason string, confidence string, evidence array<string>, refuted boolean"
 
@@ -15,28 +16,33 @@ ANSWER = "verdict string, reason string, confidence string, evidence array<strin
 def parse_votes(answers: DataFrame) -> DataFrame:
     """finding, model, verdict, confidence, evidence, error of raw answers (finding, model, answer: JSON text or null).
 
-    An answer outside the format is no vote; a confidence that is no number is 0. Thinking in <think> marks is cut first.
+    The last complete JSON object of an answer counts. An answer outside the format is no vote; a confidence that is no number is 0.
     """
-    text = F.regexp_replace("answer", r"(?s)<think>.*?</think>", "")
-    a = answers.withColumn("j", F.from_json(text, ANSWER))
+    a = answers.withColumn("j", F.from_json(answer_json(F.col("answer")), ANSWER))
     verdict = F.lower(S.strip(F.col("j.verdict")))
     error = F.when(F.col("answer").isNull(), "no answer").when(F.coalesce(~verdict.isin("keep", "remove"), F.lit(True)), F.concat(F.lit("answered off-format: "), F.substring("answer", 1, 120)))
     conf = F.coalesce(F.expr("try_cast(j.confidence as double)"), F.lit(0.0))
     return a.select("finding", "model", F.when(error.isNull(), verdict).alias("verdict"), F.when(error.isNull(), conf).alias("confidence"), F.when(error.isNull(), F.coalesce("j.evidence", F.array().cast("array<string>"))).alias("evidence"), error.alias("error"))
 
 
-def checked_evidence(cited: DataFrame, findings: DataFrame, lines: DataFrame) -> DataFrame:
+def checked_evidence(cited: DataFrame, findings: DataFrame, lines: DataFrame, text_counts: DataFrame | None = None) -> DataFrame:
     """cited (finding, model, evidence) with each finding's evidence that holds: the line exists, names the unit as a whole word, isn't the
     unit's own, and for an import lies in its own file. findings: finding, repo, kind, file, line, end_line, name; lines: repo, rel, line, text. The first ten items count.
+    On lines of Python only names in code count, unless the finding's verdict is AMBIGUOUS or text_counts (repo, rel) names the file as one that looks names up.
     """
     items = cited.select("finding", "model", F.posexplode(F.slice("evidence", 1, 10)).alias("i", "item"))
     items = items.withColumns({"rel": F.regexp_extract("item", r"^(.*):\s*\d+\s*$", 1), "at": F.expr(r"try_cast(regexp_extract(item, ':\\s*(\\d+)\\s*$', 1) as int)")})
-    f = findings.select("finding", "repo", "kind", "file", F.col("line").alias("first"), F.col("end_line").alias("last"), "name")
+    open_ = (F.col("verdict") == "AMBIGUOUS") if "verdict" in findings.columns else F.lit(False)
+    f = findings.select("finding", "repo", "kind", "file", F.col("line").alias("first"), F.col("end_line").alias("last"), "name", open_.alias("by_text"))
     hits = items.join(f, "finding").join(lines.select("repo", "rel", F.col("line").alias("at"), "text"), ["repo", "rel", "at"])
     own = (F.col("rel") == F.col("file")) & F.col("at").between(F.col("first"), F.col("last"))
     elsewhere = (F.col("kind") == "import") & (F.col("rel") != F.col("file"))
     word = F.exists(F.split("text", "[^A-Za-z0-9_]+"), lambda t: t == F.col("name"))
-    ok = hits.filter(~own & ~elsewhere & word).groupBy("finding", "model").agg(F.sort_array(F.collect_list(F.struct("i", "item"))).alias("x"))
+    if text_counts is not None:
+        hits = hits.join(text_counts.select("repo", "rel").distinct().withColumn("looks_up", F.lit(True)), ["repo", "rel"], "left").withColumn("by_text", F.col("by_text") | F.coalesce("looks_up", F.lit(False)))
+    strict = F.endswith("rel", F.lit(".py")) & ~F.col("by_text")
+    hits = hits.filter(~own & ~elsewhere & word)  # few lines are left for the tokenizer
+    ok = hits.filter(~strict | F.array_contains(line_names(F.col("text")), F.col("name"))).groupBy("finding", "model").agg(F.sort_array(F.collect_list(F.struct("i", "item"))).alias("x"))
     return cited.join(ok, ["finding", "model"], "left").select(*cited.columns, F.coalesce(F.transform("x", lambda e: e["item"]), F.array().cast("array<string>")).alias("checked"))
 
 

@@ -89,3 +89,51 @@ def statistics(audits: DataFrame) -> DataFrame:
     totals = last.agg(F.count("*").alias("repositories"), zero("lines").alias("lines"), zero("dead_lines").alias("dead_lines"), zero("dup_lines").alias("dup_lines"), F.round(F.avg("jlr"), 2).alias("mean_jlr"), S.ratio(zero("ai_lines"), zero("ai_lines") + zero("human_lines"), 100.0, 1).alias("ai_share"))
     n = audits.agg(F.count("*").alias("audits"), F.count_if(F.col("status") == "done").alias("finished"))
     return n.crossJoin(totals)
+
+
+def cached(asked: DataFrame, done: DataFrame) -> DataFrame:
+    """asked (repo, sha, version, ...) with the id of a finished audit of the same repository, in any case, commit and version; null without one."""
+    key = [F.lower("repo").alias("_r"), "sha", "version"]
+    have = done.filter("status = 'done'").groupBy(*key).agg(F.max("id").alias("cached_id"))
+    return asked.withColumn("_r", F.lower("repo")).join(have, ["_r", "sha", "version"], "left").drop("_r")
+
+
+def visible(audits: DataFrame, viewer: str | None) -> DataFrame:
+    """Audits that a viewer may see: public ones and their own."""
+    own = F.lit(False) if viewer is None else F.col("owner") == viewer
+    return audits.filter((F.col("visibility") == "public") | F.coalesce(own, F.lit(False)))
+
+
+def search(findings: DataFrame, verdict: str | None = None, file: str | None = None, kind: str | None = None, text: str = "") -> DataFrame:
+    """The findings box: exact choices, and a text that file or name holds in any case."""
+    for column, value in (("verdict", verdict), ("file", file), ("kind", kind)):
+        if value:
+            findings = findings.filter(F.col(column) == value)
+    low = F.lit(text.lower())
+    return findings.filter(F.contains(F.lower("file"), low) | F.contains(F.lower("name"), low))
+
+
+def merged_choices(private: DataFrame, public: DataFrame) -> DataFrame:
+    """Repositories to choose from: private ones first, then public ones not among them, by name in any case."""
+    key = F.lower("full_name").alias("k")
+    rest = public.select("*", key).join(private.select(key).distinct(), "k", "left_anti").drop("k")
+    return private.withColumn("source", F.lit("private")).unionByName(rest.withColumn("source", F.lit("public")))
+
+
+def connected_apps(tokens: DataFrame, clients: DataFrame) -> DataFrame:
+    """client_id, name, since, last_used of each app with a live token."""
+    return tokens.join(clients, "client_id", "left").groupBy("client_id").agg(F.max("name").alias("name"), F.min("created").alias("since"), F.max("last_used").alias("last_used"))
+
+
+def queue_counts(jobs: DataFrame) -> DataFrame:
+    return jobs.agg(F.count_if(F.col("status") == "queued").alias("queued"), F.count_if(F.col("status").isin("cloning", "scanning")).alias("running"))
+
+
+def unexpired(rows: DataFrame, created: str, now, seconds: int) -> DataFrame:
+    """Rows (sessions, tokens) younger than their time to live."""
+    return rows.filter(F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col(created).cast("timestamp")) < seconds)
+
+
+def assistant_totals(latest: DataFrame) -> DataFrame:
+    """tool, commits over the latest audit of each repository. latest: tools (map of tool to commits)."""
+    return latest.select(F.explode("tools").alias("tool", "n")).groupBy("tool").agg(F.sum("n").alias("commits")).orderBy(F.desc("commits"), "tool")
