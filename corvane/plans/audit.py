@@ -13,12 +13,15 @@ from corvane.functions import scalars as S
 from corvane.operators import attribution, copies, jury, metrics, rules
 from corvane.operators.ledger import Ledger
 from corvane.operators.pyfacts import Facts, python_facts
+from corvane.packs import declared, web
 from corvane.packs.base import Pack, audit
-from corvane.packs.web import PACKS
 from corvane.sources.git import read_git
 from corvane.sources.tree import census, read_tree
 
 
+PACKS = [*web.PACKS, *declared.PACKS]
+
+
 @dataclass
 class Audit:
     """Frames of one run; each has a repo column. author frames are null where git knows nothing."""
