@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from corvane.operators.ledger import Ledger
 from corvane.operators.pyfacts import Facts, python_facts
 from corvane.packs import declared, web
 from corvane.packs.base import Pack, audit
+from corvane.runtime import store
 from corvane.sources.git import read_git
 from corvane.sources.tree import census, read_tree
 
@@ -60,14 +60,13 @@ def run(spark: SparkSession, roots: dict[str, str], packs: list[Pack] | None = N
     votes: as jury_decision takes them, with finding = kind:file:line:name; its decision replaces the default. patterns:
     custom signatures, separated by a double bar. on_stage is told each stage's name.
     """
-    keep = lambda df: df.persist(StorageLevel.DISK_ONLY)
     on_stage("ingest")
-    tree = keep(read_tree(spark, roots))
+    tree = store(read_tree(spark, roots), "tree")
     python = tree.filter(F.col("rel").endswith(".py")).select("repo", "rel", "text")
     others = tree.filter(~F.col("rel").endswith(".py")).select("repo", "rel", "text")
     on_stage("facts")
-    facts = Facts(keep(python_facts(python)))
-    files = keep(census(tree))
+    facts = Facts(store(python_facts(python), "facts"))
+    files = store(census(tree), "files")
     on_stage("candidates")
     found = rules.python_findings(rules.Repository(facts, others, python))
     found = found.unionByName(copies.audit_copies(files).select(*rules.COLUMNS))
@@ -76,10 +75,10 @@ def run(spark: SparkSession, roots: dict[str, str], packs: list[Pack] | None = N
     final = jury.default_final(F.col("verdict"))
     found = found.unionByName(units.select("repo", "kind", F.col("rel").alias("file"), F.col("start").alias("line"), F.col("end").alias("end_line"), F.col("name"), "verdict", "reason", (F.col("end") - F.col("start") + 1).alias("lines"), F.array().cast("array<string>").alias("evidence"), F.lit("not run").alias("proof"), final.alias("final")).select(*rules.COLUMNS))
     test = S.is_test_path(F.col("file")) & (F.col("kind") != "import") & (F.col("proof") == "not run")
-    found = keep(found.withColumn("proof", F.when(test, "not provable (test code)").otherwise(F.col("proof"))))
+    found = store(found.withColumn("proof", F.when(test, "not provable (test code)").otherwise(F.col("proof"))), "candidates")
     on_stage("attribution")
-    commits = keep(attribution.classify(read_git(spark, roots, "commits"), attribution.custom_patterns(patterns)))
-    lines = keep(attribution.line_kinds(read_git(spark, roots, "blame"), commits))
+    commits = store(attribution.classify(read_git(spark, roots, "commits"), attribution.custom_patterns(patterns)), "commits")
+    lines = store(attribution.line_kinds(read_git(spark, roots, "blame"), commits), "lines")
     found = attribution.findings_with_author(found, lines)
     judged = F.lit(False)
     if votes is not None:
@@ -93,7 +92,7 @@ def run(spark: SparkSession, roots: dict[str, str], packs: list[Pack] | None = N
         on_stage("proof")
         found = found.join(proofs.withColumnRenamed("proof", "outcome"), ["repo", "kind", "file", "name"], "left").withColumn("proof", F.coalesce("outcome", "proof")).drop("outcome")
         found = found.withColumn("final", jury.after_proof(F.col("final"), F.col("kind"), F.col("proof")))
-    found = keep(found)
+    found = store(found, "findings")
     on_stage("payoff")
     audited = files.filter("lang = 'Python'").unionByName(files.filter(F.col("lang").isin([x for p in (packs or PACKS) for x in p.languages])))
     totals = audited.groupBy("repo").agg(F.sum("lines").alias("total_lines"))

@@ -1,4 +1,4 @@
-"""Makes this package importable for the Python workers of a session."""
+"""What a session needs besides plans: the package on its workers, and tables between steps in the shared folder."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 _SHIPPED: set[str] = set()
@@ -32,3 +33,27 @@ def ship(spark: SparkSession) -> None:
             z.write(p, f"{_ROOT.name}/{p.relative_to(_ROOT)}")
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a local session without that setting gets a temporary folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="corvane-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+    return f"file://{_LOCAL[app]}"
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the shared folder: plans that read it start there, and a lost executor loses nothing of it."""
+    path = f"{shared_folder(df.sparkSession)}/corvane/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
