@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from corvane.runtime import ship
 
 #: Words of a text that a worker remembers before it starts its memory anew; bounds a worker's memory, not its results.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _ODD = 0x9E3779B97F4A7C15
 _LOCAL: dict[str, str] = {}

@@ -23,7 +23,7 @@ from corvane.llm import _shared as S
 
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»„“”…"
 PATTERNS = ["any", "several", "dense", "none", "shouting", "swearing"]
-_CACHE = 500_000
+_CACHE = 200_000
 
 
 def parts(word: str) -> set[str]:
