@@ -32,11 +32,12 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.hash(line, F.length(line)).alias("b"))
 
 
-def boilerplate(pages: DataFrame, site: str = "site", lines: str = "lines", ratio: float = 0.05, least: int = 5) -> DataFrame:
+def boilerplate(pages: DataFrame, site: str = "site", lines: str = "lines", ratio: float = 0.05, least: int = 2) -> DataFrame:
     """site, n_pages, keys: of each site with boilerplate, its number of pages and the keys of its boilerplate lines.
 
     pages: rows with a site and an array of lines. A line counts once a page. It is boilerplate when at least `least`
-    pages and more than ratio of the site's pages hold it. Blank lines never are. Pages without a site are a site.
+    pages and more than ratio of the site's pages hold it; two is the smallest `least` that doesn't empty a site of one
+    page. Blank lines never are. Pages without a site are a site.
     """
     each = pages.select(F.col(site).alias("site"), F.explode(F.array_distinct(F.transform(F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))), _key))).alias("key"))
     often = each.groupBy("site", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
@@ -45,7 +46,7 @@ def boilerplate(pages: DataFrame, site: str = "site", lines: str = "lines", rati
     return over.groupBy("site").agg(F.max("n_pages").alias("n_pages"), F.sort_array(F.collect_list("key")).alias("keys"))
 
 
-def mark_lines(pages: DataFrame, site: str = "site", lines: str = "lines", ratio: float = 0.05, least: int = 5) -> DataFrame:
+def mark_lines(pages: DataFrame, site: str = "site", lines: str = "lines", ratio: float = 0.05, least: int = 2) -> DataFrame:
     """pages with two more columns: kept (the lines that stay, in order) and dropped (those that go).
 
     Empty line arrays stay empty and a null array counts as one. Repeated rows are pages of their own. Columns other than
@@ -60,7 +61,7 @@ def mark_lines(pages: DataFrame, site: str = "site", lines: str = "lines", ratio
     return out.drop("_site", "_keys")
 
 
-def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = 0.05, least: int = 5) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = 0.05, least: int = 2) -> DataFrame:
     """docs with boilerplate lines taken from the text, line ends as they were; a null text stays null. Columns stay as they are."""
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(site).alias("site"), F.split(F.col(text), "\n", -1).alias("lines"))
     rest = mark_lines(rows, "site", "lines", ratio, least)

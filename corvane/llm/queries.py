@@ -79,16 +79,25 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by host: the lines of each page's text that stay and those that go as their host's boilerplate."""
+def _line_dedup(spark: SparkSession, sf_dir: str, **limits) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("lines"))
-    m = mark_lines(pages, "host", "lines")
+    m = mark_lines(pages, "host", "lines", **limits)
     text = F.array_join("kept", "\n")
     return m.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), F.sha2(text, 256).alias("kept_sha256"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by host: the lines of each page's text that stay and those that go as their host's boilerplate, with the floor of five pages of its SQL."""
+    return _line_dedup(spark, sf_dir, least=5)
+
+
+def op10_line_dedup_by_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10_line_dedup, but the ratio decides at every size of host: a line on two pages may go."""
+    return _line_dedup(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op2_minhash, op3_toxicity, op4_repeats, op5_warc, op6_quality, op7_bpe, op8_token_counts, op9_decontaminate, op10_line_dedup)
+    f.__name__: f for f in (op1_secrets, op2_minhash, op3_toxicity, op4_repeats, op5_warc, op6_quality, op7_bpe, op8_token_counts, op9_decontaminate, op10_line_dedup, op10_line_dedup_by_ratio)
 }
 
 _HTML_LINES = r"""
@@ -104,6 +113,15 @@ e AS (SELECT DISTINCT page_id, host, unnest(lines) AS line FROM p),
 f AS (SELECT host, line, count(*) AS n FROM e GROUP BY host, line HAVING count(*) >= 5),
 t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 b AS (SELECT f.host, list(f.line) AS gone FROM f JOIN t ON f.host IS NOT DISTINCT FROM t.host WHERE f.n > 0.05 * t.pages GROUP BY f.host)
+SELECT p.page_id, p.host, len(lines)::BIGINT AS n_lines, len(list_filter(lines, lambda x: coalesce(list_contains(gone, x), false)))::BIGINT AS n_dropped,
+       sha256(coalesce(array_to_string(list_filter(lines, lambda x: NOT coalesce(list_contains(gone, x), false)), chr(10)), '')) AS kept_sha256
+FROM p LEFT JOIN b ON p.host IS NOT DISTINCT FROM b.host""",
+    "op10_line_dedup_by_ratio": f"""
+WITH p AS ({_HTML_LINES}),
+e AS (SELECT DISTINCT page_id, host, unnest(lines) AS line FROM p),
+f AS (SELECT host, line, count(*) AS n FROM e GROUP BY host, line HAVING count(*) >= 2),
+t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+b AS (SELECT f.host, list(f.line) AS gone FROM f JOIN t ON f.host IS NOT DISTINCT FROM t.host WHERE f.n > 0.05 * t.pages GROUP BY f.host)
 SELECT p.page_id, p.host, len(lines)::BIGINT AS n_lines, len(list_filter(lines, lambda x: coalesce(list_contains(gone, x), false)))::BIGINT AS n_dropped,
        sha256(coalesce(array_to_string(list_filter(lines, lambda x: NOT coalesce(list_contains(gone, x), false)), chr(10)), '')) AS kept_sha256
 FROM p LEFT JOIN b ON p.host IS NOT DISTINCT FROM b.host""",

@@ -267,6 +267,14 @@ def test_lines(spark):
     assert [x[0] for x in spark.createDataFrame([("<p>a<b>c</b>\n d <!-- x<p>y --><script>z</script>",)], "h string").select(line_dedup.html_lines(F.col("h"))).collect()] == [["a", "c", "d"]]
 
 
+def test_the_ratio_decides_at_small_sites(spark):
+    rows = [(i, f"menu\nown {i}", "small") for i in range(4)] + [(9, "menu\nown", "single")]
+    rows += [(100 + i, "pair" if i < 2 else f"text {i}", "middle") for i in range(40)] + [(200 + i, "three" if i < 3 else f"text {i}", "larger") for i in range(40)]
+    got = {x.doc_id: x.text for x in line_dedup.drop_boilerplate(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(4)] == [f"own {i}" for i in range(4)] and got[9] == "menu\nown"
+    assert got[100] == "pair" and got[200] == "" and got[203] == "text 3"
+
+
 # --- pipeline
 
 
