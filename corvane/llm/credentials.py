@@ -2,8 +2,9 @@
 
 Three patterns give the base spans and, with them, labelled credentials. From the credentials of each kind a
 prefix tree over character classes is built, and states whose futures are statistically compatible are merged
-(Hoeffding bound), which leaves a small probabilistic automaton of that kind's format. Every other long token of a
-text is then scored by the likelihood that an automaton gives it, against that of ordinary words.
+(Hoeffding bound), which leaves a small probabilistic automaton of that kind's format. Every other token of a text,
+from the shortest length of a labelled credential on, is then scored by the likelihood that an automaton gives it,
+against that of ordinary words: a trigram model of the words and numbers of the other tokens.
 """
 
 from __future__ import annotations
@@ -26,10 +27,18 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ["assign", "access", "hex", "format"]
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % min(LEAST.values()))
+#: Where a token may be a credential with something else beside it: full stops round it, then its parts, coarse and fine.
+_PARTS = (re.compile(r"^\.+|\.+$"), re.compile(r"[.=/]"), re.compile(r"[+_-]"))
+#: What ordinary words are learned from: words, numbers and names made of them, as code has them. It keeps no token from being scored.
+WORDS = re.compile(r"(?:[+/_.=-]|[A-Z]?[a-z]{2,}+|[A-Z]{2,}+(?![a-z])|[A-Za-z](?![A-Za-z0-9])|[0-9]++(?![A-Za-z]))++")
+#: Longer tokens are not remembered.
+_REMEMBERED = 64
 _KEYWORDS = ("passw", "secret", "token", "api")
 _SYMBOLS = str.maketrans({c: k for k, cs in {"h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ", "d": "0123456789"}.items() for c in cs})
 _ALPHABET = "hlHUd+/_.=-"
+#: Log of the characters that a symbol stands for.
+_WIDTH = {c: math.log(n) for c, n in zip(_ALPHABET, (6, 20, 6, 20, 10, 1, 1, 1, 1, 1, 1), strict=True)}
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -124,55 +133,151 @@ class Automaton:
         return rows
 
 
-def likelihood(table: list[dict], symbols: str) -> float:
-    """Log likelihood of a word of symbols."""
+def likelihood(table: list[dict], symbols: str, least: float = -math.inf) -> float:
+    """Log likelihood of a word of symbols; minus infinity as soon as it is below least."""
     at, total = 0, 0.0
     for c in symbols:
         at, p = table[at].get(c) or table[at]["?"]
         total += p
+        if total < least:
+            return -math.inf
     return total + table[at][""][1]
 
 
-class Grammars:
-    """Automata by kind, ordinary words' symbol frequencies, and each kind's floor: what nine in ten of its own credentials reach."""
+def trigrams(word: str) -> list[str]:
+    """Three characters each: a word's with its two starts (^) and its end ($), which no token holds."""
+    w = f"^^{word}$"
+    return [w[i : i + 3] for i in range(len(w) - 2)]
 
-    def __init__(self, credentials: dict[str, list[str]], ordinary: list[str]):
-        seen = Counter(c for w in ordinary for c in w.translate(_SYMBOLS))
-        total = sum(seen.values()) + len(_ALPHABET)
-        self.plain = {c: math.log((seen[c] + 1) / total) for c in _ALPHABET}
-        self.kinds = {}
-        for kind, values in credentials.items():
-            words = Counter(v.translate(_SYMBOLS) for v in values)
-            if sum(words.values()) >= 5:
-                table = Automaton(words).table()
-                gains = sorted(self._gain(table, w) for w in words.elements())
-                self.kinds[kind] = (table, max(0.25, gains[len(gains) // 10]))
 
-    def _gain(self, table: list[dict], symbols: str) -> float:
-        return (likelihood(table, symbols) - sum(self.plain.get(c, 0.0) for c in symbols)) / len(symbols)
+class Ordinary:
+    """A trigram model of the characters of ordinary words from counted trigrams; what is rare leans on bigrams and single characters.
+
+    `lean` is high so that a token's own few trigrams, which are counted too, don't make it ordinary.
+    """
+
+    def __init__(self, counts: dict[str, int], lean: float = 50.0):
+        self.lean, self.n, self.heads = lean, Counter(), Counter()
+        for t, n in counts.items():
+            for k in (1, 2, 3):
+                self.n[t[3 - k :]] += n
+                self.heads[t[3 - k : 2], k] += n
+        self.known = {t: self._log(t) for t in counts}
+
+    def _log(self, t: str) -> float:
+        p = 1 / 69  # characters of TOKEN and the end
+        for k in (1, 2, 3):
+            p = (self.n[t[3 - k :]] + self.lean * p) / (self.heads[t[3 - k : 2], k] + self.lean)
+        return math.log(p)
+
+    def likelihood(self, word: str) -> float:
+        known = self.known
+        return sum(p if (p := known.get(t)) is not None else self._log(t) for t in trigrams(word))
+
+
+def _classes(value: str) -> str:
+    """Which of lower case, upper case, digits and other characters a value has."""
+    return "".join(sorted({"h": "l", "l": "l", "H": "U", "U": "U", "d": "d"}.get(c, ".") for c in set(value.translate(_SYMBOLS))))
 
-    def best(self, value: str) -> tuple[float, str | None]:
-        """The best gain over ordinary words per symbol among kinds whose floor it reaches, and that kind."""
-        symbols = value.translate(_SYMBOLS)
-        return max(((g, k) for k, (t, floor) in self.kinds.items() if (g := self._gain(t, symbols)) >= floor), default=(0.0, None))
 
+class Grammars:
+    """Automata by kind, a model of ordinary words, and floors: the log of how many ordinary tokens there are for a credential.
+
+    A kind has an automaton of all its credentials and one for each set of character classes that five or more have, as
+    one kind can hold several formats. A token is of a kind when an automaton's likelihood is over that of ordinary words by the
+    floor, so words taken for credentials are expected to be no more than credentials. recall: by kind, the share of credentials
+    that reach a floor when every fifth is left out of the fit and only those are tried.
+    """
 
-_LABELS = pa.schema([("kind", pa.string()), ("value", pa.string())])
+    def __init__(self, credentials: dict[str, list[str]], counts: dict[str, int], distinct: dict[str, int] | None = None):
+        self.plain, self.kinds, self.recall = Ordinary(counts), {}, {}
+        self.tokens = sum(n for t, n in counts.items() if t[2] == "$")
+        for kind, values in credentials.items():
+            if len(values) >= 5:
+                times, rest = (distinct or {}).get(kind, len(values)) / len(values), values[::5]
+                part = self._fit([v for i, v in enumerate(values) if i % 5], times * 1.25, 4)
+                self.recall[kind] = sum(self._over(v, part, self.plain.likelihood(v)) > -math.inf for v in rest) / len(rest)
+                self.kinds[kind] = self._fit(values, times)
+
+    def _fit(self, values: list[str], times: float, least: int = 5) -> list[tuple[list[dict], float]]:
+        """(automaton, floor) of values and of each large enough group of them; there are `times` as many credentials as values."""
+        groups = {}
+        for v in values:
+            groups.setdefault(_classes(v), []).append(v)
+        sets = [values] + [g for _, g in sorted(groups.items()) if least <= len(g) < len(values)]
+        return [(Automaton(Counter(v.translate(_SYMBOLS) for v in g)).table(), max(0.0, math.log(max(self.tokens, 1) / (times * len(g))))) for g in sets]
+
+    def _over(self, value: str, automata: list[tuple[list[dict], float]], plain: float) -> float:
+        """The most that a log likelihood of value is over that of ordinary words (plain); minus infinity if no floor is reached."""
+        symbols = value.translate(_SYMBOLS)
+        less = plain + sum(map(_WIDTH.__getitem__, symbols))
+        return max((g for t, floor in automata if (g := likelihood(t, symbols, less + floor) - less) >= floor), default=-math.inf)
 
+    def best(self, value: str) -> tuple[float, str | None]:
+        """The best log likelihood over ordinary words among kinds of which a floor is reached, and that kind."""
+        plain = self.plain.likelihood(value)
+        return max(((g, k) for k, automata in self.kinds.items() if (g := self._over(value, automata, plain)) > -math.inf), default=(0.0, None))
+
+    def find(self, token: str, at: int = 0, level: int = 0) -> list[tuple[float, int, int, str]]:
+        """(log likelihood over ordinary words, start, end, kind) of a token: it as a whole unless a part of it is likelier, else its parts.
+
+        Full stops round a token are the sentence's if what they enclose is found without them.
+        """
+        if len(token) < min(LEAST.values()):
+            return []
+        parts, was = [], 0
+        while level < len(_PARTS) and not parts:
+            cuts = [m.span() for m in _PARTS[level].finditer(token)]
+            level += 1
+            if cuts:
+                for s, e in cuts + [(len(token), len(token))]:
+                    parts.append((was, s))
+                    was = e
+        inner = [x for s, e in parts for x in self.find(token[s:e], at + s, level)]
+        if inner and (token[0] == "." or token[-1] == "."):
+            return inner
+        gain, kind = self.best(token)
+        return [(gain, at, at + len(token), kind)] if kind and all(gain >= x[0] for x in inner) else inner
+
+
+def tokens(text: str, base: list[tuple[int, int, str, str]]) -> Iterator[tuple[int, str]]:
+    """(start, token) of what may be a credential: runs of the credential alphabet, without what base spans cover."""
+    spans = sorted((s, e) for s, e, _, _ in base)
+    for m in TOKEN.finditer(text):
+        at, end = m.span()
+        if not spans:
+            yield at, m[0]
+            continue
+        for s, e in spans + [(end, end)]:
+            if s <= end and e >= at:
+                if s - at >= min(LEAST.values()):
+                    yield at, text[at:s]
+                at = max(at, e)
+
+
+_LABELS = pa.schema([("kind", pa.string()), ("value", pa.string()), ("n", pa.int64())])
+
+
+def _labelled(longest: int):
+    """Credentials that the base patterns find, and the counted trigrams of the words among all other tokens."""
 
-def _labelled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Credentials that the base patterns find, and of ordinary tokens those that hold no digit."""
-    for b in batches:
-        out = set()
-        for text in b.column(0).to_pylist():
-            text = text or ""
-            spans = base_spans(text)
-            out.update((k, v) for _, _, k, v in spans)
-            for m in TOKEN.finditer(text):
-                if m[0].isalpha() and all(m.end() <= s or m.start() >= e for s, e, _, _ in spans):
-                    out.add(("ordinary", m[0]))
-        rows = sorted(out)
-        yield S.batch(_LABELS.names, [[k for k, _ in rows], [v for _, v in rows]], _LABELS)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = Counter()
+        for b in batches:
+            out, others = set(), Counter()
+            for text in b.column(0).to_pylist():
+                text = text or ""
+                spans = base_spans(text)
+                out.update((k, v) for _, _, k, v in spans if len(v) <= longest)
+                others.update(t for _, t in tokens(text, spans) if WORDS.fullmatch(t))
+            for word, n in others.items():
+                for t in trigrams(word):
+                    plain[t] += n
+            rows = sorted(out)
+            yield S.batch(_LABELS.names, [[k for k, _ in rows], [v for _, v in rows], [1] * len(rows)], _LABELS)
+        yield S.batch(_LABELS.names, [["ordinary"] * len(plain), list(plain), list(plain.values())], _LABELS)
+
+    return run
 
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))])
@@ -180,7 +285,7 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("kind
 
 def _scan(sent):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammars, rank = sent.value, {k: i for i, k in enumerate(KINDS)}
+        grammars, rank, known = sent.value, {k: i for i, k in enumerate(KINDS)}, {}
         for b in batches:
             out = []
             for text in b.column(1).to_pylist():
@@ -188,12 +293,15 @@ def _scan(sent):
                 base = base_spans(text)
                 spans = [(s, e, k, None) for s, e, k, _ in base]
                 if grammars.kinds:
-                    for m in TOKEN.finditer(text):
-                        value = m[0]
-                        if not value.isalpha() and any(c.isdigit() for c in value) and all(m.end() <= s or m.start() >= e for s, e, _, _ in base):
-                            gain, kind = grammars.best(value)
-                            if kind:
-                                spans.append((m.start(), m.end(), "format", gain))
+                    for at, token in tokens(text, base):
+                        hits = known.get(token)
+                        if hits is None:
+                            hits = grammars.find(token)
+                            if len(token) <= _REMEMBERED:
+                                if len(known) > S.CACHE_WORDS:
+                                    known.clear()
+                                known[token] = hits
+                        spans += [(at + s, at + e, "format", g / (e - s)) for g, s, e, _ in hits]
                 out.append([{"kind": k, "start": s, "end": e, "score": g} for s, e, k, g in sorted(spans, key=lambda x: (x[0], rank[x[2]]))])
             yield S.batch(_FOUND.names, [b.column(0), out], _FOUND)
 
@@ -204,7 +312,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """A row per row of docs: doc_id, spans (kind, start, end, score; ends exclusive, in code points, by start, then kind).
 
     Kinds assign, access and hex are the base patterns' and have no score; format is an inferred grammar's, with its
-    gain per symbol over ordinary words. Grammars are fitted to at most `sample` distinct credentials of each kind of
+    gain per character over ordinary words; tokens from the shortest labelled length on are tried, as wholes and in parts,
+    and likelihood alone decides. Ordinary words' trigrams are counted over the whole table. Grammars are fitted to at most `sample` distinct credentials of each kind of
     at most `longest` characters, those with the smallest hashes among all that the whole table holds, so they are the same however the table is
     dealt. Texts are scanned whole. A null text is empty and has no spans; without credentials there are base spans
     only. Repeated rows give repeated rows; other columns of docs are not read.
@@ -212,11 +321,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     S.prepare(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    labelled = rows.select("text").mapInArrow(_labelled, "kind string, value string").filter(F.length("value") <= longest)
+    labelled = rows.select("text").mapInArrow(_labelled(longest), "kind string, value string, n long")
+    labelled = S.materialise(labelled.groupBy("kind", "value").agg(F.sum("n").alias("n")), "credentials")
     kinds = {}
-    labelled = S.materialise(labelled.distinct(), "credentials")
-    for kind in ("assign", "access", "hex", "ordinary"):
+    for kind in ("assign", "access", "hex"):
         kinds[kind] = [r["value"] for r in labelled.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
-    grammars = Grammars({k: kinds[k] for k in ("assign", "access", "hex")}, kinds["ordinary"])
+    distinct = {r["kind"]: r["count"] for r in labelled.filter("kind <> 'ordinary'").groupBy("kind").count().collect()}
+    counts = {r["value"]: r["n"] for r in labelled.filter("kind = 'ordinary'").collect()}
+    grammars = Grammars(kinds, counts, distinct)
     found = rows.mapInArrow(_scan(spark.sparkContext.broadcast(grammars)), "doc_id long, spans array<struct<kind:string,start:long,end:long,score:double>>")
     return found

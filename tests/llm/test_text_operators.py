@@ -160,6 +160,31 @@ def test_grammar_finds_unlabelled_formats(spark):
     assert credentials.likelihood(t, "dhdhdhdh" * 3) > credentials.likelihood(t, "llllllll" * 3)
 
 
+def test_short_letters_only_and_dotted_credentials(spark):
+    r = random.Random(8)
+    of = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    low, mixed = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    forms = [lambda: of(mixed, 12), lambda: of(low, 16), lambda: of(mixed, 9) + "." + of(mixed, 10) + "." + of(mixed, 9)]
+    parts = ["thing", "inter", "nation", "under", "stand", "ation", "over", "ment", "work", "able"]
+    prose = lambda: " ".join("".join(r.choice(parts) for _ in range(r.randrange(1, 4))) for _ in range(150)) + " 2024-05-06 555-0123 10.20.30.40."
+    texts = [f'{prose()} password = "{f()}"' for f in forms for _ in range(60)]
+    secrets = [f() for f in forms for _ in range(20)]
+    texts += [f"{prose()} see {x}. {prose()}" for x in secrets] + [prose() for _ in range(100)]
+    rows = sorted(credentials.find_secrets(frame(spark, texts)).collect())
+    got = [[texts[x.doc_id][s.start : s.end] for s in x.spans if s.kind == "format"] for x in rows]
+    caught = [got[180 + i] == [x] for i, x in enumerate(secrets)]
+    assert all(sum(caught[k : k + 20]) >= 19 for k in (0, 20, 40)), [sum(caught[k : k + 20]) for k in (0, 20, 40)]
+    assert not any(got[:180]) and not any(got[240:])
+
+
+def test_floor_keeps_credentials_left_out_of_the_fit():
+    r = random.Random(9)
+    values = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(100)]
+    g = credentials.Grammars({"hex": values}, Counter(t for w in ["ordinary", "internationalisation"] * 500 for t in credentials.trigrams(w)))
+    assert g.recall == {"hex": 1.0}
+    assert all(g.best(v)[1] == "hex" for v in values) and g.best("internationalisation")[1] is None
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
