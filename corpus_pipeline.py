@@ -25,9 +25,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
-    kept = near_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi")
+    """One document of each near-duplicate group stays: the one with the smallest id.
+
+    Exactly the rows that aren't kept go. Id and text decide on a row, so rows are found again by both: ids may be null
+    or repeat. A row without id stays unless one with an id has the same words.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64("text"))
+    kept = near_dedup.near_duplicates(keyed, row_col="_row").filter("kept").select(F.col("doc_id").alias("_id"), F.col("row").alias("_kept")).distinct()
+    same = (F.col("_row") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return keyed.join(kept.hint("merge"), same, "left_semi").drop("_row")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

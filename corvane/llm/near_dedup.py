@@ -116,7 +116,8 @@ def _signatures(p: MinHash):
             bits = packed(m, p)
             signed = lambda x: np.array(x, np.uint64).astype(np.int64)
             bands = [k if c else None for k, c in zip(list(keys.astype(np.int64)), n, strict=True)]
-            yield S.batch(_SIG.names, [t.column(0), np.array(n), signed(h1), signed(h2), bands, [x.tobytes() for x in bits]], _SIG)
+            schema = _SIG.append(pa.field("row", pa.int64())) if t.num_columns > 2 else _SIG
+            yield S.batch(schema.names, [t.column(0), np.array(n), signed(h1), signed(h2), bands, [x.tobytes() for x in bits], *t.columns[2:]], schema)
 
     return run
 
@@ -200,8 +201,8 @@ def _confirm(p: MinHash):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: MinHash = MinHash()) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: MinHash = MinHash(), row_col: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept; with row_col (an integer) also that column, as `row`.
 
     Texts of equal sets collapse to their smallest id before any comparison. A bucket over params.bucket texts is not
     compared but becomes part of one family as a whole, so that nothing is left out; families are confirmed in pairs
@@ -213,8 +214,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     p, spark = params, docs.sparkSession
     S.prepare(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sig = S.materialise(docs.mapInArrow(_signatures(p), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary"), "sig")
+    row = [F.col(row_col).cast("long").alias("row")] if row_col else []
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *row)
+    sig = S.materialise(docs.mapInArrow(_signatures(p), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary" + ", row long" * len(row)), "sig")
     key = ["h1", "h2", "n_shingles"]
     classes = sig.filter("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     reps = S.materialise(sig.join(classes, key).filter("doc_id = rep").select("rep", "n_shingles", "bands", "sig"), "reps")
@@ -237,6 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = S.components(links, "linked")
 
     classes = classes.join(linked, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("root", "rep").alias("root"))
-    out = sig.select("doc_id", *key).join(classes, key, "left")
+    rest = ["row"] if row_col else []
+    out = sig.select("doc_id", *key, *rest).join(classes, key, "left")
     component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), *rest)

@@ -294,3 +294,15 @@ def test_pipeline_stages(spark):
             assert set(after) == {i for (i, t), h in zip(before.items(), plain_hits(before.values(), bench)) if not h[1]}
         if last:
             assert all(r.decoded_sha256 == hashlib.sha256(before[i].encode()).hexdigest() for i, r in after.items())
+
+
+def test_near_dedup_stage_with_null_and_repeated_ids(spark):
+    r = random.Random(6)
+    a, b, c, d, e = (" ".join(prose(r, 60)) for _ in range(5))
+    rows = [(1, a, "s"), (None, a, "s"), (2, a + " end", "s"), (None, b, "s"), (None, b, "s"), (None, None, "s"), (None, "", "s"), (7, c, "s"), (7, c, "s"), (3, d, "s"), (5, d, "s"), (5, e, "s")]
+    docs = frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    out = corpus_pipeline.near_dedup_stage(spark, docs, SF)
+    want = Counter([(1, a), (None, b), (None, b), (None, None), (None, ""), (7, c), (7, c), (5, e)] + [(3, d)])
+    assert out.columns == docs.columns and Counter((x.doc_id, x.text) for x in out.collect()) == want
+    flags = Counter(x.kept for x in near_dedup.near_duplicates(docs).collect())
+    assert flags == Counter({True: 9, False: 3})
