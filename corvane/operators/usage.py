@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import lookups as L
 from corvane.functions import scalars as S
+from corvane.runtime import store
 
 
 def unused_imports(imports: DataFrame, used: DataFrame, exported: DataFrame) -> DataFrame:
@@ -139,14 +140,15 @@ def registered_classes(classes: DataFrame, scans: DataFrame, rounds: int = 64) -
 
 
 def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(repo, a, z): every pair with a path a -> z, as of include graphs; edges: repo, a, z. Paths double in length each round."""
+    """(repo, a, z): every pair with a path a -> z, as of include graphs; edges: repo, a, z. Paths double in length each round.
+
+    Each round's paths are stored, as a plan that reads itself three times a round would soon be too large to run.
+    """
     paths = edges.select("repo", "a", "z").distinct()
     n = paths.count()
     for _ in range(rounds):
         longer = paths.alias("x").join(paths.alias("y"), (F.col("x.repo") == F.col("y.repo")) & (F.col("x.z") == F.col("y.a"))).select("x.repo", "x.a", "y.z")
-        paths = paths.unionByName(longer).distinct()
-        if paths.sparkSession.sparkContext.getCheckpointDir():
-            paths = paths.checkpoint()
+        paths = store(paths.unionByName(longer).distinct(), "paths")
         if (m := paths.count()) == n:
             break
         n = m

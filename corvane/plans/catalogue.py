@@ -539,6 +539,15 @@ def include_closure(spark, sf_dir):
     return usage.closure(e).select("a", "z")
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey // 3 AS z FROM orders WHERE o_orderkey >= 3), c AS (SELECT a, z FROM e UNION SELECT c.a, e.z FROM c JOIN e ON c.z = e.a)
+SELECT a, z FROM c""")
+def include_closure_all(spark, sf_dir):
+    """All orders as a forest, each under a third of its key, so paths grow with the orders and their length with the logarithm."""
+    e = table(spark, sf_dir, "orders").filter("o_orderkey >= 3").select(F.lit("r").alias("repo"), F.col("o_orderkey").alias("a"), F.expr("o_orderkey div 3").alias("z"))
+    return usage.closure(e).select("a", "z")
+
+
 @query("""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*')) AS word FROM documents)
 SELECT doc_id AS file FROM w WHERE word IN ('the', 'that', 'from') GROUP BY doc_id HAVING count(DISTINCT word) = 3""")

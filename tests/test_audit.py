@@ -200,3 +200,33 @@ def test_closure_and_spans(spark):
     assert {(r.a, r.z) for r in usage.closure(e).collect()} == {(p, q) for p in "abc" for q in "abc"} | {("x", "y")}
     s = spark.createDataFrame([("r", "f", 1, 5), ("r", "f", 2, 3), ("r", "f", 5, 7), ("r", "f", 9, 9)], "repo string, rel string, start int, end int")
     assert sorted((r.start, r.end) for r in jury.outermost_spans(s).collect()) == [(1, 7), (9, 9)]
+
+
+def test_closure_of_a_long_chain_and_a_forest(spark):
+    edges = [("a", i, i + 1) for i in range(150)] + [("b", i, i // 3) for i in range(3, 2000)] + [("c", 1, 2), ("c", 2, 1)]
+    to, want = {}, set()
+    for r, a, z in edges:
+        to.setdefault((r, a), []).append(z)
+    for r, a in to:
+        todo = [a]
+        while todo:
+            for z in to.get((r, todo.pop()), []):
+                if (r, a, z) not in want:
+                    want.add((r, a, z))
+                    todo.append(z)
+    got = usage.closure(spark.createDataFrame(edges, "repo string, a long, z long")).collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+
+
+def test_closure_query_reads_all_orders(spark):
+    from corvane.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    keys = [x[0] for x in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()]
+    have, want = {k for k in keys if k >= 3}, set()
+    for k in have:
+        z = k
+        while z in have:
+            z //= 3
+            want.add((k, z))
+    assert {tuple(x) for x in catalogue.QUERIES["include_closure_all"](spark, sf).collect()} == want
