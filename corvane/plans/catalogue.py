@@ -165,6 +165,16 @@ def unused_defs_outside_span(spark, sf_dir):
     return usage.unused_definitions(d, r).select("name")
 
 
+@query("""
+WITH d AS (SELECT p_partkey AS name, p_partkey * 7 AS s, p_partkey * 7 + 120000 AS e FROM part)
+SELECT name FROM d WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = name AND NOT l_orderkey BETWEEN s AND e)""")
+def unused_defs_outside_span_all(spark, sf_dir):
+    """As unused_defs_outside_span, with all references and wider definitions."""
+    d = table(spark, sf_dir, "part").select(F.lit("r").alias("repo"), F.lit("f").alias("rel"), F.col("p_partkey").alias("name"), (F.col("p_partkey") * 7).alias("start"), (F.col("p_partkey") * 7 + 120000).alias("end"))
+    r = table(spark, sf_dir, "lineitem").select(F.lit("r").alias("repo"), F.lit("f").alias("rel"), F.col("l_partkey").alias("name"), F.col("l_orderkey").alias("line"))
+    return usage.unused_definitions(d, r).select("name")
+
+
 @query("""
 WITH top AS (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS i FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE NOT l_orderkey BETWEEN l_partkey * 7 AND l_partkey * 7 + 1500))
 SELECT l_partkey AS name, string_agg('f:' || l_orderkey, ',' ORDER BY l_orderkey) AS evidence FROM top WHERE i <= 5 GROUP BY l_partkey""")
@@ -186,6 +196,20 @@ def dependency_never_imported(spark, sf_dir):
     return usage.unused_dependencies(deps, imported, refs).select("dist", "line")
 
 
+@query("""
+WITH d AS (SELECT n_name AS dist, n_nationkey AS line FROM nation UNION ALL SELECT s_name, s_suppkey FROM supplier UNION ALL SELECT 'Supplier#' || lpad((c_custkey * 2)::VARCHAR, 9, '0'), c_custkey FROM customer),
+imported AS (SELECT DISTINCT lower(n_name) AS m FROM nation), refs AS (SELECT s_name AS name FROM supplier)
+SELECT dist, line::BIGINT AS line FROM d WHERE lower(replace(dist, '-', '_')) NOT IN (SELECT m FROM imported) AND dist NOT IN (SELECT name FROM refs) AND lower(replace(dist, '-', '_')) NOT IN (SELECT name FROM refs)""")
+def dependency_never_imported_all(spark, sf_dir):
+    """As dependency_never_imported, with all imports and references; customers require suppliers of whom most don't exist."""
+    n, s, c, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer"), F.lit("r").alias("repo")
+    at = F.lit("requirements.txt")
+    wanted = F.concat(F.lit("Supplier#"), F.lpad((F.col("c_custkey") * 2).cast("string"), 9, "0"))
+    deps = n.select(r, F.col("n_name").alias("dist"), at.alias("rel"), F.col("n_nationkey").cast("long").alias("line")).union(s.select(r, "s_name", at, "s_suppkey")).union(c.select(r, wanted, at, "c_custkey"))
+    refs = s.select(r, F.col("s_name").alias("name"), F.lit("app.py").alias("rel"), F.lit(1).alias("line"))
+    return usage.unused_dependencies(deps, n.select(r, F.col("n_name").alias("root")), refs).select("dist", "line")
+
+
 @query("""
 WITH u AS (SELECT DISTINCT replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/', '.') AS path FROM pages),
 s AS (SELECT path, string_split(path, '.') AS p FROM u), h AS (SELECT path, p, unnest(range(1, len(p))) AS k FROM s),
@@ -211,6 +235,17 @@ def prefix_lookup(spark, sf_dir):
     return usage.built_names(names, prefixes).select("name", "prefix")
 
 
+@query("""
+WITH n AS (SELECT DISTINCT replace(p_name, ' ', '_') || '_' || p_brand AS name FROM part), p AS (SELECT DISTINCT replace(p_name, ' ', '_') || '_' AS prefix FROM part)
+SELECT name, arg_max(prefix, length(prefix)) AS prefix FROM n JOIN p ON starts_with(name, prefix) AND name <> prefix GROUP BY name""")
+def prefix_lookup_all(spark, sf_dir):
+    """As prefix_lookup, with the prefixes of all parts."""
+    p, r = table(spark, sf_dir, "part"), F.lit("r").alias("repo")
+    base = F.replace("p_name", F.lit(" "), F.lit("_"))
+    names = p.select(r, F.concat(base, F.lit("_"), "p_brand").alias("name")).distinct()
+    return usage.built_names(names, p.select(r, F.concat(base, F.lit("_")).alias("prefix"))).select("name", "prefix")
+
+
 @query("""
 WITH f AS (SELECT string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/') AS p, length(html) AS n FROM pages),
 u AS (SELECT p, n, unnest(range(0, len(p))) AS depth FROM f)

@@ -230,3 +230,20 @@ def test_closure_query_reads_all_orders(spark):
             z //= 3
             want.add((k, z))
     assert {tuple(x) for x in catalogue.QUERIES["include_closure_all"](spark, sf).collect()} == want
+
+
+def test_unused_queries_read_all_references(spark):
+    from corvane.plans import catalogue
+
+    sf, q = "/root/testdata/sf0.001", catalogue.QUERIES
+    rows = lambda name, *cols: [tuple(x) for x in spark.read.parquet(f"{sf}/{name}.parquet").select(*cols).collect()]
+    outside = {k for k, line in rows("lineitem", "l_partkey", "l_orderkey") if not k * 7 <= line <= k * 7 + 120000}
+    parts = {k for (k,) in rows("part", "p_partkey")}
+    assert {x[0] for x in q["unused_defs_outside_span_all"](spark, sf).collect()} == parts - outside
+    suppliers = {n for (n,) in rows("supplier", "s_name")}
+    want = sorted((d, c) for (c,) in rows("customer", "c_custkey") if (d := f"Supplier#{c * 2:09}") not in suppliers)
+    assert want and sorted(tuple(x) for x in q["dependency_never_imported_all"](spark, sf).collect()) == want
+    heads = {n.replace(" ", "_") + "_" for (n,) in rows("part", "p_name")}
+    names = {n.replace(" ", "_") + "_" + b for n, b in rows("part", "p_name", "p_brand")}
+    best = {n: max((h for h in heads if n.startswith(h) and n != h), key=len) for n in names}
+    assert dict(map(tuple, q["prefix_lookup_all"](spark, sf).collect())) == best
