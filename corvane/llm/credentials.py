@@ -4,7 +4,7 @@ Three patterns give the base spans and, with them, labelled credentials. From th
 prefix tree over character classes is built, and states whose futures are statistically compatible are merged
 (Hoeffding bound), which leaves a small probabilistic automaton of that kind's format. Every other token of a text,
 from the shortest length of a labelled credential on, is then scored by the likelihood that an automaton gives it,
-against that of ordinary words: a trigram model of the words and numbers of the other tokens.
+against that of ordinary tokens: a trigram model of all tokens that aren't labelled.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.llm import _shared as S
@@ -30,7 +31,8 @@ KINDS = ["assign", "access", "hex", "format"]
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % min(LEAST.values()))
 #: Where a token may be a credential with something else beside it: full stops round it, then its parts, coarse and fine.
 _PARTS = (re.compile(r"^\.+|\.+$"), re.compile(r"[.=/]"), re.compile(r"[+_-]"))
-#: What ordinary words are learned from: words, numbers and names made of them, as code has them. It keeps no token from being scored.
+#: Words, numbers and names made of them, as code has them, teach what is ordinary as often as they occur, tokens of any other shape once
+#: however many copies there are. It keeps no token from being scored.
 WORDS = re.compile(r"(?:[+/_.=-]|[A-Z]?[a-z]{2,}+|[A-Z]{2,}+(?![a-z])|[A-Za-z](?![A-Za-z0-9])|[0-9]++(?![A-Za-z]))++")
 #: Longer tokens are not remembered.
 _REMEMBERED = 64
@@ -53,72 +55,100 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 class Automaton:
-    """A probabilistic automaton inferred from counted words by merging compatible states of their prefix tree."""
+    """A probabilistic automaton inferred from counted words by merging compatible states of their prefix tree.
 
-    def __init__(self, words: dict[str, int], alpha: float = 0.01):
+    Two passes. States of one depth are merged first, wherever the Hoeffding bound doesn't tell their futures apart: that
+    pools the evidence of a level and keeps how long words are. How many symbols are left is a part of a state's future
+    that is counted at the state itself, as deep in the tree hardly a word follows another. Then a state may be merged with one of another depth, which
+    makes a loop, but only when at least `evidence` words passed either of them: too few words can't show that length is free.
+    """
+
+    def __init__(self, words: dict[str, int], alpha: float = 0.05, evidence: int = 30):
         self.next: list[dict[str, int]] = [{}]
-        self.passed, self.ended, self.taken = [0], [0], [Counter()]
+        self.passed, self.ended, self.taken, self.left = [0], [0], [Counter()], [Counter()]
         for word, n in words.items():
             at = 0
-            for c in word:
+            for i, c in enumerate(word):
                 self.passed[at] += n
                 self.taken[at][c] += n
+                self.left[at][len(word) - i] += n
                 if c not in self.next[at]:
                     self.next[at][c] = len(self.next)
                     self.next.append({})
                     self.passed.append(0)
                     self.ended.append(0)
                     self.taken.append(Counter())
+                    self.left.append(Counter())
                 at = self.next[at][c]
             self.passed[at] += n
             self.ended[at] += n
+            self.left[at][0] += n
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        red, blue = [0], sorted(self.next[0].values())
-        parent = {t: (s, c) for s, x in enumerate(self.next) for c, t in x.items()}
-        while blue:
-            at = max(blue, key=lambda s: self.passed[s])
-            for r in red:
-                if self._compatible(r, at):
-                    s, c = parent[at]
-                    self.next[s][c] = r
-                    self._fold(r, at, parent)
+        self.merged_into = list(range(len(self.next)))
+        level = [0]
+        while level := self._heads(level):
+            self._settle([], level, 0)
+        self.red = [0]
+        while blue := [s for s in self._heads(self.red) if s not in self.red]:
+            self._settle(self.red, blue[:1], evidence)
+            self.red = list(dict.fromkeys(map(self._find, self.red)))
+
+    def _find(self, s: int) -> int:
+        while (t := self.merged_into[s]) != s:
+            self.merged_into[s] = s = self.merged_into[t]
+        return s
+
+    def _heads(self, states: list[int]) -> list[int]:
+        """States that one symbol leads to, those that most words pass first."""
+        found = {self._find(t) for s in states for t in self.next[s].values()}
+        return sorted(found, key=lambda s: (-self.passed[s], s))
+
+    def _settle(self, settled: list[int], states: list[int], evidence: int) -> None:
+        """Merges each state into a settled one that is compatible with it; where there is none, it is settled too."""
+        for s in states:
+            s = self._find(s)
+            for r in settled:
+                if min(self.passed[r], self.passed[s]) >= evidence and self._compatible(r, s):
+                    self._merge(r, s)
                     break
             else:
-                red.append(at)
-            known = set(red)
-            blue = list({t for r in red for t in self.next[r].values()} - known)
-        self.red = red
+                settled.append(s)
 
     def _apart(self, f: int, n: int, g: int, m: int) -> bool:
         return bool(n and m) and abs(f / n - g / m) > self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
     def _compatible(self, r: int, b: int) -> bool:
-        todo = [(r, b)]
+        todo, seen = [(r, b)], set()
         while todo:
             x, y = todo.pop()
+            x, y = self._find(x), self._find(y)
+            if x == y or (x, y) in seen:
+                continue
+            seen.add((x, y))
             n, m = self.passed[x], self.passed[y]
-            if self._apart(self.ended[x], n, self.ended[y], m):
-                return False
-            for c in self.taken[x].keys() | self.taken[y].keys():
-                if self._apart(self.taken[x][c], n, self.taken[y][c], m):
+            for f, g in ((self.left[x], self.left[y]), (self.taken[x], self.taken[y])):
+                if any(self._apart(f[k], n, g[k], m) for k in f.keys() | g.keys()):
                     return False
             todo += [(self.next[x][c], t) for c, t in self.next[y].items() if c in self.next[x]]
         return True
 
-    def _fold(self, r: int, b: int, parent: dict) -> None:
-        """Adds the tree under b, which is no red state, to r."""
+    def _merge(self, r: int, b: int) -> None:
+        """Makes one state of two and, as a symbol leads to one state only, of the states behind them."""
         todo = [(r, b)]
         while todo:
-            x, y = todo.pop()
+            x, y = map(self._find, todo.pop())
+            if x == y:
+                continue
+            self.merged_into[y] = x
             self.passed[x] += self.passed[y]
             self.ended[x] += self.ended[y]
             self.taken[x] += self.taken[y]
+            self.left[x] += self.left[y]
             for c, t in self.next[y].items():
                 if c in self.next[x]:
                     todo.append((self.next[x][c], t))
                 else:
                     self.next[x][c] = t
-                    parent[t] = (x, c)
 
     def table(self) -> list[dict[str, tuple[int, float]]]:
         """Of each state, symbol -> (state, log probability); '' is the end. Unseen symbols have a small share."""
@@ -126,7 +156,7 @@ class Automaton:
         rows = []
         for s in self.red:
             total = self.passed[s] + 0.5 * (len(_ALPHABET) + 1)
-            row = {c: (index[t], math.log((self.taken[s][c] + 0.5) / total)) for c, t in self.next[s].items()}
+            row = {c: (index[self._find(t)], math.log((self.taken[s][c] + 0.5) / total)) for c, t in self.next[s].items()}
             row[""] = (index[s], math.log((self.ended[s] + 0.5) / total))
             row["?"] = (index[s], math.log(0.5 / total))
             rows.append(row)
@@ -151,9 +181,9 @@ def trigrams(word: str) -> list[str]:
 
 
 class Ordinary:
-    """A trigram model of the characters of ordinary words from counted trigrams; what is rare leans on bigrams and single characters.
+    """A trigram model of the characters of ordinary tokens; what is rare leans on bigrams and single characters.
 
-    `lean` is high so that a token's own few trigrams, which are counted too, don't make it ordinary.
+    `lean` is high so that a word's own few trigrams, which are counted too, don't make it ordinary.
     """
 
     def __init__(self, counts: dict[str, int], lean: float = 50.0):
@@ -258,26 +288,32 @@ def tokens(text: str, base: list[tuple[int, int, str, str]]) -> Iterator[tuple[i
 _LABELS = pa.schema([("kind", pa.string()), ("value", pa.string()), ("n", pa.int64())])
 
 
-def _labelled(longest: int):
-    """Credentials that the base patterns find, and the counted trigrams of the words among all other tokens."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = Counter()
-        for b in batches:
-            out, others = set(), Counter()
-            for text in b.column(0).to_pylist():
-                text = text or ""
-                spans = base_spans(text)
-                out.update((k, v) for _, _, k, v in spans if len(v) <= longest)
-                others.update(t for _, t in tokens(text, spans) if WORDS.fullmatch(t))
-            for word, n in others.items():
-                for t in trigrams(word):
+def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Credentials that the base patterns find with their kind; tokens that aren't words (kind odd); the trigrams of words with counts (kind plain)."""
+    plain = Counter()
+    for b in batches:
+        out, others = set(), Counter()
+        for text in b.column(0).to_pylist():
+            text = text or ""
+            spans = base_spans(text)
+            out.update((k, v) for _, _, k, v in spans)
+            others.update(t for _, t in tokens(text, spans))
+        for token, n in others.items():
+            if WORDS.fullmatch(token):
+                for t in trigrams(token):
                     plain[t] += n
-            rows = sorted(out)
-            yield S.batch(_LABELS.names, [[k for k, _ in rows], [v for _, v in rows], [1] * len(rows)], _LABELS)
-        yield S.batch(_LABELS.names, [["ordinary"] * len(plain), list(plain), list(plain.values())], _LABELS)
+            else:
+                out.add(("odd", token))
+        yield S.batch(_LABELS.names, [[k for k, _ in out], [v for _, v in out], [1] * len(out)], _LABELS)
+    yield S.batch(_LABELS.names, [["plain"] * len(plain), list(plain), list(plain.values())], _LABELS)
 
-    return run
+
+def _odd_trigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = Counter()
+    for b in batches:
+        for token in b.column(0).to_pylist():
+            n.update(trigrams(token))
+    yield S.batch(_LABELS.names, [["odd"] * len(n), list(n), list(n.values())], _LABELS)
 
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))])
@@ -308,26 +344,35 @@ def _scan(sent):
     return run
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 1000, longest: int = 128) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 1000, sample_chars: int = 200_000) -> DataFrame:
     """A row per row of docs: doc_id, spans (kind, start, end, score; ends exclusive, in code points, by start, then kind).
 
     Kinds assign, access and hex are the base patterns' and have no score; format is an inferred grammar's, with its
-    gain per character over ordinary words; tokens from the shortest labelled length on are tried, as wholes and in parts,
-    and likelihood alone decides. Ordinary words' trigrams are counted over the whole table. Grammars are fitted to at most `sample` distinct credentials of each kind of
-    at most `longest` characters, those with the smallest hashes among all that the whole table holds, so they are the same however the table is
-    dealt. Texts are scanned whole. A null text is empty and has no spans; without credentials there are base spans
-    only. Repeated rows give repeated rows; other columns of docs are not read.
+    gain per character over ordinary tokens; tokens from the shortest labelled length on are tried, as wholes and in parts,
+    and likelihood alone decides. The trigrams of all ordinary tokens are counted over the whole table. Grammars are fitted to
+    at most `sample` distinct credentials of each kind and `sample_chars` characters of them, those with the smallest
+    hashes among all that the whole table holds, so they are the same however the table is dealt; a credential of any
+    length may be among them. Texts are scanned whole, however long. A null text is empty and has no spans; without credentials there
+    are base spans only. Ids must be integers or cast to them. Repeated rows give repeated rows; an empty table gives
+    an empty result; other columns of docs are not read.
     """
     spark = docs.sparkSession
     S.prepare(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    labelled = rows.select("text").mapInArrow(_labelled(longest), "kind string, value string, n long")
-    labelled = S.materialise(labelled.groupBy("kind", "value").agg(F.sum("n").alias("n")), "credentials")
+    shape = "kind string, value string, n long"
+    seen = S.materialise(rows.select("text").mapInArrow(_candidates, shape).groupBy("kind", "value").agg(F.sum("n").alias("n")), "candidates")
+    labelled = seen.filter(F.col("kind").isin(*LEAST)).withColumn("h", F.xxhash64("value"))
     kinds = {}
-    for kind in ("assign", "access", "hex"):
-        kinds[kind] = [r["value"] for r in labelled.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
-    distinct = {r["kind"]: r["count"] for r in labelled.filter("kind <> 'ordinary'").groupBy("kind").count().collect()}
-    counts = {r["value"]: r["n"] for r in labelled.filter("kind = 'ordinary'").collect()}
+    for kind in LEAST:
+        # the window runs over at most `sample` rows
+        some = labelled.filter(F.col("kind") == kind).orderBy("h", "value").limit(sample)
+        upto = F.sum(F.length("value")).over(W.partitionBy("kind").orderBy("h", "value"))
+        kinds[kind] = [r["value"] for r in some.withColumn("upto", upto).filter(F.col("upto") <= sample_chars).orderBy("h", "value").select("value").collect()]
+    distinct = {r["kind"]: r["count"] for r in labelled.groupBy("kind").count().collect()}
+    odd = seen.filter("kind = 'odd'").select("value").mapInArrow(_odd_trigrams, shape).groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    # one less of each, so that no odd token speaks for itself
+    ordinary = seen.filter("kind = 'plain'").unionByName(odd.withColumn("n", F.col("n") - 1).filter("n > 0"))
+    counts = {r["value"]: r["n"] for r in ordinary.groupBy("value").agg(F.sum("n").alias("n")).collect()}  # at most the alphabet to the power of three
     grammars = Grammars(kinds, counts, distinct)
     found = rows.mapInArrow(_scan(spark.sparkContext.broadcast(grammars)), "doc_id long, spans array<struct<kind:string,start:long,end:long,score:double>>")
     return found

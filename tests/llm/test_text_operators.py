@@ -139,7 +139,8 @@ def test_secrets_base(spark, corpus):
     texts = corpus + cases
     got = {r.doc_id: r for r in credentials.find_secrets(frame(spark, texts + [None])).collect()}
     for i, t in enumerate(texts):
-        want = [(m.start(), 0, "assign", m.end()) for m in credentials.ASSIGN.finditer(t) if len(m[2]) >= 8]
+        assign = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+        want = [(m.start(), 0, "assign", m.end()) for m in re.finditer(assign, t) if m[1].isascii() and len(m[2]) >= 8]
         want += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
         want += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 32]
         assert [(s.start, s.kind, s.end) for s in got[i].spans if s.score is None] == [(s, k, e) for s, _, k, e in sorted(want)], t
@@ -148,16 +149,43 @@ def test_secrets_base(spark, corpus):
 
 
 def test_grammar_finds_unlabelled_formats(spark):
+    """What has the format of labelled credentials is found without a label; numbers and words as a text has them are not."""
     r = random.Random(7)
     key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
-    texts = [f'token = "{key()}" and so on' for _ in range(80)] + ["plain words only, internationalisationaliser"] * 20 + ["see XQ9-" + "".join(r.choice("0123456789abcde") for _ in range(24))]
+    numbers = lambda: f"call 555-{r.randrange(1000, 9999)} or {r.randrange(10**9, 10**10)}, card {r.randrange(10**15, 10**16)}, at 10.20.{r.randrange(99)}.40 on 2024-05-{r.randrange(10, 30)}"
+    texts = [f'token = "{key()}" and so on, {numbers()}' for _ in range(80)] + [f"plain words only, internationalisationaliser {numbers()}" for _ in range(20)]
+    planted = ["XQ9-" + "".join(r.choice("0123456789abcde") for _ in range(24))]
+    texts += [f"see {x} there" for x in planted]
     rows = credentials.find_secrets(frame(spark, texts)).collect()
-    by = {r.doc_id: [s.kind for s in r.spans] for r in rows}
-    assert all(by[i] == ["assign", "hex"] for i in range(80)) and all(by[i] == [] for i in range(80, 100))
-    a = credentials.Automaton(Counter({"dhdhdhdh" * n: 5 for n in range(2, 8)}))
-    assert len(a.red) < 40
-    t = a.table()
-    assert credentials.likelihood(t, "dhdhdhdh" * 3) > credentials.likelihood(t, "llllllll" * 3)
+    by = {r.doc_id: r.spans for r in rows}
+    assert all([s.kind for s in by[i]] == ["assign", "hex"] for i in range(80)) and all(by[i] == [] for i in range(80, 100))
+    found = [s for s in by[100] if s.kind == "format"]
+    assert len(found) == 1 and texts[100][found[0].start : found[0].end] in planted[0] and found[0].end - found[0].start >= 24
+
+
+def test_automata_keep_lengths_that_they_have_evidence_for():
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("hd") for _ in range(n))
+    fixed = credentials.Automaton(Counter(word(40) for _ in range(200)))
+    assert len(fixed.red) == 41
+    t = fixed.table()
+    assert credentials.likelihood(t, word(40)) > credentials.likelihood(t, word(39)) + 4 and credentials.likelihood(t, word(40)) > credentials.likelihood(t, "l" * 40)
+    free = credentials.Automaton(Counter(word(1 + int(r.expovariate(0.08))) for _ in range(2000)))
+    assert len(free.red) < 10
+    two = credentials.Automaton(Counter(["U" * 4 + word(8) if i % 2 else word(16) for i in range(400)])).table()
+    assert credentials.likelihood(two, "UUUU" + word(8)) > credentials.likelihood(two, "UUUU" + word(12)) + 4
+    few = credentials.Automaton(Counter("h" * n for n in (5, 9)))
+    assert len(few.red) == 10
+
+
+def test_credentials_of_any_length_may_teach(spark):
+    r = random.Random(5)
+    long = lambda: "".join(r.choice("0123456789abcdef") for _ in range(300))
+    texts = [f"token={long()}" for _ in range(40)] + [f"see {long()[:299].upper()}x here"]
+    g = {x.doc_id: [s.kind for s in x.spans] for x in credentials.find_secrets(frame(spark, texts)).collect()}
+    assert all(g[i] == ["assign", "hex"] for i in range(40))
+    few = credentials.find_secrets(frame(spark, texts), sample_chars=500).collect()
+    assert {x.doc_id: [s.kind for s in x.spans if s.kind != "format"] for x in few} == {i: [k for k in v if k != "format"] for i, v in g.items()}
 
 
 def test_short_letters_only_and_dotted_credentials(spark):
