@@ -2,13 +2,15 @@
 
 Each rule looks at one measure of a text and votes good (+1), bad (-1) or abstains (0). All texts with the same
 votes are alike to the model, so the votes of the whole corpus are one small table of patterns with counts (at most
-three to the power of the number of rules). Expectation-maximisation over that table estimates how
-often each rule votes bad on good texts and on bad ones of each kind; a pattern's posterior probability of being good
-replaces the filter that wants every rule passed.
+three to the power of the number of rules). Expectation-maximisation over that table estimates how often each rule
+votes bad, abstains or votes good on good texts and on each kind of other texts; how many kinds there are is settled by
+likelihood. A pattern's posterior probability of being good replaces the filter that wants every rule passed: a rule that
+errs on good texts is outvoted, and weak votes that agree can reject.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,10 +22,11 @@ from pyspark.sql import functions as F
 from corvane.llm import _shared as S
 
 SYMBOLS = b"#*$%&|<>"
+PUNCTUATION = string.punctuation.encode()
 BLANKS = " \t\n\v\f\r"
 WINDOW = 5
 
-_MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_distinct", "n_ends"]
+_MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_distinct", "n_ends", "n_punctuation"]
 _SCHEMA = pa.schema([("doc_id", pa.int64()), *((m, pa.int64()) for m in _MEASURES)])
 
 
@@ -60,7 +63,7 @@ def measure(text: str, hashes: S.WordHashes) -> tuple[int, ...]:
     upper = size - len(data.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     letters = upper + size - len(data.translate(None, b"abcdefghijklmnopqrstuvwxyz"))
     ends = data.count(b". ") + data.count(b".\n") + data.count(b", ") + data.endswith(b".")
-    return n, len(text) - blank, size - len(data.translate(None, SYMBOLS)), dup, repeat, lines, upper, letters, data.count(b"!") + data.count(b"?"), len(np.unique(h)), ends
+    return n, len(text) - blank, size - len(data.translate(None, SYMBOLS)), dup, repeat, lines, upper, letters, data.count(b"!") + data.count(b"?"), len(np.unique(h)), ends, size - len(data.translate(None, PUNCTUATION))
 
 
 def _measures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,6 +92,7 @@ def rules() -> list[Rule]:
         Rule("length", c("n_words") < 10, c("n_words") >= 40),
         Rule("repeats", share("n_repeat_words", "n_words") > 0.2, share("n_repeat_words", "n_words") < 0.05),
         Rule("symbols", share("n_symbols", "n_words") > 0.1, share("n_symbols", "n_words") < 0.02),
+        Rule("punctuation", share("n_punctuation", "word_chars") > 0.1, share("n_punctuation", "word_chars") <= 0.1),
         Rule("shouting", (c("n_letters") >= 20) & (share("n_upper", "n_letters") > 0.5), (c("n_letters") >= 20) & (share("n_upper", "n_letters") < 0.2)),
         Rule("marks", share("n_marks", "n_words") > 0.2, share("n_marks", "n_words") < 0.05),
         Rule("duplicate_lines", share("n_dup_lines", "n_lines") > 0.3, share("n_dup_lines", "n_lines") < 0.05),
@@ -98,53 +102,76 @@ def rules() -> list[Rule]:
     ]
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, steps: int = 300, slip: float = 0.005) -> dict:
-    """EM over vote patterns (rows) with their counts, for one class of good texts and one of bad ones for each rule.
+#: Pseudo-votes (bad, abstain, good) of a rule: one in all, so texts decide.
+_PRIOR = np.array([0.1, 0.1, 0.8])
 
-    Junk is of many kinds that have little in common, so a single bad class would let eight rules that see nothing
-    outvote the one that does. accuracy[k, j]: of the votes that rule j casts on texts of class k (0 is good, k + 1 the
-    kind that rule k was written for), how often it says bad; abstaining says nothing. Rules are written to err on few
-    good texts: EM may find a rule's slips on good texts rarer than `slip`, not more frequent.
+
+def fit(patterns: np.ndarray, counts: np.ndarray, gain: float = 0.01, steps: int = 500) -> dict:
+    """EM over vote patterns (rows) with their counts, for kinds of texts.
+
+    votes[k, j]: how often rule j votes bad, abstains and votes good on texts of kind k, free but for one pseudo-vote. A kind
+    is added as long as that raises the mean log likelihood of a text by `gain`; each rule in turn says where it might
+    start (texts that the rule holds bad, all else as in the most frequent kind), and the start that ends likeliest counts. bad[k]: texts
+    of the kind draw half a bad vote or more each; a kind with fewer is another kind of good texts, and so is that with the fewest.
     """
-    bad, cast = (patterns < 0).astype(float), (patterns != 0).astype(float)
-    m = patterns.shape[1]
-    accuracy = np.vstack([np.full(m, slip), np.full((m, m), 0.1) + 0.8 * np.eye(m)])
-    share = np.array([0.85] + [0.15 / m] * m)
-    was = np.zeros((len(patterns), m + 1))
-    for _ in range(steps):
-        p = _classes(patterns, {"accuracy": accuracy, "share": share})
-        n = (p * counts[:, None]).T
-        # pseudo-votes: a rule that hardly votes stays where it starts
-        accuracy = (n @ bad + np.vstack([np.full(m, 100 * slip), np.full((m, m), 0.2) + 1.6 * np.eye(m)])) / (n @ cast + np.vstack([np.full(m, 100.0), np.full((m, m), 2.0)]))
-        accuracy[0] = np.clip(accuracy[0], 1e-4, slip)
-        accuracy[1:] = np.clip(accuracy[1:], 1e-3, 0.999)
-        accuracy[np.arange(m) + 1, np.arange(m)] = np.clip(accuracy[np.arange(m) + 1, np.arange(m)], 0.7, 0.999)
-        share = (n.sum(axis=1) + np.array([1] + [1 / m] * m)) / (counts.sum() + 2)
-        if np.abs(p - was).max(initial=0) < 1e-9:
+    x, m = _one_hot(patterns), patterns.shape[1]
+    best = _em(x, counts, np.tile([0.02, 0.1, 0.88], (1, m, 1)), np.ones(1), steps)
+    while len(best["share"]) <= m:
+        tries = []
+        for j in range(m):
+            start = best["votes"][best["share"].argmax()].copy()
+            start[j] = [0.9, 0.05, 0.05]
+            tries.append(_em(x, counts, np.concatenate([best["votes"], start[None]]), np.append(0.95 * best["share"], 0.05), steps))
+        new = max(tries, key=lambda t: t["likelihood"])
+        if new["likelihood"] - best["likelihood"] < gain:
             break
-        was = p
-    return {"accuracy": accuracy, "share": share}
+        best = new
+    drawn = best["votes"][:, :, 0].sum(axis=1)
+    best["bad"] = (drawn >= 0.5) & (drawn > drawn.min())
+    return best
+
+
+def _one_hot(patterns: np.ndarray) -> np.ndarray:
+    return np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
 
 
-def _classes(patterns: np.ndarray, model: dict) -> np.ndarray:
-    bad, good = (patterns < 0).astype(float), (patterns > 0).astype(float)
-    a = model["accuracy"]
-    z = np.log(model["share"]) + bad @ np.log(a).T + good @ np.log(1 - a).T
-    p = np.exp(z - z.max(axis=1, keepdims=True))
-    return p / p.sum(axis=1, keepdims=True)
+def _kinds(x: np.ndarray, votes: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The probability of each kind, given a pattern, and the log likelihood of each pattern."""
+    z = np.log(share) + np.einsum("pjv,kjv->pk", x, np.log(votes))
+    top = z.max(axis=1, keepdims=True)
+    e = np.exp(z - top)
+    total = e.sum(axis=1, keepdims=True)
+    return e / total, (top + np.log(total))[:, 0]
+
+
+def _em(x: np.ndarray, counts: np.ndarray, votes: np.ndarray, share: np.ndarray, steps: int) -> dict:
+    was = -np.inf
+    for _ in range(steps):
+        p, log = _kinds(x, votes, share)
+        now = float(counts @ log) / counts.sum()
+        if now - was < 1e-9:
+            break
+        was, n = now, p * counts[:, None]
+        cast = np.einsum("pk,pjv->kjv", n, x) + _PRIOR
+        votes = cast / cast.sum(axis=2, keepdims=True)
+        share = (n.sum(axis=0) + 1) / (counts.sum() + len(share))
+    return {"votes": votes, "share": share, "likelihood": was}
 
 
 def posterior(patterns: np.ndarray, model: dict) -> np.ndarray:
     """The probability of good, given a pattern of votes."""
-    return _classes(patterns, model)[:, 0]
+    p, _ = _kinds(_one_hot(patterns), model["votes"], model["share"])
+    return p[:, ~model["bad"]].sum(axis=1)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.5) -> DataFrame:
     """A row per row of docs: doc_id, the measures, base_failed, votes (one letter per rule), probability, kept.
 
     base_failed: fewer than 10 words, or more than 20 in 100 of them in five-word windows found twice or more.
-    kept: false if base_failed, else whether the probability of good is at least `keep`. A null text has no words.
-    Rows come out as they come in; an empty table gives an empty result. Other columns of docs are not read.
+    kept: false if base_failed, else whether the probability of good is at least `keep`. A null or empty text has no words.
+    Texts are measured whole, however long; windows are compared by 64-bit hashes of their words, so n_repeat_words is
+    exact but for a collision. Ids must be integers or cast to them. Rows come out as they come in, repeated ones too; an
+    empty table gives an empty result. Other columns of docs are not read.
     """
     spark = docs.sparkSession
     S.prepare(spark)

@@ -118,20 +118,38 @@ def test_quality_agrees_with_labels(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.1
 
 
+def voted(r, rows, bad, abstain=None):
+    """Votes of rows texts: bad[j] how often rule j says bad, abstain[j] how often it abstains."""
+    u, bad, abstain = r.random((rows, len(bad))), np.array(bad), np.array(abstain or [0] * len(bad))
+    return np.where(u < bad, -1, np.where(u < bad + abstain, 0, 1))
+
+
 def test_em_finds_accuracies():
-    """Two kinds of junk, each seen by a rule of its own, and a rule that sees half of both."""
+    """Two kinds of junk, each seen by two rules of its own; two that see half of both; one that errs on a tenth of all texts."""
     r = np.random.default_rng(3)
-    kind = r.choice(3, 20_000, p=[0.8, 0.12, 0.08])
-    votes = np.where(r.random((len(kind), 4)) < 0.001, -1, 1)
-    votes[(kind == 1) & (r.random(len(kind)) < 0.95), 0] = -1
-    votes[(kind == 2) & (r.random(len(kind)) < 0.9), 1] = -1
-    votes[(kind > 0) & (r.random(len(kind)) < 0.5), 2] = -1
-    votes[r.random(len(kind)) < 0.3, 3] = 0
+    told = {0: [0.01, 0.02, 0.02, 0.01, 0.03, 0.1, 0.03], 1: [0.95, 0.8, 0.01, 0.02, 0.5, 0.1, 0.6], 2: [0.02, 0.01, 0.9, 0.7, 0.5, 0.1, 0.6]}
+    kind = np.repeat([0, 1, 2], [24_000, 3_600, 2_400])
+    votes = np.concatenate([voted(r, (kind == k).sum(), bad, [0, 0, 0, 0, 0, 0.3, 0]) for k, bad in told.items()])
     patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     m = quality.fit(patterns, counts.astype(float))
+    order = np.argsort(-m["share"])
+    assert m["bad"][order].tolist() == [False, True, True] and np.abs(m["share"][order] - [0.8, 0.12, 0.08]).max() < 0.03
+    assert np.abs(m["votes"][order, :, 0] - np.array(list(told.values()))).max() < 0.05
     p = quality.posterior(patterns, m)[where.ravel()]
-    assert abs(m["share"][0] - 0.8) < 0.03 and ((p > 0.5) == (kind == 0)).mean() > 0.98
-    assert m["accuracy"][0].max() <= 0.005
+    assert ((p > 0.5) == (kind == 0)).mean() > 0.97
+    noisy, weak, two = quality.posterior(np.array([[1, 1, 1, 1, 1, -1, 1], [1, 1, 1, -1, 1, 1, 1], [1, 1, 1, -1, -1, 1, -1]]), m)
+    assert noisy > 0.95, "a rule that errs as often on good texts is outvoted"
+    assert weak > 0.5 > two, "one weak vote is not enough, two are"
+    assert (votes[kind == 0].min(axis=1) < 0).mean() > 0.1, "a filter that wants every rule passed loses a tenth of the good texts"
+
+
+def test_quality_differs_from_all_rules_passed(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    rows = quality.quality(docs).filter("not base_failed").join(labels.select("doc_id", "quality"), "doc_id", "left").select("votes", "kept", "quality").collect()
+    other = [x for x in rows if x.kept != ("b" not in x.votes)]
+    assert len(other) > 20
+    saved = [x for x in other if x.kept and x.quality is not None]
+    assert all(x.kept for x in rows if x.quality == 1) and saved
 
 
 def test_secrets_base(spark, corpus):
