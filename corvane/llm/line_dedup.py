@@ -32,38 +32,48 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.hash(line, F.length(line)).alias("b"))
 
 
-def boilerplate(pages: DataFrame, site: str = "site", lines: str = "lines", ratio: float = 0.05, least: int = 2) -> DataFrame:
+def boilerplate(pages: DataFrame, site: str = "site", lines: str = "lines", ratio: float = 0.05) -> DataFrame:
     """site, n_pages, keys: of each site with boilerplate, its number of pages and the keys of its boilerplate lines.
 
-    pages: rows with a site and an array of lines. A line counts once a page. It is boilerplate when at least `least`
-    pages and more than ratio of the site's pages hold it; two is the smallest `least` that doesn't empty a site of one
-    page. Blank lines never are. Pages without a site are a site.
+    pages: rows with a site and an array of lines. A line counts once a page. It is boilerplate when more than ratio of the
+    site's pages hold it and it is on another page too: a line of one page repeats nothing. Blank lines never are. Pages
+    without a site are a site. Lines are told apart by 96 bits of hashes, not by their text.
     """
     each = pages.select(F.col(site).alias("site"), F.explode(F.array_distinct(F.transform(F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))), _key))).alias("key"))
-    often = each.groupBy("site", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    often = each.groupBy("site", "key").agg(F.count("*").alias("n")).filter("n > 1")
     total = pages.groupBy(F.col(site).alias("all_site")).agg(F.count("*").alias("n_pages"))
     over = often.join(total, F.col("site").eqNullSafe(F.col("all_site"))).filter(F.col("n") > ratio * F.col("n_pages"))
     return over.groupBy("site").agg(F.max("n_pages").alias("n_pages"), F.sort_array(F.collect_list("key")).alias("keys"))
 
 
-def mark_lines(pages: DataFrame, site: str = "site", lines: str = "lines", ratio: float = 0.05, least: int = 2) -> DataFrame:
+def mark_lines(pages: DataFrame, site: str = "site", lines: str = "lines", ratio: float = 0.05) -> DataFrame:
     """pages with two more columns: kept (the lines that stay, in order) and dropped (those that go).
 
-    Empty line arrays stay empty and a null array counts as one. Repeated rows are pages of their own. Columns other than
-    the two named are carried along; `kept` and `dropped` take the place of columns of those names.
+    Empty line arrays stay empty and a null array counts as one; lines may be of any length. Repeated rows are pages of
+    their own. Columns other than the two named are carried along whatever their names; `kept` and `dropped` take the
+    place of columns of those names. An empty table gives an empty result.
+    """
+    lists = S.materialise(boilerplate(pages, site, lines, ratio), "boilerplate")
+    size = lists.agg(F.coalesce(F.sum(16 * F.size("keys") + 32 + F.coalesce(F.octet_length("site"), F.lit(0))), F.lit(0)).alias("n")).first()["n"]
+    page, lists = pages.select(F.struct("*").alias("page")), lists.select("site", "keys")
+    out = page.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, F.col(f"page.{site}").eqNullSafe(F.col("site")), "left")
+    none = F.array().cast("array<string>")
+    all_lines = F.coalesce(F.col(f"page.{lines}"), none)
+    gone = F.coalesce(F.col("keys"), F.array().cast("array<struct<a:bigint,b:int>>"))
+    kept = F.when(F.size(gone) == 0, all_lines).otherwise(F.filter(all_lines, lambda x: ~F.array_contains(gone, _key(x))))
+    dropped = F.when(F.size(gone) == 0, none).otherwise(F.filter(all_lines, lambda x: F.array_contains(gone, _key(x))))
+    out = out.select("page", F.struct(kept.alias("kept"), dropped.alias("dropped")).alias("mark"))
+    own = [F.col(f"page.{c}") for c in pages.columns if c not in ("kept", "dropped")]
+    return out.select(*own, "mark.kept", "mark.dropped")
+
+
+def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = 0.05) -> DataFrame:
+    """docs with boilerplate lines taken from the text, line ends as they were. Columns and rows stay as they are.
+
+    A null text stays null and an empty one empty; texts of any length are taken whole; null sites are one site; repeated
+    rows are documents of their own; an empty table gives an empty result.
     """
-    lists = S.materialise(boilerplate(pages, site, lines, ratio, least).select(F.col("site").alias("_site"), F.col("keys").alias("_keys")), "boilerplate")
-    size = lists.agg(F.coalesce(F.sum(16 * F.size("_keys") + 32 + F.coalesce(F.octet_length("_site"), F.lit(0))), F.lit(0)).alias("n")).first()["n"]
-    out = pages.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, F.col(site).eqNullSafe(F.col("_site")), "left")
-    all_lines = F.coalesce(F.col(lines), F.array().cast("array<string>"))
-    gone = F.coalesce(F.col("_keys"), F.array().cast("array<struct<a:bigint,b:int>>"))
-    out = out.withColumns({"kept": F.when(F.size(gone) == 0, all_lines).otherwise(F.filter(all_lines, lambda x: ~F.array_contains(gone, _key(x)))), "dropped": F.when(F.size(gone) == 0, F.array().cast("array<string>")).otherwise(F.filter(all_lines, lambda x: F.array_contains(gone, _key(x))))})
-    return out.drop("_site", "_keys")
-
-
-def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = 0.05, least: int = 2) -> DataFrame:
-    """docs with boilerplate lines taken from the text, line ends as they were; a null text stays null. Columns stay as they are."""
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(site).alias("site"), F.split(F.col(text), "\n", -1).alias("lines"))
-    rest = mark_lines(rows, "site", "lines", ratio, least)
+    rest = mark_lines(rows, "site", "lines", ratio)
     new = F.when(F.size("dropped") == 0, F.col(f"doc.{text}")).otherwise(F.array_join("kept", "\n"))
     return rest.select(*(new.alias(c) if c == text else F.col(f"doc.{c}") for c in docs.columns))
