@@ -3,12 +3,15 @@
 import base64
 import gzip
 import hashlib
+import io
 import random
 import re
+import zlib
 from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from corvane.llm import _shared as S
 from corvane.llm import decontaminate, line_dedup, near_dedup, repeats, warc
@@ -173,31 +176,48 @@ def test_merged_transforms_agree_with_sorting():
 # --- archives
 
 
-def test_archives_round_trip(spark):
-    pages = [(3, "http://a/b c", "same", 1), (1, "http://x/", "same", 1), (9, "http://x/2", "same", 1), (4, None, None, 1), (5, "http://e/", "", 1), (6, "http://n/", "a\r\n\r\nWARC/1.1\r\né😀", 1), (7, "http://n/", "x" * 300_000, 1), (1, "http://x/", "same", 1), (None, "http://q/", "same", 1)]
+@pytest.mark.parametrize("broadcast_bytes", [10**8, 0])
+def test_archives_round_trip(spark, broadcast_bytes):
+    pages = [(3, "http://a/b c", "same", 1), (1, "http://x/", "same", 1), (9, "http://x/2", "same", 1), (4, None, None, 1), (5, "http://e/", "", 1), (6, "http://n/", "a\r\n\r\nWARC/1.1\r\né😀", 1), (7, "http://n/", "x" * 300_000, 1), (1, "http://x/", "same", 1), (None, "http://q/", "same", 1), (9, "http://x/2", "other", 1), (None, "u", "alone", 1)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, record_type int")
     path = S.scratch_path(spark, "warc-test")
-    warc.write_warc(warc.resolve_revisits(df), path, per_file=2)
+    warc.write_warc(warc.resolve_revisits(df, broadcast_bytes=broadcast_bytes), path, file_bytes=600)
     rows = warc.read_warc(spark, path).collect()
     assert len(rows) == len(pages)
     by = {}
     for x in rows:
-        by.setdefault(x.page_id, []).append(x)
+        by.setdefault((x.page_id, x.payload_digest), []).append(x)
     for i, _, html, _ in pages:
         data = (html or "").encode()
-        for x in by[i]:
-            assert x.payload_bytes == len(data) and x.payload_digest == base64.b32encode(hashlib.sha1(data).digest()).decode()
+        found = by[i, base64.b32encode(hashlib.sha1(data).digest()).decode()]
+        for x in found:
+            assert x.payload_bytes == len(data)
             assert x.payload is None if x.record_type == "revisit" else bytes(x.payload) == data
-    assert [(x.record_type, x.refers_to) for x in by[3] + by[9] + by[None]] == [("revisit", 1)] * 3
-    assert [(x.record_type, x.refers_to) for x in by[1] + by[4]] == [("response", None)] * 3 and by[5][0].refers_to == 4
-    first = next(warc.parse_records(b"".join(gzip.decompress(bytes(r.content)) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).limit(1).collect())))
-    assert first[0]["warc-record-id"].startswith("<urn:uuid:")
-    assert warc.resolve_revisits(df, min_payload=5).filter("record_type = 'revisit'").count() == 0
+    kinds = lambda i, html: [(x.record_type, x.refers_to) for x in by[i, base64.b32encode(hashlib.sha1(html).digest()).decode()]]
+    assert kinds(3, b"same") + kinds(9, b"same") + kinds(None, b"same") == [("revisit", 1)] * 3 and kinds(5, b"") == [("revisit", 4)]
+    assert kinds(1, b"same") + kinds(4, b"") + kinds(9, b"other") + kinds(None, b"alone") == [("response", None)] * 5
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()]
+    assert len(files) > 2 and sum(f.count(b"\x1f\x8b\x08") for f in files) >= len(pages)
+    for f in files:  # each record is a member: decompressing one member gives one whole record
+        while f:
+            d = zlib.decompressobj(31)
+            head = d.decompress(f)
+            assert head.startswith(b"WARC/1.1\r\nWARC-Type: ") and head.endswith(b"\r\n\r\n") and b"WARC-Record-ID: <urn:uuid:" in head
+            assert (b"WARC-Refers-To-Date: " in head) == (b"WARC-Type: revisit" in head)
+            f = d.unused_data
+    assert warc.resolve_revisits(df, min_payload=5, broadcast_bytes=broadcast_bytes).filter("record_type = 'revisit'").count() == 0
     empty = S.scratch_path(spark, "warc-empty")
-    warc.write_warc(warc.resolve_revisits(df.limit(0)), empty)
+    warc.write_warc(warc.resolve_revisits(df.limit(0), broadcast_bytes=broadcast_bytes), empty)
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_long_records_close_their_archives():
+    long = "WARC/1.1\r\nContent-Length: 17000000\r\n\r\n" + "x" * 17_000_000 + "\r\n\r\n"
+    batches = [pa.RecordBatch.from_arrays([pa.array([long, long])], names=["record"])]
+    out = [bytes(b.column(0)[0].as_py()) + b"\0" for b in warc._archives(10)(batches)]
+    assert len(out) == 2 and all([len(block) for _, block in warc.parse_records(gzip.open(io.BytesIO(f)))] == [17_000_000] for f in out)
+
+
 # --- decontamination
 
 
@@ -254,7 +274,7 @@ def test_lines(spark):
     docs, total, often = frame(spark, rows), Counter(s for _, _, s in rows), Counter()
     for _, t, s in rows:
         often.update({(s, x) for x in (t or "").split("\n") if x.strip()})
-    gone = {k for k, n in often.items() if n >= 5 and n > 0.3 * total[k[0]]}
+    gone = {k for k, n in often.items() if n >= 2 and n > 0.3 * total[k[0]]}
     assert gone
     out = line_dedup.drop_boilerplate(docs, ratio=0.3)
     got = {x.doc_id: x.text for x in out.collect()}
@@ -262,6 +282,10 @@ def test_lines(spark):
     for i, t, s in rows:
         assert got[i] == (None if t is None else "\n".join(x for x in t.split("\n") if (s, x) not in gone))
     assert line_dedup.drop_boilerplate(docs.limit(0)).count() == 0
+    odd = spark.createDataFrame([("a", ["m", "x" * 400_000], 1, 2, 3), ("a", ["m"], 4, 5, 6), ("a", None, 7, 8, 9)], "site string, lines array<string>, _site int, keys int, page int")
+    marked = line_dedup.mark_lines(odd)
+    assert marked.columns == [*odd.columns, "kept", "dropped"]
+    assert sorted((x["_site"], x["keys"], x["page"], [len(y) for y in x["kept"]], x["dropped"]) for x in marked.collect()) == [(1, 2, 3, [400_000], ["m"]), (4, 5, 6, [], ["m"]), (7, 8, 9, [], [])]
     urls = spark.createDataFrame([("http://User@Ex.com:80/a",), ("nothing",), (None,), ("https://b.org?x",)], "u string")
     assert [x[0] for x in urls.select(line_dedup.host_of(F.col("u"))).collect()] == ["ex.com", None, None, "b.org"]
     assert [x[0] for x in spark.createDataFrame([("<p>a<b>c</b>\n d <!-- x<p>y --><script>z</script>",)], "h string").select(line_dedup.html_lines(F.col("h"))).collect()] == [["a", "c", "d"]]
