@@ -52,11 +52,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def prepare(spark: SparkSession, rows: int = 500) -> None:
-    """Ships the package to the workers and keeps Arrow batches small, as single texts can be very long."""
+#: Bytes and rows of an Arrow batch at most; a longer text is a batch of its own.
+BATCH_BYTES, BATCH_ROWS = 16 << 20, 500
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the package to the workers and keeps the session's Arrow batches small, as single texts can be very long.
+
+    The plans built here are run by the caller, so the session keeps these limits unless it had smaller ones.
+    """
     ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(size, "-1").rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def batch(names: list[str], columns: list, schema: pa.Schema) -> pa.RecordBatch:

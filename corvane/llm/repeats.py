@@ -294,7 +294,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an anchor with over params.group of them the single strings are counted by hash instead.
     """
     p, spark = params, docs.sparkSession
-    S.prepare(spark, 200)
+    S.prepare(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
         rows = rows.select(F.col("doc_id").alias("row"), "doc_id", "text")
