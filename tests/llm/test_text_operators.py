@@ -242,6 +242,42 @@ def test_toxicity_held_out(spark):
     assert hit / sum(t for _, t in rows) > 0.9 and hit / max(1, sum(g.predicted for g, _ in rows)) > 0.95
 
 
+def test_label_model_finds_rates_and_correlations():
+    """Votes alone: toxic texts are mild or harsh, which makes votes go together; one voter mostly repeats another; one tells nothing."""
+    r = np.random.default_rng(4)
+    n = 40_000
+    truth, harsh = r.random(n) < 0.3, r.random(n) < 0.5
+    clean = np.array([0.02, 0.05, 0.03, 0.04, 0.05, 0.3])
+    mild, hard = np.array([0.5, 0.4, 0.45, 0.5, 0.4, 0.3]), np.array([0.95, 0.9, 0.85, 0.95, 0.9, 0.3])
+    fires = np.where(truth[:, None], np.where(harsh[:, None], hard, mild), clean)
+    votes = (r.random((n, 6)) < fires).astype(float)
+    told = np.corrcoef(votes[truth].T)
+    for labels in (np.full(n, -1), np.where(np.arange(n) < 2000, truth, -1)):
+        q, m = toxicity.label_model(votes, labels)
+        assert abs(q.mean() - 0.3) < 0.03
+        assert np.abs(m.marginal(1) - (mild + hard) / 2).max() < 0.05 and np.abs(m.marginal(0) - clean).max() < 0.05
+        found = m.correlation(1)
+        assert np.abs(found - told)[np.triu_indices(6, 1)].max() < 0.06 and found[0, 1] > 0.15
+        assert ((q > 0.5) == truth).mean() > 0.95
+        sure = (q > 0.6) & (q < 0.99)
+        assert abs(truth[sure].mean() - q[sure].mean()) < 0.06, "posteriors are as sure as they are right"
+    copied = np.column_stack([votes, np.where(r.random(n) < 0.97, votes[:, 0], 1 - votes[:, 0])])
+    q, m = toxicity.label_model(copied, np.where(np.arange(n) < 2000, truth, -1), kinds=4)
+    assert abs(q.mean() - 0.3) < 0.03 and m.correlation(1)[0, 6] > 0.6, "a copied voter is known as one"
+
+
+def test_labels_dont_settle_what_a_text_is():
+    """A labelled row gets the posterior of its votes, whatever its label."""
+    r = np.random.default_rng(5)
+    truth = r.random(4000) < 0.5
+    votes = (r.random((4000, 6)) < np.where(truth[:, None], 0.7, 0.05)).astype(float)
+    labels = np.where(np.arange(4000) < 1000, truth, -1)
+    flipped = labels.copy()
+    flipped[:50] = 1 - flipped[:50]
+    q, _ = toxicity.label_model(votes, flipped)
+    assert ((q > 0.5) == truth)[:50].mean() > 0.9
+
+
 def test_toxicity_edges(spark):
     docs = frame(spark, ["you absolute zanzibar " + str(i) if i % 2 else "fine text " + str(i) for i in range(60)] + [None, ""])
     labels = spark.createDataFrame([(i, 1, i % 2, "t") for i in range(60)] + [(None, 1, 1, "t"), (3, 1, None, "t")], "doc_id long, quality int, toxic int, text string")
