@@ -127,12 +127,24 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+#: A node with over one in so many of all edges is a hub: there are fewer than twice as many hubs, so they are broadcast.
+_HUBS = 2000
+
+
+def _with_least(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """rows (u, v) with m, the least neighbour of u in `least` (u, m, n). Rows of hubs stay where they are: all hubs' m are broadcast."""
+    hot = F.col("n") > max(100, n // _HUBS)
+    hubs = F.broadcast(least.filter(hot).select("u", "m"))
+    rest = rows.join(hubs.select("u"), "u", "left_anti").join(least.filter(~hot).select("u", "m"), "u")
+    return rows.join(hubs, "u").unionByName(rest)
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, root): each node of the undirected edges (u, v) with the smallest node that it reaches.
 
     Alternating large-star and small-star steps: every step keeps the components, points nodes at smaller
-    ones and is a grouped minimum plus an equi-join, so no component ever meets in one task. Edges of
-    every step are written to the shared folder; only their count and a checksum reach the driver.
+    ones and is a grouped minimum plus a join, of which the hubs' part is a broadcast, so no component and no hub ever
+    meets in one task. Edges of every step are written to the shared folder; only their count and a checksum reach the driver.
     """
 
     def lean(df: DataFrame) -> DataFrame:
@@ -146,11 +158,11 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     was = state(now)
     while was[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.filter("v > u"), least, 2 * was[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = lean(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, was[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = materialise(lean(small), name)
         if (new := state(now)) == was:
             break

@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared but becomes part of one family as a whole, so that nothing is left out; families are confirmed in pairs
     of blocks of bounded size. The cost of a family grows with the square of its *different* texts only.
 
-    Null or wordless texts have no shingles and link with nothing. Rows that share an id are one document. A null id
+    Texts count as equal when size and two 64-bit sums over their shingles' hashes are. Null or wordless texts have no
+    shingles and link with nothing; texts of any length are read whole. Ids must be integers or cast to them. Rows that share an id are one document. A null id
     cannot stand for its class: such a row points at the smallest id of its class and is kept only when no id is there.
     Other columns of docs are not read. An empty table gives an empty result.
     """
@@ -219,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = S.materialise(docs.mapInArrow(_signatures(p), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary" + ", row long" * len(row)), "sig")
     key = ["h1", "h2", "n_shingles"]
     classes = sig.filter("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    reps = S.materialise(sig.join(classes, key).filter("doc_id = rep").select("rep", "n_shingles", "bands", "sig"), "reps")
+    reps = S.materialise(sig.join(classes, key).filter("doc_id = rep").groupBy(*key, "rep").agg(*(F.first(c).alias(c) for c in ("bands", "sig"))).drop("h1", "h2"), "reps")
 
     banded = reps.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1")
