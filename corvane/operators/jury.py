@@ -68,6 +68,21 @@ def single_decision(kind: Column, verdict: Column, confidence: Column, refuted:
     return F.when(F.coalesce(remove, F.lit(False)), "REMOVE").otherwise("KEEP")
 
 
+def finding_key() -> Column:
+    """What votes call a finding: equal names and lines of two repositories are two findings."""
+    return F.concat_ws(":", "repo", "kind", "file", "line", "name")
+
+
+def with_outcomes(findings: DataFrame, proofs: DataFrame) -> DataFrame:
+    """findings with proof set to the recorded outcome of their unit, one row each. proofs: repo, kind, file, name, proof, and line where known.
+
+    Of several outcomes of one unit the one that isn't a pass counts.
+    """
+    key = ["repo", "kind", "file", *(["line"] if "line" in proofs.columns else []), "name"]
+    settled = proofs.groupBy(*key).agg(F.min_by("proof", F.struct((F.col("proof") == "passed").alias("ok"), "proof")).alias("outcome"))
+    return findings.join(settled, key, "left").withColumn("proof", F.coalesce("outcome", "proof")).drop("outcome")
+
+
 def default_final(verdict: Column) -> Column:
     """The final verdict where no model judged."""
     return F.when(verdict == "AMBIGUOUS", "KEEP").otherwise(verdict)

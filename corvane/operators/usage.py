@@ -104,7 +104,7 @@ def run_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, key, "left_anti").withColumn("change", F.lit("new")).unionByName(a.join(b, key, "left_anti").withColumn("change", F.lit("gone")))
 
 
-def registered_classes(classes: DataFrame, scans: DataFrame, rounds: int = 64) -> DataFrame:
+def registered_classes(classes: DataFrame, scans: DataFrame) -> DataFrame:
     """Classes that may be found without their name: (repo, rel, name, why).
 
     classes: repo, rel, name, bases (as written), metaclass, init_subclass, external_roots (names that the file imports
@@ -128,25 +128,27 @@ def registered_classes(classes: DataFrame, scans: DataFrame, rounds: int = 64) -
     edges = c.filter(parent).select(*key, F.col("b").alias("parent")).distinct()
     hooks = classes.filter("init_subclass").select("repo", F.col("name").alias("parent")).distinct()
     marked = marked.unionByName(edges.join(hooks, ["repo", "parent"]).select(*key, F.concat("parent", F.lit(" defines __init_subclass__")).alias("why"))).groupBy(*key).agg(F.min("why").alias("why"))
+    edges, marked = store(edges, "edges"), store(marked, "marked")
     n = marked.count()
-    for _ in range(rounds):
+    while n:
         up = marked.select("repo", F.col("name").alias("parent"), "why").groupBy("repo", "parent").agg(F.min("why").alias("why"))
         down = edges.join(up, ["repo", "parent"]).select(*key, "why").join(marked.select(*key), key, "left_anti").groupBy(*key).agg(F.min("why").alias("why"))
-        marked = marked.unionByName(down).checkpoint() if marked.sparkSession.sparkContext.getCheckpointDir() else marked.unionByName(down)
+        marked = store(marked.unionByName(down), "marked")
         if (m := marked.count()) == n:
             break
         n = m
     return marked
 
 
-def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(repo, a, z): every pair with a path a -> z, as of include graphs; edges: repo, a, z. Paths double in length each round.
 
-    Each round's paths are stored, as a plan that reads itself three times a round would soon be too large to run.
+    Each round's paths are stored, as a plan that reads itself three times a round would soon be too large to run. The
+    result is as large as the pairs are many: the square of a component's nodes at most.
     """
-    paths = edges.select("repo", "a", "z").distinct()
+    paths = store(edges.select("repo", "a", "z").distinct(), "paths")
     n = paths.count()
-    for _ in range(rounds):
+    while n:
         longer = paths.alias("x").join(paths.alias("y"), (F.col("x.repo") == F.col("y.repo")) & (F.col("x.z") == F.col("y.a"))).select("x.repo", "x.a", "y.z")
         paths = store(paths.unionByName(longer).distinct(), "paths")
         if (m := paths.count()) == n:

@@ -56,8 +56,9 @@ class Audit:
 def run(spark: SparkSession, roots: dict[str, str], packs: list[Pack] | None = None, proofs: DataFrame | None = None, votes: DataFrame | None = None, patterns: str | None = None, on_stage: Callable[[str], None] = lambda stage: None) -> Audit:
     """Audits repositories (name -> folder).
 
-    proofs (repo, kind, file, name, proof): recorded outcomes of test runs; given at all, code whose removal didn't pass stays.
-    votes: as jury_decision takes them, with finding = kind:file:line:name; its decision replaces the default. patterns:
+    proofs (repo, kind, file, name, proof, and line where known): recorded outcomes of test runs; given at all, code whose
+    removal didn't pass stays. Of several outcomes of one unit a failed one counts.
+    votes: as jury_decision takes them, with finding = jury.finding_key: repo:kind:file:line:name; its decision replaces the default. patterns:
     custom signatures, separated by a double bar. on_stage is told each stage's name.
     """
     on_stage("ingest")
@@ -84,13 +85,13 @@ def run(spark: SparkSession, roots: dict[str, str], packs: list[Pack] | None = N
     if votes is not None:
         on_stage("judgement")
         d = jury.jury_decision(votes).select(F.col("finding").alias("key"), "decision")
-        found = found.withColumn("key", F.concat_ws(":", "kind", "file", "line", "name")).join(d, "key", "left").drop("key")
+        found = found.withColumn("key", jury.finding_key()).join(d, "key", "left").drop("key")
         judged = F.col("decision").isNotNull()
         found = found.withColumn("final", F.coalesce("decision", "final"))
     found = found.withColumn("judged", judged).drop("decision")
     if proofs is not None:
         on_stage("proof")
-        found = found.join(proofs.withColumnRenamed("proof", "outcome"), ["repo", "kind", "file", "name"], "left").withColumn("proof", F.coalesce("outcome", "proof")).drop("outcome")
+        found = jury.with_outcomes(found, proofs)
         found = found.withColumn("final", jury.after_proof(F.col("final"), F.col("kind"), F.col("proof")))
     found = store(found, "findings")
     on_stage("payoff")

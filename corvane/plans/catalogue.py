@@ -156,20 +156,10 @@ def unused_orders(spark, sf_dir):
     return usage.unused_imports(one("orders", "o_orderkey", "bound"), used, used.limit(0)).select("bound")
 
 
-@query("""
-WITH d AS (SELECT p_partkey AS name, p_partkey * 7 AS s, p_partkey * 7 + 1500 AS e FROM part)
-SELECT name FROM d WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_quantity >= 49 AND l_returnflag = 'A' AND l_partkey = name AND NOT l_orderkey BETWEEN s AND e)""")
-def unused_defs_outside_span(spark, sf_dir):
-    d = table(spark, sf_dir, "part").select(F.lit("r").alias("repo"), F.lit("f").alias("rel"), F.col("p_partkey").alias("name"), (F.col("p_partkey") * 7).alias("start"), (F.col("p_partkey") * 7 + 1500).alias("end"))
-    r = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49 and l_returnflag = 'A'").select(F.lit("r").alias("repo"), F.lit("f").alias("rel"), F.col("l_partkey").alias("name"), F.col("l_orderkey").alias("line"))
-    return usage.unused_definitions(d, r).select("name")
-
-
 @query("""
 WITH d AS (SELECT p_partkey AS name, p_partkey * 7 AS s, p_partkey * 7 + 120000 AS e FROM part)
 SELECT name FROM d WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = name AND NOT l_orderkey BETWEEN s AND e)""")
-def unused_defs_outside_span_all(spark, sf_dir):
-    """As unused_defs_outside_span, with all references and wider definitions."""
+def unused_defs_outside_span(spark, sf_dir):
     d = table(spark, sf_dir, "part").select(F.lit("r").alias("repo"), F.lit("f").alias("rel"), F.col("p_partkey").alias("name"), (F.col("p_partkey") * 7).alias("start"), (F.col("p_partkey") * 7 + 120000).alias("end"))
     r = table(spark, sf_dir, "lineitem").select(F.lit("r").alias("repo"), F.lit("f").alias("rel"), F.col("l_partkey").alias("name"), F.col("l_orderkey").alias("line"))
     return usage.unused_definitions(d, r).select("name")
@@ -184,24 +174,12 @@ def top5_evidence(spark, sf_dir):
     return usage.evidence(d, r).select("name", F.array_join("evidence", ",").alias("evidence"))
 
 
-@query("""
-WITH d AS (SELECT n_name AS dist, n_nationkey AS line FROM nation UNION ALL SELECT s_name, s_suppkey FROM supplier),
-imported AS (SELECT DISTINCT lower(n_name) AS m FROM nation WHERE n_nationkey % 3 = 0), refs AS (SELECT s_name AS name FROM supplier WHERE s_suppkey % 2 = 0)
-SELECT dist, line::BIGINT AS line FROM d WHERE lower(replace(replace(dist, '_', '-'), '-', '_')) NOT IN (SELECT m FROM imported) AND dist NOT IN (SELECT name FROM refs) AND lower(replace(dist, '-', '_')) NOT IN (SELECT name FROM refs)""")
-def dependency_never_imported(spark, sf_dir):
-    n, s, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier"), F.lit("r").alias("repo")
-    deps = n.select(r, F.col("n_name").alias("dist"), F.lit("requirements.txt").alias("rel"), F.col("n_nationkey").cast("long").alias("line")).union(s.select(r, "s_name", F.lit("requirements.txt"), "s_suppkey"))
-    imported = n.filter("n_nationkey % 3 = 0").select(r, F.col("n_name").alias("root"))
-    refs = s.filter("s_suppkey % 2 = 0").select(r, F.col("s_name").alias("name"), F.lit("app.py").alias("rel"), F.lit(1).alias("line"))
-    return usage.unused_dependencies(deps, imported, refs).select("dist", "line")
-
-
 @query("""
 WITH d AS (SELECT n_name AS dist, n_nationkey AS line FROM nation UNION ALL SELECT s_name, s_suppkey FROM supplier UNION ALL SELECT 'Supplier#' || lpad((c_custkey * 2)::VARCHAR, 9, '0'), c_custkey FROM customer),
 imported AS (SELECT DISTINCT lower(n_name) AS m FROM nation), refs AS (SELECT s_name AS name FROM supplier)
 SELECT dist, line::BIGINT AS line FROM d WHERE lower(replace(dist, '-', '_')) NOT IN (SELECT m FROM imported) AND dist NOT IN (SELECT name FROM refs) AND lower(replace(dist, '-', '_')) NOT IN (SELECT name FROM refs)""")
-def dependency_never_imported_all(spark, sf_dir):
-    """As dependency_never_imported, with all imports and references; customers require suppliers of whom most don't exist."""
+def dependency_never_imported(spark, sf_dir):
+    """Customers require suppliers of whom most don't exist."""
     n, s, c, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer"), F.lit("r").alias("repo")
     at = F.lit("requirements.txt")
     wanted = F.concat(F.lit("Supplier#"), F.lpad((F.col("c_custkey") * 2).cast("string"), 9, "0"))
@@ -224,22 +202,10 @@ def longest_prefix_match(spark, sf_dir):
     return usage.longest_prefix(paths, modules).select("path", "module", "name")
 
 
-@query("""
-WITH n AS (SELECT DISTINCT replace(p_name, ' ', '_') || '_' || p_brand AS name FROM part), p AS (SELECT DISTINCT replace(p_name, ' ', '_') || '_' AS prefix FROM part WHERE p_partkey % 5 = 0)
-SELECT name, arg_max(prefix, length(prefix)) AS prefix FROM n JOIN p ON starts_with(name, prefix) AND name <> prefix GROUP BY name""")
-def prefix_lookup(spark, sf_dir):
-    p, r = table(spark, sf_dir, "part"), F.lit("r").alias("repo")
-    base = F.replace("p_name", F.lit(" "), F.lit("_"))
-    names = p.select(r, F.concat(base, F.lit("_"), "p_brand").alias("name")).distinct()
-    prefixes = p.filter("p_partkey % 5 = 0").select(r, F.concat(base, F.lit("_")).alias("prefix"))
-    return usage.built_names(names, prefixes).select("name", "prefix")
-
-
 @query("""
 WITH n AS (SELECT DISTINCT replace(p_name, ' ', '_') || '_' || p_brand AS name FROM part), p AS (SELECT DISTINCT replace(p_name, ' ', '_') || '_' AS prefix FROM part)
 SELECT name, arg_max(prefix, length(prefix)) AS prefix FROM n JOIN p ON starts_with(name, prefix) AND name <> prefix GROUP BY name""")
-def prefix_lookup_all(spark, sf_dir):
-    """As prefix_lookup, with the prefixes of all parts."""
+def prefix_lookup(spark, sf_dir):
     p, r = table(spark, sf_dir, "part"), F.lit("r").alias("repo")
     base = F.replace("p_name", F.lit(" "), F.lit("_"))
     names = p.select(r, F.concat(base, F.lit("_"), "p_brand").alias("name")).distinct()
@@ -566,18 +532,10 @@ def path_functions(spark, sf_dir):
     return p.select("page_id", "url", F.lower(F.regexp_extract("url", r"[^/.]\.([^./?#]+)$", 1)).alias("suffix"), S.folder(bare).alias("dir"), F.startswith("url", F.lit("http://")).alias("plain"), S.base_name(bare).alias("base"))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 40 AS a, (o_custkey * 7 + 3) % 40 AS z FROM orders WHERE o_custkey % 3 = 0), c AS (SELECT a, z FROM e UNION SELECT c.a, e.z FROM c JOIN e ON c.z = e.a)
-SELECT a, z FROM c""")
-def include_closure(spark, sf_dir):
-    e = table(spark, sf_dir, "orders").filter("o_custkey % 3 = 0").select(F.lit("r").alias("repo"), (F.col("o_custkey") % 40).alias("a"), ((F.col("o_custkey") * 7 + 3) % 40).alias("z"))
-    return usage.closure(e).select("a", "z")
-
-
 @query("""
 WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey // 3 AS z FROM orders WHERE o_orderkey >= 3), c AS (SELECT a, z FROM e UNION SELECT c.a, e.z FROM c JOIN e ON c.z = e.a)
 SELECT a, z FROM c""")
-def include_closure_all(spark, sf_dir):
+def include_closure(spark, sf_dir):
     """All orders as a forest, each under a third of its key, so paths grow with the orders and their length with the logarithm."""
     e = table(spark, sf_dir, "orders").filter("o_orderkey >= 3").select(F.lit("r").alias("repo"), F.col("o_orderkey").alias("a"), F.expr("o_orderkey div 3").alias("z"))
     return usage.closure(e).select("a", "z")

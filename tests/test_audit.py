@@ -101,6 +101,31 @@ def test_run(spark, repo, tmp_path):
     assert d["gone"]["total"] == 1 and d["new"]["total"] == 0
 
 
+def test_votes_and_proofs_stay_in_their_repository(spark, tmp_path):
+    """Two repositories with the same file: what is said of one finding says nothing of its twin, nor of a namesake on another line."""
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "utils.py").write_text("import os\nimport sys\n\n\ndef f():\n    return 1\n\n\nif f():\n    pass\nelse:\n    import os\n")
+    roots = {n: str(tmp_path / n) for n in ("one", "two")}
+    vote = lambda finding, verdict: [(finding, m, "import", verdict, 0.9, False, None, False) for m in ("a", "b", "c")]
+    votes = spark.createDataFrame(vote("one:import:utils.py:2:sys", "keep"), "finding string, model string, kind string, verdict string, confidence double, has_evidence boolean, error string, refuted boolean")
+    judged = {(r.repo, r.line, r.name): (r.final, r.judged) for r in audit.run(spark, roots, votes=votes).findings.filter("kind = 'import'").collect()}
+    assert judged["one", 2, "sys"] == ("KEEP", True) and judged["two", 2, "sys"] == ("REMOVE", False)
+    rows = [("two", "import", "utils.py", 1, "os", "passed"), ("two", "import", "utils.py", 1, "os", "failed: tests"), ("two", "import", "utils.py", 12, "os", "passed"), ("one", "import", "utils.py", 2, "sys", "passed")]
+    proofs = spark.createDataFrame(rows, "repo string, kind string, file string, line int, name string, proof string")
+    found = audit.run(spark, roots, proofs=proofs).findings.filter("kind = 'import'").collect()
+    proved = {(r.repo, r.line, r.name): r.proof for r in found}
+    assert len(found) == len(proved) == 6
+    assert proved["two", 1, "os"] == "failed: tests" and proved["two", 12, "os"] == proved["one", 2, "sys"] == "passed" and proved["one", 1, "os"] == proved["two", 2, "sys"] == "not run"
+
+
+def test_long_chains_of_classes_are_marked_to_the_end(spark):
+    chain = [("r", "a.py", f"C{i}", [f"C{i - 1}"] if i else [], "Meta" if i == 0 else None, False, []) for i in range(90)] + [("r", "a.py", "Free", ["object"], None, False, [])]
+    classes = spark.createDataFrame(chain, "repo string, rel string, name string, bases array<string>, metaclass string, init_subclass boolean, external_roots array<string>")
+    got = usage.registered_classes(classes, spark.createDataFrame([], "repo string, name string")).collect()
+    assert {r.name for r in got} == {f"C{i}" for i in range(90)} and len({r.why for r in got}) == 1
+
+
 def test_copies_need_text_and_skip_comments(spark):
     body = [f"value_{i} = transform_input_number_{i}(left, right)" for i in range(6)]
     files = [("r", "a.rb", "Ruby", "\n".join(body)), ("r", "b.rb", "Ruby", "\n".join(["# x", *body[:3], "", "# note", *body[3:]])), ("r", "c.rb", "Ruby", "end\n" * 12), ("q", "d.rb", "Ruby", "\n".join(body)), ("r", "e.c", "C", "/* a\n b */ int main_function_with_name(int x);\n*/\nx /* c */ y\n// z\n#include <x>\n};")]
@@ -229,7 +254,7 @@ def test_closure_query_reads_all_orders(spark):
         while z in have:
             z //= 3
             want.add((k, z))
-    assert {tuple(x) for x in catalogue.QUERIES["include_closure_all"](spark, sf).collect()} == want
+    assert {tuple(x) for x in catalogue.QUERIES["include_closure"](spark, sf).collect()} == want
 
 
 def test_unused_queries_read_all_references(spark):
@@ -239,11 +264,11 @@ def test_unused_queries_read_all_references(spark):
     rows = lambda name, *cols: [tuple(x) for x in spark.read.parquet(f"{sf}/{name}.parquet").select(*cols).collect()]
     outside = {k for k, line in rows("lineitem", "l_partkey", "l_orderkey") if not k * 7 <= line <= k * 7 + 120000}
     parts = {k for (k,) in rows("part", "p_partkey")}
-    assert {x[0] for x in q["unused_defs_outside_span_all"](spark, sf).collect()} == parts - outside
+    assert {x[0] for x in q["unused_defs_outside_span"](spark, sf).collect()} == parts - outside
     suppliers = {n for (n,) in rows("supplier", "s_name")}
     want = sorted((d, c) for (c,) in rows("customer", "c_custkey") if (d := f"Supplier#{c * 2:09}") not in suppliers)
-    assert want and sorted(tuple(x) for x in q["dependency_never_imported_all"](spark, sf).collect()) == want
+    assert want and sorted(tuple(x) for x in q["dependency_never_imported"](spark, sf).collect()) == want
     heads = {n.replace(" ", "_") + "_" for (n,) in rows("part", "p_name")}
     names = {n.replace(" ", "_") + "_" + b for n, b in rows("part", "p_name", "p_brand")}
     best = {n: max((h for h in heads if n.startswith(h) and n != h), key=len) for n in names}
-    assert dict(map(tuple, q["prefix_lookup_all"](spark, sf).collect())) == best
+    assert dict(map(tuple, q["prefix_lookup"](spark, sf).collect())) == best
