@@ -201,3 +201,12 @@ def fewer_tests(before: Column, after: Column) -> Column:
     passed = lambda t: F.coalesce(last_count(t, r"(\d+) passed"), last_count(t, r"Ran (\d+) tests?"))
     skipped = lambda t: F.coalesce(last_count(t, r"(\d+) skipped"), F.lit(0))
     return F.coalesce(passed(after) < passed(before), passed(before).isNotNull() & passed(after).isNull()) | (skipped(after) > skipped(before))
+
+
+#: Names of settings that hold secrets.
+SECRET_SETTING = r"(?i)TOKEN|SECRET|PASSWORD|PASSWD|API_?KEY|ACCESS_?KEY|PRIVATE|CREDENTIAL|^AZURE_|^AWS_|^GITHUB_|^ANTHROPIC_|^OPENAI_"
+
+
+def is_secret_setting(name: Column) -> Column:
+    """Whether a setting must not reach a foreign test run."""
+    return name.rlike(SECRET_SETTING)

@@ -10,34 +10,42 @@ from corvane.functions import lookups as L
 from corvane.functions import scalars as S
 
 
-def _without_blocks(lines: Column) -> Column:
-    """(number, text) of each line without /* */ comments; the state runs along the lines of one file."""
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<ln:int,text:string>>").alias("out"))
+def _cut(text: Column) -> tuple[Column, Column]:
+    """What a line that starts outside a block comment says, and whether it ends inside one."""
+    closed = S.strip(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "))
+    at = F.instr(closed, "/*")
+    return F.when(at > 0, S.strip(F.substr(closed, F.lit(1), at - 1))).otherwise(closed), at > 0
 
-    def step(acc, line):
-        text = S.strip(line["text"])
-        ends = F.instr(text, "*/")
-        opened = F.when(acc["inside"], F.when(ends > 0, S.strip(F.substr(text, ends + 2))).otherwise("")).otherwise(text)
-        still = acc["inside"] & (ends == 0)
-        closed = S.strip(F.regexp_replace(opened, r"(?s)/\*.*?\*/", " "))
-        at = F.instr(closed, "/*")
-        rest = F.when(at > 0, S.strip(F.substr(closed, F.lit(1), at - 1))).otherwise(closed)
-        row = F.struct(line["ln"].alias("ln"), F.when(still, "").otherwise(rest).alias("text"))
-        return F.struct((still | (at > 0)).alias("inside"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    return F.aggregate(lines, start, step)["out"]
+def _without_blocks(rows: DataFrame) -> DataFrame:
+    """rows (repo, rel, ln, text, blocks) without what is inside /* */ comments, followed along the lines of files where `blocks` holds.
+
+    A line either settles the state behind it, keeps it or turns it over. So the state before a line is that behind the
+    last line that settled it, turned over as often as lines since then do: two running values, whatever a file's length.
+    """
+    end = F.instr("text", "*/")
+    (plain, opens), (rest, reopens) = _cut(F.col("text")), _cut(S.strip(F.substr(F.col("text"), end + 2)))
+    r = rows.select("*", plain.alias("plain"), F.when(end > 0, rest).otherwise("").alias("rest"), opens.alias("opens"), ((end == 0) | reopens).alias("stays"))
+    by = W.partitionBy("repo", "rel").orderBy("ln")
+    turns = (F.col("opens") & ~F.col("stays")).cast("int")
+    r = r.withColumn("turned", F.sum(turns).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    settled = F.when(F.col("opens") == F.col("stays"), F.struct(F.col("opens").alias("state"), "turned"))
+    r = r.withColumn("last", F.last(settled, ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1)))
+    odd = F.pmod(F.col("turned") - turns - F.coalesce("last.turned", F.lit(0)), F.lit(2)) == 1
+    inside = F.coalesce("last.state", F.lit(False)) != odd
+    text = F.when(~F.col("blocks"), F.col("text")).when(inside, F.col("rest")).otherwise(F.col("plain"))
+    return r.select("repo", "rel", "lang", "ln", text.alias("text"))
 
 
 def significant_lines(files: DataFrame) -> DataFrame:
     """(repo, rel, pos, ln, text) of each line that carries code, with whitespace squeezed; pos counts from 0 in a file.
 
     files: repo, rel, lang, text. Blank, comment, punctuation-only and import lines carry none. Block comments
-    are followed along the lines of a file that holds any; other files skip that pass.
+    are followed along the lines of files whose language has them.
     """
-    numbered = F.transform(F.split("text", "\n", -1), lambda t, i: F.struct((i + 1).alias("ln"), t.alias("text")))
-    plain = F.transform(numbered, lambda r: F.struct(r["ln"].alias("ln"), S.strip(r["text"]).alias("text")))
     has_blocks = F.col("lang").isin(L.BLOCK_COMMENT_LANGUAGES) & F.contains("text", F.lit("/*"))
-    rows = files.select("repo", "rel", "lang", F.explode(F.when(has_blocks, _without_blocks(numbered)).otherwise(plain)).alias("r")).select("repo", "rel", "lang", "r.ln", "r.text")
+    rows = files.select("repo", "rel", "lang", has_blocks.alias("blocks"), F.posexplode(F.split("text", "\n", -1)).alias("i", "t"))
+    rows = _without_blocks(rows.select("repo", "rel", "lang", "blocks", (F.col("i") + 1).alias("ln"), S.strip(F.col("t")).alias("text")))
     marks = S._map({k: "|".join(v) for k, v in L.LINE_COMMENTS.items()})
     own = F.coalesce(F.try_element_at(marks, F.col("lang")), F.lit(""))
     comment = F.exists(F.split(own, r"\|"), lambda m: (m != "") & F.startswith(F.col("text"), m)) | F.startswith("text", F.lit("<!--")) | F.startswith("text", F.lit("*"))

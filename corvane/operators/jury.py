@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corvane.functions import lookups as L
 from corvane.functions import scalars as S
 from corvane.operators.edits import answer_json, line_names
+from corvane.runtime import ship
 
 ANSWER = "verdict string, reason string, confidence string, evidence array<string>, refuted boolean"
 
@@ -18,6 +19,7 @@ def parse_votes(answers: DataFrame) -> DataFrame:
 
     The last complete JSON object of an answer counts. An answer outside the format is no vote; a confidence that is no number is 0.
     """
+    ship(answers.sparkSession)
     a = answers.withColumn("j", F.from_json(answer_json(F.col("answer")), ANSWER))
     verdict = F.lower(S.strip(F.col("j.verdict")))
     error = F.when(F.col("answer").isNull(), "no answer").when(F.coalesce(~verdict.isin("keep", "remove"), F.lit(True)), F.concat(F.lit("answered off-format: "), F.substring("answer", 1, 120)))
@@ -30,6 +32,7 @@ def checked_evidence(cited: DataFrame, findings: DataFrame, lines: DataFrame, te
     unit's own, and for an import lies in its own file. findings: finding, repo, kind, file, line, end_line, name; lines: repo, rel, line, text. The first ten items count.
     On lines of Python only names in code count, unless the finding's verdict is AMBIGUOUS or text_counts (repo, rel) names the file as one that looks names up.
     """
+    ship(cited.sparkSession)
     items = cited.select("finding", "model", F.posexplode(F.slice("evidence", 1, 10)).alias("i", "item"))
     items = items.withColumns({"rel": F.regexp_extract("item", r"^(.*):\s*\d+\s*$", 1), "at": F.expr(r"try_cast(regexp_extract(item, ':\\s*(\\d+)\\s*$', 1) as int)")})
     open_ = (F.col("verdict") == "AMBIGUOUS") if "verdict" in findings.columns else F.lit(False)

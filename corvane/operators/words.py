@@ -50,3 +50,34 @@ def unused_units(units: DataFrame, counts: DataFrame) -> DataFrame:
     kept = F.coalesce(F.col("keep"), F.lit(False)) | (F.col("scope") == "public")
     reason = F.when(F.coalesce("keep", F.lit(False)), F.col("reason")).when(F.col("scope") == "public", "public: its users may be elsewhere").otherwise(F.concat(F.lit("no use in its "), F.col("scope")))
     return unused.select("repo", "rel", "lang", "kind", "name", "show", "start", "end", F.when(kept, "AMBIGUOUS").otherwise("REMOVE").alias("verdict"), reason.alias("reason"), "scope")
+
+
+def named_elsewhere(units: DataFrame, counts: DataFrame) -> DataFrame:
+    """Units whose name another file of their repository holds as a word: code there may reach them by string. units: repo, rel, name; counts: repo, rel, word.
+
+    A name's files are counted once and its own file is taken off, so a frequent word costs a row for each unit, not for each file.
+    """
+    held = counts.select("repo", "rel", F.col("word").alias("name")).distinct()
+    n = held.groupBy("repo", "name").agg(F.count("*").alias("n"))
+    own = held.withColumn("own", F.lit(1))
+    u = units.join(n, ["repo", "name"]).join(own, ["repo", "rel", "name"], "left")
+    return u.filter(F.col("n") > F.coalesce("own", F.lit(0))).select(*units.columns)
+
+
+def built_styles(units: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Units (repo, name) whose name may be put together: a literal elsewhere is its start up to a joint, or its end from one. pieces: repo, piece.
+
+    A name's own heads (which end with a joint) and tails (which begin with one) are joined with the literals by equality.
+    """
+    joint = F.filter(F.sequence(F.lit(1), F.length("name")), lambda i: F.substr(F.col("name"), i, F.lit(1)).isin("-", "_"))
+    size = F.length("name")
+    heads = F.transform(F.filter(joint, lambda i: i < size), lambda i: F.substr(F.col("name"), F.lit(1), i))
+    tails = F.transform(F.filter(joint, lambda i: i > 1), lambda i: F.substr(F.col("name"), i, size))
+    parts = units.withColumn("piece", F.explode(F.array_distinct(F.concat(heads, tails))))
+    return parts.join(pieces.select("repo", "piece").distinct(), ["repo", "piece"], "left_semi").drop("piece").distinct()
+
+
+def seen_share(units: DataFrame, seen: DataFrame) -> DataFrame:
+    """repo, rel, names, seen, mostly_unseen: of each file's different names how many are seen elsewhere, and whether fewer than half are. seen: repo, name."""
+    u = units.select("repo", "rel", "name").distinct().join(seen.select("repo", "name").distinct().withColumn("hit", F.lit(1)), ["repo", "name"], "left")
+    return u.groupBy("repo", "rel").agg(F.count("*").alias("names"), F.count("hit").alias("seen")).withColumn("mostly_unseen", F.col("seen") * 2 < F.col("names"))

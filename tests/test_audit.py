@@ -1,6 +1,7 @@
 """The audit end to end on a repository with a history, its sources, ledger, streams and packs."""
 
 import io
+import re
 import os
 import stat
 import subprocess
@@ -134,6 +135,35 @@ def test_copies_need_text_and_skip_comments(spark):
     assert [(r.rel, r.line, r.end_line, r.of_rel, r.of_line) for r in copies.copied_blocks(lines).collect()] == [("b.rb", 2, 9, "a.rb", 1)]
 
 
+def test_block_comments_as_a_loop_would(spark):
+    import random
+
+    r = random.Random(2)
+    bits = ["/*", "*/", " x ", "y", "/* z */", "//", "*"]
+    texts = ["\n".join("".join(r.choice(bits) for _ in range(r.randrange(0, 5))) for _ in range(12)) for _ in range(300)]
+
+    def plain(text):
+        inside, out = False, []
+        for ln, line in enumerate(text.split("\n"), 1):
+            line = line.strip()
+            if inside:
+                if "*/" not in line:
+                    continue
+                line = line.split("*/", 1)[1].strip()
+            line = re.sub(r"/\*.*?\*/", " ", line).strip()
+            inside = "/*" in line
+            line = line.split("/*", 1)[0].strip() if inside else line
+            if line and re.search("[a-z]", line) and not line.startswith(("//", "*", "<!--")):
+                out.append((ln, " ".join(line.split())))
+        return out
+
+    df = spark.createDataFrame([("r", f"{i}.c", "C", t) for i, t in enumerate(texts)], "repo string, rel string, lang string, text string")
+    got = {}
+    for x in copies.significant_lines(df).orderBy("rel", "pos").collect():
+        got.setdefault(x.rel, []).append((x.ln, x.text))
+    assert got == {f"{i}.c": want for i, t in enumerate(texts) if (want := plain(t))}
+
+
 def test_uploads(spark):
     def archive(*entries):
         data = io.BytesIO()
