@@ -169,8 +169,44 @@ def test_merged_transforms_agree_with_sorting():
     r = random.Random(8)
     segs = [bytes(r.choice(b"ab") for _ in range(r.randrange(40, 90))) for _ in range(30)]
     p = repeats.Repeats(length=20, block=5)
-    seen = Counter(s[i : i + 20] for s in segs for i in range(len(s) - 19))
-    assert [x.tolist() for x in repeats.repeated(segs, p)] == [[seen[s[i : i + 20]] > 1 for i in range(len(s) - 19)] for s in segs]
+    for shards in (1, 2, 3, 8, 30):
+        times = [r.choice([1, 1, 2, 5]) for _ in segs] if shards > 2 else [1] * len(segs)
+        seen = Counter()
+        for s, n in zip(segs, times, strict=True):
+            for i in range(len(s) - 19):
+                seen[s[i : i + 20]] += n
+        got = repeats.repeated(segs, p, [i % shards for i in range(len(segs))], times)
+        assert [x.tolist() for x in got] == [[seen[s[i : i + 20]] > 1 for i in range(len(s) - 19)] for s in segs]
+
+
+def test_merged_transforms_know_common_prefixes():
+    """Neighbours' common prefixes and the order of three shards are those of sorted sequences."""
+    r = random.Random(1)
+    words = [[r.randrange(1, 4) for _ in range(r.randrange(3, 9))] for _ in range(24)]
+    size = [len(w) + 1 for w in words]
+    base = np.cumsum(size) - size
+    names = np.array([x for w in words for x in [*w, 0]])
+    at = np.arange(len(names))
+    owner = np.repeat(np.arange(len(words)), size)
+    last = base[owner] + np.array(size)[owner] - 1
+    after = np.where(at == last, base[owner], at + 1)
+    prior = np.where(at == base[owner], last, at - 1)
+    depth = 6
+    shards = [repeats.Transform.of(names, after, prior, at[owner % 3 == s], depth) for s in range(3)]
+    merged, _ = shards[0].merge(shards[1], depth)
+    merged, shared = merged.merge(shards[2], depth)
+
+    def head(x):
+        out = []
+        for _ in range(depth):
+            out.append(int(names[x]))
+            x = after[x]
+        return out
+
+    heads = [head(x) for x in merged.place]
+    assert heads == sorted(heads) and sorted(merged.place.tolist()) == at.tolist()
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), depth)
+    assert shared.tolist() == [0] + [common(a, b) for a, b in zip(heads, heads[1:])]
 
 
 # --- archives
