@@ -55,16 +55,21 @@ def mark_lines(pages: DataFrame, site: str = "site", lines: str = "lines", ratio
     """
     lists = S.materialise(boilerplate(pages, site, lines, ratio), "boilerplate")
     size = lists.agg(F.coalesce(F.sum(16 * F.size("keys") + 32 + F.coalesce(F.octet_length("site"), F.lit(0))), F.lit(0)).alias("n")).first()["n"]
-    page, lists = pages.select(F.struct("*").alias("page")), lists.select("site", "keys")
-    out = page.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, F.col(f"page.{site}").eqNullSafe(F.col("site")), "left")
+    own, at = _free("site", pages.columns), _free("keys", pages.columns)
+    lists = lists.select(F.col("site").alias(own), F.col("keys").alias(at))
+    out = pages.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, F.col(site).eqNullSafe(F.col(own)), "left")
     none = F.array().cast("array<string>")
-    all_lines = F.coalesce(F.col(f"page.{lines}"), none)
-    gone = F.coalesce(F.col("keys"), F.array().cast("array<struct<a:bigint,b:int>>"))
+    all_lines = F.coalesce(F.col(lines), none)
+    gone = F.coalesce(F.col(at), F.array().cast("array<struct<a:bigint,b:int>>"))
     kept = F.when(F.size(gone) == 0, all_lines).otherwise(F.filter(all_lines, lambda x: ~F.array_contains(gone, _key(x))))
     dropped = F.when(F.size(gone) == 0, none).otherwise(F.filter(all_lines, lambda x: F.array_contains(gone, _key(x))))
-    out = out.select("page", F.struct(kept.alias("kept"), dropped.alias("dropped")).alias("mark"))
-    own = [F.col(f"page.{c}") for c in pages.columns if c not in ("kept", "dropped")]
-    return out.select(*own, "mark.kept", "mark.dropped")
+    return out.withColumns({"kept": kept, "dropped": dropped}).drop(own, at)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = 0.05) -> DataFrame:
