@@ -127,24 +127,24 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-#: A node with over one in so many of all edges is a hub: there are fewer than twice as many hubs, so they are broadcast.
-_HUBS = 2000
+#: A node with over one in so many of all edges is a hub: there are fewer than twice as many hubs, so they are broadcast; their edges are dealt to several tasks.
+_HUBS, _SALTS = 2000, 16
 
 
 def _with_least(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
-    """rows (u, v) with m, the least neighbour of u in `least` (u, m, n). Rows of hubs stay where they are: all hubs' m are broadcast."""
-    hot = F.col("n") > max(100, n // _HUBS)
-    hubs = F.broadcast(least.filter(hot).select("u", "m"))
-    rest = rows.join(hubs.select("u"), "u", "left_anti").join(least.filter(~hot).select("u", "m"), "u")
-    return rows.join(hubs, "u").unionByName(rest)
+    """rows (u, v) with m, the least neighbour of u in `least` (u, m, n: how many neighbours)."""
+    hub = F.col("n") > max(100, n // _HUBS)
+    hubs = F.broadcast(least.filter(hub).select("u", F.lit(_SALTS).alias("salts")))
+    dealt = rows.join(hubs, "u", "left").withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(1))).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.when(hub, F.lit(_SALTS - 1)).otherwise(0))).alias("salt")
+    return dealt.join(least.select("u", "m", salts), ["u", "salt"])
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, root): each node of the undirected edges (u, v) with the smallest node that it reaches.
 
     Alternating large-star and small-star steps: every step keeps the components, points nodes at smaller
-    ones and is a grouped minimum plus a join, of which the hubs' part is a broadcast, so no component and no hub ever
-    meets in one task. Edges of every step are written to the shared folder; only their count and a checksum reach the driver.
+    ones and is a grouped minimum plus a join over which hubs are spread, so no component and no hub ever meets in one task. Edges of every step are written to the shared folder; only their count and a checksum reach the driver.
     """
 
     def lean(df: DataFrame) -> DataFrame:
