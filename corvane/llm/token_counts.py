@@ -1,6 +1,6 @@
 """Token counts of a sentencepiece BPE model by a two-tier lookup, without shuffling pre-tokens.
 
-No piece of such a model holds a space after another letter, nor a line feed, so a text's tokens are those of its
+No piece of such a model holds a space after another letter, nor a line feed (that is checked when a model is read), so a text's tokens are those of its
 pre-tokens: a run of spaces with the word after it, or a line feed. A sketch over all texts finds the frequent
 words; their lengths in tokens are broadcast as a compact hash table. What that table misses is encoded once by
 a worker and remembered in its bounded cache.
@@ -75,6 +75,13 @@ class Lengths(dict):
         return n
 
 
+def check_pieces(sp: sentencepiece.SentencePieceProcessor) -> None:
+    """Raises ValueError if a piece goes over the end of a pre-token, so that texts couldn't be counted by pre-tokens."""
+    for i in range(sp.get_piece_size()):
+        if not re.fullmatch("▁*[^▁\n]*", sp.id_to_piece(i)):
+            raise ValueError(f"piece {i}, {sp.id_to_piece(i)!r}, holds a space after another letter or a line feed")
+
+
 _LENGTHS: dict[bytes, Lengths] = {}
 
 
@@ -94,8 +101,10 @@ def frequent_words(docs: DataFrame, text_col: str, k: int, tracked: int) -> list
     if words.isEmpty():
         return []
     part = words.groupBy((F.col("p") % 64).alias("b")).agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("s"))
-    # at most 64 sketches; combining doesn't stand partitions without any
-    top = part.repartition(1).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s")).selectExpr(f"approx_top_k_estimate(s, {k}) AS top").first()
+    # at most 64 sketches, combined eight at a time; grouped, as combining doesn't stand partitions without any
+    combine = F.expr(f"approx_top_k_combine(s, {tracked})").alias("s")
+    some = part.groupBy((F.col("b") % 8).alias("c")).agg(combine)
+    top = some.groupBy(F.lit(0).alias("all")).agg(combine).selectExpr(f"approx_top_k_estimate(s, {k}) AS top").first()
     return [x["item"] for x in (top["top"] or [])] if top and top["top"] is not None else []
 
 
@@ -113,13 +122,15 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     model: path of a sentencepiece BPE model with byte fallback and no normalisation, read by the driver and broadcast,
     as is the table of at most `frequent` words. The table changes speed only, never a count. A null text counts as
-    empty and has no tokens. Rows come out as they come in; other columns of docs are not read.
+    empty and has no tokens; texts of any length are counted whole. Ids must be integers or cast to them. Rows come out
+    as they come in, repeated ones too; an empty table gives an empty result; other columns of docs are not read.
     """
     spark = docs.sparkSession
     S.prepare(spark)
     with open(model, "rb") as f:
         raw = f.read()
     sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    check_pieces(sp)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     words = sorted({w for w in frequent_words(rows, "text", frequent, tracked) if "▁" not in w})
     counts = [len(x) for x in sp.encode(words)] if words else []
