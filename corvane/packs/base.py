@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import lookups as L
 from corvane.operators import words
-from corvane.runtime import ship
+from corvane.runtime import ship, store
 
 
 @dataclass(frozen=True)
@@ -74,11 +74,20 @@ def extract(files: DataFrame, packs: list[Pack], most: int = L.PARSE_BYTES) -> D
 
 def audit(files: DataFrame, packs: list[Pack], everything: DataFrame | None = None) -> DataFrame:
     """Findings on units that nothing in their scope mentions. everything (repo, rel, text): all text files whose words count, the judged ones among them."""
-    units = extract(files, packs).filter("error is null")
+    from corvane.packs.styles import keep_styles
+
+    units = store(extract(files, packs).filter("error is null"), "units")
     every = everything if everything is not None else files
     idents = words.unused_units(units.filter("token = 'ident'").drop("token", "error"), words.word_counts(every))
     hyphens = F.contains("name", F.lit("-"))
     css = units.filter("token = 'css'").drop("token", "error")
     plain = words.unused_units(css.filter(~hyphens), words.word_counts(every))
     marked = words.unused_units(css.filter(hyphens).withColumn("name", F.regexp_replace("name", "^-+", "")), words.css_word_counts(every))
-    return idents.unionByName(plain).unionByName(marked)
+    return idents.unionByName(keep_styles(store(plain.unionByName(marked), "styles"), css, every.select("repo", "rel", "text")))
+
+
+def too_long(files: DataFrame, packs: list[Pack], most: int = L.PARSE_BYTES) -> DataFrame:
+    """repo, rel, lang, bytes of files that a pack handles but whose length keeps them from being read."""
+    langs = [lang for p in packs for lang in p.languages]
+    size = F.octet_length("text")
+    return files.filter(F.col("lang").isin(langs) & (size > most)).select("repo", "rel", "lang", size.cast("long").alias("bytes"))

@@ -502,16 +502,20 @@ def merged_spans(spark, sf_dir):
     return jury.outermost_spans(s).select("rel", "start", "end")
 
 
-@query()
+@query("SELECT doc_id, (octet_length(encode(text)) + 28)::BIGINT AS n_bytes, true AS same FROM documents")
 def seal_roundtrip(spark, sf_dir):
+    """A nonce of 12 bytes stands before the sealed text and a tag of 16 after it."""
     key, nonce, owner = F.unhex(F.lit("00" * 32)), F.unhex(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 24)), F.col("doc_id").cast("string")
     d = table(spark, sf_dir, "documents").withColumn("sealed", S.seal(F.col("text"), key, nonce, owner))
     return d.select("doc_id", F.octet_length("sealed").cast("long").alias("n_bytes"), (S.unseal(F.col("sealed"), key, owner) == F.col("text")).alias("same"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, floor(epoch(ts))::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS i FROM events),
+b AS (SELECT user_id, event_id, t, i, 2.0::DOUBLE AS have FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.t, e.i, least(2.0::DOUBLE, CASE WHEN b.have >= 1 THEN b.have - 1 ELSE b.have END + (e.t - b.t) * (2 / 3600.0::DOUBLE)) FROM b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1)
+SELECT user_id, event_id, have >= 1 AS allowed, CASE WHEN have >= 1 THEN 0 ELSE floor((1 - have) / (2 / 3600.0::DOUBLE))::BIGINT + 1 END::BIGINT AS wait FROM b""")
 def token_bucket(spark, sf_dir):
-    """Sequential state by user: SQL can't express the refill; tests hold it against a plain loop."""
     from corvane.streaming.limits import token_bucket as bucket
 
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
@@ -586,11 +590,15 @@ def lines_in_span(spark, sf_dir):
     return usage.within_span(i, p, ["rel"], step=16).groupBy("k").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""
+SELECT 'p' || page_id || '.html' AS rel, 'style' AS kind, name, 'REMOVE' AS verdict FROM pages, (VALUES ('dead'), ('gone-now')) n(name) WHERE page_id % 2 = 0""")
 def page_style_units(spark, sf_dir):
-    """Units of pages' style sheets that nothing mentions: needs a reader of style sheets."""
+    """Pages, each a repository, with styles of their own: every other one has two that nothing mentions, and one that a script may put together."""
     from corvane.packs.base import audit
     from corvane.packs.web import PACKS
 
-    p = table(spark, sf_dir, "pages").select(F.lit("site").alias("repo"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("rel"), F.lit("HTML").alias("lang"), F.col("html").alias("text"))
-    return audit(p, PACKS).select("rel", "kind", "name", "verdict")
+    own = F.when(F.col("page_id") % 2 == 0, ".dead { a: b }\n.gone-now { a: b }\n").otherwise("")
+    sheet = F.concat(F.lit("<style>.zlive1 { a: b }\n.zlive2 { a: b }\n.zlive3 { a: b }\n.zbtn-wide { a: b }\n"), own, F.lit("</style><p class='zlive1 zlive2 zlive3'><script>f('zbtn-' + x)</script>"))
+    text = F.concat(F.regexp_replace("html", r"\b(dead|gone-now)\b", " "), sheet)
+    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("r"), F.col("page_id").cast("string")).alias("repo"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("rel"), F.lit("HTML").alias("lang"), text.alias("text"))
+    return audit(p, PACKS).filter("verdict = 'REMOVE'").select("rel", "kind", "name", "verdict")

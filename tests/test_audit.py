@@ -207,8 +207,8 @@ def test_daily_usage_stream(spark, tmp_path):
 
 def test_packs(spark):
     files = [
-        ("r", "a.css", "CSS", ".hero { color: red }\n.dead-x{ a: b }\n.is-open { a: b }\n@media print { .late { a: b } }\n@keyframes spin { from { a: b } }\n:root { --main: 1; --lost: 2 }\n.card .inner { x: var(--main) }\n"),
-        ("r", "p.html", "HTML", "<style>.own { a: b }\n.nobody { a: b }</style><p class='own hero'></p>\n"),
+        ("r", "a.css", "CSS", ".hero { color: red }\n.row { a: b }\n.cell { a: b }\n.note { a: b }\n.dead-x{ a: b }\n.is-open { a: b }\n@media print { .late { a: b } }\n@keyframes spin { from { a: b } }\n:root { --main: 1; --side: 1; --lost: 2 }\n.card .inner { x: var(--main); y: var(--side) }\n"),
+        ("r", "p.html", "HTML", "<link href='a.css'><style>.own { a: b }\n.nobody { a: b }</style><p class='own hero row cell note'></p>\n"),
         ("r", "bad.css", "CSS", ".open { a: b"),
         ("r", "m.js", "JavaScript", "export function api() {\n}\nfunction helper() {\n  helper();\n}\nfunction used() {}\nused();\n"),
     ]
@@ -216,11 +216,35 @@ def test_packs(spark):
     got = {(r.rel, r.name): r.verdict for r in base.audit(df, web.PACKS).collect()}
     assert got == {("a.css", "dead-x"): "REMOVE", ("a.css", "is-open"): "AMBIGUOUS", ("a.css", "late"): "REMOVE", ("a.css", "spin"): "REMOVE", ("a.css", "lost"): "REMOVE", ("p.html", "nobody"): "REMOVE", ("m.js", "api"): "AMBIGUOUS", ("m.js", "helper"): "REMOVE"}
     assert [r.rel for r in base.extract(df, web.PACKS).filter("error is not null").collect()] == ["bad.css"]
+    assert [(r.rel, r.bytes) for r in base.too_long(df, web.PACKS, 100).orderBy("rel").collect()] == [(x[1], len(x[3])) for x in sorted(files, key=lambda x: x[1]) if len(x[3]) > 100]
     c = words.word_counts(df)
     w = spark.createDataFrame([("g", "hero"), ("g", "own")], "group string, word string")
     assert [r.rel for r in words.files_with_all(c, w).collect()] == ["p.html"]
 
 
+def test_styles_that_may_be_in_use(spark):
+    """A sheet for each reason: where it holds the verdict is AMBIGUOUS; one plain dead class of another repository isn't."""
+    seen = ".s1 {a:b}\n.s2 {a:b}\n.s3 {a:b}\n.s4 {a:b}\n"
+    page = ("x.html", "HTML", "<link href='a.css'><p class='s1 s2 s3 s4'>")
+    cases = {
+        "plain": ([("a.css", "CSS", seen + ".dead-one {a:b}"), page], {"dead-one": "REMOVE"}),
+        "built": ([("a.css", "CSS", seen + ".btn-wide {a:b}\n.pale-card {a:b}"), page, ("b.js", "JavaScript", "x('btn-' + kind)\ny(`${z}-card`)")], {"btn-wide": "AMBIGUOUS", "pale-card": "AMBIGUOUS"}),
+        "glue": ([("a.css", "CSS", seen + ".icon-home {a:b}\n.other-home {a:b}"), page, ("b.js", "JavaScript", "['icon', n].join('-')")], {"icon-home": "AMBIGUOUS", "other-home": "REMOVE"}),
+        "names": ([("a.css", "CSS", seen + ".fade-enter-active {a:b}\n.hljs-x {a:b}\n.collapsed {a:b}"), page], {"fade-enter-active": "AMBIGUOUS", "hljs-x": "AMBIGUOUS", "collapsed": "AMBIGUOUS"}),
+        "banner": ([("a.css", "CSS", "/* Some lib, MIT License */\n" + seen + ".dead-one {a:b}"), page], {"dead-one": "AMBIGUOUS"}),
+        "unnamed": ([("zz.css", "CSS", seen + ".dead-one {a:b}"), page], {"dead-one": "AMBIGUOUS"}),
+        "unseen": ([("a.css", "CSS", ".s1 {a:b}\n.d1 {a:b}\n.d2 {a:b}"), page], {"d1": "AMBIGUOUS", "d2": "AMBIGUOUS"}),
+        "module": ([("a.module.css", "CSS", seen + ".nav-item {a:b}\n.nav-gone {a:b}"), ("c.js", "JavaScript", "import s from './a.module.css'; f(s.navItem, s.s1, s.s2, s.s3, s.s4)")], {"nav-gone": "REMOVE"}),
+        "vars": ([("a.css", "CSS", seen + ":root { --a1: 1; --a2: 2; --a3: 3 }\n.s1 {c: var(--a1)}"), page], {"a2": "AMBIGUOUS", "a3": "AMBIGUOUS"}),
+    }
+    rows = [(repo, rel, lang, text) for repo, (files, _) in cases.items() for rel, lang, text in files]
+    df = spark.createDataFrame(rows, "repo string, rel string, lang string, text string")
+    got = {}
+    for r in base.audit(df, web.PACKS).collect():
+        got.setdefault(r.repo, {})[r.name] = r.verdict
+    assert got == {repo: want for repo, (_, want) in cases.items()}
+
+
 def test_scalars(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     lit = F.lit
