@@ -193,7 +193,8 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     tokenizer: path of a tokenizer file of the byte-level BPE kind, read by the driver and broadcast; its size is that
     of the vocabulary and doesn't grow with the data. Added special tokens inside a text become their ids, as that
     library does by default. A null text counts as empty; an empty text has no ids. Rows come out as they come in,
-    repeated or not; other columns of docs are not read.
+    repeated or not; texts of any length are encoded whole; an empty table gives an empty result; other columns of docs are
+    not read. Ids must be integers or cast to them.
     """
     spark = docs.sparkSession
     S.prepare(spark)

@@ -90,7 +90,11 @@ def _hits(rows: DataFrame, grams: DataFrame, set_size: int) -> DataFrame:
 
 
 
-_PLACES = "array_distinct(flatten(transform(hits, x -> sequence(x.at, x.at + x.size - 1))))"
+_PLACES = "array_sort(array_distinct(flatten(transform(hits, x -> sequence(x.at, x.at + x.size - 1)))))"
+#: First and last word of each run of the sorted places `at`.
+_SPANS = "zip_with(filter(at, (x, i) -> coalesce(get(at, i - 1) < x - 1, true)), filter(at, (x, i) -> coalesce(get(at, i + 1) > x + 1, true)), (f, l) -> named_struct('first', f, 'last', l))"
+#: The words between these runs.
+_REST = "flatten(transform(sequence(0, size(spans)), i -> slice(w, coalesce(get(spans, i - 1).last, -1) + 2, coalesce(get(spans, i).first, size(w)) - coalesce(get(spans, i - 1).last, -1) - 1)))"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, set_size: int = SET_SIZE) -> DataFrame:
@@ -98,7 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A document word is hit when it lies in any occurrence of a window of the benchmark. Null or wordless texts have no
     words; null item ids hit words but name no item; repeated items count once; an empty benchmark hits nothing. Each
-    row is looked up within itself, so repeated or null ids stay apart. Other columns of docs are not read.
+    row is looked up within itself and whole, however long, so repeated or null ids stay apart; an empty table gives an empty result. Other columns of docs are not read.
     """
     grams = S.materialise(benchmark_windows(benchmark, window=window), "grams")
     rows = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("w"))
@@ -109,13 +113,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         items = F.broadcast(items)
     named = rows.filter("size(hits) > 0").select("row", F.explode(F.array_distinct(F.transform("hits", lambda h: h["words"]))).alias("words"))
     named = named.join(items, "words").groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    spans = "transform(filter(at, x -> not array_contains(at, x - 1)), f -> named_struct('first', f, 'last', array_min(filter(at, y -> y >= f and not array_contains(at, y + 1)))))"
     out = rows.join(named, "row", "left").withColumn("at", F.expr(_PLACES))
-    return out.select("doc_id", "n_words", F.size("at").cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.sort_array(F.expr(spans)).alias("spans"))
+    return out.select("doc_id", "n_words", F.size("at").cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.expr(_SPANS).alias("spans"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, set_size: int = SET_SIZE) -> DataFrame:
-    """docs without the rows that hold a window of the benchmark; their columns stay as they are."""
+    """docs without the rows that hold a window of the benchmark; their columns stay as they are.
+
+    Null and empty texts stay, rows with null or repeated ids are looked up by themselves, texts of any length are looked
+    up whole; an empty benchmark drops nothing and an empty table gives an empty result.
+    """
     grams = S.materialise(benchmark_windows(benchmark, window=window), "grams")
     own = [F.col(f"doc.{c}") for c in docs.columns]
     rows = docs.select(F.struct(*docs.columns).alias("doc"), words_of(F.col(text_col)).alias("w"))
@@ -124,9 +131,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, set_size: int = SET_SIZE) -> DataFrame:
-    """docs with hit words cut from the text of contaminated rows: what stays is their other words, normalised and joined by a space. Clean rows keep their text."""
+    """docs with hit words cut from the text of contaminated rows: what stays is their other words, normalised and joined by a space.
+
+    Clean rows, null and empty texts among them, keep their text; repeated rows are cut alike; an empty table gives an empty result.
+    """
     grams = S.materialise(benchmark_windows(benchmark, window=window), "grams")
     rows = docs.select(F.struct(*docs.columns).alias("doc"), words_of(F.col(text_col)).alias("w"))
-    rows = _hits(rows, grams, set_size).withColumn("at", F.expr(_PLACES))
-    rest = F.array_join(F.expr("filter(w, (x, i) -> not array_contains(at, i))"), " ")
+    rows = _hits(rows, grams, set_size).withColumn("at", F.expr(_PLACES)).withColumn("spans", F.expr(_SPANS))
+    rest = F.array_join(F.expr(_REST), " ")
     return rows.select(*(F.when(F.size("hits") > 0, rest).otherwise(F.col(f"doc.{c}")).alias(c) if c == text_col else F.col(f"doc.{c}") for c in docs.columns))
