@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -15,41 +12,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.runtime import ship
+from corvane.runtime import shared_folder, ship, store
 
 #: Words of a text that a worker remembers before it starts its memory anew; bounds a worker's memory, not its results.
 CACHE_WORDS = 200_000
 
 _ODD = 0x9E3779B97F4A7C15
-_LOCAL: dict[str, str] = {}
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only a local session without that setting (a test) gets a temporary folder of its own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="corvane-")
-        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
-    return "file://" + _LOCAL[app]
+materialise = store
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends there and a lost executor costs nothing."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return f"{shared_folder(spark)}/corvane/{name}-{uuid.uuid4().hex}"
 
 
 #: Bytes and rows of an Arrow batch at most; a longer text is a batch of its own.
