@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import lookups as L
 
+# --- fixed values: what counts as a name, a dotted name, a string or a path in text
 IDENT = r"[A-Za-z_][A-Za-z0-9_]*"
 IDENT_WEB = r"[A-Za-z_$][A-Za-z0-9_$]*"
 CSS_TOKEN = r"-?-?[A-Za-z_][A-Za-z0-9_-]*"
@@ -86,7 +87,7 @@ def is_test_path(rel: Column) -> Column:
 def is_generated(rel: Column, text: Column) -> Column:
     """A banner near the start, very long lines, or the suffix of generated files."""
     lines = line_count(text)
-    banner = F.regexp_like(F.substring(text, 1, L.BANNER_BYTES), F.lit(L.GENERATED_BANNER))
+    banner = F.regexp_like(F.substring(F.encode(text, "UTF-8"), 1, L.BANNER_BYTES).cast("string"), F.lit(L.GENERATED_BANNER))
     minified = (lines > 0) & (F.octet_length(text) / F.greatest(lines, F.lit(1)) > L.LONG_LINE)
     return banner | minified | F.regexp_like(rel, F.lit(L.GENERATED_SUFFIX))
 

@@ -36,7 +36,8 @@ SCHEMA = "repo string, rel string, size long, sha string, text string, lines lon
 
 
 def skipped(parts: list[str], folders: set[str]) -> bool:
-    return any(p in folders or p.endswith(".egg-info") for p in parts)
+    """Whether a path has one of these folders, or the folder of an installed package's description, in it."""
+    return not folders.isdisjoint(parts) or ".egg-info/" in "/".join(parts) + "/"
 
 
 def decode(rel: str, data: bytes) -> str:
