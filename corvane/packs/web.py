@@ -1,4 +1,4 @@
-"""Packs for style sheets and pages: rules with one compound selector, keyframes, custom properties, scripts' own names."""
+"""Packs for style sheets, pages and scripts: rules with one compound selector, keyframes, custom properties, imports, declarations at the margin."""
 
 from __future__ import annotations
 
@@ -90,27 +90,82 @@ class HtmlPack(Pack):
                 yield from sheet(blank(m[2], r"(?s)/\*.*?\*/"), m.start(2), clean)
 
 
+_IMPORT = re.compile(r"""^import\s+(?:type\s+)?([^'"`;]*?)\s*\bfrom\s*['"][^'"]*['"][^\n]*""", re.M)
+_REQUIRE = re.compile(r"^(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*require\s*\([^\n]*", re.M)
+_DECLARED = re.compile(r"^(export\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|type|(?:const\s+)?enum|const|let|var)\s+([A-Za-z_$][\w$]*)(?=[^\w$])(?!\s*=\s*require\b)")
+_FUNCTION_VALUE = re.compile(r"=\s*(?:async\s+)?(?:function\b|\([^()]*\)\s*(?::[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>)")
+
+
+def _bindings(clause: str) -> Iterator[str]:
+    """The names that an import clause binds: default, namespace, and those in braces by their new names."""
+    outer = re.sub(r"\{[^}]*\}", "", clause)
+    for part in outer.split(","):
+        if m := re.fullmatch(r"\s*(?:\*\s*as\s+)?([A-Za-z_$][\w$]*)\s*", part):
+            yield m[1]
+    for inner in re.findall(r"\{([^}]*)\}", clause):
+        for part in inner.split(","):
+            if m := re.fullmatch(r"\s*(?:type\s+)?(?:[A-Za-z_$][\w$]*\s+as\s+)?([A-Za-z_$][\w$]*)\s*", part):
+                yield m[1]
+
+
+def _times(name: str, text: str) -> int:
+    return len(re.findall(rf"(?<![\w$]){re.escape(name)}(?![\w$])", text))
+
+
 class ScriptPack(Pack):
-    """Top-level functions and classes of JavaScript files by their declarations at the margin; exported ones are public. Without a syntax tree no more is judged."""
+    """Imports, and declarations at the margin, of JavaScript and TypeScript files.
+
+    Names of a module or of a file with require() live in that file; exported ones are public; those of other scripts may be
+    read by any script of the repository. Values that run code, classes with decorators or a computed base and names that JSX may
+    need are kept. Without a syntax tree members and nested names aren't judged.
+    """
 
     languages = ("JavaScript", "TypeScript")
 
     def units(self, rel, text):
         if rel.endswith(".d.ts"):
             return
-        lines = blank(text, r"(?s)/\*.*?\*/|//[^\n]*").split("\n")
-        for i, line in enumerate(lines):
-            m = re.match(r"(export\s+(?:default\s+)?)?(?:async\s+)?(function\*?|class)\s+([A-Za-z_$][\w$]*)", line)
-            if m:
-                depth, end = 0, i
-                for end in range(i, len(lines)):
-                    depth += lines[end].count("{") - lines[end].count("}")
-                    if depth <= 0 and "{" in "".join(lines[i : end + 1]):
-                        break
-                body = "\n".join(lines[i : end + 1])
-                own = len(re.findall(rf"(?<![\w$]){re.escape(m[3])}(?![\w$])", body))
-                keep = "eval may read any name" if re.search(r"\beval\s*\(", text) else ""
-                yield Unit("class" if m[2] == "class" else "function", m[3], i + 1, end + 1, scope="public" if m[1] else "repo", own=own, keep=keep)
+        clean = blank(text, r"(?s)/\*.*?\*/|(?<![:\"'`\\\\])//[^\n]*")
+        lines = clean.split("\n")
+        line = lambda at: clean.count("\n", 0, at) + 1
+        all_keep = "eval may read any name" if re.search(r"\beval\s*\(", clean) else ""
+        modules = len(re.findall(r"(?m)^(?:import|export)\b", clean))
+        own_file = modules > 0 or bool(re.search(r"\brequire\s*\(|\bmodule\.exports\b|(?m:^exports\.)", clean))
+        jsx = bool(re.search(r"<(?:[A-Za-z][\w.]*[\s/>]|>)", clean)) and rel.endswith((".jsx", ".tsx", ".js"))
+        for m in _IMPORT.finditer(clean):
+            names = list(_bindings(m[1]))
+            factory = jsx and any(n in ("React", "h", "jsx", "Preact", "preact") for n in names)
+            keep = "JSX may need it without naming it" if factory else "without it the file may be no module" if modules == 1 else ""
+            for n in names:
+                yield Unit("import", n, line(m.start()), line(m.end()), scope="file", own=_times(n, m[0]), keep=all_keep or keep)
+        for m in _REQUIRE.finditer(clean):
+            yield Unit("import", m[1], line(m.start()), line(m.end()), scope="file", own=_times(m[1], m[0]), keep=all_keep or "loading its module may be the point")
+        for i, head in enumerate(lines):
+            m = _DECLARED.match(head)
+            if not m:
+                continue
+            depth, end, what = 0, i, m[2].split()[-1]
+            block = what in ("function", "function*", "class", "interface", "enum")
+            for end in range(i, len(lines)):
+                depth += sum(map(lines[end].count, "{([")) - sum(map(lines[end].count, "})]"))
+                if depth <= 0 and (not block or "{" in "".join(lines[i : end + 1])):
+                    break
+            body = "\n".join(lines[i : end + 1])
+            kind = {"function*": "function", "interface": "type", "enum": "type"}.get(what, what)
+            keep = ""
+            if what in ("const", "let", "var"):
+                kind = "function" if _FUNCTION_VALUE.search(body) else "variable"
+                if kind == "variable" and re.search(r"[(`]|\bnew\b|\bawait\b", body.partition("=")[2]):
+                    keep = "its value runs code"
+            elif what == "class":
+                before = "".join(lines[max(0, i - 1) : i]).strip()
+                if before.startswith("@") or re.search(r"(?m)^\s*@[A-Za-z]", body):
+                    keep = "a decorator may register it"
+                elif re.search(r"\bextends\s+[\w$.]+\s*\(", head) or re.search(r"(?m)^\s*static\s*(?:\{|[\w$#]+\s*=\s*[^;\n]*\()", body):
+                    keep = "defining it runs code"
+            elif what == "enum" and re.search(r"=\s*[^,\n]*\(", body):
+                keep = "a member's value runs code"
+            yield Unit(kind, m[3], i + 1, end + 1, scope="public" if m[1] else "file" if own_file else "repo", own=_times(m[3], body), keep=all_keep or keep)
 
 
 PACKS = [CssPack(), HtmlPack(), ScriptPack()]

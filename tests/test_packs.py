@@ -1,6 +1,6 @@
 """Packs of declared names: in each file something dead, and something that only looks dead."""
 
-from corvane.packs import base, declared
+from corvane.packs import base, declared, web
 
 FILES = [
     ("Java", "A.java", "import java.util.List;\nimport java.util.Map;\n\npublic class A {\n    private int dead = 1;\n    private int used = 2;\n    private Runnable runs = make();\n\n    private void gone() {\n        gone();\n    }\n\n    @Inject\n    private void wired() {\n    }\n\n    // words of comments count as uses\n    public Map go() {\n        return used;\n    }\n}\n", {"List": "REMOVE", "dead": "REMOVE", "gone": "REMOVE", "runs": "AMBIGUOUS", "wired": "AMBIGUOUS"}),
@@ -28,3 +28,26 @@ def test_declared_packs(spark):
     for _, rel, _, want in FILES:
         assert got.get(rel, {}) == want, rel
     assert [r.rel for r in base.extract(df, declared.PACKS).filter("error is not null").collect()] == ["Broken.java"]
+
+
+def test_script_pack(spark):
+    files = {
+        "src/view.tsx": (
+            "import { TypeOnly, Gen, Dec, Reexp, Foo, Ns as Space } from './lib'\nimport * as All from './lib'\nimport {\n  DeadOne,\n  live as alive,\n} from './lib'\nexport * from './lib'\nexport { Reexp }\nlet v: TypeOnly\n"
+            "const g = new Map<string, Gen>()\n@Dec\nexport class Widget {}\nexport const View = () => <><Foo /><Space.Item /></>\nconsole.log(v, g, alive)\n",
+            {"All": ("import", "REMOVE"), "DeadOne": ("import", "REMOVE"), "Widget": ("class", "AMBIGUOUS"), "View": ("function", "AMBIGUOUS")},
+        ),
+        "src/app.jsx": ("import React from 'react'\nimport { gone } from './util'\nexport default function App() {\n  return <p>hi</p>\n}\n", {"React": ("import", "AMBIGUOUS"), "gone": ("import", "REMOVE"), "App": ("function", "AMBIGUOUS")}),
+        "src/one.ts": ("import { only } from './util'\nlet x = 1\nx += 1\n", {"only": ("import", "AMBIGUOUS")}),
+        "src/types.ts": ("export {}\ntype Dead = string\ninterface Gone {\n  a: Dead2\n}\nenum Plain { A, B }\nenum Runs { A = f() }\ntype Used = number\nlet y: Used = 1\ny += 1\n", {"Dead": ("type", "REMOVE"), "Gone": ("type", "REMOVE"), "Plain": ("type", "REMOVE"), "Runs": ("type", "AMBIGUOUS")}),
+        "lib/a.js": ("const fs = require('fs')\nconst path = require('path')\nconst LIMIT = 3\nconst made = build(1)\nconst dead = (a) => a\nclass Base extends mix(Other) {\n}\nmodule.exports = { p: path.sep }\n", {"fs": ("import", "AMBIGUOUS"), "LIMIT": ("variable", "REMOVE"), "made": ("variable", "AMBIGUOUS"), "dead": ("function", "REMOVE"), "Base": ("class", "AMBIGUOUS")}),
+        "page/x.js": ("function shared() {\n}\nfunction lost() {\n  lost()\n}\n", {"lost": ("function", "REMOVE")}),
+        "page/y.js": ("// 'http://a//b'\nshared()\n", {}),
+        "page/evil.js": ("function hidden() {\n}\neval('hid' + 'den()')\n", {"hidden": ("function", "AMBIGUOUS")}),
+    }
+    rows = [("r", rel, "TypeScript" if rel.endswith((".ts", ".tsx")) else "JavaScript", text) for rel, (text, _) in files.items()]
+    df = spark.createDataFrame(rows, "repo string, rel string, lang string, text string")
+    got = {rel: {} for rel in files}
+    for r in base.audit(df, web.PACKS).collect():
+        got[r.rel][r.name] = (r.kind, r.verdict)
+    assert got == {rel: want for rel, (_, want) in files.items()}
