@@ -15,12 +15,20 @@ from corvane.llm.queries import tokenizer_path
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text scores 0.7 or more go."""
+    """Documents whose text scores 0.7 or more go; all other rows stay as they are.
+
+    Null and empty texts score as texts on which no voter fires and stay. Rows with null or repeated ids are scored each by its
+    own text, ties at the threshold go, an empty table stays empty.
+    """
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that over one in twenty documents of a source share go; n_chars follows the text. Documents stay, even empty ones."""
+    """Lines that over one in twenty documents of a source, and at least two, share go; n_chars follows the text.
+
+    Documents stay, even empty ones; a null text stays null and its n_chars becomes null. A null source is a source, repeated rows
+    are documents of their own, texts of any length are read whole, an empty table stays empty.
+    """
     return line_dedup.drop_boilerplate(docs, "source", "text").withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -28,7 +36,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each near-duplicate group stays: the one with the smallest id.
 
     Exactly the rows that aren't kept go. Id and text decide on a row, so rows are found again by both: ids may be null
-    or repeat. A row without id stays unless one with an id has the same words.
+    or repeat. A row without id stays unless one with an id has the same words; null and wordless texts link with nothing
+    and stay; equal rows of one id stay together; an empty table stays empty.
     """
     keyed = docs.withColumn("_row", F.xxhash64("text"))
     kept = near_dedup.near_duplicates(keyed, row_col="_row").filter("kept").select(F.col("doc_id").alias("_id"), F.col("row").alias("_kept")).distinct()
@@ -37,12 +46,15 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of the benchmark go."""
+    """Documents that hold a window of the benchmark go; null and empty texts stay, rows with null or repeated ids are looked up each by itself, an empty table stays empty."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian 32-bit integers) and decoded_sha256, of the text that the ids give back."""
+    """doc_id, n_tokens, ids (little-endian 32-bit integers) and decoded_sha256, of the text that the ids give back.
+
+    A row for each row, null and repeated ids too; a null text counts as empty; an empty table gives an empty result.
+    """
     e = bpe.encode_and_decode(docs, tokenizer_path("byte_bpe_50k.json"))
     return e.select("doc_id", "n_tokens", "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
