@@ -90,8 +90,8 @@ class HtmlPack(Pack):
                 yield from sheet(blank(m[2], r"(?s)/\*.*?\*/"), m.start(2), clean)
 
 
-_IMPORT = re.compile(r"""^import\s+(?:type\s+)?([^'"`;]*?)\s*\bfrom\s*['"][^'"]*['"][^\n]*""", re.M)
-_REQUIRE = re.compile(r"^(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*require\s*\([^\n]*", re.M)
+_IMPORT = re.compile(r"""^import\s+(?:type\s+)?([^'"`;]*?)\s*\bfrom\s*['"][^'"]*['"][ \t]*;?""", re.M)
+_REQUIRE = re.compile(r"^(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*require\s*\([^()\n]*\)[\w.$]*[ \t]*;?", re.M)
 _DECLARED = re.compile(r"^(export\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|type|(?:const\s+)?enum|const|let|var)\s+([A-Za-z_$][\w$]*)(?=[^\w$])(?!\s*=\s*require\b)")
 _FUNCTION_VALUE = re.compile(r"=\s*(?:async\s+)?(?:function\b|\([^()]*\)\s*(?::[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>)")
 
