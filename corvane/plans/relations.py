@@ -23,11 +23,11 @@ def _code(spark, sf_dir) -> DataFrame:
         F.split("text", "\n", -1),
         lambda t, i: F.when(i % 7 == 1, F.concat(F.lit("  // "), t)).when(i % 7 == 2, F.concat(F.lit("import "), t)).when(i % 7 == 3, F.concat(F.lit("/* open "), F.lit("note"))).when(i % 7 == 5, F.concat(F.lit("note */ "), t)).when(i % 11 == 0, F.lit(" });")).otherwise(t),
     )
-    return d.select(F.col("source").alias("repo"), F.col("doc_id").alias("rel"), F.lit("JavaScript").alias("lang"), F.array_join(marked, "\n").alias("text"))
+    return d.select(F.concat(F.lit("r"), (F.col("doc_id") % 2).cast("string")).alias("repo"), F.col("doc_id").alias("rel"), F.lit("JavaScript").alias("lang"), F.array_join(marked, "\n").alias("text"))
 
 
 _CODE_SQL = r"""
-raw AS (SELECT source AS repo, doc_id AS rel, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
+raw AS (SELECT 'r' || (doc_id % 2) AS repo, doc_id AS rel, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
 code AS (SELECT repo, rel, (i + 1)::INT AS ln, CASE WHEN i % 7 = 1 THEN '  // ' || t WHEN i % 7 = 2 THEN 'import ' || t WHEN i % 7 = 3 THEN '/* open note' WHEN i % 7 = 5 THEN 'note */ ' || t WHEN i % 11 = 0 AND i % 7 <> 4 THEN ' });'
   WHEN i % 7 = 4 THEN '' ELSE t END AS t, i FROM raw),
 open_ AS (SELECT *, CASE WHEN i % 7 = 5 THEN regexp_replace(t, '^note \*/ ?', '') WHEN i % 7 = 3 THEN '' ELSE t END AS u FROM code),
