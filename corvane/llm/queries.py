@@ -15,6 +15,7 @@ from corvane.llm.near_dedup import near_duplicates
 from corvane.llm.quality import quality
 from corvane.llm.repeats import remove_repeats
 from corvane.llm.credentials import find_secrets
+from corvane.llm.sharding import ROUNDS, SEED, SHARDS, assign
 from corvane.llm.token_counts import token_counts
 from corvane.llm.toxicity import toxicity
 from corvane.llm.warc import read_warc, resolve_revisits, write_warc
@@ -87,8 +88,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), F.sha2(text, 256).alias("kept_sha256"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op2_minhash, op3_toxicity, op4_repeats, op5_warc, op6_quality, op7_bpe, op8_token_counts, op9_decontaminate, op10_line_dedup)
+    f.__name__: f for f in (op1_secrets, op2_minhash, op3_toxicity, op4_repeats, op5_warc, op6_quality, op7_bpe, op8_token_counts, op9_decontaminate, op10_line_dedup, op11_sharding)
 }
 
 _HTML_LINES = r"""
@@ -97,7 +102,27 @@ FROM (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*
              regexp_replace(regexp_replace(html, '<!--.*?-->|<script\b[^>]*>.*?</script\s*>', chr(10), 'gis'), '<style\b[^>]*>.*?</style\s*>', chr(10), 'gis') AS bare FROM pages)
 """
 
+def _network_sql(source: str) -> str:
+    """SQL for one pass of (row_number, x) of source through the network of sharding.py."""
+    mixed = lambda i, half: f"('0x' || substr(md5('{SEED}:{i}:' || {half}), 1, 12))::BIGINT"
+    sql = f"SELECT row_number, n, a, b, x % a AS l, x // a AS r FROM {source}"
+    for i in range(0, ROUNDS, 2):
+        sql = f"SELECT row_number, n, a, b, (l + {mixed(i, 'r')}) % a AS l, r FROM ({sql})"
+        sql = f"SELECT row_number, n, a, b, l, (r + {mixed(i + 1, 'l')}) % b AS r FROM ({sql})"
+    return f"SELECT row_number, n, a, b, a * r + l AS x FROM ({sql})"
+
+
 ORACLE: dict[str, str] = {
+    "op11_sharding": f"""
+WITH RECURSIVE c0 AS (SELECT i, i AS c FROM range(256) t(i)),
+c8 AS (SELECT i, list_reduce([c] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM c0),
+crc AS (SELECT list(c ORDER BY i) AS t FROM c8),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+             xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) AS text_crc32 FROM documents, crc),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS row_number FROM d),
+s AS (SELECT row_number, row_number AS x, n, a, (n + a - 1) // a AS b FROM (SELECT row_number, count(*) OVER () AS n, ceil(sqrt(count(*) OVER ()))::BIGINT AS a FROM o)),
+w AS (({_network_sql("s")}) UNION ALL ({_network_sql("(SELECT * FROM w WHERE x >= n)")}))
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (x % {SHARDS})::INTEGER AS shard, x // {SHARDS} AS slot, NULL::INTEGER AS grown_shard, row_number FROM o JOIN w USING (row_number) WHERE x < n""",
     "op10_line_dedup": f"""
 WITH p AS ({_HTML_LINES}),
 e AS (SELECT DISTINCT page_id, host, unnest(lines) AS line FROM p),
