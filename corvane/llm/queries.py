@@ -19,6 +19,7 @@ from corvane.llm.sharding import ROUNDS, SEED, SHARDS, assign
 from corvane.llm.token_counts import token_counts
 from corvane.llm.toxicity import toxicity
 from corvane.llm.warc import read_warc, resolve_revisits, write_warc
+from corvane.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,8 +93,13 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(_table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = whiten(_table(spark, sf_dir, "embeddings"))
+    return w.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op2_minhash, op3_toxicity, op4_repeats, op5_warc, op6_quality, op7_bpe, op8_token_counts, op9_decontaminate, op10_line_dedup, op11_sharding)
+    f.__name__: f for f in (op1_secrets, op2_minhash, op3_toxicity, op4_repeats, op5_warc, op6_quality, op7_bpe, op8_token_counts, op9_decontaminate, op10_line_dedup, op11_sharding, op12_whitening)
 }
 
 _HTML_LINES = r"""
