@@ -12,6 +12,7 @@ from corvane.llm.bpe import encode_and_decode
 from corvane.llm.decontaminate import contamination
 from corvane.llm.line_dedup import host_of, html_lines, mark_lines
 from corvane.llm.near_dedup import near_duplicates
+from corvane.llm.negatives import hard_negatives
 from corvane.llm.quality import quality
 from corvane.llm.repeats import remove_repeats
 from corvane.llm.credentials import find_secrets
@@ -98,8 +99,15 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are moved on by one where the id is divisible by 7."""
+    e = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(e.select("vec_id", "embedding", label.alias("label")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op2_minhash, op3_toxicity, op4_repeats, op5_warc, op6_quality, op7_bpe, op8_token_counts, op9_decontaminate, op10_line_dedup, op11_sharding, op12_whitening)
+    f.__name__: f for f in (op1_secrets, op2_minhash, op3_toxicity, op4_repeats, op5_warc, op6_quality, op7_bpe, op8_token_counts, op9_decontaminate, op10_line_dedup, op11_sharding, op12_whitening, op13_hard_negatives)
 }
 
 _HTML_LINES = r"""
