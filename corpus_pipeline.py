@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage applies one operator to all that the stage before it kept.
 
 Every stage but the last returns the columns of documents; run() writes what a stage returns and reads it again for
-the next. SQL can't express the fitted classifier, so run() has no oracle; tests hold it against plain versions.
+the next. Further columns of documents are carried along whatever their names, but for the last stage, which returns its own. SQL can't express the fitted classifier, so run() has no oracle; tests hold it against plain versions.
 """
 
 from __future__ import annotations
@@ -39,10 +39,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     or repeat. A row without id stays unless one with an id has the same words; null and wordless texts link with nothing
     and stay; equal rows of one id stay together; an empty table stays empty.
     """
-    keyed = docs.withColumn("_row", F.xxhash64("text"))
-    kept = near_dedup.near_duplicates(keyed, row_col="_row").filter("kept").select(F.col("doc_id").alias("_id"), F.col("row").alias("_kept")).distinct()
-    same = (F.col("_row") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return keyed.join(kept.hint("merge"), same, "left_semi").drop("_row")
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", F.xxhash64("text").alias("row"))
+    kept = near_dedup.near_duplicates(keyed, row_col="row").filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_row")).distinct()
+    same = (F.col("row") == F.col("kept_row")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    return keyed.join(kept.hint("merge"), same, "left_semi").select("doc.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
