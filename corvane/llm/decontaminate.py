@@ -1,8 +1,9 @@
 """Benchmark decontamination in DataFrame functions only.
 
-Benchmark items become windows of consecutive normalised words. The set of the windows' hashes is small and its size
-is checked, so it goes to every task as one literal hash set. A document's words are hashed once, hashes of runs are
-made of hashes of shorter runs, each run is looked up, and only hits are compared with the windows' words.
+Benchmark items become windows of consecutive normalised words. The set of the windows' hashes is checked for its size
+and goes to every task: as one literal set, or as a broadcast table, in slices where it is larger than the bound of one. A
+document's words are hashed once, hashes of runs are made of hashes of shorter runs, each run is looked up where it is,
+and only hits are compared with the windows' words.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from corvane.llm import _shared as S
 
 WINDOW = 10
-#: Benchmarks of up to so many windows are looked up in a literal set in each task, larger ones by a join on the hash.
+#: Benchmarks of up to so many windows are looked up in a literal set in each task, larger ones in broadcast tables of so many windows each.
 SET_SIZE = 100_000
+SLICE = 4_000_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -71,7 +73,13 @@ def _hits(rows: DataFrame, grams: DataFrame, set_size: int) -> DataFrame:
         for n in sizes:
             r = hashed.select("row", F.lit(n).alias("size"), F.posexplode(f"run{n}").alias("at", "h"))
             runs = r if runs is None else runs.unionByName(r)
-        found = runs.join(distinct.select("h", "size").distinct(), ["h", "size"], "left_semi")
+        known = S.materialise(distinct.select("h", "size").distinct(), "known")
+        slices = -(-sum(counts.values()) // SLICE)
+        found = None
+        for k in range(slices):
+            part = known.filter(F.pmod("h", F.lit(slices)) == k) if slices > 1 else known
+            f = runs.join(F.broadcast(part), ["h", "size"], "left_semi")
+            found = f if found is None else found.unionByName(f)
         found = found.join(rows.select("row", "w"), "row").select("row", shape(F.col("at"), F.col("size")).alias("hit"))
         found = found.join(distinct.select("words"), F.col("hit.words") == F.col("words"), "left_semi")
         return rows.join(found.groupBy("row").agg(F.sort_array(F.collect_list("hit")).alias("hits")), "row", "left").withColumn("hits", F.coalesce("hits", none)).drop("row")
