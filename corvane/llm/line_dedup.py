@@ -14,6 +14,8 @@ from corvane.llm import _shared as S
 
 #: Lists of boilerplate lines of up to so many bytes in all are broadcast; beyond, pages are joined with them by site.
 BROADCAST_BYTES = 32_000_000
+#: The lines of a site, and beyond BROADCAST_BYTES its pages, are dealt to so many tasks, as one site may have a third of all.
+_SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -40,9 +42,10 @@ def boilerplate(pages: DataFrame, site: str = "site", lines: str = "lines", rati
     without a site are a site. Lines are told apart by 96 bits of hashes, not by their text.
     """
     each = pages.select(F.col(site).alias("site"), F.explode(F.array_distinct(F.transform(F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))), _key))).alias("key"))
-    often = each.groupBy("site", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    total = pages.groupBy(F.col(site).alias("all_site")).agg(F.count("*").alias("n_pages"))
-    over = often.join(total, F.col("site").eqNullSafe(F.col("all_site"))).filter(F.col("n") > ratio * F.col("n_pages"))
+    often = each.groupBy("site", "key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("salt", F.pmod(F.col("key.a"), F.lit(_SALTS)).cast("int"))
+    total = pages.groupBy(F.col(site).alias("all_site")).agg(F.count("*").alias("n_pages")).withColumn("all_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    same = F.col("site").eqNullSafe(F.col("all_site")) & (F.col("salt") == F.col("all_salt"))
+    over = often.join(total, same).filter(F.col("n") > ratio * F.col("n_pages"))
     return over.groupBy("site").agg(F.max("n_pages").alias("n_pages"), F.sort_array(F.collect_list("key")).alias("keys"))
 
 
@@ -57,7 +60,13 @@ def mark_lines(pages: DataFrame, site: str = "site", lines: str = "lines", ratio
     size = lists.agg(F.coalesce(F.sum(16 * F.size("keys") + 32 + F.coalesce(F.octet_length("site"), F.lit(0))), F.lit(0)).alias("n")).first()["n"]
     own, at = _free("site", pages.columns), _free("keys", pages.columns)
     lists = lists.select(F.col("site").alias(own), F.col("keys").alias(at))
-    out = pages.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, F.col(site).eqNullSafe(F.col(own)), "left")
+    if size <= BROADCAST_BYTES:
+        out = pages.join(F.broadcast(lists), F.col(site).eqNullSafe(F.col(own)), "left")
+    else:
+        salt, other = _free("salt", [*pages.columns, own, at]), _free("other_salt", [*pages.columns, own, at])
+        dealt = pages.withColumn(salt, (F.monotonically_increasing_id() % _SALTS).cast("int"))
+        copies = lists.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        out = dealt.join(copies, F.col(site).eqNullSafe(F.col(own)) & (F.col(salt) == F.col(other)), "left").drop(salt, other)
     none = F.array().cast("array<string>")
     all_lines = F.coalesce(F.col(lines), none)
     gone = F.coalesce(F.col(at), F.array().cast("array<struct<a:bigint,b:int>>"))
