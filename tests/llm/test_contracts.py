@@ -45,6 +45,8 @@ def folder(spark, tmp_path_factory):
     html = ["<p>nav</p><p>own 1</p>", "<p>nav</p><p>own 2</p>", "<p>nav</p><p>own 1</p>", "", None, "<p>" + "long " * 70_000 + "</p>", "<p>nav</p><p>own 1</p>"]
     pages = [(i, f"http://h{i % 2}.org/{r.randrange(99)}" if i != 3 else None, h, "x", "x", "x", "x", "x") for i, h in enumerate(html)]
     spark.createDataFrame(pages + pages[:1], PAGES).write.parquet(f"{root}/pages.parquet")
+    vectors = [(i, [r.gauss(0, 1) for _ in range(6)], i % 3) for i in range(30)] + [(30, None, 1), (31, [float("nan")] * 6, 1), (32, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (None, [0.5] * 6, 1), (33, [0.5] * 6, None)]
+    spark.createDataFrame([(*v, "x", "x") for v in vectors + vectors[:1]], "vec_id long, embedding array<float>, label int, x string, leaf string").write.parquet(f"{root}/embeddings.parquet")
     return str(root)
 
 
@@ -151,19 +153,21 @@ def test_op10(spark, folder):
 
 
 def test_empty_tables(spark, folder, tmp_path):
-    for name in ("documents", "pages", "labels", "benchmark"):
+    for name in ("documents", "pages", "labels", "benchmark", "embeddings"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, q in queries.QUERIES.items():
         empty = q(spark, str(tmp_path))
-        assert empty.count() == 0 and empty.columns[0] in ("doc_id", "page_id"), name
+        assert empty.count() == 0 and empty.columns[0] in ("doc_id", "page_id", "vec_id", "anchor_id"), name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_pipeline_on_odd_rows(spark, folder):
     """Each stage against a plain version, with null and repeated ids, null and empty texts, and no row lost that should stay."""
-    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
-    more = spark.createDataFrame([(None, None, "x", None, 0), (None, "alone of its kind here", "x", None, 22), (5, "another text of one id", "x", "s2", 22)], docs.schema)
-    docs = docs.unionByName(more)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars", "kept", "row", "spans", "site")
+    more = spark.createDataFrame([(None, None, "x", None, 0), (None, "alone of its kind here", "x", None, 22), (5, "another text of one id", "x", "s2", 22)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(more, allowMissingColumns=True).withColumns({c: F.lit(1) for c in ("_id", "_row", "_kept", "doc", "w", "hits", "fence", "keys", "salt", "lines", "kept_id", "kept_row", "component_id", "score", "size")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, folder).columns == docs.columns
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     rows = lambda df: Counter((x.doc_id, x.text, x.source) for x in df.collect())
     clean = corpus_pipeline.toxicity_stage(spark, docs, folder)

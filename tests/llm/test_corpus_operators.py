@@ -277,8 +277,9 @@ def plain_hits(texts, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("set_size", [100_000, 2])
-def test_contamination(spark, set_size):
+@pytest.mark.parametrize(("set_size", "slice_size"), [(100_000, 1), (2, 1000), (2, 40)])
+def test_contamination(spark, monkeypatch, set_size, slice_size):
+    monkeypatch.setattr(decontaminate, "SLICE", slice_size)
     r = random.Random(6)
     items = [(i, " ".join(prose(r, r.choice([1, 3, 9, 10, 11, 30]))).title()) for i in range(20)] + [(20, ""), (21, None), (11, "É ÀB cd'ef"), (4, "k2 K2 k2")]
     texts = ["", None, "no hits, here!"] + [" ".join(prose(r, 40) + re.split(r"\W", r.choice(items[:20])[1]) + prose(r, 20)) for _ in range(30)] + ["É - àB... cd ef", "É ÀB cd ef", "K2,k2;k2 k2"]
@@ -299,7 +300,9 @@ def test_contamination(spark, set_size):
 # --- lines
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("broadcast_bytes", [10**8, -1])
+def test_lines(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", broadcast_bytes)
     r = random.Random(2)
     rows = []
     for i in range(90):
