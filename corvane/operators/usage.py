@@ -141,20 +141,32 @@ def registered_classes(classes: DataFrame, scans: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(repo, a, z): every pair with a path a -> z, as of include graphs; edges: repo, a, z. Paths double in length each round.
+    """(repo, a, z): every pair with a path a -> z, as of include graphs; edges: repo, a, z.
 
-    Each round's paths are stored, as a plan that reads itself three times a round would soon be too large to run. The
-    result is as large as the pairs are many: the square of a component's nodes at most.
+    Semi-naive: a round joins only the pairs that the last one found with all that are known, which doubles the length of
+    paths, and writes only what is new. The result is as large as the pairs are many: the square of a component's nodes at most.
     """
-    paths = store(edges.select("repo", "a", "z").distinct(), "paths")
-    n = paths.count()
-    while n:
-        longer = paths.alias("x").join(paths.alias("y"), (F.col("x.repo") == F.col("y.repo")) & (F.col("x.z") == F.col("y.a"))).select("x.repo", "x.a", "y.z")
-        paths = store(paths.unionByName(longer).distinct(), "paths")
-        if (m := paths.count()) == n:
-            break
-        n = m
-    return paths
+    new = store(edges.select("repo", "a", "z").distinct(), "paths")
+    known = new
+    while not new.isEmpty():
+        longer = new.join(known.select("repo", F.col("a").alias("z"), F.col("z").alias("to")), ["repo", "z"]).select("repo", "a", F.col("to").alias("z")).distinct()
+        new = store(longer.join(known, ["repo", "a", "z"], "left_anti"), "paths")
+        known = known.unionByName(new)
+    return known
+
+
+def reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo, start, node): the nodes that a path from a start leads to. starts: repo, start; edges: repo, a, z.
+
+    Semi-naive: each round follows the edges of the nodes that the last one found and writes only what is new.
+    """
+    new = starts.select("repo", "start", F.col("start").alias("node"))
+    step, known = edges.select("repo", F.col("a").alias("node"), "z").distinct(), None
+    while known is None or not new.isEmpty():
+        ahead = new.join(step, ["repo", "node"]).select("repo", "start", F.col("z").alias("node")).distinct()
+        new = store(ahead.join(known, ["repo", "start", "node"], "left_anti") if known is not None else ahead, "reached")
+        known = new if known is None else known.unionByName(new)
+    return known
 
 
 def convention(rel: Column, name: Column, kind: Column, is_test: Column, module_vars: Column) -> Column:

@@ -9,8 +9,13 @@ from corvane.packs.base import Pack, Unit
 
 _NAME = re.compile(r"-?[A-Za-z_][A-Za-z0-9_-]*")
 _COMPOUND = re.compile(r"^[A-Za-z*]?[A-Za-z0-9]*(?:[.#]-?[A-Za-z_][A-Za-z0-9_-]*|:{1,2}[a-z-]+(?:\([^()]*\))?|\[[^\]]*\])+$")
-#: Names that scripts set at run time, as states of an element.
-_STATE = re.compile(r"^(is|has|js|no)-|^(active|open|show|hide|hidden|visible|selected|disabled|collapsed|loading|dark|light)$")
+_LICENCE, _VERSION = re.compile(r"licen[cs]e|copyright|\(c\)|\u00a9", re.I), re.compile(r"\bv?\d+\.\d+(\.\d+)?\b")
+
+
+def released(text: str) -> bool:
+    """A first comment with a licence and a version: a library's sheet that was copied here."""
+    m = re.match(r"(?s)(?:\s*@charset[^;]*;)?\s*/\*.{0,800}?\*/", text[:2000])
+    return bool(m and _LICENCE.search(m[0]) and _VERSION.search(m[0]))
 
 
 def blank(text: str, pattern: str) -> str:
@@ -55,12 +60,12 @@ def sheet(text: str, base: int = 0, whole: str | None = None) -> Iterator[Unit]:
             continue
         if head.startswith("@"):
             continue
-        if "," not in head and _COMPOUND.match(head) and not re.search(r"[&{}]", body):
+        if "," not in head and _COMPOUND.match(head) and not re.search(r"[&{}]|@at-root\b", re.sub(r"@font-face\s*\{[^{}]*\}", "@font-face", body)):
             outer = re.sub(r"\([^()]*\)", "", head)
             names = re.findall(r"\.(-?[A-Za-z_][A-Za-z0-9_-]*)", outer) or re.findall(r"#(-?[A-Za-z_][A-Za-z0-9_-]*)", outer)
             if names:
                 name = names[0]
-                keep = "a run-time state that scripts set" if _STATE.search(name) else "a mixin or at-rule inside may emit more" if re.search(r"@(include|at-root|font-face)", body) else ""
+                keep = "a mixin or at-rule inside may emit more" if re.search(r"@(include|font-face)", body) else ""
                 yield Unit("style", name, line(start), line(end), show=("." if f".{name}" in outer else "#") + name, own=len(re.findall(rf"(?<![\w-]){re.escape(name)}(?![\w-])", whole[start : end + 1])), keep=keep)
                 continue
         at = base + text.index(body, start - base)
@@ -73,7 +78,9 @@ class CssPack(Pack):
     token = "css"
 
     def units(self, rel, text):
-        yield from sheet(blank(text, r"(?s)/\*.*?\*/"))
+        if "vendor" in rel.split("/")[:-1] or rel.endswith(".min.css") or released(text):
+            return  # somebody else's code
+        yield from sheet(blank(text, r"(?s)/\*.*?\*/" if rel.endswith(".css") else r"(?s)/\*.*?\*/|(?<![:\w\"'(])//[^\n]*"))
 
 
 class HtmlPack(Pack):

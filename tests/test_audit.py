@@ -45,7 +45,7 @@ def repo(tmp_path_factory):
     git(root, "init", "-q")
     commit(root, {"app.py": "import os\nimport sys\n\n\ndef main():\n    return sys.argv\n\n\nmain()\n", "pkg/__init__.py": "", ".github/ci.yml": "on: x\n"}, "start")
     commit(root, {"gen.py": "def a():\n    return 1\n\n\ndef b():\n    return 2\n\n\na()\n", "js/a.js": "function one() {\n" + BLOCK + "}\none();\n", "js/b.js": "// copy\nfunction two() {\n" + BLOCK.replace("  ", "\t") + "}\ntwo();\n"}, "more\n\nCo-authored-by: Copilot <c@x>", at="2024-02-01T00:00:00Z")
-    commit(root, {"gen.py": "def a():\n    return 10\n\n\ndef b():\n    return 2\n\n\na()\n", "latin.py": "# -*- coding: latin-1 -*-\nx = 'é'\n".encode("latin-1"), "site.css": ".used { a: b }\n.gone-by { c: d }\n", "index.html": "<p class='used'>x</p>\n"}, "fix", at="2024-03-01T00:00:00Z")
+    commit(root, {"gen.py": "def a():\n    return 10\n\n\ndef b():\n    return 2\n\n\na()\n", "latin.py": "# -*- coding: latin-1 -*-\nx = 'é'\n".encode("latin-1"), "site.css": ".used { a: b }\n.gone-by { c: d }\n", "lone.css": ".used { a: b }\n.gone-off { c: d }\n", "index.html": "<link rel='stylesheet' href='site.css'><p class='used'>x</p>\n"}, "fix", at="2024-03-01T00:00:00Z")
     (root / "link.py").symlink_to(root / "app.py")
     (root / "data.py").write_bytes(b"\0\0")
     (root / "node_modules").mkdir()
@@ -77,6 +77,7 @@ def test_run(spark, repo, tmp_path):
     copy = next(r for r in found.values() if r.kind == "duplicate")
     assert (copy.file, copy.evidence) == ("js/b.js", ["js/a.js:2"]) and copy.lines >= 6
     assert found["style", "site.css", "gone-by"].verdict == "REMOVE" and ("style", "site.css", "used") not in found
+    assert found["style", "lone.css", "gone-off"].verdict == "AMBIGUOUS" and "names its sheet" in found["style", "lone.css", "gone-off"].reason
     p = a.payoff.first()
     assert p.dead_units >= 3 and p.duplicate_lines == copy.lines and 0 < p.jlr_percent < 100
     w = {r.kind: r for r in a.rework.collect()}
@@ -231,7 +232,7 @@ def test_styles_that_may_be_in_use(spark):
         "built": ([("a.css", "CSS", seen + ".btn-wide {a:b}\n.pale-card {a:b}"), page, ("b.js", "JavaScript", "x('btn-' + kind)\ny(`${z}-card`)")], {"btn-wide": "AMBIGUOUS", "pale-card": "AMBIGUOUS"}),
         "glue": ([("a.css", "CSS", seen + ".icon-home {a:b}\n.other-home {a:b}"), page, ("b.js", "JavaScript", "['icon', n].join('-')")], {"icon-home": "AMBIGUOUS", "other-home": "REMOVE"}),
         "names": ([("a.css", "CSS", seen + ".fade-enter-active {a:b}\n.hljs-x {a:b}\n.collapsed {a:b}"), page], {"fade-enter-active": "AMBIGUOUS", "hljs-x": "AMBIGUOUS", "collapsed": "AMBIGUOUS"}),
-        "banner": ([("a.css", "CSS", "/* Some lib, MIT License */\n" + seen + ".dead-one {a:b}"), page], {"dead-one": "AMBIGUOUS"}),
+        "banner": ([("a.css", "CSS", "/* My own, MIT License */\n" + seen + ".dead-one {a:b}"), page], {"dead-one": "REMOVE"}),
         "unnamed": ([("zz.css", "CSS", seen + ".dead-one {a:b}"), page], {"dead-one": "AMBIGUOUS"}),
         "unseen": ([("a.css", "CSS", ".s1 {a:b}\n.d1 {a:b}\n.d2 {a:b}"), page], {"d1": "AMBIGUOUS", "d2": "AMBIGUOUS"}),
         "module": ([("a.module.css", "CSS", seen + ".nav-item {a:b}\n.nav-gone {a:b}"), ("c.js", "JavaScript", "import s from './a.module.css'; f(s.navItem, s.s1, s.s2, s.s3, s.s4)")], {"nav-gone": "REMOVE"}),
