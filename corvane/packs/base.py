@@ -16,7 +16,7 @@ from corvane.runtime import ship, store
 
 @dataclass(frozen=True)
 class Unit:
-    """A declared name: lines start..end, the scope in which uses count (file, package, repo or public), how often its own text holds it, why it must stay."""
+    """A declared name: lines start..end, the scope in which uses count (file, package, repo or public), how often its own text holds it, why it must stay, or what joins over the repository should look at."""
 
     kind: str
     name: str
@@ -26,6 +26,7 @@ class Unit:
     show: str = ""
     own: int = 1
     keep: str = ""
+    hint: str = ""
 
 
 class Pack:
@@ -34,6 +35,10 @@ class Pack:
     languages: tuple[str, ...] = ()
     token = "ident"
 
+    def entry(self, rel: str) -> bool:
+        """Whether a file is called from outside: its public units are used then."""
+        return False
+
     def units(self, rel: str, text: str) -> Iterator[Unit]:
         """Yields the file's units; raises ValueError when the text can't be read, and nothing of the file is judged then."""
         raise NotImplementedError
@@ -53,11 +58,11 @@ def _units(packs: dict[str, Pack]):
             for repo, rel, lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 p = packs[lang]
                 try:
-                    found = list(p.units(rel, text or ""))
+                    found = [u for u in p.units(rel, text or "") if u.scope != "public" or not p.entry(rel)]
                 except Exception as e:  # one odd file must not stop the audit: it is listed and not judged
                     out.append((repo, rel, lang, *[None] * 10, f"{type(e).__name__}: {e}"[:200]))
                     continue
-                out += [(repo, rel, lang, u.kind, u.name, u.show or u.name, u.start, u.end, u.scope, bool(u.keep), u.keep, u.own, p.token, None) for u in found]
+                out += [(repo, rel, lang, u.kind, u.name, u.show or u.name, u.start, u.end, u.scope, bool(u.keep), u.keep or u.hint, u.own, p.token, None) for u in found]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), _OUT.types, strict=True)], schema=_OUT)
 
@@ -75,10 +80,12 @@ def extract(files: DataFrame, packs: list[Pack], most: int = L.PARSE_BYTES) -> D
 def audit(files: DataFrame, packs: list[Pack], everything: DataFrame | None = None) -> DataFrame:
     """Findings on units that nothing in their scope mentions. everything (repo, rel, text): all text files whose words count, the judged ones among them."""
     from corvane.packs.styles import keep_styles
+    from corvane.packs.web import keep_scripts
 
     units = store(extract(files, packs).filter("error is null"), "units")
     every = everything if everything is not None else files
-    idents = words.unused_units(units.filter("token = 'ident'").drop("token", "error"), words.word_counts(every))
+    idents = units.filter("token = 'ident'").drop("token", "error")
+    idents = keep_scripts(words.unused_units(idents, words.word_counts(every)), idents, words.word_counts(every).select("repo", "rel", "word"))
     hyphens = F.contains("name", F.lit("-"))
     css = units.filter("token = 'css'").drop("token", "error")
     plain = words.unused_units(css.filter(~hyphens), words.word_counts(every))

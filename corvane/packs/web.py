@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from corvane.packs.base import Pack, Unit
 
 _NAME = re.compile(r"-?[A-Za-z_][A-Za-z0-9_-]*")
@@ -97,10 +100,28 @@ class HtmlPack(Pack):
                 yield from sheet(blank(m[2], r"(?s)/\*.*?\*/"), m.start(2), clean)
 
 
-_IMPORT = re.compile(r"""^import\s+(?:type\s+)?([^'"`;]*?)\s*\bfrom\s*['"][^'"]*['"][ \t]*;?""", re.M)
-_REQUIRE = re.compile(r"^(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*require\s*\([^()\n]*\)[\w.$]*[ \t]*;?", re.M)
-_DECLARED = re.compile(r"^(export\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|type|(?:const\s+)?enum|const|let|var)\s+([A-Za-z_$][\w$]*)(?=[^\w$])(?!\s*=\s*require\b)")
-_FUNCTION_VALUE = re.compile(r"=\s*(?:async\s+)?(?:function\b|\([^()]*\)\s*(?::[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>)")
+_IMPORT = re.compile(r"""^import\s+(type\s+(?!from\b))?([^'"`;]*?)\s*\bfrom\s*['"]([^'"]*)['"][ \t]*;?""", re.M)
+_REQUIRE = re.compile(r"""^(?:const|let|var)\s+(?:([A-Za-z_$][\w$]*)|\{([^}]*)\})\s*=\s*require\s*\(\s*['"]([^'"\n]*)['"]\s*\)[ \t]*;?""", re.M)
+_DECLARED = re.compile(r"^(export\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\b\s*\*?|class|interface|type|(?:const\s+)?enum|const|let|var)\s*([A-Za-z_$][\w$]*)(?=[^\w$])(?!\s*=\s*require\b)")
+_FUNCTION_VALUE = re.compile(r"^[^=]*(?<![=!<>])=(?![=>])\s*(?:(?:async\s+)?(?:function\b|\([^()]*\)\s*(?::[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>)|(class)\b)")
+# --- fixed values: places whose exports a framework or tool calls; suffixes of modules; what marks a file as loaded by another module system; modules of the runtime; configuration words
+ENTRY = re.compile(
+    r"(^|/)(pages|app|routes|api|bin|scripts|e2e|cypress|playwright|__tests__|__mocks__|test|tests)/|\.(config|conf|test|spec|stories|story|setup|d)\.[cm]?[jt]sx?$"
+    r"|(^|/)(index|main|server|app|cli|worker|sw|service-worker|vite-env|setupTests)\.[cm]?[jt]sx?$"
+)
+MODULE_SUFFIX = (".mjs", ".cjs", ".mts", ".cts")
+_UMD = re.compile(r"\btypeof\s+(?:module|exports|define|require)\b|\bdefine\.amd\b|^\s*define\s*\(", re.M)
+_CJS = re.compile(r"^(?:module\.exports|exports)\s*[.\[=]|\bObject\.(?:defineProperty|assign)\(\s*(?:module\.)?exports\b", re.M)
+_PRAGMA = re.compile(r"@jsx(?:Frag)?\s+([A-Za-z_$][\w$]*)")
+BUILTIN = frozenset(
+    "assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https inspector module net os path perf_hooks process punycode querystring "
+    "readline repl stream string_decoder sys timers tls trace_events tty url util v8 vm wasi worker_threads zlib".split()
+)
+FACTORY_WORDS = ["pragma", "pragmaFrag", "jsxPragma", "jsxPragmaFrag", "jsxFactory", "jsxFragmentFactory", "jsxFragment", "jsxInject"]
+VERBATIM_WORDS = ["verbatimModuleSyntax", "preserveValueImports", "importsNotUsedAsValues", "onlyRemoveTypeImports"]
+
+#: What a unit that isn't kept says in its reason for keep_scripts: JSX may need it by a project's setting, or a project may want its load.
+JSX_HINT, LOAD_HINT = "hint: a name in a file with JSX", "hint: a statement that loads a module"
 
 
 def _bindings(clause: str) -> Iterator[str]:
@@ -119,60 +140,114 @@ def _times(name: str, text: str) -> int:
     return len(re.findall(rf"(?<![\w$]){re.escape(name)}(?![\w$])", text))
 
 
+def builtin(spec: str) -> bool:
+    return spec.startswith("node:") or spec.split("/")[0] in BUILTIN
+
+
 class ScriptPack(Pack):
     """Imports, and declarations at the margin, of JavaScript and TypeScript files.
 
-    Names of a module or of a file with require() live in that file; exported ones are public; those of other scripts may be
-    read by any script of the repository. Values that run code, classes with decorators or a computed base and names that JSX may
-    need are kept. Without a syntax tree members and nested names aren't judged.
+    A module's names and those of a file with CommonJS exports reach that file; of a script that calls require() they reach the
+    repository; of any other script, and of a file made for several module systems, anywhere: those are judged, not removed, like
+    exports. Defaults and values that aren't functions are no units. Kept: what JSX may need, an import without which the file may
+    be no module, classes and enums whose definition runs code, names beside a rest pattern, statements whose going joins the
+    lines around them, every name where eval is called. Without a syntax tree members and nested names aren't judged.
     """
 
     languages = ("JavaScript", "TypeScript")
 
+    def entry(self, rel):
+        return bool(ENTRY.search(rel))
+
     def units(self, rel, text):
-        if rel.endswith(".d.ts"):
+        if re.search(r"\.d\.[cm]?ts$", rel):
             return
         clean = blank(text, r"(?s)/\*.*?\*/|(?<![:\"'`\\\\])//[^\n]*")
         lines = clean.split("\n")
         line = lambda at: clean.count("\n", 0, at) + 1
         all_keep = "eval may read any name" if re.search(r"\beval\s*\(", clean) else ""
-        modules = len(re.findall(r"(?m)^(?:import|export)\b", clean))
-        own_file = modules > 0 or bool(re.search(r"\brequire\s*\(|\bmodule\.exports\b|(?m:^exports\.)", clean))
+        exports = bool(re.search(r"(?m)^export\b", clean))
+        module = rel.endswith(MODULE_SUFFIX) or exports or bool(re.search(r"""(?m)^import\b\s*["'{*A-Za-z_$]""", clean))
+        reach = "file" if module else "public" if _UMD.search(clean) else "file" if _CJS.search(clean) else "repo" if re.search(r"\brequire\s*\(", clean) else "public"
         jsx = bool(re.search(r"<(?:[A-Za-z][\w.]*[\s/>]|>)", clean)) and rel.endswith((".jsx", ".tsx", ".js"))
-        for m in _IMPORT.finditer(clean):
-            names = list(_bindings(m[1]))
-            factory = jsx and any(n in ("React", "h", "jsx", "Preact", "preact") for n in names)
-            keep = "JSX may need it without naming it" if factory else "without it the file may be no module" if modules == 1 else ""
+        pragmas = set(_PRAGMA.findall(text))
+        factory = lambda n: n in pragmas or (jsx and n in ("React", "h"))
+        imports = [(m, list(_bindings(m[2])), bool(m[1]), m[3]) for m in _IMPORT.finditer(clean)]
+        stays = rel.endswith(MODULE_SUFFIX) or exports or bool(re.search(r"""(?m)^import\s*["']""", clean)) or any(not names or any(_times(n, clean) > _times(n, m[0]) for n in names) for m, names, *_ in imports)
+        for m, names, type_only, spec in imports:
+            drops = rel.endswith((".ts", ".tsx", ".mts", ".cts")) or type_only or builtin(spec)
+            together = len(names) > 1 and drops and not any(map(factory, names)) and all(_times(n, clean) == _times(n, m[0]) for n in names)
+            whole = len(names) == 1 or together
             for n in names:
-                yield Unit("import", n, line(m.start()), line(m.end()), scope="file", own=_times(n, m[0]), keep=all_keep or keep)
+                keep = hint = ""
+                if factory(n):
+                    keep = "JSX may need it without naming it"
+                elif whole and drops and not stays:
+                    keep = "without it the file may be no module"
+                elif whole and drops and (joined := self.joins(lines, line(m.start()) - 1, line(m.end()) - 1)):
+                    keep = joined
+                elif jsx:
+                    hint = JSX_HINT
+                elif whole and drops and not type_only and not builtin(spec):
+                    hint = LOAD_HINT
+                yield Unit("import", n, line(m.start()), line(m.end()), scope="file", own=_times(n, m[0]), keep=all_keep or keep, hint=hint)
         for m in _REQUIRE.finditer(clean):
-            yield Unit("import", m[1], line(m.start()), line(m.end()), scope="file", own=_times(m[1], m[0]), keep=all_keep or "loading its module may be the point")
+            items = [x.strip() for x in (m[2] or "").split(",") if x.strip()]
+            rest = any(x.startswith("...") for x in items)
+            for n, default in [(m[1], "")] if m[1] else [(p[1] or p[2], p[3] or "") for x in items if (p := re.fullmatch(r"(?:[A-Za-z_$][\w$]*\s*:\s*([A-Za-z_$][\w$]*)|([A-Za-z_$][\w$]*))\s*(?:=\s*(.*))?", x, re.S))]:
+                alone = len(items) < 2 and builtin(m[3])
+                keep = "the rest pattern beside it would collect it" if rest else "its default runs code" if re.search(r"[(`]|\bnew\b", default) else self.joins(lines, line(m.start()) - 1, line(m.end()) - 1) if alone else ""
+                yield Unit("import", n, line(m.start()), line(m.end()), scope=reach, own=_times(n, m[0]), keep=all_keep or keep)
         for i, head in enumerate(lines):
             m = _DECLARED.match(head)
-            if not m:
+            if not m or re.match(r"export\s+default\b", head):
                 continue
-            depth, end, what = 0, i, m[2].split()[-1]
-            block = what in ("function", "function*", "class", "interface", "enum")
+            depth, end, what = 0, i, m[2].split()[-1].rstrip("*")
+            block = what in ("function", "class", "interface", "enum")
             for end in range(i, len(lines)):
                 depth += sum(map(lines[end].count, "{([")) - sum(map(lines[end].count, "})]"))
                 if depth <= 0 and (not block or "{" in "".join(lines[i : end + 1])):
                     break
             body = "\n".join(lines[i : end + 1])
-            kind = {"function*": "function", "interface": "type", "enum": "type"}.get(what, what)
+            kind = {"interface": "type", "enum": "type"}.get(what, what)
             keep = ""
             if what in ("const", "let", "var"):
-                kind = "function" if _FUNCTION_VALUE.search(body) else "variable"
-                if kind == "variable" and re.search(r"[(`]|\bnew\b|\bawait\b", body.partition("=")[2]):
-                    keep = "its value runs code"
-            elif what == "class":
+                if not (value := _FUNCTION_VALUE.search(body)):
+                    continue  # its value may run code
+                kind = "class" if value[1] else "function"
+            if kind == "class":
                 before = "".join(lines[max(0, i - 1) : i]).strip()
                 if before.startswith("@") or re.search(r"(?m)^\s*@[A-Za-z]", body):
                     keep = "a decorator may register it"
-                elif re.search(r"\bextends\s+[\w$.]+\s*\(", head) or re.search(r"(?m)^\s*static\s*(?:\{|[\w$#]+\s*=\s*[^;\n]*\()", body):
+                elif re.search(r"\bextends\s+[\w$.]+\s*\(", body.partition("{")[0]) or re.search(r"(?m)^\s*static\s*(?:\{|[\w$#]+\s*=\s*[^;\n]*\()|^\s*(?:static\s+)?\[[^\]\n]*\(", body):
                     keep = "defining it runs code"
             elif what == "enum" and re.search(r"=\s*[^,\n]*\(", body):
                 keep = "a member's value runs code"
-            yield Unit(kind, m[3], i + 1, end + 1, scope="public" if m[1] else "file" if own_file else "repo", own=_times(m[3], body), keep=all_keep or keep)
+            scope = "public" if m[1] else reach
+            yield Unit(kind, m[3], i + 1, end + 1, scope=scope, own=_times(m[3], body), keep=all_keep or keep or (self.joins(lines, i, end) if scope != "public" else ""))
+
+    @staticmethod
+    def joins(lines: list[str], first: int, last: int) -> str:
+        """Why a statement's lines must stay: without them and without semicolons the line below would go on with the one above."""
+        above = next((x.rstrip() for x in reversed(lines[:first]) if x.strip()), "")
+        below = next((x.lstrip() for x in lines[last + 1 :] if x.strip()), "")
+        return "its going would join the lines around it" if above and below[:1] in tuple("([`+-/") and below and not above.endswith((";", "}", "{")) and not re.match(r"import\b", above) else ""
+
+
+def keep_scripts(found: DataFrame, units: DataFrame, counts: DataFrame) -> DataFrame:
+    """found (findings on scripts) with verdict AMBIGUOUS where a setting of the project asks for an import: its JSX factory by name, or every module's load.
+
+    units: repo, rel, kind, name, start, reason (with the hints of ScriptPack); counts: repo, rel, word.
+    """
+    hints = units.filter(F.col("reason").isin(JSX_HINT, LOAD_HINT)).select("repo", "rel", "kind", "name", "start", F.col("reason").alias("hint")).distinct()
+    settings = counts.filter(F.col("word").isin(FACTORY_WORDS)).select("repo", F.col("rel").alias("by")).distinct()
+    factories = counts.join(settings.withColumnRenamed("by", "rel"), ["repo", "rel"]).select("repo", F.col("rel").alias("by"), F.col("word").alias("name"))
+    named = hints.filter(F.col("hint") == JSX_HINT).join(factories, ["repo", "name"]).filter("by <> rel").select("repo", "rel", "kind", "name", "start", F.lit("the project's JSX factory").alias("why")).distinct()
+    loads = counts.filter(F.col("word").isin(VERBATIM_WORDS)).select("repo").distinct()
+    loads = hints.filter(F.col("hint") == LOAD_HINT).join(loads, "repo", "left_semi").select("repo", "rel", "kind", "name", "start", F.lit("the project keeps every import's load").alias("why"))
+    f = found.join(named.unionByName(loads), ["repo", "rel", "kind", "name", "start"], "left")
+    kept = F.col("why").isNotNull() & (F.col("verdict") == "REMOVE")
+    return f.withColumn("reason", F.when(kept, F.col("why")).otherwise(F.col("reason"))).withColumn("verdict", F.when(kept, "AMBIGUOUS").otherwise(F.col("verdict"))).select(*found.columns)
 
 
 PACKS = [CssPack(), HtmlPack(), ScriptPack()]

@@ -37,11 +37,18 @@ def test_script_pack(spark):
             "const g = new Map<string, Gen>()\n@Dec\nexport class Widget {}\nexport const View = () => <><Foo /><Space.Item /></>\nconsole.log(v, g, alive)\n",
             {"All": ("import", "REMOVE"), "DeadOne": ("import", "REMOVE"), "Widget": ("class", "AMBIGUOUS"), "View": ("function", "AMBIGUOUS")},
         ),
-        "src/app.jsx": ("import React from 'react'\nimport { gone } from './util'\nexport default function App() {\n  return <p>hi</p>\n}\n", {"React": ("import", "AMBIGUOUS"), "gone": ("import", "REMOVE"), "App": ("function", "AMBIGUOUS")}),
+        "src/app.jsx": ("import React from 'react'\nimport { gone } from './util'\nexport default function App() {\n  return <p>hi</p>\n}\n", {"React": ("import", "AMBIGUOUS"), "gone": ("import", "REMOVE")}),
         "src/one.ts": ("import { only } from './util'\nlet x = 1\nx += 1\n", {"only": ("import", "AMBIGUOUS")}),
         "src/types.ts": ("export {}\ntype Dead = string\ninterface Gone {\n  a: Dead2\n}\nenum Plain { A, B }\nenum Runs { A = f() }\ntype Used = number\nlet y: Used = 1\ny += 1\n", {"Dead": ("type", "REMOVE"), "Gone": ("type", "REMOVE"), "Plain": ("type", "REMOVE"), "Runs": ("type", "AMBIGUOUS")}),
-        "lib/a.js": ("const fs = require('fs')\nconst path = require('path')\nconst LIMIT = 3\nconst made = build(1)\nconst dead = (a) => a\nclass Base extends mix(Other) {\n}\nmodule.exports = { p: path.sep }\n", {"fs": ("import", "AMBIGUOUS"), "LIMIT": ("variable", "REMOVE"), "made": ("variable", "AMBIGUOUS"), "dead": ("function", "REMOVE"), "Base": ("class", "AMBIGUOUS")}),
-        "page/x.js": ("function shared() {\n}\nfunction lost() {\n  lost()\n}\n", {"lost": ("function", "REMOVE")}),
+        "src/web.ts": ("import a, { b } from './lib'\nimport c from 'fs'\nimport 'x'\n", {"a": ("import", "REMOVE"), "b": ("import", "REMOVE"), "c": ("import", "REMOVE")}),
+        "src/asi.js": ("const go = 1\nfunction gone() {\n}\n(go)\nexport { go }\n", {"gone": ("function", "AMBIGUOUS")}),
+        "src/index.ts": ("export function served() {\n}\n", {}),
+        "lib/umd.js": ("(function (root) { if (typeof module === 'object') x() })(this)\nfunction everywhere() {\n}\n", {"everywhere": ("function", "AMBIGUOUS")}),
+        "lib/parts.js": ("const { used1, lost1: lost2, lost3 = f() } = require('./x')\nconst { lost4, ...others } = require('./y')\nexports.a = used1 + others\nclass Static {\n  static x = f()\n}\nconst Plain = class {\n}\n", {"lost2": ("import", "REMOVE"), "lost3": ("import", "AMBIGUOUS"), "lost4": ("import", "AMBIGUOUS"), "Static": ("class", "AMBIGUOUS"), "Plain": ("class", "REMOVE")}),
+        "lib/electron.js": ("const fs2 = require('fs')\nfunction byOthers() {\n}\nfunction byNobody() {\n}\nfs2.x()\n", {"byNobody": ("function", "REMOVE")}),
+        "lib/other.js": ("byOthers()\n", {}),
+        "lib/a.js": ("const fs = require('fs')\nconst path = require('path')\nconst LIMIT = 3\nconst made = build(1)\nconst dead = (a) => a\nclass Base extends mix(Other) {\n}\nmodule.exports = { p: path.sep }\n", {"fs": ("import", "REMOVE"), "dead": ("function", "REMOVE"), "Base": ("class", "AMBIGUOUS")}),
+        "page/x.js": ("function shared() {\n}\nfunction lost() {\n  lost()\n}\n", {"lost": ("function", "AMBIGUOUS")}),
         "page/y.js": ("// 'http://a//b'\nshared()\n", {}),
         "page/evil.js": ("function hidden() {\n}\neval('hid' + 'den()')\n", {"hidden": ("function", "AMBIGUOUS")}),
     }
@@ -51,3 +58,13 @@ def test_script_pack(spark):
     for r in base.audit(df, web.PACKS).collect():
         got[r.rel][r.name] = (r.kind, r.verdict)
     assert got == {rel: want for rel, (_, want) in files.items()}
+
+
+def test_settings_of_a_project(spark):
+    """A JSX factory that a configuration names, and a project that keeps every load; the same files without these settings."""
+    files = [("v.tsx", "TypeScript", "import { make } from 'tiny'\nexport const V = () => <p />\n"), ("w.ts", "TypeScript", "import { lost } from './v'\nimport type { T } from './v'\nimport { readFile } from 'fs'\nexport const w = () => 1\n")]
+    settings = [("tsconfig.json", "JSON", '{"jsxFactory": "make", "verbatimModuleSyntax": true}')]
+    df = spark.createDataFrame([(r, *f) for r, fs in (("with", files + settings), ("without", files)) for f in fs], "repo string, rel string, lang string, text string")
+    got = {(r.repo, r.name): r.verdict for r in base.audit(df, web.PACKS).collect() if r.kind == "import"}
+    names = ("make", "lost", "T", "readFile")
+    assert [got["with", n] for n in names] == ["AMBIGUOUS", "AMBIGUOUS", "REMOVE", "REMOVE"] and [got["without", n] for n in names] == ["REMOVE"] * 4
