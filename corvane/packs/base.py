@@ -72,20 +72,27 @@ def _units(packs: dict[str, Pack]):
 def extract(files: DataFrame, packs: list[Pack], most: int = L.PARSE_BYTES) -> DataFrame:
     """Units (SCHEMA) of files (repo, rel, lang, text) that a pack handles and that aren't too long; rows with an error name files that weren't judged."""
     ship(files.sparkSession)
-    by = {lang: p for p in packs for lang in p.languages}
+    by = {lang: p for p in packs if not hasattr(p, "frame") for lang in p.languages}
     f = files.filter(F.col("lang").isin(list(by)) & (F.octet_length("text") <= most))
     return f.select("repo", "rel", "lang", "text").mapInArrow(_units(by), SCHEMA)
 
 
 def audit(files: DataFrame, packs: list[Pack], everything: DataFrame | None = None) -> DataFrame:
     """Findings on units that nothing in their scope mentions. everything (repo, rel, text): all text files whose words count, the judged ones among them."""
+    from corvane.packs.nested import DOLLARS, outermost
     from corvane.packs.styles import keep_styles
     from corvane.packs.web import keep_scripts
 
-    units = store(extract(files, packs).filter("error is null"), "units")
     every = everything if everything is not None else files
+    units = extract(files, packs).filter("error is null")
+    for p in packs:
+        if hasattr(p, "frame"):
+            units = units.unionByName(p.frame(files.filter(F.col("lang").isin(list(p.languages)) & (F.octet_length("text") <= L.PARSE_BYTES)), every))
+    units = store(units, "units")
+    text = F.when(F.col("lang").isin(DOLLARS), F.replace("text", F.lit("$"), F.lit(" "))).otherwise(F.col("text")) if "lang" in every.columns else F.col("text")
+    counts = words.word_counts(every.select("repo", "rel", text.alias("text")))
     idents = units.filter("token = 'ident'").drop("token", "error")
-    idents = keep_scripts(words.unused_units(idents, words.word_counts(every)), idents, words.word_counts(every).select("repo", "rel", "word"))
+    idents = outermost(keep_scripts(store(words.unused_units(idents, counts), "unused"), idents, counts.select("repo", "rel", "word")))
     hyphens = F.contains("name", F.lit("-"))
     css = units.filter("token = 'css'").drop("token", "error")
     plain = words.unused_units(css.filter(~hyphens), words.word_counts(every))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from corvane.packs.base import Pack, Unit
+from corvane.packs.nested import NestedPack
 from corvane.packs.web import blank
 
 _COMMENTS = r"/\*(?:[^*]|\*(?!/))*\*/|//[^\n]*"
@@ -71,38 +72,21 @@ class DeclaredPack(Pack):
 
 
 class JavaPack(DeclaredPack):
+    """Imports; members are NestedPack's, as for the next two and for PHP and Swift."""
+
     languages = ("Java",)
-    forms = (
-        Form("import", r"import\s+(?!static\b)[\w.]+\.(?P<name>[A-Z]\w*)\s*;", "file"),
-        Form("class", r"\s+private\s+(?:static\s+|final\s+)*(?:class|enum|interface|record)\s+(?P<name>\w+)", "file"),
-        Form("method", r"\s+private\s+(?:static\s+|final\s+|synchronized\s+|<[^>]*>\s*)*[\w<>\[\], .?]+\s+(?P<name>\w+)\s*\(", "file"),
-        Form("field", r"\s+private\s+(?:static\s+|final\s+|transient\s+|volatile\s+)*[\w<>\[\], .?]+\s+(?P<name>\w+)\s*(?:=|;)", "file", True),
-    )
-    whole = {r"\bSerializable\b": "a serialized class is read by its members' names", r"\b(getDeclared(Method|Field)s?|setAccessible)\b": "members are reached by reflection"}
-    skipped_names = frozenset({"main", "serialVersionUID", "readObject", "writeObject", "readResolve", "writeReplace"})
+    forms = (Form("import", r"import\s+(?:static\s+)?[\w.]+\.(?P<name>[A-Za-z_]\w*)\s*;", "file"),)
 
 
 class KotlinPack(DeclaredPack):
     languages = ("Kotlin",)
-    forms = (
-        Form("import", r"import\s+[\w.]+\.(?P<name>[A-Za-z_]\w*)\s*$", "file"),
-        Form("function", r"\s*private\s+(?:suspend\s+|inline\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w<>?]+\.)?(?P<name>\w+)\s*\(", "file"),
-        Form("property", r"\s*private\s+(?:const\s+|lateinit\s+)?va[lr]\s+(?P<name>\w+)", "file", True),
-    )
-    # --- fixed values: names that operators call
-    skipped_names = frozenset({"main", "plus", "minus", "times", "div", "rem", "get", "set", "invoke", "contains", "iterator", "compareTo", "getValue", "setValue", "provideDelegate", "inc", "dec", "not", "component1", "component2", "hasNext", "next", "rangeTo", "unaryMinus", "unaryPlus"})
-    whole = {r"@Serializable\b": "a serialized class is read by its members' names"}
+    forms = (Form("import", r"import\s+[\w.]+\.(?P<name>[A-Za-z_]\w*)\s*$", "file"),)
+    skipped_names = frozenset({"getValue", "setValue", "provideDelegate"})
 
 
 class CSharpPack(DeclaredPack):
     languages = ("C#",)
-    forms = (
-        Form("import", r"\s*using\s+(?P<name>\w+)\s*=\s*[\w.<>, ]+;", "file"),
-        Form("method", r"\s+private\s+(?:static\s+|async\s+|readonly\s+|unsafe\s+)*[\w<>\[\], .?]+\s+(?P<name>\w+)\s*(?:<[^>]*>)?\(", "file"),
-        Form("field", r"\s+private\s+(?:static\s+|readonly\s+|const\s+|volatile\s+)*[\w<>\[\], .?]+\s+(?P<name>\w+)\s*(?:=|;)", "file", True),
-    )
-    whole = {r"\bpartial\s+(class|struct)\b": "another part of the class may use it", r"\b(BindingFlags|GetMethod|GetField|StructLayout)\b": "members are reached by reflection or layout", r"\b(MonoBehaviour|ScriptableObject|ControllerBase|\bForm\b)": "a framework calls members by name"}
-    skipped_names = frozenset({"Main", "Dispose", "GetEnumerator", "MoveNext", "Deconstruct", "GetAwaiter"})
+    forms = (Form("import", r"\s*using\s+(?P<name>\w+)\s*=\s*[\w.<>, ]+;", "file"),)
 
 
 class GoPack(DeclaredPack):
@@ -122,22 +106,7 @@ class RustPack(DeclaredPack):
 
 class PhpPack(DeclaredPack):
     languages = ("PHP",)
-    forms = (
-        Form("import", r"use\s+[\w\\]*\\(?P<name>\w+)\s*;", "file"), Form("method", r"\s+private\s+(?:static\s+)?function\s+(?P<name>\w+)\s*\(", "repo"),
-        Form("property", r"\s+private\s+(?:static\s+|readonly\s+)?(?:[?\w\\|]+\s+)?\$(?P<name>\w+)", "repo", True),
-    )
-    whole = {r"__(call|callStatic|get|set)\b|\$this->\$|->\{\s*\$|call_user_func": "names are computed in this file"}
-    skipped_names = frozenset({"__construct", "__destruct", "__clone", "__toString", "__wakeup", "__sleep", "__serialize", "__unserialize"})
-
-
-class SwiftPack(DeclaredPack):
-    languages = ("Swift",)
-    forms = (
-        Form("function", r"\s*(?:file)?private\s+(?:static\s+|final\s+|mutating\s+)*func\s+(?P<name>\w+)", "file"),
-        Form("property", r"\s*(?:file)?private\s+(?:static\s+|lazy\s+|weak\s+)*(?:let|var)\s+(?P<name>\w+)", "file", True),
-    )
-    whole = {r":\s*[^{\n]*\b(Codable|Decodable|Encodable)\b": "synthesized code reads members by name"}
-    modifiers = r"\b(dynamic|override)\b|@objc"
+    forms = (Form("import", r"use\s+[\w\\]*\\(?P<name>\w+)\s*;", "file"),)
 
 
 class CFamilyPack(DeclaredPack):
@@ -151,4 +120,4 @@ class CFamilyPack(DeclaredPack):
     skipped_names = frozenset({"main", "swap", "begin", "end", "version", "copyright", "license", "rcsid", "ident"})
 
 
-PACKS = [JavaPack(), KotlinPack(), CSharpPack(), GoPack(), RustPack(), PhpPack(), SwiftPack(), CFamilyPack()]
+PACKS = [JavaPack(), KotlinPack(), CSharpPack(), GoPack(), RustPack(), PhpPack(), CFamilyPack(), NestedPack()]

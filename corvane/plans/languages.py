@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.packs import modules
+from corvane.packs import modules, nested
 from corvane.plans.catalogue import query, table
 
 
@@ -46,3 +46,43 @@ SELECT 'm' || i || '.ts' AS rel, 'own' || i AS name FROM d WHERE i NOT IN (SELEC
 UNION ALL SELECT 'm' || i || '.ts', 'own' || h FROM d WHERE i % 6 = 3 AND i > 1""")
 def exports_unused(spark, sf_dir):
     return modules.unused_exports(modules.facts(_modules(spark, sf_dir))).select("rel", "name")
+
+
+def _braced(spark, sf_dir):
+    """Each document's text in a class of its own, after as many nested blocks as its id says, with strings and comments that hold braces."""
+    i = F.col("doc_id")
+    deep = lambda s: F.expr(f"repeat('{s}', cast(doc_id % 4 as int))")
+    text = _text("class A", i, " {\n  String s = \"}{\"; // }\n", deep(r"if (x) {\n"), "/* {\n */ go('{');\n", deep(r"}\n"), "}\n", F.coalesce("text", F.lit("")), "\n")
+    return table(spark, sf_dir, "documents").select(F.lit("r").alias("repo"), i.cast("string").alias("rel"), F.lit("Java").alias("lang"), text.alias("text"))
+
+
+_TOKENS_SQL = r"""(?s)//[^\n]*|/\*.*?\*/|"{3}.*?"{3}|@"(?:[^"]|"")*"|"(?:\\.|[^"\\\n])*"|''(?:\\.|[^''\\\n])*''|[{}();\n]|[^{}();\n"''/@]+|."""
+
+
+@query(rf"""
+WITH f AS (SELECT doc_id::VARCHAR AS rel, 'class A' || doc_id || ' {{' || chr(10) || '  String s = "}}{{"; // }}' || chr(10) || repeat('if (x) {{' || chr(10), (doc_id % 4)::INT) || '/* {{' || chr(10) || ' */ go(''{{'');' || chr(10) || repeat('}}' || chr(10), (doc_id % 4)::INT) || '}}' || chr(10) || coalesce(text, '') || chr(10) AS text FROM documents),
+l AS (SELECT rel, regexp_extract_all(text, '{_TOKENS_SQL}') AS t FROM f), e AS (SELECT rel, unnest(t) AS tok, unnest(range(len(t))) AS pos FROM l),
+s AS (SELECT rel, tok, pos, 1 + coalesce(sum(length(tok) - length(replace(tok, chr(10), ''))) OVER w, 0) AS line, coalesce(sum(CASE tok WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER w, 0) AS depth
+      FROM e WINDOW w AS (PARTITION BY rel ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+odd AS (SELECT rel FROM s GROUP BY rel HAVING sum(CASE tok WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) <> 0 OR coalesce(min(CASE WHEN tok = '}}' THEN depth END), 1) < 1),
+b AS (SELECT rel, tok, line, CASE WHEN tok = '{{' THEN depth ELSE depth - 1 END AS level, row_number() OVER (PARTITION BY rel, tok, CASE WHEN tok = '{{' THEN depth ELSE depth - 1 END ORDER BY pos) AS nth FROM s WHERE tok IN ('{{', '}}') AND rel NOT IN (SELECT rel FROM odd))
+SELECT o.rel, o.level::INT AS depth, o.line::INT AS line, c.line::INT AS end_line FROM b o JOIN b c ON c.rel = o.rel AND c.level = o.level AND c.nth = o.nth AND o.tok = '{{' AND c.tok = '}}'""")
+def nested_blocks(spark, sf_dir):
+    return nested.blocks(_braced(spark, sf_dir)).select("rel", "depth", "line", "end_line")
+
+
+@query("""
+SELECT doc_id::VARCHAR AS rel, kind, name, owner, private FROM documents, LATERAL (
+  SELECT 'class' AS kind, 'A' || doc_id AS name, NULL AS owner, false AS private WHERE false
+  UNION ALL SELECT 'field', 'f' || doc_id, 'A' || doc_id, true UNION ALL SELECT 'method', 'm' || doc_id, 'A' || doc_id, doc_id % 2 = 0
+  UNION ALL SELECT 'class', 'In' || k, CASE WHEN k = 1 THEN 'A' || doc_id ELSE 'In' || (k - 1) END, k % 2 = 1 FROM range(1, doc_id % 4 + 1) r(k)
+  UNION ALL SELECT 'method', 'deep' || k, 'In' || k, true FROM range(1, doc_id % 4 + 1) r(k)) x""")
+def nested_members(spark, sf_dir):
+    """Each document as the comment of a class with members and, by its id, up to three types one in another."""
+    i = F.col("doc_id")
+    each = F.transform(F.sequence(F.lit(1), F.greatest((i % 4).cast("int"), F.lit(1))), lambda k: _text(F.when(k % 2 == 1, "private ").otherwise("public "), "static class In", k, " {\nprivate int deep", k, "(int a, String b) {\n  return a;\n}\n"))
+    inner = F.when(i % 4 > 0, F.concat(F.array_join(each, ""), F.expr(r"repeat('}\n', cast(doc_id % 4 as int))"))).otherwise("")
+    comment = F.regexp_replace(F.coalesce("text", F.lit("")), r"\*/", "* /")
+    text = _text("/* ", comment, " */\npublic final class A", i, " extends B<C> {\n  @Mark(x = \"}\")\n  private final Map<K, V> f", i, " = new HashMap<>();\n  ", F.when(i % 2 == 0, "private ").otherwise("protected "), "synchronized <T> List<T> m", i, "(T a) throws E {\n    int local = 1;\n    for (int j = 0; j < 3; j++) { go(\"{\"); }\n  }\n", inner, "}\n")
+    files = table(spark, sf_dir, "documents").select(F.lit("r").alias("repo"), i.cast("string").alias("rel"), F.lit("Java").alias("lang"), text.alias("text"))
+    return nested.members(files).select("rel", "kind", "name", F.col("owner_name").alias("owner"), "private")
