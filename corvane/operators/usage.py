@@ -169,6 +169,20 @@ def reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
     return known
 
 
+def flood(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo, node): the given nodes and all that paths from them lead to, each once. nodes: repo, node; edges: repo, a, z.
+
+    Semi-naive, and without pairs: a round follows only the nodes that the last one found and writes only new ones.
+    """
+    new = store(nodes.select("repo", "node").distinct(), "flood")
+    step, known = store(edges.select("repo", F.col("a").alias("node"), "z").distinct(), "steps"), new
+    while not new.isEmpty():
+        ahead = new.join(step, ["repo", "node"]).select("repo", F.col("z").alias("node")).distinct()
+        new = store(ahead.join(known, ["repo", "node"], "left_anti"), "flood")
+        known = known.unionByName(new)
+    return known
+
+
 def convention(rel: Column, name: Column, kind: Column, is_test: Column, module_vars: Column) -> Column:
     """Why a tool calls a function by its name, null if none does; the first reason counts."""
     base, head = S.base_name(rel), F.element_at(F.split(name, "_"), 1)

@@ -89,6 +89,10 @@ def audit(files: DataFrame, packs: list[Pack], everything: DataFrame | None = No
         if hasattr(p, "frame"):
             units = units.unionByName(p.frame(files.filter(F.col("lang").isin(list(p.languages)) & (F.octet_length("text") <= L.PARSE_BYTES)), every))
     units = store(units, "units")
+    for p in packs:
+        if hasattr(p, "widen"):
+            own = F.col("lang").isin(list(p.languages))
+            units = units.filter(~own).unionByName(p.widen(units.filter(own), every))
     text = F.when(F.col("lang").isin(DOLLARS), F.replace("text", F.lit("$"), F.lit(" "))).otherwise(F.col("text")) if "lang" in every.columns else F.col("text")
     counts = words.word_counts(every.select("repo", "rel", text.alias("text")))
     idents = units.filter("token = 'ident'").drop("token", "error")

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from corvane.packs.base import Pack, Unit
+from corvane.packs.cfamily import CFamilyPack
 from corvane.packs.nested import NestedPack
 from corvane.packs.web import blank
 
@@ -109,15 +110,4 @@ class PhpPack(DeclaredPack):
     forms = (Form("import", r"use\s+[\w\\]*\\(?P<name>\w+)\s*;", "file"),)
 
 
-class CFamilyPack(DeclaredPack):
-    languages = ("C", "C++")
-    forms = (
-        Form("function", r"static\s+(?:inline\s+|const\s+)*[\w<>:*& ]+?[\s*&](?P<name>[A-Za-z_]\w*)\s*\([^;]*$", "file"),
-        Form("variable", r"static\s+(?:const\s+|volatile\s+)*[\w<>:*& ]+?[\s*&](?P<name>[A-Za-z_]\w*)\s*(?:\[[^\]]*\]\s*)?(?:=|;)", "file", True),
-    )
-    marked = r"__attribute__|^\s*#\s*pragma\s+(section|data_seg)|\[\["
-    whole = {r"#\s*define[^\n]*##": "a macro pastes names in this file", r"#\s*include\s+[A-Z_]+\b": "an include is computed"}
-    skipped_names = frozenset({"main", "swap", "begin", "end", "version", "copyright", "license", "rcsid", "ident"})
-
-
 PACKS = [JavaPack(), KotlinPack(), CSharpPack(), GoPack(), RustPack(), PhpPack(), CFamilyPack(), NestedPack()]

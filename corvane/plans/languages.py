@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.packs import modules, nested
+from corvane.packs import cfamily, modules, nested
 from corvane.plans.catalogue import query, table
 
 
@@ -86,3 +86,30 @@ def nested_members(spark, sf_dir):
     text = _text("/* ", comment, " */\npublic final class A", i, " extends B<C> {\n  @Mark(x = \"}\")\n  private final Map<K, V> f", i, " = new HashMap<>();\n  ", F.when(i % 2 == 0, "private ").otherwise("protected "), "synchronized <T> List<T> m", i, "(T a) throws E {\n    int local = 1;\n    for (int j = 0; j < 3; j++) { go(\"{\"); }\n  }\n", inner, "}\n")
     files = table(spark, sf_dir, "documents").select(F.lit("r").alias("repo"), i.cast("string").alias("rel"), F.lit("Java").alias("lang"), text.alias("text"))
     return nested.members(files).select("rel", "kind", "name", F.col("owner_name").alias("owner"), "private")
+
+
+def _headers(spark, sf_dir):
+    """Each document, as a comment, in a header or (every tenth) a source file that includes that of a third of its id and defines a macro by that of half its id."""
+    i = F.col("doc_id")
+    rel = F.when(i % 10 == 0, _text("src/k", i, ".c")).otherwise(_text("src/d/k", i, ".h"))
+    body = F.when(i % 97 == 0, "x##_made").when(i % 5 == 1, "x").otherwise(_text("M", F.expr("doc_id div 2"), "(x)"))
+    text = _text("/* ", F.regexp_replace(F.coalesce("text", F.lit("")), r"\*/", "* /"), " */\n#  include \"../d/k", F.expr("doc_id div 3"), ".h\"\n#include <stdio.h>\n#define M", i, "(x) \\\n  ", body, "\n")
+    return table(spark, sf_dir, "documents").select(F.lit("r").alias("repo"), rel.alias("rel"), text.alias("text"))
+
+
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id AS i, doc_id // 3 AS p FROM documents), e AS (SELECT d.i, d.p FROM d JOIN d o ON o.i = d.p WHERE d.p % 10 <> 0 AND d.i <> d.p),
+r AS (SELECT i, p FROM e WHERE i % 10 = 0 UNION SELECT r.i, e.p FROM r JOIN e ON e.i = r.p)
+SELECT 'src/k' || i || '.c' AS rel, 'src/d/k' || p || '.h' AS part FROM r""")
+def translation_units(spark, sf_dir):
+    files = _headers(spark, sf_dir)
+    return cfamily.translation_units(files, cfamily.includes(files).filter("`to` is not null and `to` <> rel")).select("rel", "part")
+
+
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id AS i, doc_id // 2 AS h FROM documents),
+p AS (SELECT i FROM d WHERE i % 97 = 0 UNION SELECT d.i FROM d JOIN p ON p.i = d.h WHERE d.i % 97 <> 0 AND d.i % 5 <> 1)
+SELECT 'M' || i AS name FROM p""")
+def macros_that_paste(spark, sf_dir):
+    takes = F.col("takes")
+    return cfamily.spreading(cfamily.macros(_headers(spark, sf_dir)), takes & F.col("body").contains("##"), takes).select("name")
