@@ -116,6 +116,43 @@ def judged_first(findings: DataFrame, limit: int = 40) -> DataFrame:
     return findings.withColumn("i", F.row_number().over(by)).filter(F.col("i") <= limit).drop("i")
 
 
+def stopped(calls: DataFrame, failures: int = 2) -> DataFrame:
+    """calls (repo, i, ok) with asked: false for all that come after so many failures in a row, as a model that is out of reach isn't asked again.
+
+    Failures in a row are an island: their number in the order less their number among failures is the same. The first place where an island is long enough is the cut.
+    """
+    order = W.partitionBy("repo").orderBy("i")
+    among = W.partitionBy("repo", "ok").orderBy("i")
+    c = calls.withColumn("island", F.row_number().over(order) - F.row_number().over(among))
+    c = c.withColumn("length", F.when(~F.col("ok"), F.row_number().over(W.partitionBy("repo", "ok", "island").orderBy("i"))))
+    cut = c.filter(F.col("length") >= failures).groupBy("repo").agg(F.min("i").alias("cut"))
+    return calls.join(cut, "repo", "left").withColumn("asked", F.coalesce(F.col("i") <= F.col("cut"), F.lit(True))).drop("cut")
+
+
+def judged_in_order(findings: DataFrame, answers: DataFrame, limit: int = 40, failures: int = 2) -> DataFrame:
+    """findings with final and note: each repository's units are judged in finding order, within a budget and until the model fails so often in a row.
+
+    Copies keep their verdict and cost nothing. answers: repo, file, line, name, decision (null if the call failed). What isn't judged keeps what the graph proved: removals
+    go, the rest stays.
+    """
+    key = ["repo", "file", "line", "name"]
+    asked = findings.filter("verdict <> 'SIMPLIFY'").withColumn("i", F.row_number().over(W.partitionBy("repo").orderBy("file", "line", "name")))
+    tried = asked.filter(F.col("i") <= limit).join(answers, key, "left")
+    cut = stopped(tried.select("repo", "i", F.col("decision").isNotNull().alias("ok")), failures).filter("asked").groupBy("repo").agg(F.max("i").alias("last"), F.count("*").alias("n"))
+    whole = tried.groupBy("repo").agg(F.count("*").alias("budgeted"))
+    f = findings.join(asked.select(*key, "i"), key, "left").join(cut.drop("n"), "repo", "left").join(whole, "repo", "left").join(answers, key, "left")
+    given_up = (F.col("i") > F.col("last")) & (F.col("last") < F.col("budgeted"))
+    # failing at the very end of the budget stops the model as well
+    ended = tried.select("repo", "i", F.col("decision").isNotNull().alias("ok")).withColumn("back", F.row_number().over(W.partitionBy("repo").orderBy(F.desc("i")))).filter(F.col("back") <= failures).groupBy("repo").agg((F.count_if("ok") == 0).alias("dead"), F.count("*").alias("m")).select("repo", (F.col("dead") & (F.col("m") == failures)).alias("dead"))
+    f = f.join(ended, "repo", "left")
+    given_up = given_up | (F.col("dead") & (F.col("i") > limit))
+    default = F.when(F.col("verdict") == "REMOVE", "REMOVE").otherwise("KEEP")
+    judged = (F.col("i") <= limit) & ~given_up
+    final = F.when(F.col("i").isNull(), F.col("verdict")).when(judged & F.col("decision").isNotNull(), F.col("decision")).otherwise(default)
+    note = F.when(given_up, "not judged: the model failed several times in a row").when((F.col("i") > limit) & (F.col("verdict") == "AMBIGUOUS"), "not judged: the budget is used up").when(judged & F.col("decision").isNull(), "not judged: the call failed")
+    return f.withColumn("final", final).withColumn("note", note).drop("i", "last", "budgeted", "decision", "dead")
+
+
 def provable(findings: DataFrame, loaded: DataFrame | None, isolate: int = L.ISOLATE) -> DataFrame:
     """Findings that a test run can settle, with why not for the others: removed code not in test files, in files that the tests load. loaded: repo, rel."""
     out = findings.withColumn("rel", F.col("file"))

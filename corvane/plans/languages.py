@@ -1,10 +1,11 @@
-"""Queries on graphs of languages, with their SQL: documents stand for source files, their texts are wrapped in statements made of their ids."""
+"""Queries on graphs of languages and on proofs, with their SQL: documents stand for source files, their texts are wrapped in statements made of their ids, or for findings."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvane.operators import jury, proofs
 from corvane.packs import cfamily, modules, nested
 from corvane.plans.catalogue import query, table
 
@@ -113,3 +114,58 @@ SELECT 'M' || i AS name FROM p""")
 def macros_that_paste(spark, sf_dir):
     takes = F.col("takes")
     return cfamily.spreading(cfamily.macros(_headers(spark, sf_dir)), takes & F.col("body").contains("##"), takes).select("name")
+
+
+def _repository(spark, sf_dir):
+    """Each document as a removal in one of forty large or many small repositories: texts of seven's multiples of characters are needed, two of five's multiples clash; every 13th lies in code that can't be tried."""
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents")
+    length = F.coalesce(F.length("text"), F.lit(0))
+    return d.select(_text("r", F.when(i % 2 == 0, i % 80).otherwise(i % 300 + 1000)).alias("repo"), F.lpad(i.cast("string"), 12, "0").alias("file"), F.lit(1).alias("line"), F.lit("function").alias("kind"), i.cast("string").alias("name"), F.when(i % 13 == 0, "not provable (test code)").alias("why_not"), (length % 7 == 0).alias("needed"), (length % 5 == 0).alias("clashes"))
+
+
+_PROOF_SQL = """
+WITH t AS (SELECT 'r' || r AS repo, doc_id, doc_id % 13 = 0 AS out_, coalesce(length(text), 0) % 7 = 0 AS needed, coalesce(length(text), 0) % 5 = 0 AS clashes, r % 11 = 4 AS broken FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN doc_id % 80 ELSE doc_id % 300 + 1000 END AS r FROM documents)),
+k AS (SELECT *, CASE WHEN NOT out_ THEN row_number() OVER (PARTITION BY repo, out_ ORDER BY doc_id) END AS n FROM t),
+s AS (SELECT *, NOT out_ AND n <= 6 AND NOT needed AS alone, bool_or(NOT out_ AND needed) OVER (PARTITION BY repo) OR count(*) FILTER (WHERE NOT out_ AND clashes) OVER (PARTITION BY repo) > 1 AS failed FROM k),
+g AS (SELECT *, count(*) FILTER (WHERE alone AND clashes) OVER (PARTITION BY repo) > 1 AS apart, count(*) FILTER (WHERE alone AND clashes) OVER (PARTITION BY repo ORDER BY doc_id) AS nth FROM s),
+p AS (SELECT repo, doc_id, n, broken, failed, CASE WHEN out_ THEN 'not provable (test code)' WHEN broken THEN 'not provable (the tests fail before any change)' WHEN NOT failed THEN 'passed' WHEN n > 6 THEN 'not run (isolation limit)' WHEN needed THEN 'failed: it is needed'
+      WHEN apart AND clashes AND nth > 1 THEN 'failed together with other removals: two clash' ELSE 'passed' END AS proof FROM g)"""
+
+
+def _proved(spark, sf_dir):
+    c = _repository(spark, sf_dir)
+    made = c.select("repo", "file", "needed", "clashes")
+
+    def execute(runs):
+        r = runs.join(made, ["repo", "file"], "left").groupBy("repo", "run").agg(F.coalesce(F.max("needed"), F.lit(False)).alias("needed"), F.count_if("clashes").alias("clashes"))
+        broken = (F.col("run") == "baseline") & (F.substring("repo", 2, 9).cast("int") % 11 == 4)
+        said = F.when(F.col("needed"), "some lines\nit is needed\n").when(F.col("clashes") > 1, "two clash")
+        return r.select("repo", "run", (~(broken | F.col("needed") | (F.col("clashes") > 1))).alias("ok"), said.alias("output"))
+
+    return proofs.prove(c.drop("needed", "clashes"), execute, isolate=6)
+
+
+@query(_PROOF_SQL + " SELECT repo, doc_id::VARCHAR AS name, proof FROM p")
+def proofs_by_rounds(spark, sf_dir):
+    return proofs.settled(_proved(spark, sf_dir)).select("repo", "name", "proof")
+
+
+@query(_PROOF_SQL + """
+SELECT repo, count(*) AS candidates, count(*) FILTER (WHERE proof = 'passed') AS passed, CASE WHEN bool_or(broken) THEN 0 ELSE count(*) FILTER (WHERE n IS NOT NULL AND proof <> 'passed') END AS failed,
+       CASE WHEN bool_or(broken) THEN 'baseline failed' WHEN count(n) = 0 THEN 'nothing the tests can prove' WHEN NOT bool_or(failed) THEN 'passed' ELSE 'failed: each removal was isolated' END AS batch FROM p GROUP BY repo""")
+def proof_summaries(spark, sf_dir):
+    return proofs.summary(_proved(spark, sf_dir))
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT doc_id % 40 AS repo, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) AS i, coalesce(length(text), 0) % 4 <> 0 AS ok FROM documents),
+w AS (SELECT repo, i, ok, CASE WHEN ok THEN 0 ELSE 1 END AS run, true AS asked FROM c WHERE i = 1
+      UNION ALL SELECT c.repo, c.i, c.ok, CASE WHEN w.run >= 2 THEN w.run WHEN c.ok THEN 0 ELSE w.run + 1 END, w.run < 2 FROM w JOIN c ON c.repo = w.repo AND c.i = w.i + 1)
+SELECT 'r' || repo AS repo, i::INT AS i, asked FROM w""")
+def calls_until_two_failures(spark, sf_dir):
+    from pyspark.sql import Window
+
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select(_text("r", i % 40).alias("repo"), F.row_number().over(Window.partitionBy(i % 40).orderBy(i)).alias("i"), (F.coalesce(F.length("text"), F.lit(0)) % 4 != 0).alias("ok"))
+    return jury.stopped(d).select("repo", "i", "asked")
