@@ -87,10 +87,16 @@ def copied_blocks(lines: DataFrame, size: int = L.COPY_LINES, chars: int = L.COP
     return out.select("repo", "rel", "line", "end_line", (F.col("end_line") - F.col("line") + 1).alias("lines"), "of_rel", "of_line")
 
 
+def over_ceiling(files: DataFrame, ceiling: int = L.COPY_CEILING) -> DataFrame:
+    """repo, lines: repositories in which audit_copies looks for no copies, as they have more significant lines than the ceiling."""
+    lines = significant_lines(files.filter(F.col("lang").isin(L.COPY_LANGUAGES) & ~F.col("generated")))
+    return lines.groupBy("repo").agg(F.count("*").alias("lines")).filter(F.col("lines") > ceiling)
+
+
 def audit_copies(files: DataFrame, ceiling: int | None = L.COPY_CEILING) -> DataFrame:
     """SIMPLIFY findings of a census (repo, rel, lang, text, generated): copy languages only, nothing generated.
 
-    Repositories over the ceiling of significant lines are left out as a whole, as the audit defines it; None lifts it.
+    Repositories over the ceiling of significant lines are left out as a whole, as the audit defines it; over_ceiling names them, None lifts it.
     """
     lines = significant_lines(files.filter(F.col("lang").isin(L.COPY_LANGUAGES) & ~F.col("generated")))
     if ceiling is not None:

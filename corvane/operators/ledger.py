@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TABLES = {
@@ -29,7 +29,7 @@ class Ledger:
             return self.spark.createDataFrame([], TABLES[name])
 
     def record(self, runs: DataFrame, verdicts: DataFrame, hashes: DataFrame) -> int:
-        """Appends one run of any number of repositories under the next id. Hashes and verdicts are written before the run's row, which makes them count."""
+        """Appends one run of any number of repositories under the next id. Hashes and verdicts are written before the run's row, which makes them count. One writer at a time: two would take the same id."""
         last = self.table("runs").agg(F.max("run_id").alias("n")).first()["n"]
         run_id = (last or 0) + 1
         for name, df in (("file_hashes", hashes), ("verdicts", verdicts), ("runs", runs)):
@@ -61,3 +61,8 @@ class Ledger:
     def history(self, repo: str, limit: int = 30) -> DataFrame:
         """The last runs of a repository, oldest first."""
         return self.table("runs").filter(F.col("repo") == repo).orderBy(F.desc("run_id")).limit(limit).orderBy("run_id")
+
+    def histories(self, limit: int = 30) -> DataFrame:
+        """The last runs of every repository."""
+        newest = Window.partitionBy("repo").orderBy(F.desc("run_id"))
+        return self.table("runs").withColumn("k", F.row_number().over(newest)).filter(F.col("k") <= limit).drop("k")

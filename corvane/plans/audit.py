@@ -13,10 +13,10 @@ from corvane.operators import attribution, copies, jury, metrics, rules
 from corvane.operators.ledger import Ledger
 from corvane.operators.pyfacts import Facts, python_facts
 from corvane.packs import declared, web
-from corvane.packs.base import Pack, audit
+from corvane.packs.base import Pack, audit, too_long
 from corvane.runtime import store
 from corvane.sources.git import read_git
-from corvane.sources.tree import census, read_tree
+from corvane.sources.tree import census, read_tree, too_large
 
 
 PACKS = [*web.PACKS, *declared.PACKS]
@@ -38,6 +38,7 @@ class Audit:
     rework: DataFrame
     tools: DataFrame
     history: DataFrame
+    left_out: DataFrame
 
     def document(self) -> DataFrame:
         """One JSON document per repository: payoff, rates and findings."""
@@ -53,6 +54,14 @@ class Audit:
         return ledger.record(runs, self.findings, self.hashes)
 
 
+def left_out(spark: SparkSession, roots: dict[str, str], tree: DataFrame, files: DataFrame, packs: list[Pack]) -> DataFrame:
+    """repo, rel (null: all of it), why, size: what the audit doesn't look at, so that nothing goes missing unsaid."""
+    large = too_large(spark, roots).select("repo", "rel", F.lit("too large to be read (bytes)").alias("why"), "size")
+    long = too_long(tree.select("repo", "rel", S.language(F.col("rel")).alias("lang"), "text"), packs).select("repo", "rel", F.lit("too long for its language pack (bytes)").alias("why"), F.col("bytes").alias("size"))
+    many = copies.over_ceiling(files).select("repo", F.lit(None).cast("string").alias("rel"), F.lit("too many lines for a search of copies").alias("why"), F.col("lines").alias("size"))
+    return large.unionByName(long.distinct()).unionByName(many)
+
+
 def run(spark: SparkSession, roots: dict[str, str], packs: list[Pack] | None = None, proofs: DataFrame | None = None, votes: DataFrame | None = None, patterns: str | None = None, on_stage: Callable[[str], None] = lambda stage: None) -> Audit:
     """Audits repositories (name -> folder).
 
@@ -103,4 +112,5 @@ def run(spark: SparkSession, roots: dict[str, str], packs: list[Pack] | None = N
         files=files, findings=found, languages=metrics.census(files, [x for p in (packs or PACKS) for x in p.languages]), payoff=metrics.payoff(found, totals), rates=metrics.rates(found, by_kind),
         detail=metrics.files_detail(files, found, lines), hashes=tree.select("repo", "rel", "sha"), lines=lines, commits=commits,
         rework=attribution.rework(commits, read_git(spark, roots, "numstat"), own), tools=attribution.tools(commits), history=attribution.history_shape(lines, commits),
+        left_out=left_out(spark, roots, tree, files, PACKS if packs is None else packs),
     )

@@ -237,9 +237,9 @@ def last_run_by_repository(spark, sf_dir):
     return _ledger(spark, sf_dir).last_runs().select("repo", "run_id")
 
 
-@query("SELECT 1::BIGINT AS run_id, 1::BIGINT AS lines UNION ALL SELECT 2, 2")
+@query("SELECT DISTINCT source AS repo, run::BIGINT AS run_id, run::BIGINT AS lines FROM documents, (VALUES (1), (2)) v(run) WHERE NOT (source = 'src1' AND run = 2)")
 def run_history(spark, sf_dir):
-    return _ledger(spark, sf_dir).history("src2", 30).select("run_id", "lines")
+    return _ledger(spark, sf_dir).histories(30).select("repo", "run_id", "lines")
 
 
 @query("""

@@ -53,7 +53,7 @@ def decode(rel: str, data: bytes) -> str:
 
 
 def walk(root: str, folders: set[str], most: int):
-    """(rel, size) of regular files under root in path order; no link on the way, none skipped, none over `most` bytes."""
+    """(rel, size) of regular files under root in path order; no link on the way, none skipped. Those over `most` bytes have a size of None."""
     for name in sorted(os.listdir(root)):
         todo = [(os.path.join(root, name), [name])]
         while todo:
@@ -62,8 +62,8 @@ def walk(root: str, folders: set[str], most: int):
                 continue
             if os.path.isdir(path):
                 todo += [(os.path.join(path, x), [*parts, x]) for x in sorted(os.listdir(path), reverse=True)]
-            elif os.path.isfile(path) and os.path.splitext(path)[1].lower() not in BINARY_SUFFIXES and (size := os.path.getsize(path)) <= most:
-                yield "/".join(parts), size
+            elif os.path.isfile(path) and os.path.splitext(path)[1].lower() not in BINARY_SUFFIXES:
+                yield "/".join(parts), size if (size := os.path.getsize(path)) <= most else None
 
 
 class _Files(InputPartition):
@@ -77,14 +77,17 @@ class TreeReader(DataSourceReader):
         self.folders = INDEX_SKIP_FOLDERS if options.get("for", "audit") == "index" else SKIP_FOLDERS
         self.most = int(options.get("maxbytes", L.INDEX_BYTES if options.get("for", "audit") == "index" else L.TEXT_BYTES))
         self.bytes = int(options.get("partitionbytes", 32_000_000))
+        self.large = options.get("only") == "large"
 
     def partitions(self):
         out = []
         for repo, root in sorted(self.roots.items()):
             held, size = [], 0
             for rel, n in walk(root, self.folders, self.most):
+                if (n is None) != self.large:
+                    continue
                 held.append(rel)
-                size += n
+                size += n or 0
                 if size >= self.bytes:
                     out.append(_Files(repo, root, held))
                     held, size = [], 0
@@ -94,6 +97,9 @@ class TreeReader(DataSourceReader):
 
     def read(self, part):
         for rel in part.rels:
+            if self.large:
+                yield part.repo, rel, os.path.getsize(os.path.join(part.root, rel)), None, None, 0, False
+                continue
             try:
                 with open(os.path.join(part.root, rel), "rb") as f:
                     data = f.read()
@@ -106,7 +112,7 @@ class TreeReader(DataSourceReader):
 
 
 class TreeSource(DataSource):
-    """Options: path (and repo), or roots (JSON, repo -> path); for = audit or index; maxbytes; partitionbytes."""
+    """Options: path (and repo), or roots (JSON, repo -> path); for = audit or index; maxbytes; partitionbytes; only = large for the files over maxbytes, without text."""
 
     @classmethod
     def name(cls):
@@ -125,6 +131,13 @@ def read_tree(spark: SparkSession, roots: dict[str, str], purpose: str = "audit"
     return spark.read.format("repository").option("roots", json.dumps(roots)).option("for", purpose).load().filter("not binary").drop("binary")
 
 
+def too_large(spark: SparkSession, roots: dict[str, str], purpose: str = "audit") -> DataFrame:
+    """repo, rel, size of the files that read_tree leaves out for their size."""
+    ship(spark)
+    spark.dataSource.register(TreeSource)
+    return spark.read.format("repository").option("roots", json.dumps(roots)).option("for", purpose).option("only", "large").load().select("repo", "rel", "size").filter("rel <> ''")
+
+
 def census(files: DataFrame) -> DataFrame:
     """Files of known languages outside others' code (repo, rel, lang, lines, sha, generated, text); the text stays for copy languages only."""
     lang = S.language(F.col("rel"))

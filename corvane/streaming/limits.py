@@ -49,25 +49,54 @@ def token_bucket(requests: DataFrame, per_hour: int = L.BUCKET_PER_HOUR) -> Data
     return rows.repartition("key").sortWithinPartitions("key", "at", "id").mapInArrow(_bucket(per_hour), "key string, id long, at double, allowed boolean, wait long")
 
 
-def token_bucket_stream(requests: DataFrame, per_hour: int = L.BUCKET_PER_HOUR) -> DataFrame:
-    """The same over a stream: the state of a key is its tokens and the time they were counted, two numbers for each key."""
-    ship(requests.sparkSession)
+def _keyed_bucket(per_hour: int, ordered: bool):
+    fill = 3600.0  # seconds in which an empty bucket is full again: it holds an hour's requests
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, last = state.get if state.exists else (0.0, None)
+        tokens, last, ids, ats = state.get if state.exists else (0.0, None, [], [])
+        waiting = list(zip(ats, ids, strict=True))
         for f in frames:
-            f = f.sort_values(["at", "id"])
-            allowed, waits = [], []
-            for now in f["at"]:
-                ok, wait, tokens = take(tokens, last, now, per_hour)
-                last = max(now, last or now)
-                allowed.append(ok)
-                waits.append(wait)
-            yield pd.DataFrame({"key": f["key"], "id": f["id"], "at": f["at"], "allowed": allowed, "wait": waits})
-        state.update((tokens, last))
+            waiting += zip(f["at"].astype(float), f["id"].astype(int), strict=True)
+        mark, out = state.getCurrentWatermarkMs() / 1000, []
+        waiting.sort()
+        due = [x for x in waiting if x[0] <= mark] if ordered else waiting
+        for now, id_ in due:
+            ok, wait, tokens = take(tokens, last, now, per_hour)
+            last = max(now, last or now)
+            out.append((key[0], id_, now, ok, wait))
+        waiting = waiting[len(due) :]
+        if not waiting and (last is None or mark >= last + fill):
+            state.remove()
+        else:
+            state.update((tokens, last, [i for _, i in waiting], [a for a, _ in waiting]))
+            state.setTimeoutTimestamp(int(max((waiting[0][0] if waiting else last + fill), mark) * 1000) + 1)
+        yield pd.DataFrame(out, columns=["key", "id", "at", "allowed", "wait"]).astype({"id": "int64", "at": "float64", "allowed": "bool", "wait": "int64"})
+
+    return step
+
+
+def token_bucket_stream(requests: DataFrame, per_hour: int = L.BUCKET_PER_HOUR, late: str = "10 minutes", ordered: bool = False) -> DataFrame:
+    """The same over a stream. Requests are decided as they arrive, or, ordered, once the watermark (`late` behind the newest) has passed them.
+
+    Ordered, neither the order of arrival nor restarts matter, and a replay gives what token_bucket gives over a table. What comes later
+    than `late` is dropped. State of a key: two numbers, and ordered the requests that wait. A key leaves the state when
+    the watermark passes the time at which its bucket is full again, as it then is like one never seen.
+    """
+    ship(requests.sparkSession)
+    rows = requests.select(F.col("key").cast("string"), F.col("id").cast("long"), F.col("at").cast("double"), F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("time")).withWatermark("time", late)
+    held = "tokens double, last double, ids array<long>, ats array<double>"
+    return rows.groupBy("key").applyInPandasWithState(_keyed_bucket(per_hour, ordered), "key string, id long, at double, allowed boolean, wait long", held, "append", GroupStateTimeout.EventTimeTimeout)
 
-    rows = requests.select(F.col("key").cast("string"), F.col("id").cast("long"), F.col("at").cast("double"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, id long, at double, allowed boolean, wait long", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+
+def sessions(events: DataFrame, days: int = 30) -> DataFrame:
+    """who, began, ended, events: sessions of a table of events (who, at as a timestamp); a session ends when nothing happens for so many days."""
+    s = events.groupBy("who", F.session_window("at", f"{days} days")).agg(F.count("*").alias("events"))
+    return s.select("who", F.col("session_window.start").alias("began"), F.col("session_window.end").alias("ended"), "events")
+
+
+def sessions_stream(events: DataFrame, days: int = 30, late: str = "1 day") -> DataFrame:
+    """The same over a stream: a session is told once the watermark has passed its end, and leaves the state then."""
+    return sessions(events.withWatermark("at", late), days)
 
 
 def daily_usage_stream(requests: DataFrame, at: str = "ts", late: str = "1 day", limit: int = L.QUOTA["member"]) -> DataFrame:

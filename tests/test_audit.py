@@ -190,7 +190,7 @@ def test_token_bucket_batch_and_stream(spark, tmp_path):
     # two an hour: one comes back each 1800 seconds
     assert sorted((r.id, r.allowed) for r in limits.token_bucket(df, 2).collect()) == [(0, True), (1, True), (2, False), (3, False), (4, False), (5, True), (9, True)]
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = limits.token_bucket_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 2)
+    stream = limits.token_bucket_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")).withColumn("at", F.col("at") + 1000), 2).withColumn("at", F.col("at") - 1000)  # at 0 nothing comes after the first watermark
     q = stream.writeStream.format("memory").queryName("bucket").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("bucket").collect())) == sorted(map(tuple, limits.token_bucket(df, 2).collect()))
