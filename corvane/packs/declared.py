@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from corvane.packs.base import Pack, Unit
 from corvane.packs.cfamily import CFamilyPack
+from corvane.packs.golang import GoPack
 from corvane.packs.nested import NestedPack
 from corvane.packs.web import blank
 
@@ -90,15 +91,6 @@ class CSharpPack(DeclaredPack):
     forms = (Form("import", r"\s*using\s+(?P<name>\w+)\s*=\s*[\w.<>, ]+;", "file"),)
 
 
-class GoPack(DeclaredPack):
-    languages = ("Go",)
-    forms = (
-        Form("function", r"func\s+(?P<name>[a-z_]\w*)\s*(?:\[|\()", "package"), Form("type", r"type\s+(?P<name>[a-z_]\w*)\s", "package"),
-        Form("variable", r"(?:var|const)\s+(?P<name>[a-z_]\w*)\b", "package", True),
-    )
-    whole = {r"//go:(linkname|generate|embed)\b": "a directive reaches names of this file", r'import\s+"C"': "another language calls into this file"}
-
-
 class RustPack(DeclaredPack):
     languages = ("Rust",)
     forms = (Form("function", r"(?:const\s+|async\s+|unsafe\s+)*fn\s+(?P<name>\w+)", "repo"), Form("variable", r"(?:const|static)\s+(?:mut\s+)?(?P<name>\w+)\s*:", "repo", True))

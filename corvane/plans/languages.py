@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvane.operators import jury, proofs
-from corvane.packs import cfamily, modules, nested
+from corvane.packs import cfamily, golang, modules, nested, sheets
+from corvane.packs.base import audit
 from corvane.plans.catalogue import query, table
 
 
@@ -169,3 +170,45 @@ def calls_until_two_failures(spark, sf_dir):
     i = F.col("doc_id")
     d = table(spark, sf_dir, "documents").select(_text("r", i % 40).alias("repo"), F.row_number().over(Window.partitionBy(i % 40).orderBy(i)).alias("i"), (F.coalesce(F.length("text"), F.lit(0)) % 4 != 0).alias("ok"))
     return jury.stopped(d).select("repo", "i", "asked")
+
+
+@query("""
+SELECT 'p' || (doc_id % 10) || '/f' || doc_id || '.go' AS rel, name, CASE WHEN kept THEN 'AMBIGUOUS' ELSE 'REMOVE' END AS verdict
+FROM documents, LATERAL (SELECT 'alone' || doc_id AS name, doc_id % 3 = 1 AS kept UNION ALL SELECT 'linked' || doc_id, EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = documents.doc_id * 2 + 1) WHERE doc_id % 4 = 3 AND NOT (doc_id % 10 = 9 AND EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = documents.doc_id * 2 + 1))) x
+UNION ALL SELECT 'p' || (doc_id % 10) || '/f' || doc_id || '.go', 'byOther' || doc_id, 'REMOVE' FROM documents WHERE doc_id % 10 = 9 OR NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = documents.doc_id + 10)""")
+def go_packages(spark, sf_dir):
+    """Each document, as a comment, in a file of one of ten Go packages: a function alone, one that the file ten further on calls (in its package, but for one package), one that another package may link to."""
+    i = F.col("doc_id")
+    comment = F.regexp_replace(F.coalesce("text", F.lit("")), r"\*/", "* /")
+    text = F.concat(
+        _text("/* ", comment, " */\npackage p\n\n"), F.when(i % 3 == 1, _text("//export alone", i, "\n")).otherwise(""), _text("func alone", i, "(a int) interface{} {\n\treturn alone", i, "(1)\n}\n\nfunc byOther", i, "() {\n}\n\nfunc init() {\n"),
+        F.when(i % 10 != 9, _text("\tbyOther", i - 10, "()\n")).otherwise(""), F.lit("}\n"), F.when(i % 4 == 3, _text("\nfunc linked", i, "() {\n}\n")).otherwise(""), F.when((i % 2 == 1) & (F.expr("(doc_id - 1) div 2") % 4 == 3), _text("\n//go:linkname mine", i, " example.com/p.linked", F.expr("(doc_id - 1) div 2"), "\nfunc mine", i, "()\n")).otherwise(""),
+    )
+    files = table(spark, sf_dir, "documents").select(F.lit("r").alias("repo"), _text("p", i % 10, "/f", i, ".go").alias("rel"), F.lit("Go").alias("lang"), text.alias("text"))
+    return audit(files, golang.PACKS).filter("name not like 'mine%'").select("rel", "name", "verdict")
+
+
+@query("""
+WITH RECURSIVE d AS (SELECT page_id AS i, page_id // 3 AS p FROM pages), e AS (SELECT d.i, d.p FROM d JOIN d o ON o.i = d.p WHERE d.i > 0 AND d.p % 4 <> 0),
+r AS (SELECT i, p FROM e WHERE i % 4 = 0 UNION SELECT r.i, e.p FROM r JOIN e ON e.i = r.p)
+SELECT 'w/page' || i || '.html' AS page, 'css/s' || p || '.css' AS sheet FROM r""")
+def styled_pages(spark, sf_dir):
+    """Every fourth page links a sheet, the others stand for sheets that import one, each that of a third of its id."""
+    i, third = F.col("page_id"), F.expr("page_id div 3")
+    page = i % 4 == 0
+    bare = F.regexp_replace(F.coalesce("html", F.lit("")), "(?i)<link|@import|@use|@forward|import|require", " ")
+    text = F.concat(bare, F.when(page, _text("<link rel='stylesheet' href='../css/s", third, ".css'>")).otherwise(_text("\n@import url(\"s", third, ".css\");\n")))
+    rel = F.when(page, _text("w/page", i, ".html")).otherwise(_text("css/s", i, ".css"))
+    files = table(spark, sf_dir, "pages").select(F.lit("r").alias("repo"), rel.alias("rel"), text.alias("text"))
+    return sheets.styled(files).select("page", "sheet")
+
+
+@query("""
+WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 1 DAY OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
+SELECT user_id AS who, epoch_us(min(ts)) AS began, epoch_us(max(ts) + INTERVAL 1 DAY) AS ended, count(*) AS events FROM s GROUP BY user_id, n""")
+def user_sessions(spark, sf_dir):
+    from corvane.streaming.limits import sessions
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("who"), F.col("ts").cast("timestamp").alias("at"))
+    return sessions(e, days=1).select("who", F.unix_micros("began").alias("began"), F.unix_micros("ended").alias("ended"), "events")

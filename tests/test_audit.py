@@ -47,6 +47,7 @@ def repo(tmp_path_factory):
     commit(root, {"gen.py": "def a():\n    return 1\n\n\ndef b():\n    return 2\n\n\na()\n", "js/a.js": "function one() {\n" + BLOCK + "}\none();\n", "js/b.js": "// copy\nfunction two() {\n" + BLOCK.replace("  ", "\t") + "}\ntwo();\n"}, "more\n\nCo-authored-by: Copilot <c@x>", at="2024-02-01T00:00:00Z")
     commit(root, {"gen.py": "def a():\n    return 10\n\n\ndef b():\n    return 2\n\n\na()\n", "latin.py": "# -*- coding: latin-1 -*-\nx = 'é'\n".encode("latin-1"), "site.css": ".used { a: b }\n.gone-by { c: d }\n", "lone.css": ".used { a: b }\n.gone-off { c: d }\n", "index.html": "<link rel='stylesheet' href='site.css'><p class='used'>x</p>\n"}, "fix", at="2024-03-01T00:00:00Z")
     (root / "link.py").symlink_to(root / "app.py")
+    (root / "huge.txt").write_text("x" * 512_001)
     (root / "data.py").write_bytes(b"\0\0")
     (root / "node_modules").mkdir()
     (root / "node_modules" / "x.py").write_text("import json\n")
@@ -78,6 +79,8 @@ def test_run(spark, repo, tmp_path):
     assert (copy.file, copy.evidence) == ("js/b.js", ["js/a.js:2"]) and copy.lines >= 6
     assert found["style", "site.css", "gone-by"].verdict == "REMOVE" and ("style", "site.css", "used") not in found
     assert found["style", "lone.css", "gone-off"].verdict == "AMBIGUOUS" and "names its sheet" in found["style", "lone.css", "gone-off"].reason
+    assert [(r.rel, r.size) for r in a.left_out.collect()] == [("huge.txt", 512_001)]
+    assert copies.over_ceiling(a.files, 10).first().lines > 10
     p = a.payoff.first()
     assert p.dead_units >= 3 and p.duplicate_lines == copy.lines and 0 < p.jlr_percent < 100
     w = {r.kind: r for r in a.rework.collect()}
