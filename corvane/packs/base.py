@@ -86,12 +86,12 @@ def audit(files: DataFrame, packs: list[Pack], everything: DataFrame | None = No
     every = everything if everything is not None else files
     units = extract(files, packs).filter("error is null")
     for p in packs:
-        if hasattr(p, "frame"):
-            units = units.unionByName(p.frame(files.filter(F.col("lang").isin(list(p.languages)) & (F.octet_length("text") <= L.PARSE_BYTES)), every))
+        if hasattr(p, "frame") and not (own := files.filter(F.col("lang").isin(list(p.languages)) & (F.octet_length("text") <= L.PARSE_BYTES))).isEmpty():
+            units = units.unionByName(p.frame(own, every))
     units = store(units, "units")
     for p in packs:
-        if hasattr(p, "widen"):
-            own = F.col("lang").isin(list(p.languages))
+        own = F.col("lang").isin(list(p.languages))
+        if hasattr(p, "widen") and not units.filter(own).isEmpty():
             units = units.filter(~own).unionByName(p.widen(units.filter(own), every))
     text = F.when(F.col("lang").isin(DOLLARS), F.replace("text", F.lit("$"), F.lit(" "))).otherwise(F.col("text")) if "lang" in every.columns else F.col("text")
     counts = words.word_counts(every.select("repo", "rel", text.alias("text")))
@@ -99,6 +99,8 @@ def audit(files: DataFrame, packs: list[Pack], everything: DataFrame | None = No
     idents = outermost(keep_scripts(store(words.unused_units(idents, counts), "unused"), idents, counts.select("repo", "rel", "word")))
     hyphens = F.contains("name", F.lit("-"))
     css = units.filter("token = 'css'").drop("token", "error")
+    if css.isEmpty():
+        return idents
     plain = words.unused_units(css.filter(~hyphens), words.word_counts(every))
     marked = words.unused_units(css.filter(hyphens).withColumn("name", F.regexp_replace("name", "^-+", "")), words.css_word_counts(every))
     return idents.unionByName(keep_styles(store(plain.unionByName(marked), "styles"), css, every.select("repo", "rel", "text")))

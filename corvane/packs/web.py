@@ -240,6 +240,8 @@ def keep_scripts(found: DataFrame, units: DataFrame, counts: DataFrame) -> DataF
     units: repo, rel, kind, name, start, reason (with the hints of ScriptPack); counts: repo, rel, word.
     """
     hints = units.filter(F.col("reason").isin(JSX_HINT, LOAD_HINT)).select("repo", "rel", "kind", "name", "start", F.col("reason").alias("hint")).distinct()
+    if hints.isEmpty():
+        return found
     settings = counts.filter(F.col("word").isin(FACTORY_WORDS)).select("repo", F.col("rel").alias("by")).distinct()
     factories = counts.join(settings.withColumnRenamed("by", "rel"), ["repo", "rel"]).select("repo", F.col("rel").alias("by"), F.col("word").alias("name"))
     named = hints.filter(F.col("hint") == JSX_HINT).join(factories, ["repo", "name"]).filter("by <> rel").select("repo", "rel", "kind", "name", "start", F.lit("the project's JSX factory").alias("why")).distinct()
