@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.operators import jury, proofs
+from corvane.operators import jury, proofs, pyfacts, rules
 from corvane.packs import cfamily, golang, modules, nested, sheets
 from corvane.packs.base import audit
 from corvane.plans.catalogue import query, table
+from corvane.runtime import store
 
 
 def _text(*parts: str | Column) -> Column:
@@ -212,3 +213,62 @@ def user_sessions(spark, sf_dir):
 
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("who"), F.col("ts").cast("timestamp").alias("at"))
     return sessions(e, days=1).select("who", F.unix_micros("began").alias("began"), F.unix_micros("ended").alias("ended"), "events")
+
+
+def _lines(*parts) -> Column:
+    """Parts joined; {i} in a string stands for the document's id."""
+    out = []
+    for p in parts:
+        out.append(F.replace(F.lit(p), F.lit("{i}"), F.col("doc_id").cast("string")) if isinstance(p, str) else p)
+    return F.concat(*out)
+
+
+def _python_repositories(spark, sf_dir):
+    """Each document as a repository: its text as comments of a module with names that are used, unused, or kept for a reason, beside a package, tests and a list of requirements."""
+    i = F.col("doc_id")
+    comment = F.concat(F.lit("# "), F.replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E\n]", " "), F.lit("\n"), F.lit("\n# ")), F.lit("\n"))
+    main = _lines(
+        comment, "import os as os{i}\nimport sys\nfrom json import dumps as d{i}, loads\nimport readline\nfrom typing import Any{i}  # noqa\nfrom lib import x{i} as x{i}\nfrom far{i} import Outside{i}, never{i}\n",
+        "try:\n    import fast{i}\nexcept ImportError:\n    pass\n\n\ndef used{i}(a):\n    import json as lazy{i}\n    return sys.argv, loads(a)\n\n\ndef dead{i}():\n    return dead{i}\n\n\n@wraps(used{i})\ndef deco{i}():\n    return 1\n\n\n",
+        "@app.route('/x')\ndef view{i}():\n    return 1\n\n\nclass Gone{i}:\n    pass\n\n\nclass Kid{i}(Outside{i}):\n    pass\n\n\ndef pytest_thing{i}():\n    return 2\n\n\nused{i}(1)\nhandlers['do_' + str(1)]()\n",
+    )
+    every = [
+        ("a.py", main, None), ("pkg/__init__.py", _lines("from .m import y{i}\n\n\ndef pub{i}():\n    return 3\n"), None), ("pkg/m.py", _lines("import requests\ny{i} = 1\n\n\ndef do_{i}():\n    return requests\n\n\ndef _own{i}():\n    return 4\n"), None),
+        ("tests/test_a.py", _lines("def test_x{i}():\n    pass\n\n\ndef helper{i}():\n    return 5\n"), None), ("requirements.txt", _lines("requests>=2\nunused-thing{i}==1\n"), None),
+        ("broken.py", _lines("def bad(:\n    os{i}\n    dead{i}\n"), i % 5 == 0), ("notes.md", _lines("Call `_own{i}()` or `Gone{i}`.\n"), i % 3 == 0), ("c.py", _lines("from a import d{i}\nprint(d{i})\n"), i % 2 == 0),
+    ]
+    f = F.array(*(F.struct(F.lit(rel).alias("rel"), (F.when(when, text) if when is not None else text).alias("text")) for rel, text, when in every))
+    d = table(spark, sf_dir, "documents").select(_text("r", i).alias("repo"), F.explode(f).alias("f"))
+    return d.select("repo", "f.rel", "f.text").filter("text is not null")
+
+
+@query("""
+SELECT 'r' || doc_id AS repo, kind, file, prefix || CASE WHEN numbered THEN doc_id::VARCHAR ELSE '' END AS name, verdict FROM documents, LATERAL (VALUES
+ ('import', 'a.py', 'os', true, CASE WHEN doc_id % 5 = 0 THEN 'AMBIGUOUS' ELSE 'REMOVE' END), ('import', 'a.py', 'd', true, CASE WHEN doc_id % 2 = 1 THEN 'REMOVE' END), ('import', 'a.py', 'readline', false, 'AMBIGUOUS'), ('import', 'a.py', 'never', true, 'REMOVE'),
+ ('import', 'a.py', 'fast', true, 'AMBIGUOUS'), ('import', 'a.py', 'lazy', true, 'AMBIGUOUS'), ('function', 'a.py', 'dead', true, CASE WHEN doc_id % 5 <> 0 THEN 'REMOVE' END), ('function', 'a.py', 'deco', true, 'AMBIGUOUS'),
+ ('class', 'a.py', 'Gone', true, CASE WHEN doc_id % 3 <> 0 THEN 'REMOVE' END), ('class', 'a.py', 'Kid', true, 'AMBIGUOUS'), ('function', 'a.py', 'pytest_thing', true, 'AMBIGUOUS'), ('import', 'pkg/__init__.py', 'y', true, 'AMBIGUOUS'), ('function', 'pkg/__init__.py', 'pub', true, 'AMBIGUOUS'),
+ ('function', 'pkg/m.py', 'do_', true, 'AMBIGUOUS'), ('function', 'pkg/m.py', '_own', true, CASE WHEN doc_id % 3 <> 0 THEN 'REMOVE' END), ('function', 'tests/test_a.py', 'helper', true, 'AMBIGUOUS'), ('dependency', 'requirements.txt', 'unused-thing', true, 'AMBIGUOUS')) v(kind, file, prefix, numbered, verdict) WHERE verdict IS NOT NULL""")
+def python_rules(spark, sf_dir):
+    every = store(_python_repositories(spark, sf_dir), "repositories")
+    python = every.filter("rel like '%.py'")
+    r = rules.Repository(pyfacts.Facts(store(pyfacts.python_facts(python), "facts")), every.filter("rel not like '%.py'"), python)
+    return rules.python_findings(r).select("repo", "kind", "file", "name", "verdict")
+
+
+@query("""
+SELECT 'r' || doc_id AS repo, rel, module, prefix || CASE WHEN numbered THEN doc_id::VARCHAR ELSE '' END AS bound, top_level, in_try FROM (SELECT doc_id, rel, module || CASE WHEN own THEN doc_id::VARCHAR ELSE '' END AS module, prefix, numbered, top_level, in_try, every FROM documents, LATERAL (VALUES
+ ('a.py', 'os', false, 'os', true, true, false, true), ('a.py', 'sys', false, 'sys', false, true, false, true), ('a.py', 'json', false, 'd', true, true, false, true), ('a.py', 'json', false, 'loads', false, true, false, true), ('a.py', 'readline', false, 'readline', false, true, false, true),
+ ('a.py', 'typing', false, 'Any', true, true, false, true), ('a.py', 'lib', false, 'x', true, true, false, true), ('a.py', 'far', true, 'Outside', true, true, false, true), ('a.py', 'far', true, 'never', true, true, false, true), ('a.py', 'fast', true, 'fast', true, false, true, true),
+ ('a.py', 'json', false, 'lazy', true, false, false, true), ('pkg/__init__.py', '.m', false, 'y', true, true, false, true), ('pkg/m.py', 'requests', false, 'requests', false, true, false, true), ('c.py', 'a', false, 'd', true, true, false, doc_id % 2 = 0)) v(rel, module, own, prefix, numbered, top_level, in_try, every)) WHERE every""")
+def python_imports(spark, sf_dir):
+    f = pyfacts.Facts(store(pyfacts.python_facts(_python_repositories(spark, sf_dir).filter("rel like '%.py'")), "facts"))
+    return f.imports.select("repo", "rel", "module", "bound", "top_level", "in_try")
+
+
+@query("""
+SELECT 'r' || doc_id AS repo, rel, kind, prefix || doc_id AS name, n_decorators FROM documents, LATERAL (VALUES
+ ('a.py', 'function', 'used', 0), ('a.py', 'function', 'dead', 0), ('a.py', 'function', 'deco', 1), ('a.py', 'function', 'view', 1), ('a.py', 'class', 'Gone', 0), ('a.py', 'class', 'Kid', 0), ('a.py', 'function', 'pytest_thing', 0),
+ ('pkg/__init__.py', 'function', 'pub', 0), ('pkg/m.py', 'function', 'do_', 0), ('pkg/m.py', 'function', '_own', 0), ('tests/test_a.py', 'function', 'test_x', 0), ('tests/test_a.py', 'function', 'helper', 0)) v(rel, kind, prefix, n_decorators)""")
+def python_definitions(spark, sf_dir):
+    f = pyfacts.Facts(store(pyfacts.python_facts(_python_repositories(spark, sf_dir).filter("rel like '%.py'")), "facts"))
+    return f.defs.select("repo", "rel", "kind", "name", F.size("decorators").alias("n_decorators"))
