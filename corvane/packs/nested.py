@@ -151,23 +151,25 @@ def members(files: DataFrame) -> DataFrame:
     """heads that declare a type, method or field of a type (or, where a language has such, of the file), with name, value, private, owner (head), parts: how many names a field declares."""
     h = store(heads(files), "heads")
     head = F.col("head")
-    # a type's words stand before its parameters and its body, a method's and a field's before any value
-    plain = F.trim(F.regexp_replace(F.regexp_replace(head, r"(?:@[\w.]+(?:\([^()]*\))?|#?\[[^\]]*\])\s*", ""), r"^<\?php\s*", ""))
-    left = F.regexp_extract(plain, r"^((?:[^=]|[=!<>]=)*?)\s*(?:=(?!=)|$)", 1)
-    arrow = F.regexp_replace(left, r"\s*=>.*$", "")
+    # a type's words stand before its parameters and its body, a method's and a field's before any value; steps of their own, as each is used many times
+    h = h.withColumn("plain", F.trim(F.regexp_replace(F.regexp_replace(head, r"(?:@[\w.]+(?:\([^()]*\))?|#?\[[^\]]*\])\s*", ""), r"^<\?php\s*", "")))
+    h = h.withColumn("before", F.regexp_extract("plain", r"^((?:[^=]|[=!<>]=)*?)\s*(?:=(?!=)|$)", 1))
+    h = h.withColumn("said", F.regexp_replace("before", r"\s*=>.*$", ""))
+    plain, left, arrow = F.col("plain"), F.col("before"), F.col("said")
     type_ = F.when(F.col("by") == "{", _by_language(lambda x: F.regexp_extract(F.regexp_extract(plain, r"^[^(=]*", 0), x.types, 1)))
     method = _by_language(lambda x: F.regexp_extract(arrow, x.method, 1))
     shape = lambda x: r"\b(?:val|var|let)\s+(?:\([^)]*\)\s*)?(\w+)" if x.newlines else r"\$(\w+)\s*$" if x.name == "PHP" else r"[\w>\]?]\s+(\w+)(?:\s*\[\])*\s*(?:,.*)?$"
-    field = _by_language(lambda x: F.regexp_extract(arrow, shape(x), 1))
+    h = h.withColumns({"type_name": type_, "method_name": method, "field_name": _by_language(lambda x: F.regexp_extract(arrow, shape(x), 1))})
+    type_, method, field = F.col("type_name"), F.col("method_name"), F.col("field_name")
     control = arrow.rlike(r"^(return|throw|if|else|for|foreach|while|do|switch|case|default|try|catch|finally|import|package|using|namespace|use|new|yield|goto|await|lock|assert|echo|guard|defer|when|static\s*$)\b")
     kind = F.when(control, None).when(F.length(type_) > 0, "class").when(F.length(method) > 0, "method").when((F.length(field) > 0) & ((F.col("by") != "{") | head.contains("=") | (F.col("lang").isin("C#", "Swift", "Kotlin"))), "field")
-    h = h.withColumns({"plain": plain, "kind": kind, "name": F.when(kind == "class", type_).when(kind == "method", method).otherwise(field), "value": F.regexp_extract(plain, r"^(?:[^=]|[=!<>]=)*?\s*=(?!=)>?\s*(.*)$", 1)})
+    h = h.withColumn("kind", kind).withColumns({"name": F.when(F.col("kind") == "class", type_).when(F.col("kind") == "method", method).otherwise(field), "value": F.regexp_extract(plain, r"^(?:[^=]|[=!<>]=)*?\s*=(?!=)>?\s*(.*)$", 1)})
     commas = F.regexp_replace(left, r"<[^<>]*>|\([^()]*\)", "")
     several = F.transform(F.split(commas, ","), lambda x: F.regexp_extract(x, r"(\w+)(?:\s*\[\])*\s*$", 1))
     several = F.when((F.col("kind") == "field") & F.col("lang").isin("Java", "C#") & commas.contains(","), several).otherwise(F.array("name"))
     h = h.withColumn("parts", F.when(F.col("kind") == "field", F.size(several)).otherwise(1)).withColumn("name", F.explode(several))
     owners = h.select("repo", "rel", F.col("seg").alias("parent"), F.col("head").alias("owner"), F.col("kind").alias("owner_kind"), F.col("name").alias("owner_name"), F.col("plain").alias("owner_plain"))
-    h = h.filter("kind is not null").join(owners, ["repo", "rel", "parent"], "left")
+    h = h.drop("said", "before", "type_name", "method_name", "field_name").filter("kind is not null").join(owners, ["repo", "rel", "parent"], "left")
     body = F.col("owner").rlike(r"\bnew\s+[\w.<>, ]+\(.*\)\s*$") | F.col("owner").rlike(r"^[A-Z_][A-Z0-9_]*(\(.*\))?$") | ((F.col("lang") == "Kotlin") & F.col("owner").rlike(r"\bobject\b"))
     top = _by_language(lambda x: F.lit(x.top)) & F.col("parent").isNull()
     h = h.filter((F.col("owner_kind") == "class") | F.coalesce(body, F.lit(False)) | top)

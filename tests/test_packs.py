@@ -13,8 +13,8 @@ FILES = [
     ("PHP", "a.php", "<?php\nuse A\\B\\Gone;\nuse A\\B\\Here;\nclass C {\n    private function dead() {\n    }\n    private $lost;\n    public function go() {\n        return new Here();\n    }\n}\n", {"Gone": "REMOVE", "dead": "REMOVE", "lost": "REMOVE"}),
     ("PHP", "magic.php", "<?php\nclass D {\n    private function hidden() {\n    }\n    public function __call($n, $a) {\n    }\n}\n", {"hidden": "AMBIGUOUS"}),
     ("Swift", "a.swift", "private func dead() {\n}\n\nfileprivate let live = 1\n\nfunc open() -> Int {\n    return live\n}\n", {"dead": "REMOVE"}),
-    ("C", "a.c", "static int dead(int x) {\n    return dead(x);\n}\n\nstatic int live(int x) {\n    return x;\n}\n\nstatic int count;\n\nint open(void) {\n    return live(1);\n}\n", {"dead": "REMOVE", "count": "REMOVE"}),
-    ("C", "pasted.c", "#define F(x) call_##x()\nstatic void call_me(void) {\n}\n", {"call_me": "AMBIGUOUS"}),
+    ("C", "a.c", "static int dead(int x) {\n    return dead(x);\n}\n\nstatic int live(int x) {\n    return x;\n}\n\nstatic int count;\n\nint open(void) {\n    return live(1);\n}\n", {"dead": "REMOVE", "count": "REMOVE", "open": "AMBIGUOUS"}),
+    ("C", "pasted.c", "#define F(x) call_##x()\nstatic void call_me(void) {\n}\nint go = F(me);\n", {"call_me": "AMBIGUOUS"}),
     ("Java", "Broken.java", "class B {\n    private int x;\n", {}),
 ]
 
