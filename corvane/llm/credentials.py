@@ -352,7 +352,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and likelihood alone decides. The trigrams of all ordinary tokens are counted over the whole table. Grammars are fitted to
     at most `sample` distinct credentials of each kind and `sample_chars` characters of them, those with the smallest
     hashes among all that the whole table holds, so they are the same however the table is dealt; a credential of any
-    length may be among them. Texts are scanned whole, however long. A null text is empty and has no spans; without credentials there
+    length may be among them. A kind of which the table holds fewer than five gets no grammar. Texts are scanned whole, however long. A null text is empty and has no spans; without credentials there
     are base spans only. Ids must be integers or cast to them. Repeated rows give repeated rows; an empty table gives
     an empty result; other columns of docs are not read.
     """
