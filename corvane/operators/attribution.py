@@ -76,10 +76,10 @@ def rework(commits: DataFrame, numstat: DataFrame, lines: DataFrame) -> DataFram
     """repo, kind, added, surviving, rewritten_percent since the repository's first ai commit that touches Python on its current branch.
 
     commits: repo, sha, ct, kind, on_head; numstat: repo, sha, rel, added (null for binary files); lines: repo, rel, line, sha, kind, ct.
-    Surviving lines never exceed added ones. Repositories without such a commit give no row.
+    A commit that is listed more than once counts once. Surviving lines never exceed added ones. Repositories without such a commit give no row.
     """
     py = numstat.filter(F.col("added").isNotNull() & F.endswith("rel", F.lit(".py")))
-    touched = commits.filter("on_head").join(py, ["repo", "sha"])
+    touched = commits.filter("on_head").dropDuplicates(["repo", "sha"]).join(py, ["repo", "sha"])
     since = touched.filter("kind = 'ai'").groupBy("repo").agg(F.min("ct").alias("since"))
     added = touched.join(since, "repo").filter("ct >= since").groupBy("repo", "kind").agg(F.sum("added").alias("added"))
     left = lines.join(since, "repo").filter("ct >= since").groupBy("repo", "kind").agg(F.count("*").alias("left"))

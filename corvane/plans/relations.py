@@ -183,7 +183,7 @@ c AS (SELECT 'u' || (user_id % 20) AS repo, event_id AS sha, epoch(ts)::BIGINT A
 def _commits(spark, sf_dir) -> DataFrame:
     i = F.col("event_id")
     tool = F.when(i % 3 == 0, "Copilot").when(i % 7 == 1, "Cursor")
-    return table(spark, sf_dir, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("repo"), i.alias("sha"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ct"), (F.col("event_type") != "view").alias("on_head"), tool.alias("tool"), F.when(tool.isNull(), "human").otherwise("ai").alias("kind"))
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("repo"), i.alias("sha"), S.nearest_second(F.col("ts")).alias("ct"), (F.col("event_type") != "view").alias("on_head"), tool.alias("tool"), F.when(tool.isNull(), "human").otherwise("ai").alias("kind"))
 
 
 @query(f"WITH {_COMMITS_SQL} SELECT repo, tool, count(*) AS commits FROM c WHERE on_head AND tool IS NOT NULL GROUP BY repo, tool")

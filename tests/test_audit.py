@@ -330,3 +330,16 @@ def test_unused_queries_read_all_references(spark):
     names = {n.replace(" ", "_") + "_" + b for n, b in rows("part", "p_name", "p_brand")}
     best = {n: max((h for h in heads if n.startswith(h) and n != h), key=len) for n in names}
     assert dict(map(tuple, q["prefix_lookup"](spark, sf).collect())) == best
+
+
+def test_rework_rounds_seconds_and_counts_rows_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from corvane.plans import catalogue
+
+    rows = [(1, "00:00:10.6", 1, "error", 5.0), (2, "00:00:10.3", 1, "view", 7.0), (2, "00:00:12.5", 1, "view", 8.0), (2, "00:00:12.5", 1, "view", 8.0), (3, "00:00:20", 2, "error", 4.5), (3, "00:00:21", 2, "view", 9.0), (None, "00:00:22", 2, "view", None)]
+    duckdb.execute("CREATE OR REPLACE TEMP TABLE e (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE)")
+    duckdb.executemany("INSERT INTO e VALUES (?, ?, ?, ?, ?)", [(i, f"2024-01-01 {t}", *rest) for i, t, *rest in rows])
+    duckdb.execute(f"COPY e TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    want = duckdb.execute(catalogue.ORACLE["rework_since_first"].replace("FROM events", "FROM e")).fetchall()
+    assert want and {tuple(r) for r in catalogue.QUERIES["rework_since_first"](spark, str(tmp_path)).collect()} == set(want)
