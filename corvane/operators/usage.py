@@ -79,6 +79,27 @@ def within_span(items: DataFrame, points: DataFrame, by: list[str], at: str = "l
     return i.join(p, [*by, "block"]).filter(F.col(at).between(F.col("start"), F.col("end"))).drop("block")
 
 
+def count_within(items: DataFrame, points: DataFrame, by: list[str], at: str = "line", step: int = 256) -> DataFrame:
+    """items (by, start, end, ...) with n, how many points (by, at) lie inside their lines; items without any give no row.
+
+    Points are counted by line and by block of `step` lines first, and equal spans are looked up once: a span reads the counts of the
+    whole blocks inside it and of the lines at its two ends, so no point meets an item and frequent lines cost what rare ones do.
+    """
+    lines = points.groupBy(*by, F.col(at).cast("long").alias("cell")).agg(F.count("*").alias("n")).filter("cell is not null")
+    blocks = lines.groupBy(*by, F.floor(F.col("cell") / step).alias("cell")).agg(F.sum("n").alias("n"))
+    known = lines.withColumn("whole", F.lit(False)).unionByName(blocks.withColumn("whole", F.lit(True)))
+    spans = items.filter("start <= end").select(*by, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).distinct()
+    s, e = F.col("start"), F.col("end")
+    first, last = F.ceil(s / step), F.floor((e + 1) / step) - 1  # the blocks that lie inside as a whole
+    run = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    cells = lambda whole, a: F.transform(a, lambda c: F.struct(F.lit(whole).alias("whole"), c.alias("cell")))
+    left, right = run(s, first * step - 1), run((last + 1) * step, e)
+    ends = F.when(first <= last, F.concat(left, right)).otherwise(run(s, e))
+    asked = spans.withColumn("c", F.explode(F.concat(cells(True, run(first, last)), cells(False, ends)))).select(*by, "start", "end", "c.whole", "c.cell")
+    n = asked.join(known, [*by, "whole", "cell"]).groupBy(*by, "start", "end").agg(F.sum("n").alias("n"))
+    return items.join(n, [*by, "start", "end"])
+
+
 def longest_prefix(paths: DataFrame, modules: DataFrame) -> DataFrame:
     """Each dotted path with the longest known module that is a proper prefix of it, and the name read from that module.
 

@@ -343,3 +343,17 @@ def test_rework_rounds_seconds_and_counts_rows_as_its_sql(spark, tmp_path):
     duckdb.execute(f"COPY e TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     want = duckdb.execute(catalogue.ORACLE["rework_since_first"].replace("FROM events", "FROM e")).fetchall()
     assert want and {tuple(r) for r in catalogue.QUERIES["rework_since_first"](spark, str(tmp_path)).collect()} == set(want)
+
+
+def test_points_in_spans_are_counted_without_meeting_them(spark):
+    """Spans inside, at and over the edges of blocks, equal ones, reversed ones, null ones; a line with many points; no join sees a row for each point."""
+    from pyspark.sql import functions as F
+
+    spans = [(a, b) for a in range(-5, 40, 3) for b in range(a - 1, a + 30, 4)]
+    items = [(k, k % 2, a, b) for k, (a, b) in enumerate(spans + spans[:20])] + [(9000, 0, None, 4), (9001, 5, 1, 9)]
+    lines = [(k % 2, k * 7 % 50 - 6) for k in range(300)] + [(0, None), (1, 8)]
+    i = spark.createDataFrame(items, "k int, rel int, start int, end int")
+    p = spark.createDataFrame(lines, "rel int, line int").unionByName(spark.range(200_000).select(F.lit(0).alias("rel"), F.lit(9).alias("line")))
+    want = {k: n for k, rel, a, b in items if a is not None and (n := sum(r == rel and x is not None and a <= x <= b for r, x in lines) + 200_000 * (rel == 0 and a <= 9 <= b))}
+    for step in (1, 4, 256):
+        assert {r.k: r.n for r in usage.count_within(i, p, ["rel"], step=step).collect()} == want
