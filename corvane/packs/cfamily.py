@@ -97,7 +97,7 @@ def includes(files: DataFrame) -> DataFrame:
     lines = S.all_matches(F.col("text"), r"""(?m)^[ \t]*#[ \t]*include(?:_next)?[ \t]*[<"][^>"\n]+[>"]""")
     said = files.filter(F.col("rel").rlike(PARSED)).select("repo", "rel", F.explode(F.array_distinct(lines)).alias("line"))
     parts = F.filter(F.split(F.replace(F.regexp_extract("line", r"""[<"]([^>"\n]+)""", 1), F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", ".", ".."))
-    said = said.select("repo", "rel", F.array_join(parts, "/").alias("target"), F.contains("line", F.lit('"')).alias("quoted")).filter("target <> ''").withColumn("base", S.base_name(F.col("target")))
+    said = store(said.select("repo", "rel", F.array_join(parts, "/").alias("target"), F.contains("line", F.lit('"')).alias("quoted")).filter("target <> ''"), "said").withColumn("base", S.base_name(F.col("target")))
     known = files.select("repo", F.col("rel").alias("to"), S.base_name(F.col("rel")).alias("base"))
     found = said.join(known, ["repo", "base"]).filter(F.endswith(F.concat(F.lit("/"), "to"), F.concat(F.lit("/"), "target")))
     return said.drop("base").join(found.select("repo", "rel", "target", "quoted", "to"), ["repo", "rel", "target", "quoted"], "left")

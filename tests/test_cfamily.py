@@ -51,3 +51,22 @@ def test_macros_to_a_fixpoint(spark):
             want.add(i)
             todo.append((i * 7) % 50)
     assert sorted((r.repo, r.node) for r in got) == sorted(("r", f"n{i}") for i in want)
+
+
+def test_reach_reads_its_edges_once(spark):
+    """A chain of five includes: five rounds, but the edges (read from texts) are worked out once."""
+    from pyspark.sql import functions as F
+
+    from corvane.operators import usage
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([("r", str(i), str(i + 1)) for i in range(5)], "repo string, a string, z string").mapInArrow(read, "repo string, a string, z string")
+    starts = spark.createDataFrame([("r", "0")], "repo string, start string")
+    assert sorted(r.node for r in usage.reach(starts, edges).collect()) == list("12345")
+    assert seen.value == 5
