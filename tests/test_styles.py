@@ -104,3 +104,20 @@ def test_reach_and_closure(spark):
     got = usage.reach(spark.createDataFrame([("r", "n7"), ("q", "n5")], "repo string, start string"), df).collect()
     assert sorted((r.repo, r.start, r.node) for r in got) == sorted(("r", a, z) for a, z in pairs if a == "n7")
     assert usage.closure(df.limit(0)).count() == 0 and usage.reach(df.selectExpr("repo", "a as start").limit(0), df).count() == 0
+
+
+def test_styled_reads_texts_once(spark):
+    from corvane.packs import sheets
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    files = [("r", "w/a.html", "<link rel='stylesheet' href='../css/s1.css'>")] + [("r", f"css/s{i}.css", f"@import url(\"s{i + 1}.css\");") for i in range(1, 5)] + [("r", "css/s5.css", "")]
+    df = spark.createDataFrame(files, "repo string, rel string, text string")
+    texts = df.mapInArrow(read, "repo string, rel string, text string")
+    assert sorted(r.sheet for r in sheets.styled(texts).collect()) == [f"css/s{i}.css" for i in range(1, 6)]
+    assert seen.value <= 2 * len(files)  # once for what they load, once for their names
