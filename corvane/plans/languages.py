@@ -261,7 +261,7 @@ SELECT 'r' || doc_id AS repo, rel, module, prefix || CASE WHEN numbered THEN doc
  ('a.py', 'typing', false, 'Any', true, true, false, true), ('a.py', 'lib', false, 'x', true, true, false, true), ('a.py', 'far', true, 'Outside', true, true, false, true), ('a.py', 'far', true, 'never', true, true, false, true), ('a.py', 'fast', true, 'fast', true, false, true, true),
  ('a.py', 'json', false, 'lazy', true, false, false, true), ('pkg/__init__.py', '.m', false, 'y', true, true, false, true), ('pkg/m.py', 'requests', false, 'requests', false, true, false, true), ('c.py', 'a', false, 'd', true, true, false, doc_id % 2 = 0)) v(rel, module, own, prefix, numbered, top_level, in_try, every)) WHERE every""")
 def python_imports(spark, sf_dir):
-    f = pyfacts.Facts(store(pyfacts.python_facts(_python_repositories(spark, sf_dir).filter("rel like '%.py'")), "facts"))
+    f = pyfacts.Facts(pyfacts.python_facts(_python_repositories(spark, sf_dir).filter("rel like '%.py'"), ["import"]))
     return f.imports.select("repo", "rel", "module", "bound", "top_level", "in_try")
 
 
@@ -270,5 +270,5 @@ SELECT 'r' || doc_id AS repo, rel, kind, prefix || doc_id AS name, n_decorators
  ('a.py', 'function', 'used', 0), ('a.py', 'function', 'dead', 0), ('a.py', 'function', 'deco', 1), ('a.py', 'function', 'view', 1), ('a.py', 'class', 'Gone', 0), ('a.py', 'class', 'Kid', 0), ('a.py', 'function', 'pytest_thing', 0),
  ('pkg/__init__.py', 'function', 'pub', 0), ('pkg/m.py', 'function', 'do_', 0), ('pkg/m.py', 'function', '_own', 0), ('tests/test_a.py', 'function', 'test_x', 0), ('tests/test_a.py', 'function', 'helper', 0)) v(rel, kind, prefix, n_decorators)""")
 def python_definitions(spark, sf_dir):
-    f = pyfacts.Facts(store(pyfacts.python_facts(_python_repositories(spark, sf_dir).filter("rel like '%.py'")), "facts"))
+    f = pyfacts.Facts(pyfacts.python_facts(_python_repositories(spark, sf_dir).filter("rel like '%.py'"), ["def"]))
     return f.defs.select("repo", "rel", "kind", "name", F.size("decorators").alias("n_decorators"))

@@ -68,3 +68,14 @@ def test_body_hash_is_by_shape():
     f = lambda s: pyfacts.body_hash(ast.parse(s).body[0])[0]
     assert f("def a(x):\n  'doc'\n  y = x\n  return y") == f("def b(q: int):\n  z = q\n  return z")
     assert f("def a(x):\n  return g(x)") != f("def a(x):\n  return h(x)") and f("def a():\n  'only'") is None
+
+
+def test_facts_that_are_asked_for_are_those_of_the_whole_read():
+    texts = [(rel, text) for files, _ in CASES.values() for rel, text in files.items() if rel.endswith(".py")]
+    texts += [("deep.py", "import os\n\n\ndef f():\n    return 1\n\n\nx = " + "a" + ".b" * 3000 + "\n"), ("x.py", "try:\n    from .m import (a as b, c)  # noqa\nexcept (ImportError, OSError):\n    import d.e\n\n\n@dec(1)\nclass K(B[int], metaclass=M):\n    import inner\n")]
+    for rel, text in texts:
+        whole = pyfacts.read_file(rel, text)
+        assert pyfacts.read_file(rel, text, frozenset(["import"])) == [r for r in whole if r[0] == "import"]
+        assert pyfacts.read_file(rel, text, frozenset(["def", "body"])) == [r for r in whole if r[0] == "def"]
+        bare = [r[:1] + r[1:] if r[2] == "class" else (*r[:3], None, *r[4:6], 0, *r[7:]) for r in whole if r[0] == "def"]
+        assert pyfacts.read_file(rel, text, frozenset(["def"])) == bare
