@@ -68,3 +68,18 @@ def test_settings_of_a_project(spark):
     got = {(r.repo, r.name): r.verdict for r in base.audit(df, web.PACKS).collect() if r.kind == "import"}
     names = ("make", "lost", "T", "readFile")
     assert [got["with", n] for n in names] == ["AMBIGUOUS", "AMBIGUOUS", "REMOVE", "REMOVE"] and [got["without", n] for n in names] == ["REMOVE"] * 4
+
+
+def test_counts_of_names_are_those_of_all_words(spark):
+    """Each file's words are counted inside its row: the same counts as by grouping, for names only, and nothing else is shuffled."""
+    from pyspark.sql import functions as F
+
+    from corvane.operators import words
+
+    texts = [("r", "a", "x y x $y a-b a-b-c x"), ("r", "b", ""), ("r", "c", None), ("s", "a", "z z"), ("s", "b", "x --x-y 'x-y' x-"), ("r", "d", "y" * 3 + " y")]
+    files = spark.createDataFrame(texts, "repo string, rel string, text string")
+    names = spark.createDataFrame([("r", "x"), ("r", "x"), ("r", "y"), ("s", "z"), ("r", "a-b"), ("s", "x-y"), ("s", "absent"), ("r", None)], "repo string, name string")
+    for css, every in ((False, words.word_counts(files)), (True, words.css_word_counts(files))):
+        want = {tuple(r) for r in every.join(names.withColumnRenamed("name", "word"), ["repo", "word"], "left_semi").select("repo", "rel", "word", "n").collect()}
+        got = words.named_counts(files, names, css)
+        assert want and {tuple(r) for r in got.select("repo", "rel", "word", "n").collect()} == want and got.schema["n"].dataType == every.schema["n"].dataType
