@@ -161,16 +161,22 @@ def registered_classes(classes: DataFrame, scans: DataFrame) -> DataFrame:
     return marked
 
 
-def closure(edges: DataFrame) -> DataFrame:
+def closure(edges: DataFrame, most: int = 100_000) -> DataFrame:
     """(repo, a, z): every pair with a path a -> z, as of include graphs; edges: repo, a, z.
 
     Semi-naive: a round joins only the pairs that the last one found with all that are known, which doubles the length of
     paths, and writes only what is new. The result is as large as the pairs are many: the square of a component's nodes at most.
+    Pairs that end at a node that more than `most` new ones reach (a root that all lie under) are dealt to several tasks; such nodes
+    are fewer than the new pairs by that factor, so their list is broadcast.
     """
     new = store(edges.select("repo", "a", "z").distinct(), "paths")
     known = new
     while not new.isEmpty():
-        longer = new.join(known.select("repo", F.col("a").alias("z"), F.col("z").alias("to")), ["repo", "z"]).select("repo", "a", F.col("to").alias("z")).distinct()
+        hot = store(new.groupBy("repo", "z").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("repo", "z", F.ceil(F.col("n") / most).cast("int").alias("deal")), "hot")
+        dealt = lambda df: df.join(F.broadcast(hot), ["repo", "z"], "left").na.fill(1, ["deal"])  # noqa: E731, B023
+        ends = dealt(new).withColumn("part", F.pmod(F.xxhash64("a"), F.col("deal")).cast("int")).drop("deal")
+        ahead = dealt(known.select("repo", F.col("a").alias("z"), F.col("z").alias("to"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))).drop("deal")
+        longer = ends.join(ahead, ["repo", "z", "part"]).select("repo", "a", F.col("to").alias("z")).distinct()
         new = store(longer.join(known, ["repo", "a", "z"], "left_anti"), "paths")
         known = known.unionByName(new)
     return known

@@ -357,3 +357,11 @@ def test_points_in_spans_are_counted_without_meeting_them(spark):
     want = {k: n for k, rel, a, b in items if a is not None and (n := sum(r == rel and x is not None and a <= x <= b for r, x in lines) + 200_000 * (rel == 0 and a <= 9 <= b))}
     for step in (1, 4, 256):
         assert {r.k: r.n for r in usage.count_within(i, p, ["rel"], step=step).collect()} == want
+
+
+def test_closure_deals_out_nodes_that_many_reach(spark):
+    """3,000 leaves under one chain: with a bound of 100 rows the same pairs, and a bound that holds."""
+    edges = [("r", f"leaf{i}", "n0") for i in range(3000)] + [("r", f"n{i}", f"n{i + 1}") for i in range(4)]
+    got = usage.closure(spark.createDataFrame(edges, "repo string, a string, z string"), most=100).collect()
+    want = {("r", f"leaf{i}", f"n{j}") for i in range(3000) for j in range(5)} | {("r", f"n{i}", f"n{j}") for i in range(5) for j in range(i + 1, 5)}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
