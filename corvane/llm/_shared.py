@@ -118,7 +118,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, root): each node of the undirected edges (u, v) with the smallest node that it reaches.
 
     Alternating large-star and small-star steps: every step keeps the components, points nodes at smaller
-    ones and is a grouped minimum plus a join over which hubs are spread, so no component and no hub ever meets in one task. Edges of every step are written to the shared folder; only their count and a checksum reach the driver.
+    ones and is a grouped minimum plus a join over which hubs are spread, so no component and no hub ever meets in one task. Edges of every half step are written to the shared folder, as
+    the small star reads those of the large one four times and its plan would hold them as often; only counts and a checksum reach the driver.
     """
 
     def lean(df: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         large = _with_least(both.filter("v > u"), least, 2 * was[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = lean(large)
+        large = materialise(lean(large), name)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = _with_least(large, least, was[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = materialise(lean(small), name)

@@ -308,6 +308,15 @@ def test_shared_components(spark):
     assert S.components(S.empty(spark, "u long, v long")).count() == 0
 
 
+def test_component_steps_read_edges_few_times(spark, monkeypatch):
+    """The driver keeps each plan: one of a step may not hold the edges' table over and over."""
+    reads, put = [], S.materialise
+    monkeypatch.setattr(S, "materialise", lambda df, name: (reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")), put(df, name))[1])
+    got = {x.node: x.root for x in S.components(spark.createDataFrame([(i, i + 1) for i in range(9)], "u long, v long")).collect()}
+    assert got == dict.fromkeys(range(10), 0)
+    assert max(reads) <= 8, reads
+
+
 def test_hash_helpers():
     h = S.WordHashes().of([b"a", b"b", b"a", b"b", b"c"])
     w = S.windows(h, 2)
