@@ -83,3 +83,13 @@ def test_spans_and_owners(spark):
     assert {n: got[n].owner_name for n in ("Inner", "Deeper", "deepest", "rank", "deep")} == {"Inner": "Outer", "Deeper": "Inner", "deepest": "Deeper", "rank": "Level", "deep": "Inner"}
     assert "local" not in got and "i" not in got and got["together" if "together" in got else "alone"].parts == 2
     assert {r.rel for r in nested.blocks(files).select("rel").distinct().collect()} == {"Outer.java"}
+
+
+def test_tokens_leave_texts_of_comments_and_strings_behind(spark):
+    """Their lengths and lines count, but nothing of them is shuffled or written; members come out as before."""
+    text = "/* a\nlong } comment */\nclass A { // { end\n  private String s = \"}}{\"; /* x */ private int n;\n}\n"
+    files = spark.createDataFrame([("r", "A.java", "Java", text)], "repo string, rel string, lang string, text string")
+    t = nested.tokens(files).collect()
+    assert {r.what: r.tok for r in t if r.what in ("comment", "string")} == {"comment": "", "string": '""'}
+    assert all(text[r["at"] - 1 :].startswith(r.tok) for r in t if r.what != "string") and {r.what: (r.line, text[r["at"] - 1]) for r in t if r.what in ("string", "}")} == {"string": (4, '"'), "}": (5, "}")}
+    assert sorted((r.name, r.line, r.end_line) for r in nested.members(files).collect()) == [("n", 4, 4), ("s", 4, 4)]
