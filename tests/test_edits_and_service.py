@@ -54,6 +54,18 @@ def test_python_lines_need_code(spark):
     assert ok(text_counts=spark.createDataFrame([("r", "a.py")], "repo string, rel string")) == {"code", "text", "open"}
 
 
+def test_only_lines_of_python_are_read_as_code(spark, monkeypatch):
+    """Lines that no rule asks the tokenizer about aren't sent to Python's workers as text."""
+    sent, real = [], jury.in_code
+    monkeypatch.setattr(jury, "in_code", lambda line, name: (sent.append(line), real(line, name))[1])
+    cited = spark.createDataFrame([(i, "m", [f"{i}:5"]) for i in ("a.py", "b.txt")], "finding string, model string, evidence array<string>")
+    f = spark.createDataFrame([(i, "r", "function", "c.py", 1, 1, "date") for i in ("a.py", "b.txt")], "finding string, repo string, kind string, file string, line int, end_line int, name string")
+    lines = spark.createDataFrame([("r", i, 5, "x = q.get('date')") for i in ("a.py", "b.txt")], "repo string, rel string, line int, text string")
+    assert {r.finding: r.checked for r in jury.checked_evidence(cited, f, lines).collect()} == {"a.py": [], "b.txt": ["b.txt:5"]}
+    rows = spark.createDataFrame([("a.py", "x", False), ("b.txt", "y", False), ("a.py", "z", True)], "rel string, text string, by_text boolean")
+    assert [r[0] for r in rows.select(sent[0]).collect()] == ["x", None, None]
+
+
 def test_service(spark):
     a = spark.createDataFrame([(1, "A/b", "s", "1", "done", "public", "u"), (2, "a/B", "s", "1", "done", "private", "u"), (3, "a/b", "t", "1", "queued", "private", "v")], "id int, repo string, sha string, version string, status string, visibility string, owner string")
     asked = spark.createDataFrame([("a/b", "s", "1"), ("a/b", "t", "1")], "repo string, sha string, version string")
