@@ -166,9 +166,16 @@ def proof_outcomes(proofs: DataFrame) -> DataFrame:
     return proofs.groupBy(F.regexp_extract("proof", "^([^:]*)", 1).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-def outermost_spans(spans: DataFrame) -> DataFrame:
-    """repo, rel, start, end: spans merged where they nest or overlap. spans: repo, rel, start, end (lines, inclusive)."""
-    by = W.partitionBy("repo", "rel").orderBy("start", F.desc("end"))
+def outermost_spans(spans: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """repo, rel, start, end: spans merged where they nest or overlap. spans: repo, rel, start, end (lines, inclusive).
+
+    Files are dealt to as many tasks as it takes for some `rows` spans each: rows that compress well would else be put together into few tasks,
+    which sort, run over and group all of them in memory. The spans of one file stay in one task.
+    """
+    tasks = max(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-spans.count() // rows))
+    key = ["key", "repo", "rel"]
+    spans = spans.withColumn("key", F.xxhash64("repo", "rel")).repartition(tasks, "key")  # one column, as a constant repo would be folded and the rows dealt again
+    by = W.partitionBy(*key).orderBy("start", F.desc("end"))
     reach = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
     runs = spans.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(by))
-    return runs.groupBy("repo", "rel", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+    return runs.groupBy(*key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("key", "run")

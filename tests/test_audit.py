@@ -285,6 +285,15 @@ def test_closure_and_spans(spark):
     assert sorted((r.start, r.end) for r in jury.outermost_spans(s).collect()) == [(1, 7), (9, 9)]
 
 
+def test_spans_of_many_files_are_dealt_out(spark):
+    """The files' spans go to as many tasks as their number asks for, however small they are in bytes."""
+    s = spark.range(400).selectExpr("'r' AS repo", "id % 40 AS rel", "id div 40 * 3 AS start", "id div 40 * 3 + id % 2 * 3 AS end")
+    out = jury.outermost_spans(s, rows=20)
+    assert out.rdd.getNumPartitions() >= 20 and max(out.rdd.glom().map(len).collect()) <= 100
+    want = {(k, *x) for k in range(40) for x in ([(0, 30)] if k % 2 else [(3 * i, 3 * i) for i in range(10)])}
+    assert {(r.rel, r.start, r.end) for r in out.collect()} == want and out.columns == ["repo", "rel", "start", "end"]
+
+
 def test_closure_of_a_long_chain_and_a_forest(spark):
     edges = [("a", i, i + 1) for i in range(150)] + [("b", i, i // 3) for i in range(3, 2000)] + [("c", 1, 2), ("c", 2, 1)]
     to, want = {}, set()
