@@ -186,13 +186,13 @@ def reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo, start, node): the nodes that a path from a start leads to. starts: repo, start; edges: repo, a, z.
 
     Semi-naive: each round follows the edges of the nodes that the last one found and writes only what is new. Edges are written
-    first, so that texts they were read from are read once, not once a round.
+    first, so that texts they were read from are read once, not once a round. No side is ever broadcast, as all of them grow with the input.
     """
     new = starts.select("repo", "start", F.col("start").alias("node"))
     step, known = store(edges.select("repo", F.col("a").alias("node"), "z").distinct(), "steps"), None
     while known is None or not new.isEmpty():
-        ahead = new.join(step, ["repo", "node"]).select("repo", "start", F.col("z").alias("node")).distinct()
-        new = store(ahead.join(known, ["repo", "start", "node"], "left_anti") if known is not None else ahead, "reached")
+        ahead = new.join(step.hint("merge"), ["repo", "node"]).select("repo", "start", F.col("z").alias("node")).distinct()
+        new = store(ahead.join(known.hint("merge"), ["repo", "start", "node"], "left_anti") if known is not None else ahead, "reached")
         known = new if known is None else known.unionByName(new)
     return known
 

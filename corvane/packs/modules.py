@@ -2,6 +2,7 @@
 
 Statements of one file become rows; all that spans files is joins on written tables: specifiers are resolved by path,
 re-exports are followed a step a round from what the last round found, over names, defaults, namespaces and stars.
+All sides of these joins grow with the files, so none is broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -130,8 +131,8 @@ def facts(files: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     tails = keys.select("repo", "to", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "/"))).alias("path"))
     ends = tails.groupBy("repo", "path").agg(F.min("to").alias("to"), F.count_distinct("to").alias("n")).filter("n = 1").drop("n")
-    full = said.filter("path is not null and not tail").join(one, ["repo", "path"], "left")
-    alias = said.filter("path is not null and tail").join(ends, ["repo", "path"], "left")
+    full = said.filter("path is not null and not tail").join(one.hint("merge"), ["repo", "path"], "left")
+    alias = said.filter("path is not null and tail").join(ends.hint("merge"), ["repo", "path"], "left")
     rest = said.filter("path is null").withColumn("to", F.lit(None).cast("string"))
     return store(full.unionByName(alias).unionByName(rest).select("repo", "rel", "kind", "name", "source", "spec", "to"), "facts")
 
@@ -140,7 +141,7 @@ def _steps(known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """ends: exports declared where they are; links: exports that are another file's; stars: files all of whose names are passed on."""
     local = known.filter("kind = 'export'").select("repo", "rel", "name", "source")
     bound = known.filter("kind in ('import', 'whole')").select("repo", "rel", F.col("name").alias("source"), F.col("source").alias("to_name"), "to", F.lit(True).alias("bound"))
-    local = local.join(bound, ["repo", "rel", "source"], "left")
+    local = local.join(bound.hint("merge"), ["repo", "rel", "source"], "left")
     ends = local.filter("bound is null").select("repo", "rel", "name", F.coalesce("source", "name").alias("declared"))
     links = local.filter("bound and `to` is not null").select("repo", "rel", "name", "to", "to_name")
     links = links.unionByName(known.filter("kind = 'from' and `to` is not null").select("repo", "rel", "name", "to", F.col("source").alias("to_name")))
@@ -152,7 +153,7 @@ def exported(known: DataFrame) -> DataFrame:
     own = known.filter("kind in ('export', 'from')").select("repo", "rel", "name").distinct()
     stars = _steps(known)[2]
     behind = usage.reach(stars.select("repo", F.col("rel").alias("start")).distinct(), stars.select("repo", F.col("rel").alias("a"), F.col("to").alias("z")))
-    passed = behind.select("repo", F.col("start").alias("to"), F.col("node").alias("rel")).join(own.filter("name <> 'default'"), ["repo", "rel"]).select("repo", F.col("to").alias("rel"), "name")
+    passed = behind.select("repo", F.col("start").alias("to"), F.col("node").alias("rel")).join(own.filter("name <> 'default'").hint("merge"), ["repo", "rel"]).select("repo", F.col("to").alias("rel"), "name")
     return own.unionByName(passed).distinct()
 
 
@@ -171,12 +172,12 @@ def follow(asked: DataFrame, known: DataFrame) -> DataFrame:
     seen = new
     while not new.isEmpty():
         go = lambda df, name: df.select("repo", "rel", "name", F.col("to").alias("at"), name.alias("as"), (F.col("steps") + 1).alias("steps"))
-        named = go(new.join(ahead, ["repo", "at", "as"]), F.col("to_name"))
-        passed = go(new.filter("`as` not in ('default', '*')").join(explicit, ["repo", "at", "as"], "left_anti").join(spread, ["repo", "at"]), F.col("as"))
+        named = go(new.join(ahead.hint("merge"), ["repo", "at", "as"]), F.col("to_name"))
+        passed = go(new.filter("`as` not in ('default', '*')").join(explicit.hint("merge"), ["repo", "at", "as"], "left_anti").join(spread.hint("merge"), ["repo", "at"]), F.col("as"))
         found = named.unionByName(passed).groupBy(*place).agg(F.min("steps").alias("steps"))
-        new = store(found.join(seen, place, "left_anti"), "followed")
+        new = store(found.join(seen.hint("merge"), place, "left_anti"), "followed")
         seen = seen.unionByName(new)
-    here = seen.join(ends.select("repo", F.col("rel").alias("at"), F.col("name").alias("as"), "declared"), ["repo", "at", "as"])
+    here = seen.join(ends.select("repo", F.col("rel").alias("at"), F.col("name").alias("as"), "declared").hint("merge"), ["repo", "at", "as"])
     spaces = seen.filter("`as` = '*'").withColumn("declared", F.lit("*"))
     out = here.unionByName(spaces).select("repo", "rel", "name", F.col("at").alias("in_rel"), "declared", "steps")
     return out.groupBy("repo", "rel", "name", "in_rel", "declared").agg(F.min("steps").alias("steps"))
@@ -186,13 +187,13 @@ def imported(known: DataFrame) -> DataFrame:
     """repo, by, name, in_rel, declared: every import of a file, followed to its declaration; a namespace or a module taken whole means all its names."""
     asked = known.filter("kind in ('import', 'whole', 'from') and `to` is not null").select("repo", F.col("rel").alias("by"), F.col("to").alias("rel"), F.col("source").alias("name"))
     every = exported(known)
-    whole = asked.filter("name = '*'").drop("name").join(every, ["repo", "rel"])
+    whole = asked.filter("name = '*'").drop("name").join(every.hint("merge"), ["repo", "rel"])
     asked = asked.filter("name <> '*'").unionByName(whole).distinct()
-    return asked.join(follow(asked.select("repo", "rel", "name").distinct(), known), ["repo", "rel", "name"]).select("repo", "by", "name", "in_rel", "declared").distinct()
+    return asked.join(follow(asked.select("repo", "rel", "name").distinct(), known).hint("merge"), ["repo", "rel", "name"]).select("repo", "by", "name", "in_rel", "declared").distinct()
 
 
 def unused_exports(known: DataFrame, entry: Column | None = None) -> DataFrame:
     """repo, rel, name, declared: exported declarations that no other file imports by any way, files that tools call by their place (entry) aside."""
     ends = _steps(known)[0]
     used = imported(known).filter("by <> in_rel").select("repo", F.col("in_rel").alias("rel"), "declared").distinct()
-    return (ends.filter(~entry) if entry is not None else ends).join(used, ["repo", "rel", "declared"], "left_anti").select("repo", "rel", "name", "declared")
+    return (ends.filter(~entry) if entry is not None else ends).join(used.hint("merge"), ["repo", "rel", "declared"], "left_anti").select("repo", "rel", "name", "declared")

@@ -77,3 +77,21 @@ def test_commonjs_and_aliases(spark, known):
     entry = modules.F.col("rel").rlike("(^|/)pages/")
     assert {(r.rel, r.name) for r in modules.unused_exports(known, entry).filter("repo = 'common'").collect()} == {("lib/join.js", "alone")}
     assert modules.facts(known.select("repo", "rel", modules.F.lit("").alias("text")).limit(0)).count() == 0
+
+
+def test_nothing_of_the_graph_goes_through_the_driver(spark, monkeypatch):
+    """No join of the graph broadcasts a side, as every side grows with the files."""
+    from corvane.operators import usage
+
+    plans, put = [], modules.store
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return put(df, name)
+
+    monkeypatch.setattr(modules, "store", seen)
+    monkeypatch.setattr(usage, "store", seen)
+    files = spark.createDataFrame([("r", "a.ts", "export * from './b'\nexport { x as y } from './b'\n"), ("r", "b.ts", "export const x = 1\nexport const z = 2\n"), ("r", "c.ts", "import { x, y } from './a'\n")], "repo string, rel string, text string")
+    out = modules.unused_exports(modules.facts(files))
+    assert {(r.rel, r.name) for r in out.collect()} == {("b.ts", "z")}
+    assert not any("Broadcast" in p for p in [*plans, out._jdf.queryExecution().executedPlan().toString()])
