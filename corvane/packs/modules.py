@@ -35,8 +35,8 @@ _CJS_ALL = re.compile(rf"^[ \t]*module\.exports\s*=(?!=)\s*(?:\{{([^}}]*)\}}|({_
 
 
 def bare(text: str) -> str:
-    """text with comments and templates blanked; other strings stay, as specifiers are strings."""
-    return _SKIPPED.sub(lambda m: m[0] if m[0][0] in "'\"" else re.sub(r"[^\n]", " ", m[0]), text)
+    """text with a space, or a line's end where it holds one, for each comment and template; other strings stay, as specifiers are strings."""
+    return _SKIPPED.sub(lambda m: m[0] if m[0][0] in "'\"" else "\n" if "\n" in m[0] else " ", text)
 
 
 def _pairs(inner: str, word: str = "as") -> Iterator[tuple[str, str]]:

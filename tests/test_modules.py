@@ -80,7 +80,7 @@ def test_commonjs_and_aliases(spark, known):
 
 
 def test_nothing_of_the_graph_goes_through_the_driver(spark, monkeypatch):
-    """No join of the graph broadcasts a side, as every side grows with the files."""
+    """No join of the graph broadcasts a side, as every side grows with the files; comments shrink to what ends them."""
     from corvane.operators import usage
 
     plans, put = [], modules.store
@@ -95,3 +95,4 @@ def test_nothing_of_the_graph_goes_through_the_driver(spark, monkeypatch):
     out = modules.unused_exports(modules.facts(files))
     assert {(r.rel, r.name) for r in out.collect()} == {("b.ts", "z")}
     assert not any("Broadcast" in p for p in [*plans, out._jdf.queryExecution().executedPlan().toString()])
+    assert modules.bare("a/* x */b // c\n`t\n`/*\n\n*/'//'") == "a b  \n\n\n'//'"
