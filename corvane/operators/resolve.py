@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import scalars as S
 from corvane.operators.pyfacts import Facts
+from corvane.runtime import store
 
 
 def module_index(files: DataFrame) -> DataFrame:
@@ -58,13 +59,13 @@ def read_paths(paths: DataFrame, files: DataFrame, index: DataFrame) -> DataFram
     return hits.join(best, ["repo", "rel", "path", "k"]).select("repo", "rel", "path", "target", "name")
 
 
-def exports(facts: Facts, mentions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(exported, stars): exported (repo, rel, name) are names that other files read from a module; stars (repo, rel, importer) are files imported with *.
+def exports(facts: Facts, mentions: DataFrame | None = None, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(exported, stars): exported (repo, rel, name) are names that other files read from a module; stars (repo, rel, importer), written, are files imported with *.
 
-    mentions (repo, rel, name, line): dotted names of other text files.
+    mentions (repo, rel, name, line): dotted names of other text files. index: the files' module_index, where it is known.
     """
     files, imports = facts.files, facts.imports
-    index = module_index(files)
+    index = module_index(files) if index is None else index
     direct = resolve(imports.filter("is_from").select("repo", "rel", "module", F.col("imported").alias("name")), files, index).select("repo", F.col("target").alias("rel"), "name")
     alias = imports.select("repo", "rel", F.col("bound").alias("head"), F.when(F.col("is_from"), _join_name(F.col("module"), F.col("imported"))).when(F.col("asname").isNotNull(), F.col("imported")).otherwise(F.col("bound")).alias("full"))
     chains = facts.names("chain").withColumn("head", F.substring_index("name", ".", 1)).filter("head <> name")
@@ -74,13 +75,15 @@ def exports(facts: Facts, mentions: DataFrame | None = None) -> tuple[DataFrame,
         text = text.unionByName(mentions.select("repo", F.lit("").alias("rel"), F.replace("name", F.lit(":"), F.lit(".")).alias("path")))
     by_path = read_paths(chains.unionByName(text), files, index).select("repo", F.col("target").alias("rel"), "name")
     stars = resolve(facts.of("star").select("repo", "rel", F.col("a").alias("module")), files, index).select("repo", F.col("target").alias("rel"), F.col("rel").alias("importer")).distinct()
+    stars = store(stars, "stars").hint("merge")
     by_star = stars.join(facts.names("used").withColumnRenamed("rel", "importer"), ["repo", "importer"]).select("repo", "rel", "name")
     return direct.unionByName(by_path).unionByName(by_star).distinct(), stars
 
 
-def dynamic_files(facts: Facts) -> DataFrame:
-    """(repo, rel): files that another one reaches through computed names."""
-    files, index = facts.files, module_index(facts.files)
+def dynamic_files(facts: Facts, index: DataFrame | None = None) -> DataFrame:
+    """(repo, rel): files that another one reaches through computed names. index: the files' module_index, where it is known."""
+    files = facts.files
+    index = module_index(files) if index is None else index
     targets = facts.names("target").withColumns({"head": F.substring_index("name", ".", 1), "star": F.contains("name", F.lit(".")) | F.startswith("name", F.lit("pkg:"))})
     alias = facts.imports.select("repo", "rel", F.col("bound").alias("head"), F.when(F.col("is_from"), _join_name(F.col("module"), F.col("imported"))).otherwise(F.col("imported")).alias("module"))
     named = targets.filter(~F.startswith("name", F.lit("pkg:"))).join(alias, ["repo", "rel", "head"]).select("repo", "rel", "module", "star")

@@ -17,20 +17,27 @@ def unused_imports(imports: DataFrame, used: DataFrame, exported: DataFrame) ->
     return imports.join(key(used), ["repo", "rel", "bound"], "left_anti").join(key(exported), ["repo", "rel", "bound"], "left_anti")
 
 
-def unused_definitions(defs: DataFrame, refs: DataFrame) -> DataFrame:
-    """Definitions (repo, rel, name, start, end, ...) that no reference names outside their own lines. refs: repo, name, rel, line.
+def name_spans(refs: DataFrame) -> DataFrame:
+    """Where each name is used, a row per name: repo, name, first_rel, last_rel, lo, hi, told (some file that lists no requirements holds it). refs: repo, name, rel, lo, hi.
 
-    References are reduced to a row per name and file first: a use outside a span exists exactly when another file
-    holds the name, or the first one of this file comes before the span, or the last one after it. A frequent name
-    thus costs a row per file, and the equi key keeps the join hashed.
+    first_rel and last_rel are the same when one file holds all uses, lo and hi are their first and last line then. Partial
+    minima are taken before rows of a name meet, so a frequent name costs a row per task.
     """
-    span = refs.groupBy("repo", "name", F.col("rel").alias("ref_rel")).agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
-    here = span.withColumnRenamed("ref_rel", "rel")
-    n = span.groupBy("repo", "name").agg(F.count("*").alias("n_files"))
-    d = defs.join(n, ["repo", "name"], "left").join(here, ["repo", "name", "rel"], "left")
-    inside = F.col("lo").isNull() | ((F.col("lo") >= F.col("start")) & (F.col("hi") <= F.col("end")))
-    others = F.coalesce("n_files", F.lit(0)) - F.when(F.col("lo").isNull(), 0).otherwise(1)
-    return d.filter((others == 0) & inside).select(*defs.columns)
+    rel = F.coalesce("rel", F.lit(""))  # a use in a file without a name is one outside every span
+    told = ~F.startswith("rel", F.lit("requirements")) & (F.col("rel") != "pyproject.toml")
+    return refs.groupBy("repo", "name").agg(F.min(rel).alias("first_rel"), F.max(rel).alias("last_rel"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.coalesce(F.bool_or(told), F.lit(False)).alias("told"))
+
+
+def outside_spans(defs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Definitions (repo, rel, name, start, end, ...) that name_spans show no use of outside their own lines."""
+    d = defs.join(spans, ["repo", "name"], "left")
+    inside = (F.col("first_rel") == F.col("rel")) & (F.col("last_rel") == F.col("rel")) & (F.col("lo") >= F.col("start")) & (F.col("hi") <= F.col("end"))
+    return d.filter(F.col("first_rel").isNull() | inside).select(*defs.columns)
+
+
+def unused_definitions(defs: DataFrame, refs: DataFrame) -> DataFrame:
+    """Definitions (repo, rel, name, start, end, ...) that no reference names outside their own lines. refs: repo, name, rel, line."""
+    return outside_spans(defs, name_spans(refs.withColumns({"lo": F.col("line"), "hi": F.col("line")})))
 
 
 def evidence(units: DataFrame, refs: DataFrame, limit: int = L.EVIDENCE) -> DataFrame:
@@ -149,12 +156,13 @@ def registered_classes(classes: DataFrame, scans: DataFrame) -> DataFrame:
     edges = c.filter(parent).select(*key, F.col("b").alias("parent")).distinct()
     hooks = classes.filter("init_subclass").select("repo", F.col("name").alias("parent")).distinct()
     marked = marked.unionByName(edges.join(hooks, ["repo", "parent"]).select(*key, F.concat("parent", F.lit(" defines __init_subclass__")).alias("why"))).groupBy(*key).agg(F.min("why").alias("why"))
-    edges, marked = store(edges, "edges"), store(marked, "marked")
+    table = lambda df, name: store(df, name).hint("merge")  # noqa: E731  (rows grow with the input, and compress too well for a size to tell)
+    edges, marked = table(edges, "edges"), table(marked, "marked")
     n = marked.count()
     while n:
         up = marked.select("repo", F.col("name").alias("parent"), "why").groupBy("repo", "parent").agg(F.min("why").alias("why"))
         down = edges.join(up, ["repo", "parent"]).select(*key, "why").join(marked.select(*key), key, "left_anti").groupBy(*key).agg(F.min("why").alias("why"))
-        marked = store(marked.unionByName(down), "marked")
+        marked = table(marked.unionByName(down), "marked")
         if (m := marked.count()) == n:
             break
         n = m

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions import scalars as S
 from corvane.operators import attribution, copies, jury, metrics, rules
 from corvane.operators.ledger import Ledger
-from corvane.operators.pyfacts import Facts, python_facts
+from corvane.operators.pyfacts import stored
 from corvane.packs import declared, web
 from corvane.packs.base import Pack, audit, too_long
 from corvane.runtime import store
@@ -75,10 +75,10 @@ def run(spark: SparkSession, roots: dict[str, str], packs: list[Pack] | None = N
     python = tree.filter(F.col("rel").endswith(".py")).select("repo", "rel", "text")
     others = tree.filter(~F.col("rel").endswith(".py")).select("repo", "rel", "text")
     on_stage("facts")
-    facts = Facts(store(python_facts(python), "facts"))
+    facts = stored(python)
     files = store(census(tree), "files")
     on_stage("candidates")
-    found = rules.python_findings(rules.Repository(facts, others, python))
+    found = rules.python_findings(rules.Repository(facts, others, python.select("repo", "rel")))
     found = found.unionByName(copies.audit_copies(files).select(*rules.COLUMNS))
     words = tree.select("repo", "rel", S.language(F.col("rel")).alias("lang"), "text")
     units = audit(words, PACKS if packs is None else packs, words)

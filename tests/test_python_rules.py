@@ -79,3 +79,37 @@ def test_facts_that_are_asked_for_are_those_of_the_whole_read():
         assert pyfacts.read_file(rel, text, frozenset(["def", "body"])) == [r for r in whole if r[0] == "def"]
         bare = [r[:1] + r[1:] if r[2] == "class" else (*r[:3], None, *r[4:6], 0, *r[7:]) for r in whole if r[0] == "def"]
         assert pyfacts.read_file(rel, text, frozenset(["def"])) == bare
+
+
+def test_each_use_of_a_name_costs_no_row():
+    rows = pyfacts.read_file("a.py", "import os\n\n" + "print(os.path, 'os')\n" * 1000)
+    assert [r[0] for r in rows] == ["import", "file"]
+    names, sets, lo, hi = (rows[-1][i] for i in (8, 10, 11, 12))
+    assert dict(zip(names, zip(lo, hi, strict=True), strict=True)) == {"print": (3, 1002), "os": (3, 1002), "path": (3, 1002)}
+    assert dict(sets) == {"used": ["print", "os"], "attr": ["path"], "chain": ["os.path"]}
+
+
+def test_a_relation_reads_its_own_facts_only(spark):
+    facts = pyfacts.stored(spark.createDataFrame([("r", "a.py", "import os\n\n\ndef f():\n    return os\n\n\nf()\n")], "repo string, rel string, text string"))
+    for relation, fact in ((facts.imports, "import"), (facts.defs, "def"), (facts.files, "file"), (facts.names("used"), "file"), (facts.refs, "file")):
+        scans = [s for s in relation._jdf.queryExecution().executedPlan().toString().split("FileScan")[1:]]
+        assert scans and all(f"(fact#" in s and f"= {fact})" in s.split("PartitionFilters", 1)[1].split("]", 1)[0] for s in scans)
+    assert sorted(map(tuple, facts.refs.select("name", "lo", "hi").collect())) == [("f", 8, 8), ("os", 5, 5)]
+
+
+def test_relations_of_many_rows_are_not_broadcast(spark):
+    rows = [(f"r{i}", "a.py", "import os\nimport sys\n\n\ndef f():\n    return sys\n\n\nclass K(os.x):\n    pass\n") for i in range(3)]
+    python = spark.createDataFrame(rows, "repo string, rel string, text string")
+    r = rules.Repository(pyfacts.stored(python), python.limit(0), python.select("repo", "rel"))
+    for found, kinds in ((rules.import_findings(r), []), (rules.definition_findings(r), ["class K", "function f"])):
+        assert sorted(f"{x.kind} {x.name}" for x in found.collect() if x.repo == "r1") == kinds
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+
+
+def test_uses_by_name_tell_what_one_file_holds(spark):
+    from corvane.operators import usage
+
+    defs = spark.createDataFrame([("r", "a.py", n, 2, 4) for n in "uvwxyz"] + [("r", None, "n", 2, 4)], "repo string, rel string, name string, start int, end int")
+    uses = [("v", "a.py", 3), ("w", "a.py", 3), ("w", "a.py", 5), ("x", "b.py", 3), ("y", "a.py", 2), ("y", "b.py", 2), ("z", None, 3), ("z", "a.py", 3), ("n", "a.py", 3)]
+    refs = spark.createDataFrame([("r", *u) for u in uses], "repo string, name string, rel string, line int")
+    assert sorted(x.name for x in usage.unused_definitions(defs, refs).collect()) == ["u", "v"]
